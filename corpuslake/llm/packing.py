@@ -109,16 +109,16 @@ def _pieces(path: str, capacity: int, unit: int) -> Callable:
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the multiset of sizes of the greatest value that fits."""
+    """Unbounded knapsack by dynamic programming: the multiset of sizes (ascending) of the greatest value that fits."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    n_fit = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for w in range(1, capacity + 1):
-        fit = np.flatnonzero(sizes <= w)
-        best[w], last[w] = best[w - 1], -1
-        if len(fit):
-            total = best[w - sizes[fit]] + values[fit]
-            i = int(np.argmax(total))
+        best[w] = best[w - 1]
+        if n := n_fit[w]:
+            total = best[w - sizes[:n]] + values[:n]
+            i = total.argmax()
             if total[i] > best[w] + 1e-12:
-                best[w], last[w] = total[i], fit[i]
+                best[w], last[w] = total[i], i
     pattern, w = np.zeros(len(sizes)), capacity
     while w > 0:
         if last[w] < 0:
@@ -129,11 +129,11 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
+def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 3000, gap: float = 5e-4) -> list[tuple[np.ndarray, float]]:
     """Fewest sequences (fractions allowed) that hold counts[i] pieces of sizes[i]: patterns and how often each is used.
 
     Simplex on the patterns of the basis; the knapsack prices new ones by the dual values. A surplus column (cost 0) enters where a dual
-    value is negative. Stopped early, the basis is still feasible."""
+    value is negative. It ends at the optimum, or within `gap` of the lower bound that the dual values and the best pattern give."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     cost = np.ones(m)
@@ -146,7 +146,7 @@ def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int, roun
         else:
             value, column = best_pattern(dual, sizes, capacity)
             price = 1.0
-            if value <= 1 + 1e-7:
+            if value <= 1 + 1e-7 or (cost @ used) - (dual @ counts) / value < gap * (cost @ used):
                 break
         change = np.linalg.solve(basis, column)
         ahead = change > 1e-9
