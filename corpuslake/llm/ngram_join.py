@@ -265,7 +265,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -
         if not stats.rows:
             break
         last = turn == STAR_ROUNDS or stats.pairs <= 4 * stats.rows
-        pairs = _all_pairs(open_) if last else _star_pairs(open_, turn)
+        pairs = _all_pairs(open_, percent) if last else _star_pairs(open_, turn)
         links = written(links.unionByName(_verify(pairs, sets, percent)), "links")
         found = connected_components(links)
         if last:
@@ -323,11 +323,11 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(centre, "sig").where("component <> c.component").select(F.col("c.key").alias("a"), F.col("key").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of members of a list that are of different components and fit in size."""
     x = rows.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = rows.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return x.join(y, "sig").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)).select("a", "b", "na", "nb")
+    return x.join(y, "sig").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b", "na", "nb")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, IS_SPACE, LOWER, bloom_words, id_and_text, may_hold, mix, powers, starts_of, text_blocks, written
+from .common import BYTE_CODES, IS_SPACE, LOWER, bloom_words, id_and_text, may_hold, mix, powers, sliding, starts_of, text_blocks, word_hashes, written
 
 WINDOW = 16
 MASK_BITS, LEAST_GAP, LONGEST = 4, 12, 192
-LEAST_WORDS = 25
+RUN_WORDS, PASSAGE_WORDS = 20, 50
 GEAR = (mix(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -118,30 +118,73 @@ def _runs(least_words: int) -> Callable:
     return run
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, end, words, chunks, first_doc_id: the passages of documents that stand in other documents too.
+def _texts_of(words: np.ndarray) -> Callable:
+    """The rows whose doc_id the filter lets pass."""
 
-    start and end are bytes of the UTF-8 text; first_doc_id is the smallest doc_id that has a chunk of the passage, and the passage is the
-    first of its kind where that is its own doc_id. A passage is a run of chunks whose digests each stand in two documents at least, with
-    least_words words or more. Chunks are about 35 bytes, so of a repeated passage all but some words at each end is found, and one of over
-    50 words has a run of 25; shorter common lines don't reach that. Letters A-Z count as lower case.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(may_hold(words, ids.view(np.uint64))))
+
+    return run
+
+
+def _windows(passage_words: int) -> Callable:
+    """(doc_id, start, hash) of each stretch of passage_words words that meets a run, by the run's start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, hashes = [], [], []
+            for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                data = np.frombuffer(text.as_py(), np.uint8)
+                offsets = np.array([0, len(data)])
+                whole, _ = word_hashes(data, offsets)
+                found = sliding(whole, passage_words)
+                at = starts_of(~IS_SPACE[data], offsets)
+                for r in runs:
+                    a, b = np.searchsorted(at, [r["start"], r["end"]])
+                    some = found[max(0, a - passage_words) : b]
+                    ids.append(np.full(len(some), doc_id, np.int64))
+                    starts.append(np.full(len(some), r["start"], np.int64))
+                    hashes.append(some.view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, starts, hashes)], names=["doc_id", "start", "hash"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, start, end, words, chunks, first_doc_id: the passages of passage_words words or more that stand in other documents too.
+
+    start and end are bytes of the UTF-8 text; first_doc_id is the smallest doc_id that has a chunk of the passage. A passage is a run of
+    chunks whose digests each stand in two documents at least. Chunks are about 35 bytes, so the run shows all of the passage but some words at
+    each end: runs from RUN_WORDS on are looked at, and a run of fewer than passage_words is verified: a stretch of that many words that meets it must
+    stand in two documents. Letters A-Z count as lower case.
     Null, empty and blank text has no passage. Repetition within one document alone is none. Rows that share a doc_id are one document.
     Rows without a doc_id can't be named and are left out. An empty table gives no rows.
 
-    Two passes over the texts: digests are pre-aggregated to their smallest and largest document; then only the chunks that a filter of
-    fixed size lets pass meet the repeated digests, in a join that may split a hot digest. What gathers by document is bounded by its length.
+    Three passes over the texts: digests are pre-aggregated to their smallest and largest document; then only the chunks that a filter of
+    fixed size lets pass meet the repeated digests, in a join that may split a hot digest; then the texts of short runs are verified. What
+    gathers by document is bounded by its length.
     """
     source = id_and_text(docs).where("doc_id is not null")
     seen = source.mapInArrow(_digests(), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     repeated = written(seen.where("first_doc_id <> last").select("digest", "first_doc_id"), "digests")
     places = source.mapInArrow(_candidates(bloom_words(repeated, "digest")), "digest long, doc_id long, start int, end int, words int")
     found = places.join(repeated, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "words", "first_doc_id")).alias("found"))
-    return found.mapInArrow(_runs(least_words), "doc_id long, start long, end long, words long, chunks long, first_doc_id long")
+    runs = written(found.mapInArrow(_runs(min(RUN_WORDS, passage_words)), "doc_id long, start long, end long, words long, chunks long, first_doc_id long"), "passages")
+    short = runs.where(F.col("words") < passage_words)
+    texts = source.mapInArrow(_texts_of(bloom_words(short, "doc_id")), "doc_id long, text string").dropDuplicates(["doc_id"])
+    by_document = short.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    windows = written(texts.join(by_document, "doc_id").mapInArrow(_windows(passage_words), "doc_id long, start long, hash long"), "windows")
+    shared = written(windows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash"), "shared")
+    verified = windows.join(shared, "hash").select("doc_id", "start").distinct()
+    return runs.where(F.col("words") >= passage_words).unionByName(short.join(verified, ["doc_id", "start"], "left_semi"))
 
 
-def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """docs with repeated passages cut from all documents but the first that has them; other columns stay as they are."""
-    spans = repeated_passages(docs, least_words).where("doc_id <> first_doc_id").groupBy(F.col("doc_id").alias("cut_")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans_"))
+    spans = repeated_passages(docs, passage_words).where("doc_id <> first_doc_id").groupBy(F.col("doc_id").alias("cut_")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans_"))
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     kept = F.expr("concat_ws('', transform(sequence(0, size(spans_)), i -> decode(substring(raw_, if(i = 0, 1, cast(spans_[i - 1].end as int) + 1), if(i = size(spans_), length(raw_), cast(spans_[i].start as int)) - if(i = 0, 0, cast(spans_[i - 1].end as int))), 'UTF-8')))")
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("cut_"), "left").withColumn("raw_", raw)
