@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE
+from .common import IS_SPACE, ship
 
 HIDDEN, EMBEDDING, LONGEST = 16, 12, 24
 TRAINING_DOCUMENTS, TRAINING_WORDS = 2000, 60_000
@@ -231,7 +231,7 @@ def _predicted(model, langs: list[str]) -> Callable:
             texts, letters = batch.column(1).cast(pa.binary()), batch.column(3).to_pylist()
             preds, scores, counts = [], [], []
             for text, letter in zip(texts, letters, strict=True):
-                words = words_of(text.as_py() or b"") if letter else []
+                words = words_of(text.as_py() or b"") if letter and langs else []
                 if not words:
                     preds.append("und")
                     scores.append(0.0)
@@ -256,6 +256,7 @@ def held_out(doc_id):
 def fit(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> LanguageModel:
     """The network, trained on a bounded sample: of the rows with a language that are not held out, `documents` at most, first by a hash of
     doc_id, spread evenly over the languages. Whole texts are read, and of each language's words TRAINING_WORDS / languages are drawn."""
+    ship(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"))
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
     chosen: list = []
@@ -288,9 +289,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     The network runs both ways over the bytes of each word (long words in stretches) and labels every position; a document's
     probabilities are the mean of its positions', lang_pred is the largest, score its probability. positions maps each
     language to the number of positions labelled so. Only the text is an input.
-    `und`, score 0: null text, text without a letter, and text whose only letters are none that the network sees as a word. Equal texts
+    `und`, score 0: a model without languages, null text, text without a letter, and text whose only letters are none that the network sees as a word. Equal texts
     are predicted alike; a null doc_id is not held out; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("letter"))
     found = source.mapInArrow(_predicted(_Shared(shared), model.langs), "doc_id long, held_out boolean, lang_pred string, score double, positions array<long>")

@@ -63,14 +63,14 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: fl
     whole = F.floor("target")
     start = F.col("base") + F.col("inner")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), whole - start - F.col("source_size") * r)) for r in range(repeats)), F.lit(0))
-    finish = (start + F.col("size")) / F.col("target")
+    finish = F.try_divide((start + F.col("size")).cast("double"), F.col("target"))
     return rows.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
 
 
 def serve(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     """The queue as served: a row for each copy taken, with the words taken, range-partitioned and sorted by virtual finish time."""
     n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turns = F.expr("transform(sequence(0, cast((taken + size - 1) div size as int) - 1), i -> struct(least(size, taken - i * size) as words, finish + i * source_size / target as finish))")
+    turns = F.expr("transform(sequence(0, cast((taken + size - 1) div size as int) - 1), i -> struct(least(size, taken - i * size) as words, finish + try_divide(cast(i * source_size as double), target) as finish))")
     rows = mixed.where("taken > 0").select("doc_id", "source", F.explode(turns).alias("t")).select("doc_id", "source", "t.words", "t.finish")
     return rows.repartitionByRange(n, "finish", "doc_id").sortWithinPartitions("finish", "doc_id")
 

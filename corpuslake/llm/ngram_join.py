@@ -15,10 +15,11 @@ from .components import connected_components
 
 N, PERCENT = 5, 75
 HEAVY_KEYS = 1 << 20
-TASK_KEYS = 1 << 16
+TASK_KEYS = 1 << 17
 CHUNK = 1 << 20
 SALTS = 64
-STAR_ROUNDS = 6
+SHORT = 48
+STAR_ROUNDS = 3
 SEEN = 1 << 18
 
 
@@ -150,13 +151,14 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
 
 
 def _signed(n: int, percent: int, frequent) -> Callable:
-    """(sig, combo, key, n) for each signature; a set is signed once a task, unless more than SEEN others came between."""
+    """(sig, combo, key, n, plain) for each signature; plain: rare shingles fill the set's prefix. A set is signed once a task, unless more than
+    SEEN others came between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = frequent.value
         seen: set[int] = set()
         for batch in batches:
-            sigs, combos, keys, sizes = [], [], [], []
+            sigs, combos, keys, sizes, plain = [], [], [], [], []
             out = 0
             for _, s in shingle_sets(batch, n):
                 if not len(s) or (key := set_key(s)) in seen:
@@ -164,42 +166,40 @@ def _signed(n: int, percent: int, frequent) -> Callable:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                for hashes, combo in signatures(s, heavy, percent):
+                signed = list(signatures(s, heavy, percent))
+                rare_only = not any(len(combo) and combo[0] for _, combo in signed) and sum(len(h) for h, _ in signed) > errors(len(s), percent)
+                for hashes, combo in signed:
+                    plain.append(np.full(len(hashes), rare_only))
                     sigs.append(hashes)
                     combos.append(combo)
                     keys.append(np.full(len(hashes), key, np.int64))
                     sizes.append(np.full(len(hashes), len(s), np.int32))
                     out += len(hashes)
                 if out > CHUNK:
-                    yield _batch(sigs, combos, keys, sizes)
-                    sigs, combos, keys, sizes, out = [], [], [], [], 0
+                    yield _batch(sigs, combos, keys, sizes, plain)
+                    sigs, combos, keys, sizes, plain, out = [], [], [], [], [], 0
             if out:
-                yield _batch(sigs, combos, keys, sizes)
+                yield _batch(sigs, combos, keys, sizes, plain)
 
     return run
 
 
-def _batch(sigs: list, combos: list, keys: list, sizes: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(combos)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["sig", "combo", "key", "n"])
+def _batch(sigs: list, combos: list, keys: list, sizes: list, plain: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(combos)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(plain))], names=["sig", "combo", "key", "n", "plain"])
 
 
 def _wanted_sets(n: int, words: np.ndarray) -> Callable:
-    """(key, tokens) of sets that the filter lets pass, once a task."""
+    """(key, tokens) of the documents that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array(may_hold(words, ids.view(np.uint64))))
             keys, sets, held = [], [], 0
             for _, s in shingle_sets(batch, n):
                 if not len(s):
                     continue
-                key = set_key(s)
-                if key in seen or not may_hold(words, np.array([key], np.int64).view(np.uint64))[0]:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
-                keys.append(key)
+                keys.append(set_key(s))
                 sets.append(s.view(np.int64))
                 held += len(s)
                 if held > CHUNK:
@@ -241,77 +241,103 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -
     equal sets link; rows that share a doc_id are one document with a row each. An empty table gives no rows.
 
     1. Sets: each document's set of 64-bit shingle hashes gives a key; equal sets are one node from here on. Tasks count shingles over all
-       documents and tell which are frequent. 2. Signatures (see signatures()): one shuffle by signature. Signatures of rare shingles have
-       short posting lists; those of pairs, which may be hot, are salted by key first. Each set is paired with the smallest of its list:
-       no list is expanded into all pairs. 3. Pairs are verified on whole sets, links joined into components. 4. Lists that still hold
-       several components go on: each set with another member of its list, drawn anew each round, and at last all pairs of members from different
-       components. So each pair that shares a signature is verified or already connected, and components are exact.
+       documents and tell which are frequent. 2. Signatures (see signatures()): one shuffle by signature. A short list of a rare shingle gives
+       its pairs, with the number of lists that each pair shares; where that number and the sizes prove too small an overlap, the pair goes.
+       Longer lists, and those of pairs of frequent shingles, which may be hot and are salted by key first, are never expanded: each set
+       is paired with the smallest of its list. 3. Pairs are verified on whole sets, links joined into components. 4. Longer lists that still hold
+       several components go on: each set with another member of its list, drawn anew each round, and at last all pairs of members from
+       different components. So each pair that shares a signature is verified, ruled out or already connected, and components are exact.
     """
     spark = docs.sparkSession
     source = id_and_text(docs)
     summaries = written(source.mapInArrow(_summaries(n), "doc_id long, key long, n long, token long, count long"), "sets")
     members = summaries.where("n is not null").select("doc_id", "key", "n")
+    heads = written(members.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
     frequent = spark.sparkContext.broadcast(frequent_tokens(summaries))
-    signed = source.mapInArrow(_signed(n, percent, frequent), "sig long, combo boolean, key long, n int")
-    lists = written(_posting_lists(signed), "postings")
-    nodes = lists.select("key").distinct()
-    sets = written(source.mapInArrow(_wanted_sets(n, bloom_words(nodes, "key")), "key long, tokens array<long>").dropDuplicates(["key"]), "tokens")
-
-    links = written(_verify(lists.select(F.col("lo").alias("a"), "key", "n", F.col("lo_n")).where("a <> key").select("a", F.col("key").alias("b"), F.col("lo_n").alias("na"), F.col("n").alias("nb")), sets, percent), "links")
-    open_ = lists
+    source = source.where("doc_id is not null")
+    lists = written(_lists(source.mapInArrow(_signed(n, percent, frequent), "sig long, combo boolean, key long, n int, plain boolean")), "postings")
+    pairs = written(_counted_pairs(lists, percent), "pairs")
+    long_ = written(_long_lists(lists), "long")
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long_.select("key")).distinct().join(heads, "key")
+    sets = written(source.mapInArrow(_wanted_sets(n, bloom_words(nodes, "head")), "key long, tokens array<long>"), "tokens")
+    stars = long_.where("lo <> key").select(F.col("lo").alias("a"), F.col("key").alias("b"), F.col("lo_n").alias("na"), F.col("n").alias("nb"))
+    links = written(_verify(pairs.unionByName(stars), sets, percent), "links")
     found = connected_components(links)
     for turn in range(STAR_ROUNDS + 1):
-        open_, stats = _still_open(open_, found)
+        long_, stats = _still_open(long_, found)
         if not stats.rows:
             break
-        last = turn == STAR_ROUNDS or stats.pairs <= 4 * stats.rows
-        pairs = _all_pairs(open_, percent) if last else _star_pairs(open_, turn)
-        links = written(links.unionByName(_verify(pairs, sets, percent)), "links")
+        last = turn == STAR_ROUNDS or stats.pairs <= 16 * stats.rows
+        more = _verify(_all_pairs(long_, percent) if last else _star_pairs(long_, turn), sets, percent)
+        links = written(links.unionByName(more), "links")
         found = connected_components(links)
         if last:
             break
-    heads = members.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"))
-    named = heads.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = written(named, "heads")
+    named = written(heads.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "named")
     ids = named.groupBy("component").agg(F.min("head").alias("component_id"))
     by_key = written(named.join(ids, "component").select("key", "component_id"), "groups")
     out = members.join(by_key, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _posting_lists(signed: DataFrame) -> DataFrame:
-    """(sig, key, n, lo, lo_n) of the signatures that several sets share; lo: the smallest key of the list (or of the salted part, and those of
-    the parts in lists of their own)."""
+def _lists(signed: DataFrame) -> DataFrame:
+    """The signatures that several sets share, with the smallest member (lo) and size (m) of their list; a short list of a rare shingle has in
+    each row the members before it. Lists of combinations stand in parts by salt, and each part has its smallest member at least."""
     salted = signed.withColumn("salt", F.when(F.col("combo"), F.pmod(F.col("key"), F.lit(SALTS))).otherwise(F.lit(0)))
-
-    def lists(rows: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by)
-        first = F.min(F.struct("key", "n")).over(w)
-        return rows.withColumn("f", first).withColumn("last", F.max("key").over(w))
-
-    parts = lists(salted, "sig", "salt").where("f.key <> last or (combo and key = f.key)")
-    parts = written(parts.distinct(), "parts")
-    several = parts.where("f.key <> last").select("sig", "key", "n", F.col("f.key").alias("lo"), F.col("f.n").alias("lo_n"))
-    tops = parts.where("combo and key = f.key").select("sig", "salt", "key", "n")
-    upper = lists(tops, "sig").where("f.key <> last").select("sig", "key", "n", F.col("f.key").alias("lo"), F.col("f.n").alias("lo_n"))
-    return several.unionByName(upper).distinct()
+    w = Window.partitionBy("sig", "salt").orderBy("key")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    member = F.struct("key", "n", "plain")
+    rows = salted.withColumn("lo", F.first(F.struct("key", "n")).over(whole)).withColumn("last", F.last("key").over(whole)).withColumn("m", F.count("*").over(whole))
+    rows = rows.where("lo.key <> last or (combo and key = lo.key)")
+    short = ~F.col("combo") & (F.col("m") <= SHORT)
+    before = F.collect_list(F.when(short, member)).over(w.rowsBetween(-SHORT, -1))
+    return rows.withColumn("before", F.when(short, before)).select("sig", "salt", "combo", "key", "n", "plain", F.col("lo.key").alias("lo"), F.col("lo.n").alias("lo_n"), "before")
+
+
+def _counted_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of the short lists that may reach the similarity.
+
+    Of two sets with rare shingles only in their prefixes, the one whose prefix ends first shares with the other what its prefix shows and the
+    rest of it at most. A list counts once for each band that both sign for, which only lets more pass. A shared long list shows in no
+    count, so a pair is not ruled out if both sets stand in one."""
+    hidden = lists.where("not combo and before is null").select(F.col("key").alias("hidden")).distinct()
+    pairs = lists.where("size(before) > 0").select("key", "n", "plain", F.explode("before").alias("o")).where("key <> o.key")
+    pairs = pairs.select(F.col("o.key").alias("a"), F.col("key").alias("b"), F.col("o.n").alias("na"), F.col("n").alias("nb"), (F.col("plain") & F.col("o.plain")).alias("plain"))
+    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).groupBy("a", "b", "na", "nb", "plain").agg(F.count("*").alias("shared"))
+    rest = F.greatest(F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100)) - 1
+    enough = (F.col("shared") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    sure, unsure = pairs.where(~F.col("plain") | enough), pairs.where(F.col("plain") & ~enough)
+    unsure = unsure.join(hidden.withColumnRenamed("hidden", "a"), "a", "left_semi").join(hidden.withColumnRenamed("hidden", "b"), "b", "left_semi")
+    return sure.select("a", "b", "na", "nb").unionByName(unsure.select("a", "b", "na", "nb"))
+
+
+def _long_lists(lists: DataFrame) -> DataFrame:
+    """(sig, key, n, lo, lo_n) of all other lists; those of combinations by their parts, and the smallest members of the parts in lists of their own."""
+    long_ = lists.where("before is null")
+    parts = long_.select("sig", "key", "n", "lo", "lo_n")
+    tops = long_.where("combo and key = lo").select("sig", "key", "n")
+    whole = Window.partitionBy("sig")
+    first = F.min(F.struct("key", "n")).over(whole)
+    upper = tops.withColumn("f", first).withColumn("last", F.max("key").over(whole)).where("f.key <> last").select("sig", "key", "n", F.col("f.key").alias("lo"), F.col("f.n").alias("lo_n"))
+    return parts.unionByName(upper)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of keys whose sets reach the similarity; sizes alone rule out many."""
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = pairs.where(fit).select("a", "b").distinct()
+    pairs = written(pairs.where(fit).select("a", "b").distinct(), "candidates")
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
     both = with_a.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long").distinct()
 
 
 def _still_open(lists: DataFrame, found: DataFrame):
-    """Lists with members of several components (key, n, component), and how many rows and pairs across components they have."""
-    rows = lists.select("sig", "key", "n").distinct().join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
+    """Lists with members of several components (sig, key, n, component), and how many rows and pairs across components they have."""
+    rows = lists.select("sig", "key", "n").distinct().join(found.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("component", F.coalesce("c", "key")).drop("c")
+    sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("m"))
     several = sizes.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("parts > 1")
-    several = written(several, "open")
+    several = written(several, "several")
     out = written(rows.join(several.select("sig"), "sig"), "open")
     stats = several.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.lit(0)).alias("pairs")).first()
     return out, stats

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: ASCII punctuation that the tokenizer always parts from a letter or digit before it. The apostrophe is not among them.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, part int, place long"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, ODD, mix, powers, starts_of, text_blocks, written
+from .common import BYTE_CODES, ODD, mix, powers, ship, starts_of, text_blocks, written
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -178,6 +178,7 @@ def _key(level: float):
 
 def _decide(docs: DataFrame, labels: DataFrame, labelled_rows: int, buckets: int):
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    ship(docs.sparkSession)
     quality = labelled(labels, labelled_rows)
     ratios = log_ratios(source, frozenset(i for i, q in quality.items() if q == 1), buckets)
     scores = written(source.withColumnRenamed("text", "text_").mapInArrow(_scored(ratios), "doc_id long, log_ratio double, n_grams long"), "scores")
