@@ -320,7 +320,16 @@ def _long_lists(lists: DataFrame) -> DataFrame:
     whole = Window.partitionBy("sig")
     first = F.min(F.struct("key", "n")).over(whole)
     upper = tops.withColumn("f", first).withColumn("last", F.max("key").over(whole)).where("f.key <> last").select("sig", "key", "n", F.col("f.key").alias("lo"), F.col("f.n").alias("lo_n"))
-    return parts.unionByName(upper)
+    return _distinct_lists(parts.unionByName(upper), ["sig", "lo"])
+
+
+def _distinct_lists(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One of the lists that have the same members: a group of copies or a passage puts the same sets into many lists. Members are told by their
+    number, extremes and sum of hashes."""
+    members = F.struct(F.count("*"), F.min("key"), F.max("key"), F.sum(F.xxhash64("key").cast("decimal(20,0)")), F.sum(F.hash("key").cast("long")))
+    lists = rows.groupBy(*by).agg(members.alias("members"))
+    one = written(lists.groupBy("members").agg(F.min(F.struct(*by)).alias("one")).select("one.*"), "lists")
+    return rows.join(one, by, "left_semi")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +347,8 @@ def _still_open(lists: DataFrame, found: DataFrame):
     sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("m"))
     several = sizes.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("parts > 1")
     several = written(several, "several")
-    out = written(rows.join(several.select("sig"), "sig"), "open")
+    out = written(_distinct_lists(rows.join(several.select("sig"), "sig"), ["sig"]), "open")
+    several = several.join(out.select("sig").distinct(), "sig", "left_semi")
     stats = several.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.lit(0)).alias("pairs")).first()
     return out, stats
 
@@ -350,10 +360,14 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a list that are of different components and fit in size."""
-    x = rows.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rows.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return x.join(y, "sig").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b", "na", "nb")
+    """All pairs of members of a list that are of different components and fit in size. A pair that shares many lists comes from one of them:
+    each member brings the hashes of its lists (no more than its signatures), and the smallest that both have decides."""
+    own = rows.groupBy("key").agg(F.collect_set(F.hash("sig")).alias("lists"))
+    full = written(rows.join(own, "key"), "members")
+    x = full.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("lists").alias("la"))
+    y = full.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("lists").alias("lb"))
+    fit = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return x.join(y, "sig").where(fit & (F.array_min(F.array_intersect("la", "lb")) == F.hash("sig"))).select("a", "b", "na", "nb")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
