@@ -64,8 +64,8 @@ def apply_corrections(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def clean_text(c: Column, remove_headers: bool = True, corrections: list[tuple[str, str]] | None = None) -> Column:
-    """All cleaning steps in order."""
-    c = squeeze_ws(drop_garbage(fix_artifacts(nfc(c))))
+    """All cleaning steps in order, for a column in NFC (see nfc(): a UDF can't stand inside the lambdas here)."""
+    c = squeeze_ws(drop_garbage(fix_artifacts(c)))
     c = drop_page_numbers(c)
     c = drop_repeat_headers(c) if remove_headers else c
     c = apply_corrections(normalize_legal(c), corrections or [])

@@ -1 +1,205 @@
-"""Queries."""
+"""Queries over conversations and form submissions. Submissions are customers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..operators import conversations as C
+from ..operators import submissions as S
+from ..operators.submissions import Field
+from ..sources.tables import read_table as T
+from .registry import query
+
+ACCENTS_SQL = "trim(regexp_replace(replace(strip_accents(lower({})), 'đ', 'd'), '\\s+', ' ', 'g'))"
+PHRASES = ["tiep tuc dien", "toi muon tra cuu", "ke khai thue dat", "nop thay giup toi", "huy don", "the and"]
+
+
+def said(spark, sf):
+    """Conversations with a phrase that routing knows, by turn."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("turn") % 6 + 1).cast("int"))
+    return T(spark, sf, "conversations").select("conv_id", "turn", "role", F.when(F.col("conv_id") % 2 == 0, F.concat_ws(" ", "text", phrase)).otherwise(F.col("text")).alias("text"))
+
+
+SAID_SQL = "said as (select conv_id, turn, role, case when conv_id % 2 = 0 then text || ' ' || [" + ", ".join(f"'{p}'" for p in PHRASES) + "][turn % 6 + 1] else text end as text from conversations)"
+PLAIN_SQL = f"{SAID_SQL}, plain as (select *, {ACCENTS_SQL.format('text')} as p from said)"
+
+
+def any_sql(column, words):
+    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+ROUTE_SQL = "case " + " ".join(f"when {any_sql('p', ws)} then '{n}'" for n, ws in rules.MODES.items()) + " else 'unknown' end"
+
+
+@query("route_mode", f"with {PLAIN_SQL} select conv_id, turn, {ROUTE_SQL} as mode from plain")
+def _(spark, sf):
+    return said(spark, sf).select("conv_id", "turn", C.route_mode(F.col("text")).alias("mode"))
+
+
+@query("out_of_scope", f"with {PLAIN_SQL} select conv_id, turn, {any_sql('p', rules.OUT_OF_SCOPE)} as out from plain")
+def _(spark, sf):
+    return said(spark, sf).select("conv_id", "turn", C.out_of_scope(F.col("text")).alias("out"))
+
+
+@query("resolve_mode", f"with {PLAIN_SQL}, r as (select conv_id, turn, {ROUTE_SQL} as m from plain) select conv_id, turn, case when m in ('rag', 'exit_form') then 'rag' when m in ('form', 'resume_form') then 'form' when turn % 2 = 0 then 'rag' else 'form' end as mode from r")
+def _(spark, sf):
+    saved = F.when(F.col("turn") % 2 == 0, "rag").otherwise("form")
+    return said(spark, sf).select("conv_id", "turn", C.resolve_mode(saved, C.route_mode(F.col("text"))).alias("mode"))
+
+
+@query("match_form", f"with {PLAIN_SQL} select conv_id, turn, case when {any_sql('p', C.INFO)} then null when contains(p, 'thue dat') then 'tax' when contains(p, 'the and') then 'transfer' end as form from plain")
+def _(spark, sf):
+    forms = spark.createDataFrame([("tax", 1, "thue dat|khai thue"), ("transfer", 2, "the and|bien dong")], "form string, position int, family string")
+    return C.match_form(said(spark, sf), forms, ["conv_id", "turn"], "text")
+
+
+@query("digression", f"with {SAID_SQL} select conv_id, turn, case when contains(text, ';') then 'FILL' when contains(text, '?') then 'ASK_LEGAL' else 'FILL' end as intent from said")
+def _(spark, sf):
+    return said(spark, sf).select("conv_id", "turn", C.digression(F.col("text")).alias("intent"))
+
+
+@query("skip_detect", f"with {PLAIN_SQL} select conv_id, turn, turn % 2 = 1 and len(string_split(p, ' ')) <= 6 and contains(p, 'the') as skipped from plain")
+def _(spark, sf):
+    return said(spark, sf).select("conv_id", "turn", C.skip_detect(F.col("text"), F.col("turn") % 2 == 1, ["the"]).alias("skipped"))
+
+
+@query("turn_pairs", "with n as (select *, lead(role) over w as r, lead(text) over w as answer, lead(turn) over w as answer_turn from conversations window w as (partition by conv_id order by turn)) select conv_id, turn, answer_turn, answer from n where role = 'user' and r = 'assistant'")
+def _(spark, sf):
+    return C.turn_pairs(T(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn").select("conv_id", "turn", "answer_turn", "answer")
+
+
+@query("conversation_detail", "select conv_id, cast(count(*) as int) as n, string_agg(role, ',' order by turn) as roles from conversations group by 1")
+def _(spark, sf):
+    rows = C.conversation_detail(T(spark, sf, "conversations"), "conv_id", "turn", ["role", "text"])
+    return rows.select("conv_id", F.size("messages").alias("n"), F.array_join("messages.role", ",").alias("roles"))
+
+
+@query("record_feedback", "with f as (select user_id as conv_id, arg_max(cast(value > 50 as int), event_id) as value from events where event_type = 'click' group by 1) select conv_id, turn, case when role = 'assistant' then value end as feedback from conversations left join f using (conv_id)")
+def _(spark, sf):
+    feedback = T(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("conv_id"), (F.col("value") > 50).cast("int").alias("value"), "event_id")
+    return C.record_feedback(T(spark, sf, "conversations").select("conv_id", "turn", "role"), feedback, ["conv_id"], "event_id").select("conv_id", "turn", "feedback")
+
+
+FIELDS = [
+    Field("name", "name", order=1),
+    Field("segment", "choice", order=2, options=["BUILDING", "MACHINERY", "FURNITURE"]),
+    Field("balance", "number", order=3),
+    Field("nation", "digits", order=4),
+    Field("builds", "boolean", derived_from=("segment", "BUILDING")),
+    Field("permit", "digits", order=5, depends_on=("segment", "BUILDING")),
+    Field("inspector", order=6, depends_on=("permit", "7")),
+    Field("phone", "phone", order=7, group="contact"),
+    Field("email", "email", order=8, group="contact"),
+    Field("score", order=9, formula="([nation] * 2 + 1) / [permit]"),
+]
+SUBMITTED_SQL = "s as (select c_custkey as id, lower(c_name) as name, c_mktsegment as segment, case when c_custkey % 4 = 0 then null else replace(cast(c_nationkey as varchar), '.', '') end as nation, case when c_custkey % 3 = 0 then '7' when c_custkey % 3 = 1 then '0' end as permit, case when c_custkey % 5 = 0 then 'a@b.vn' end as email, case when c_custkey % 7 = 0 then '12' end as phone from customer)"
+
+
+def submissions(spark, sf):
+    k = F.col("c_custkey")
+    values = {"name": F.lower("c_name"), "segment": F.col("c_mktsegment"), "nation": F.when(k % 4 != 0, F.col("c_nationkey").cast("string")), "permit": F.when(k % 3 == 0, "7").when(k % 3 == 1, "0"), "email": F.when(k % 5 == 0, "a@b.vn"), "phone": F.when(k % 7 == 0, "12")}
+    answers = F.map_filter(F.create_map(*(x for n, v in values.items() for x in (F.lit(n), v))), lambda _, v: v.isNotNull())
+    return T(spark, sf, "customer").select(k.alias("id"), answers.alias("answers"))
+
+
+@query("normalize_values", "select c_custkey as id, upper(substring(c_name, 1, 1)) || lower(substring(c_name, 2)) as name from customer")
+def _(spark, sf):
+    return S.normalize_values(submissions(spark, sf), FIELDS).select("id", S.value("name").alias("name"))
+
+
+@query("validate_values", f"with {SUBMITTED_SQL} select id, list_filter([case when segment not in ('BUILDING', 'MACHINERY', 'FURNITURE') then 'segment' end, case when phone is not null then 'phone' end], lambda x: x is not null) as invalid from s")
+def _(spark, sf):
+    return submissions(spark, sf).select("id", S.invalid_keys(FIELDS).alias("invalid"))
+
+
+@query("auto_fill_flag", "select p_partkey, case when p_size % 5 = 0 then 'source' when contains(p_name, 'steel') then 'name' else 'ask' end as fill from part")
+def _(spark, sf):
+    return T(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "source").when(F.col("p_name").contains("steel"), "name").otherwise("ask").alias("fill"))
+
+
+@query("derive_fields", f"with {SUBMITTED_SQL} select id, case when segment = 'BUILDING' then 'có' else 'không' end as builds from s")
+def _(spark, sf):
+    return S.derive_fields(submissions(spark, sf), FIELDS).select("id", S.value("builds").alias("builds"))
+
+
+@query("apply_dependencies", f"with {SUBMITTED_SQL}, p as (select id, case when segment <> 'BUILDING' then '{S.SKIPPED}' else permit end as permit from s) select id, permit, case when permit = '{S.SKIPPED}' or permit <> '7' then '{S.SKIPPED}' end as inspector from p")
+def _(spark, sf):
+    rows = S.apply_dependencies(submissions(spark, sf), FIELDS)
+    return rows.select("id", F.try_element_at("answers", F.lit("permit")).alias("permit"), F.try_element_at("answers", F.lit("inspector")).alias("inspector"))
+
+
+@query("settle_one_of", f"with {SUBMITTED_SQL} select id, case when phone is not null then phone when email is not null then '{S.SKIPPED}' end as phone, case when email is not null then email when phone is not null then '{S.SKIPPED}' end as email from s")
+def _(spark, sf):
+    rows = S.settle_one_of(submissions(spark, sf), FIELDS)
+    return rows.select("id", *(F.try_element_at("answers", F.lit(k)).alias(k) for k in ("phone", "email")))
+
+
+@query("calc_fields", f"with {SUBMITTED_SQL} select id, case when nation is not null and permit = '7' then round((cast(nation as double) * 2 + 1) / 7, 4) end as score from s")
+def _(spark, sf):
+    return S.calc_fields(submissions(spark, sf), FIELDS).select("id", S.value("score").cast("double").alias("score"))
+
+
+@query("missing_fields", f"""with {SUBMITTED_SQL} select id, 'balance' as field, 3 as place from s union all select id, 'nation', 4 from s where nation is null union all select id, 'permit', 5 from s where permit is null
+union all select id, 'inspector', 6 from s where permit is not null union all select id, 'phone', 7 from s where phone is null and email is null""")
+def _(spark, sf):
+    return S.missing_fields(submissions(spark, sf), FIELDS)
+
+
+@query("required_missing", f"with {SUBMITTED_SQL} select id, list_filter(['balance', case when nation is null then 'nation' end, 'builds', case when permit is null then 'permit' end, 'inspector', case when phone is null then 'phone' end, case when email is null then 'email' end, 'score'], lambda x: x is not null) as missing from s")
+def _(spark, sf):
+    return S.required_missing(submissions(spark, sf), FIELDS)
+
+
+@query("render_values", f"with {SUBMITTED_SQL} select id, coalesce(segment, '') as segment, case when segment = 'BUILDING' then 'X' else '' end as builds, coalesce(array_to_string(string_split(nation, ''), ' '), '') as nation from s")
+def _(spark, sf):
+    rows = S.render_values(S.derive_fields(submissions(spark, sf), FIELDS), FIELDS)
+    return rows.select("id", "segment", "builds", "nation")
+
+
+@query("co_owner_rows", "select o_custkey as id, cast(o_orderkey % 9 + 1 as int) as owner, max(o_orderstatus) as name, max(cast(o_orderkey as varchar)) as share from orders group by 1, 2")
+def _(spark, sf):
+    n = (F.col("o_orderkey") % 9 + 1).cast("string")
+    one = T(spark, sf, "orders").groupBy("o_custkey", n.alias("n")).agg(F.max("o_orderstatus").alias("name"), F.max(F.col("o_orderkey").cast("string")).alias("share"))
+    answers = F.map_from_entries(F.flatten(F.collect_list(F.array(*(F.struct(F.concat(F.lit(f"{a}_"), "n").alias("k"), F.col(a).alias("v")) for a in ("name", "share"))))))
+    return S.co_owner_rows(one.groupBy(F.col("o_custkey").alias("id")).agg(answers.alias("answers")), ["name", "share"])
+
+
+@query("extract_declared", "select c_custkey, '0' || lpad(cast(c_custkey as varchar), 9, '1') as phone, 'u' || c_custkey || '@mail.vn' as email from customer")
+def _(spark, sf):
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("sđt 0"), F.lpad(k, 9, "1"), F.lit(" email u"), k, F.lit("@mail.vn"))
+    found = T(spark, sf, "customer").select("c_custkey", S.extract_declared(text).alias("d"))
+    return found.select("c_custkey", F.col("d")["phone"].alias("phone"), F.col("d")["email"].alias("email"))
+
+
+
+@query("submission_history", "select o_custkey, o_orderpriority, count(*) as n, cast(max(o_orderdate) as date) as last from orders group by 1, 2")
+def _(spark, sf):
+    return T(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.max("o_orderdate").cast("date").alias("last"))
+
+
+@query("fallback_log", "with q as (select event_id, event_type, ts, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as question_id from events) select event_id, question_id, strftime(ts, '%H:%M') as \"at\" from q where event_type = 'error' order by ts desc, event_id desc limit 5")
+def _(spark, sf):
+    from ..operators.relational import asof_question
+    from .relational import events
+
+    rows = asof_question(events(spark, sf), "user_id", ["ts", "event_id"], F.col("event_type") == "view", F.col("event_id"), "question_id")
+    return rows.where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(5).select("event_id", "question_id", F.date_format("ts", "HH:mm").alias("at"))
+
+
+@query("overview", "select (select count(*) from documents) as n_docs, (select count(*) from conversations where role = 'user') as n_questions, (select count(*) from labels where quality = 1) as up, (select count(*) from labels where quality = 0) as down")
+def _(spark, sf):
+    docs = T(spark, sf, "documents").agg(F.count("*").alias("n_docs"))
+    asked = T(spark, sf, "conversations").agg(F.count_if(F.col("role") == "user").alias("n_questions"))
+    rated = T(spark, sf, "labels").agg(F.count_if(F.col("quality") == 1).alias("up"), F.count_if(F.col("quality") == 0).alias("down"))
+    return docs.crossJoin(asked).crossJoin(rated)
+
+
+@query("manual_review", "select doc_id, case when quality = 1 then 'approved' when quality = 0 then 'rejected' else 'review' end as verdict from documents left join labels using (doc_id)")
+def _(spark, sf):
+    from ..operators.validity import patch_status
+
+    results = T(spark, sf, "documents").select("doc_id", F.lit("review").alias("status"))
+    reviews = T(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "rejected").alias("status"))
+    return patch_status(results, reviews, "doc_id").select("doc_id", F.col("status").alias("verdict"))

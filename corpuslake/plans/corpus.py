@@ -1 +1,354 @@
-"""Queries."""
+"""Queries over text functions, structure, metadata and validity. Structured documents are orders: an article per line item."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions import text as X
+from ..operators import metadata as M
+from ..operators import structure as C
+from ..operators import validity as V
+from ..sources.tables import read_table as T
+from .registry import query
+
+LINE_SQL = "'Điều ' || l_linenumber || '. ' || p_name || chr(10) || '1. ' || p_brand || ' ' || p_type || chr(10) || '2. qty ' || cast(l_quantity as int) || chr(10) || '3. more of ' || p_name || ', ' || p_type || ' and ' || p_brand"
+DOCS_SQL = f"sdocs as (select l_orderkey as doc_id, string_agg({LINE_SQL}, chr(10) order by l_linenumber, l_partkey, l_suppkey, l_quantity) as text, case when l_orderkey % 5 = 0 then 'Luật ' else 'doc ' end || (l_orderkey % 1000) as name from lineitem join part on l_partkey = p_partkey group by l_orderkey)"
+BLOCKS_SQL = "blocks as (select doc_id, name, b.position, trim(b.part, ' ' || chr(10)) as block from (select doc_id, name, unnest(list_transform(list_zip(p, range(len(p))), lambda z: struct_pack(part := z[1], position := z[2]))) as b from (select doc_id, name, string_split(regexp_replace(text, '(?m)^(Điều \\d+)', chr(1) || '\\1', 'g'), chr(1)) as p from sdocs)) where length(trim(b.part, ' ' || chr(10))) >= 60)"
+
+
+def line_items(spark, sf):
+    line = F.concat(F.lit("Điều "), F.col("l_linenumber").cast("string"), F.lit(". "), "p_name", F.lit("\n1. "), "p_brand", F.lit(" "), "p_type", F.lit("\n2. qty "), F.col("l_quantity").cast("int").cast("string"), F.lit("\n3. more of "), "p_name", F.lit(", "), "p_type", F.lit(" and "), "p_brand")
+    return T(spark, sf, "lineitem").join(T(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("line", line)
+
+
+def structured(spark, sf):
+    parts = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "line")))
+    docs = line_items(spark, sf).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+    return docs.withColumn("name", F.concat(F.when(F.col("doc_id") % 5 == 0, "Luật ").otherwise("doc "), (F.col("doc_id") % 1000).cast("string")))
+
+
+def documents(spark, sf):
+    return T(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+
+
+def column_query(name, sql, build, table="documents", key="doc_id"):
+    """A query that applies a column function to the texts of a table."""
+
+    @query(name, f"select {key}, {sql} from {table}")
+    def _(spark, sf):
+        out = T(spark, sf, table).select(key, build(F.col("text")))
+        return out.select(key, "s.*") if "s" in out.columns else out
+
+
+column_query("fix_artifacts", "replace(replace(replace(replace(replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬀ', 'ff'), 'ﬂ', 'fl'), '–', '-'), '—', '-'), chr(160), ' '), chr(8203), ''), chr(65279), ''), '…', '...') as text", lambda t: X.fix_artifacts(t).alias("text"))
+column_query("drop_garbage", "regexp_replace(text || ' 中文 x', '[^\\x{0000}-\\x{007F}\\x{00C0}-\\x{024F}\\x{0300}-\\x{036F}\\x{1E00}-\\x{1EFF}\\s]', ' ', 'g') as text", lambda t: X.drop_foreign(F.concat(t, F.lit(" 中文 x"))).alias("text"))
+column_query("squeeze_ws", "regexp_replace(replace(text, chr(9), ' '), ' {2,}', ' ', 'g') as text", lambda t: X.squeeze_ws(t).alias("text"))
+column_query("drop_page_numbers", "array_to_string(list_filter(string_split(text || chr(10) || '12' || chr(10) || '- 3 -' || chr(10) || 'Trang 1/2', chr(10)), lambda x: not regexp_full_match(trim(x), '(?i)(-\\s*\\d+\\s*-|Trang\\s+\\d+\\s*/\\s*\\d+|\\d+)')), chr(10)) as text", lambda t: X.drop_page_numbers(F.concat(t, F.lit("\n12\n- 3 -\nTrang 1/2"))).alias("text"))
+column_query("drop_repeat_headers", "'Số: 12' || chr(10) || text as text", lambda t: X.drop_repeat_headers(F.concat(F.lit("Số: 12\n"), t, F.lit("\nSố: 12"))).alias("text"))
+column_query("normalize_legal", "regexp_replace('Điều' || item_id || ' ' || text, '(Điều|Khoản|Điểm|Mục|Chương)(\\d+)', '\\1 \\2', 'g') as text", lambda t: X.normalize_legal(F.concat(F.lit("Điều"), F.col("item_id").cast("string"), F.lit(" "), t)).alias("text"), "benchmark", "item_id")
+column_query("apply_corrections", "replace(replace(text, 'the ', 'THE '), 'THE and', 'x') as text", lambda t: X.apply_corrections(t, [("the ", "THE "), ("THE and", "x")]).alias("text"))
+column_query("clean_page", "trim(regexp_replace(regexp_replace(translate(text, '“”‘’–—', '\"\"''''--'), '([A-Za-zÀ-ỹ])-\\n([A-Za-zÀ-ỹ])', '\\1\\2', 'g'), '[ \\t]{2,}', ' ', 'g')) as text", lambda t: X.clean_page(t).alias("text"))
+column_query("ocr_post", "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(text, ' ,', ','), ' .', '.'), ' ;', ';'), ' :', ':'), ' {2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) as text", lambda t: X.ocr_post(t).alias("text"))
+column_query("nfc", "nfc_normalize(text) as text", lambda t: X.nfc(t).alias("text"))
+column_query("strip_accents", "trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '\\s+', ' ', 'g')) as text", lambda t: X.strip_accents(t).alias("text"))
+column_query("norm_label", "trim(regexp_replace(lower(replace(text, '.', ' ')), '\\s+', ' ', 'g')) as label", lambda t: X.norm_label(t).alias("label"))
+column_query("norm_question_key", "sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) || '|' || lang) as key", lambda t: X.norm_question_key(t, F.col("lang")).alias("key"))
+column_query("tokens", "cast(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}')) as int) as n, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}'))[1] is not null as some", lambda t: F.struct(F.size(X.tokens(t, [])).alias("n"), (F.size(X.tokens(t, [])) > 0).alias("some")).alias("s"))
+column_query("eval_tokens", "cast(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'))) as int) as n", lambda t: F.size(X.eval_tokens(t)).alias("n"))
+column_query("token_estimate", "cast(greatest(1, floor(length(text) / 1.5)) as int) as n", lambda t: X.token_estimate(t).alias("n"))
+column_query("title_from_text", "case when length(text) > 50 then substring(text, 1, 50) || '...' else text end as title", lambda t: X.title_from_text(t).alias("title"))
+column_query("polish_snippet", "trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', ' ', 'g')) as text", lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), " ?\\n ?", " ")).alias("text"))
+column_query("clean_stats", "cast(length(text) as int) as before, cast(length(regexp_replace(text, '\\s+', ' ', 'g')) as int) as after, cast(length(text) - length(replace(text, chr(10), '')) + 1 as int) as lines, round_even((1 - length(regexp_replace(text, '\\s+', ' ', 'g')) / length(text)) * 100, 1) as reduction", lambda t: F.struct(F.length(t).alias("before"), F.length(F.regexp_replace(t, "\\s+", " ")).alias("after"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.bround((1 - F.length(F.regexp_replace(t, "\\s+", " ")) / F.length(t)) * 100, 1).alias("reduction")).alias("s"))
+
+
+@query("clean_text", None)
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", X.nfc("text").alias("text")).select("doc_id", X.clean_text(F.col("text")).alias("text"))
+
+
+@query("parse_doc_date", "select o_orderkey, cast(o_orderdate as date) as d from orders")
+def _(spark, sf):
+    text = F.concat(F.lit("Vĩnh Long, ngày "), F.dayofmonth("o_orderdate").cast("string"), F.lit(" tháng "), F.month("o_orderdate").cast("string"), F.lit(" năm "), F.year("o_orderdate").cast("string"))
+    return T(spark, sf, "orders").select("o_orderkey", X.parse_doc_date(text).alias("d"))
+
+
+@query("date_bucket", "select event_id, date_trunc('day', ts)::date as day, strftime(ts, '%H:%M') as minute, cast(floor((dayofyear(ts) + 6 - (dayofweek(ts) + 6) % 7) / 7) as int) as week from events")
+def _(spark, sf):
+    monday = (F.dayofweek("ts") + 5) % 7
+    return T(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).select("event_id", F.to_date("ts").alias("day"), F.date_format("ts", "HH:mm").alias("minute"), F.floor((F.dayofyear("ts") + 6 - monday) / 7).cast("int").alias("week"))
+
+
+@query("parse_number", "select o_orderkey, round(case when o_orderkey % 3 = 0 then floor(o_totalprice) when o_orderkey % 3 = 1 then o_orderkey + 0.5 else null end, 4) as value from orders")
+def _(spark, sf):
+    whole = F.replace(F.format_number(F.floor("o_totalprice"), 0), F.lit(","), F.lit("."))
+    text = F.when(F.col("o_orderkey") % 3 == 0, whole).when(F.col("o_orderkey") % 3 == 1, F.concat(F.col("o_orderkey").cast("string"), F.lit(",5"))).otherwise("12.34.5x")
+    return T(spark, sf, "orders").select("o_orderkey", F.round(X.parse_number(text).cast("double"), 4).alias("value"))
+
+
+@query("json_fields", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def _(spark, sf):
+    return T(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("math_scores", "select o_orderkey, round(1.0 / (60 + o_orderkey % 20 + 1), 6) as rrf, round(least(0.99, 0.55 * (o_totalprice / 500000)), 6) as c from orders")
+def _(spark, sf):
+    return T(spark, sf, "orders").select("o_orderkey", F.round(1.0 / (61 + F.col("o_orderkey") % 20), 6).alias("rrf"), F.round(F.least(F.lit(0.99), 0.55 * (F.col("o_totalprice") / 500000)), 6).alias("c"))
+
+
+@query("cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def _(spark, sf):
+    e = T(spark, sf, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(after, "vec_id").select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("next")), 6).alias("score"))
+
+
+@query("l2_normalize", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[])))), 4) as total from embeddings")
+def _(spark, sf):
+    return T(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(X.l2_normalize(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("markdown_table", "select p_brand, '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_name || ' | ' || p_size || ' |', chr(10) order by p_partkey) as markdown from part group by 1")
+def _(spark, sf):
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))), lambda x: F.array(x["p_name"], x["p_size"].cast("string")))
+    return T(spark, sf, "part").groupBy("p_brand").agg(X.markdown_table(F.array(F.lit("name"), F.lit("size")), rows).alias("markdown"))
+
+
+@query("parse_markdown_row", "select p_partkey, [p_name, p_brand, cast(p_size as varchar)] as cells from part")
+def _(spark, sf):
+    row = F.concat(F.lit("| "), "p_name", F.lit(" |"), "p_brand", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
+    return T(spark, sf, "part").select("p_partkey", X.parse_markdown_row(row).alias("cells"))
+
+
+@query("argmax_keywords", "select doc_id, case when n1 = 0 and n2 = 0 then 'none' when n1 >= n2 then 'a' else 'b' end as class from (select doc_id, contains(lower(text), ' the ')::int + contains(lower(text), ' and ')::int as n1, contains(lower(text), ' le ')::int + contains(lower(text), ' de ')::int + contains(lower(text), 'der ')::int as n2 from documents)")
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", X.argmax_keywords(F.col("text"), {"a": [" the ", " and "], "b": [" le ", " de ", "der "]}, "none").alias("class"))
+
+
+@query("detect_doc_type", f"with {DOCS_SQL} select doc_id, case when contains(name, '1467') then 'quy_trinh_noi_bo' else 'luat_nghi_dinh' end as type from sdocs")
+def _(spark, sf):
+    return structured(spark, sf).select("doc_id", C.detect_doc_type(F.col("text"), F.col("name")).alias("type"))
+
+
+@query("split_articles", f"with {DOCS_SQL}, {BLOCKS_SQL} select doc_id, regexp_extract(block, 'Điều \\d+') as article, block from blocks")
+def _(spark, sf):
+    return C.split_articles(structured(spark, sf), "text").select("doc_id", "article", "block")
+
+
+@query("split_sections", f"with {DOCS_SQL}, parts as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '(?m)^Điều (\\d+)\\. ', '(\\1) ', 'g'), '(?m)^(\\(\\d+\\) )', chr(1) || '\\1', 'g'), chr(1))) as b from sdocs) select doc_id, trim(b, ' ' || chr(10)) as block from parts where length(trim(b, ' ' || chr(10))) >= 60")
+def _(spark, sf):
+    docs = structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "($1) "))
+    return C.split_blocks(docs, "text", "(?m)^\\(\\d{1,2}\\) ").select("doc_id", "block")
+
+
+@query("split_steps", f"with {DOCS_SQL}, parts as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '(?m)^Điều (\\d+)\\. ', 'Bước \\1: ', 'g'), '(?m)^(Bước \\d+:)', chr(1) || '\\1', 'g'), chr(1))) as b from sdocs) select doc_id, trim(b, ' ' || chr(10)) as block from parts where length(trim(b, ' ' || chr(10))) >= 60")
+def _(spark, sf):
+    docs = structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "Bước $1: "))
+    return C.split_blocks(docs, "text", "(?m)^Bước \\d+:").select("doc_id", "block")
+
+
+@query("header_spans", f"with {DOCS_SQL}, p as (select doc_id, string_split(regexp_replace(text, '(?m)^(Điều \\d+)', chr(1) || '\\1', 'g'), chr(1)) as p from sdocs), u as (select doc_id, unnest(range(2, len(p) + 1)) as i, p from p) select doc_id, cast(list_sum(list_transform(p[:i - 1], lambda x: length(x))) + 1 as bigint) as \"start\", cast(list_sum(list_transform(p[:i], lambda x: length(x))) + 1 as bigint) as \"end\" from u")
+def _(spark, sf):
+    return C.header_spans(structured(spark, sf), "doc_id", "text", "(?m)^Điều \\d+").select("doc_id", "start", "end")
+
+
+@query("fixed_windows", "select doc_id, cast(s as int) as \"start\", substring(text, cast(s as int) + 1, 900) as piece from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)")
+def _(spark, sf):
+    return C.fixed_windows(documents(spark, sf), "text").select("doc_id", "start", "piece")
+
+
+@query("pack_paragraphs", None)
+def _(spark, sf):
+    return C.pack_paragraphs(documents(spark, sf).select("doc_id", "text"), "text").select("doc_id", "piece_index", "piece")
+
+
+@query("pack_by_marker", None)
+def _(spark, sf):
+    docs = structured(spark, sf).withColumn("parts", F.split("text", "(?m)(?=^Điều \\d+)"))
+    return docs.select("doc_id", F.posexplode(C.pack_parts(F.filter("parts", lambda x: x != ""), 200, "")).alias("position", "piece"))
+
+
+@query("context_prefix", f"with {DOCS_SQL}, {BLOCKS_SQL} select doc_id, '[Văn bản: ' || name || ']' || chr(10) || '[' || regexp_extract(block, 'Điều \\d+') || ']' || chr(10) || block as chunk from blocks")
+def _(spark, sf):
+    return C.split_articles(structured(spark, sf), "text").select("doc_id", C.with_prefix(F.col("block"), F.col("name"), F.col("article")).alias("chunk"))
+
+
+@query("chunk_documents", f"with {DOCS_SQL}, {BLOCKS_SQL} select doc_id, cast(row_number() over (partition by doc_id order by position) - 1 as int) as chunk_index, '[Văn bản: ' || name || ']' || chr(10) || '[' || regexp_extract(block, 'Điều \\d+') || ']' || chr(10) || block as chunk from blocks")
+def _(spark, sf):
+    return C.chunk_documents(structured(spark, sf), "doc_id", "text", "name").select("doc_id", "chunk_index", "chunk")
+
+
+@query("chunk_stats", "select doc_id, count(*) as n, cast(floor(sum(greatest(1, floor(length(p) / 1.5))) / greatest(count(*), 1)) as bigint) as mean_tokens from (select doc_id, substring(text, cast(s as int) + 1, 900) as p from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) group by 1")
+def _(spark, sf):
+    pieces = C.fixed_windows(documents(spark, sf), "text")
+    return pieces.groupBy("doc_id").agg(F.count("*").alias("n"), F.floor(F.sum(X.token_estimate(F.col("piece"))) / F.greatest(F.count("*"), F.lit(1))).alias("mean_tokens"))
+
+
+@query("table_type", "select doc_id, case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then '{n}'" for n, ws in rules.TABLE_TYPES.items()) + " else 'general' end as type from documents")
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", C.classify_tables(F.col("text")).alias("type"))
+
+
+@query("table_chunks", "with r as (select l_suppkey, l_partkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as i, l_quantity from lineitem) select l_suppkey, cast(i // 20 as int) as part, count(*) as n_rows, '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || cast(l_quantity as int) || ' |', chr(10) order by i) as markdown from r group by 1, 2")
+def _(spark, sf):
+    cells = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    return C.chunk_tables(T(spark, sf, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], ["part", "qty"], cells)
+
+
+@query("mixed_segments", "with s as (select l_orderkey, l_partkey, l_returnflag = 'R' as t, sum((l_returnflag = 'R')::int) over w as island, row_number() over w as i from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)) select l_orderkey, cast(island as bigint) as island, string_agg(cast(l_partkey as varchar), chr(10) order by i) as block, count(*) as n from s where not t group by 1, 2")
+def _(spark, sf):
+    return C.mixed_segments(T(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_returnflag") == "R", F.col("l_partkey").cast("string"))
+
+
+@query("detect_articles", f"with {DOCS_SQL} select doc_id, cast(len(list_distinct(regexp_extract_all(text, 'Điều \\d+'))) as int) as n from sdocs")
+def _(spark, sf):
+    return structured(spark, sf).select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("Điều \\d+"), F.lit(0)))).alias("n"))
+
+
+@query("classify_lines", f"with {DOCS_SQL} select doc_id, case when starts_with(t, 'Điều') then 'heading' else 'subheading' end as kind, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as t from sdocs) group by all")
+def _(spark, sf):
+    return C.classify_lines(structured(spark, sf), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("term_highlight", "select doc_id, t as term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), 'license|apache|password|token|the and')) as t from documents) group by all")
+def _(spark, sf):
+    terms = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("license|apache|password|token|the and"), F.lit(0)))
+    return documents(spark, sf).select("doc_id", terms.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@query("form_blanks", None)
+def _(spark, sf):
+    forms = T(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Tên: ____ "), "c_name", F.lit(" số ......\n☐ "), "c_mktsegment").alias("text"))
+    return C.find_blanks(forms, "c_custkey", "text")
+
+
+@query("extract_refs", f"with {DOCS_SQL}, {BLOCKS_SQL} select doc_id, position - 1 as position, regexp_extract(block, 'Điều \\d+') as article from blocks")
+def _(spark, sf):
+    blocks = C.split_articles(structured(spark, sf), "text")
+    return blocks.select("doc_id", F.col("position").cast("long").alias("position"), M.extract_refs(F.col("block"))["article"].alias("article"))
+
+
+def keyword_sql(classes, default):
+    scores = ", ".join("struct_pack(n := " + " + ".join(f"contains(lower(text), '{w}')::int" for w in ws) + f", i := {-i}, name := '{n}')" for i, (n, ws) in enumerate(classes.items()))
+    return f"case when list_sort([{scores}])[-1].n > 0 then list_sort([{scores}])[-1].name else '{default}' end"
+
+
+@query("classify_field_type", f"select doc_id, {keyword_sql(rules.FIELD_TYPES, 'general')} as field_type from documents")
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", X.argmax_keywords(F.col("text"), rules.FIELD_TYPES, "general").alias("field_type"))
+
+
+@query("classify_procedure", f"select doc_id, {keyword_sql(rules.PROCEDURES, '')} as procedure from documents")
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", X.argmax_keywords(F.col("text"), rules.PROCEDURES, "").alias("procedure"))
+
+
+@query("guess_procedure", "select n_nationkey, case n_nationkey % 4 when 0 then 'chuyen_nhuong' when 1 then 'tang_cho' when 2 then 'thua_ke' else 'all' end as procedure from nation")
+def _(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, ["Chuyển nhượng đất", "Tặng cho", "thừa kế", "khác"])), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return T(spark, sf, "nation").select("n_nationkey", M.guess_procedure(name).alias("procedure"))
+
+
+NAMES = ["{}_2026_NĐ-CP.pdf", "{}-NQ-HĐND.pdf", "{}/2024/TT-BTC.docx", "scan {}.pdf"]
+
+
+def names(spark, sf):
+    n = F.col("o_orderkey").cast("string")
+    name = F.element_at(F.array(*(F.concat(F.lit(x.split("{}")[0]), n, F.lit(x.split("{}")[1])) for x in NAMES)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = F.when(F.col("o_orderkey") % 8 == 3, F.concat(F.lit("Số: "), n, F.lit("/QĐ-UBND ngày"))).otherwise(F.col("o_orderpriority"))
+    return T(spark, sf, "orders").select("o_orderkey", name.alias("name"), text.alias("text"))
+
+
+@query("doc_kind", "select o_orderkey, case o_orderkey % 4 when 0 then 'nghi_dinh' when 1 then 'nghi_quyet' when 2 then 'thong_tu' else 'quyet_dinh' end as kind, case o_orderkey % 4 when 3 then 'quyet_dinh' else 'luat' end as \"group\" from orders")
+def _(spark, sf):
+    return names(spark, sf).select("o_orderkey", M.doc_kind(F.col("name"), F.col("text")).alias("k")).select("o_orderkey", "k.kind", "k.group")
+
+
+@query("doc_number", "select o_orderkey, case when o_orderkey >= 100000 then null else case o_orderkey % 4 when 0 then o_orderkey || '/2026/NĐ-CP' when 1 then o_orderkey || '/NQ-HĐND' when 2 then o_orderkey || '/2024/TT-BTC' else case when o_orderkey % 8 = 3 then o_orderkey || '/QĐ-UBND' else '' end end end as number from orders")
+def _(spark, sf):
+    return names(spark, sf).select("o_orderkey", F.when(F.col("o_orderkey") < 100000, M.doc_number(F.col("name"), F.col("text"))).alias("number"))
+
+
+@query("doc_action", "select o_orderkey, case o_orderstatus when 'F' then 'replace' when 'O' then 'amend' else 'partial_repeal' end as action from orders")
+def _(spark, sf):
+    text = F.when(F.col("o_orderstatus") == "F", "Thay thế toàn bộ quyết định cũ").when(F.col("o_orderstatus") == "O", "Sửa đổi một số điều").otherwise("bãi bỏ điều 3 và sửa đổi khoản 2")
+    return T(spark, sf, "orders").select("o_orderkey", M.doc_action(text).alias("action"))
+
+
+@query("doc_source_name", "select o_orderkey, trim(case o_orderkey % 4 when 0 then 'Nghị định' when 1 then 'Nghị quyết' when 2 then 'Thông tư' else 'Quyết định' end || ' ' || o_orderkey) as name from orders")
+def _(spark, sf):
+    return names(spark, sf).select("o_orderkey", M.doc_source_name(M.doc_kind(F.col("name"), F.col("text"))["kind"], F.col("o_orderkey").cast("string")).alias("name"))
+
+
+@query("extract_changes", None)
+def _(spark, sf):
+    text = F.concat(F.lit("Sửa đổi, bổ sung khoản "), F.col("l_linenumber").cast("string"), F.lit(" Điều "), (F.col("l_partkey") % 20 + 1).cast("string"), F.lit("; bãi bỏ điểm a khoản 2 Điều "), (F.col("l_suppkey") % 9 + 1).cast("string"))
+    return C.extract_changes(T(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(text)), ". ").alias("text")), "doc_id", "text")
+
+
+CHUNKS_SQL = "c as (select distinct l_orderkey, l_linenumber, l_orderkey || '#' || l_linenumber as chunk_id from lineitem)"
+
+
+def chunks(spark, sf):
+    rows = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return rows.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").cast("string").alias("article"), F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.lit("active").alias("status"))
+
+
+@query("apply_document_action", f"with {CHUNKS_SQL} select chunk_id, case when o_orderstatus = 'F' or (o_orderstatus = 'P' and l_linenumber = o_orderkey % 4 + 1) then 'repealed' else 'active' end as status from c join orders on l_orderkey = o_orderkey union all select chunk_id, 'active' from c where l_orderkey not in (select o_orderkey from orders)")
+def _(spark, sf):
+    action = F.when(F.col("o_orderstatus") == "F", "replace").when(F.col("o_orderstatus") == "P", "partial_repeal").otherwise("amend")
+    actions = T(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), action.alias("action"), (F.col("o_orderkey") % 4 + 1).cast("string").alias("article"))
+    return V.apply_document_action(actions, chunks(spark, sf)).select("chunk_id", "status")
+
+
+CHANGES_SQL = f"{CHUNKS_SQL}, ch as (select l_orderkey || '#' || l_linenumber as chunk_id, l_partkey * 1000 + l_suppkey as position, case l_suppkey % 5 when 0 then 'repeal' when 1 then 'replace' when 2 then 'amend' when 3 then 'add' else 'other' end as action from lineitem where l_returnflag = 'R')"
+
+
+def changes(spark, sf):
+    action = F.element_at(F.array(*map(F.lit, ["repeal", "replace", "amend", "add", "other"])), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    return T(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("position"), action.alias("action"))
+
+
+@query("confirm_changes", f"with {CHANGES_SQL}, last as (select chunk_id, arg_max(action, position) as a from ch where action <> 'add' group by 1) select chunk_id, coalesce(case a when 'repeal' then 'repealed' when 'replace' then 'superseded' when 'amend' then 'amended' when 'other' then 'active' end, 'active') as status from c left join last using (chunk_id)")
+def _(spark, sf):
+    return V.confirm_changes(changes(spark, sf), chunks(spark, sf))[0].select("chunk_id", "status")
+
+
+@query("map_changes", f"with {CHANGES_SQL} select action, count(*) as detected, count(distinct chunk_id) as targets from ch group by 1")
+def _(spark, sf):
+    return changes(spark, sf).join(chunks(spark, sf), "chunk_id").groupBy("action").agg(F.count("*").alias("detected"), F.countDistinct("chunk_id").alias("targets"))
+
+
+@query("patch_status", f"with {CHUNKS_SQL} select chunk_id, case when l_linenumber = 2 then 'repealed' else 'active' end as status from c")
+def _(spark, sf):
+    patch = chunks(spark, sf).where("article = '2'").select("chunk_id", F.lit("repealed").alias("status"))
+    return V.patch_status(chunks(spark, sf), patch, "chunk_id").select("chunk_id", "status")
+
+
+@query("sync_index", "select vec_id, case when quality = 0 then 'repealed' else 'active' end as status from embeddings left join labels on doc_id = vec_id")
+def _(spark, sf):
+    changed = T(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("vec_id"), F.lit("repealed").alias("status"))
+    return V.patch_status(T(spark, sf, "embeddings").select("vec_id", F.lit("active").alias("status")), changed, "vec_id")
+
+
+@query("reindex", f"with {CHUNKS_SQL} select chunk_id, l_orderkey % 7 <> 0 as old from c")
+def _(spark, sf):
+    rows = chunks(spark, sf).select("document_id", "chunk_id", F.lit(True).alias("old"))
+    return V.reindex(rows, rows.where("document_id % 7 = 0").withColumn("old", F.lit(False)), "document_id").select("chunk_id", "old")
+
+
+@query("effective_as_of", "with e as (select l_orderkey, arg_max(l_returnflag, strftime(l_shipdate, '%Y%m%d') || lpad(cast(l_partkey * 1000 + l_suppkey as varchar), 12, '0') || l_returnflag) as s from lineitem where l_shipdate <= date '1996-06-30' group by 1) select o_orderkey as l_orderkey, coalesce(s, 'active') as status from orders left join e on l_orderkey = o_orderkey")
+def _(spark, sf):
+    effects = T(spark, sf, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("effective_from"), F.struct(F.col("l_partkey") * 1000 + F.col("l_suppkey"), F.col("l_returnflag")).alias("position"), F.col("l_returnflag").alias("status"))
+    return V.effective_as_of(T(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), effects, "1996-06-30", "l_orderkey")
+
+
+@query("ingest_manifest", "select doc_id, case when sum((length(trim(p)) >= 60)::int) > 0 then 'indexed' else 'error' end as status, cast(sum((length(trim(p)) >= 60)::int) as bigint) as n_chunks from (select doc_id, substring(text, cast(s as int) + 1, 900) as p, length(trim(text)) as n from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) group by doc_id")
+def _(spark, sf):
+    docs = documents(spark, sf)
+    made = C.chunk_documents(docs.withColumn("name", F.lit("file")), "doc_id", "text", "name").groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.when(n > 0, "indexed").otherwise("error").alias("status"), n.alias("n_chunks"))
+
+

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None) -> Callable:
 
 
 def load() -> None:
-    from . import conversations, corpus, relational, retrieval, streams  # noqa: F401
+    from . import conversations, corpus, relational, retrieval  # noqa: F401
 
 
 load()
