@@ -130,6 +130,11 @@ def find_blanks(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.select(key, "line", "position", F.trim(F.regexp_extract("x", "^([^_.…☐□]*)", 1)).alias("label"), (F.row_number().over(Window.partitionBy(key).orderBy("line", "position"))).alias("number"))
 
 
+def total_time(text: Column) -> Column:
+    """What stands under the line on the total processing time; empty without one."""
+    return F.trim(F.regexp_extract(text, "(?iu)T[oổ]ng\\s+th[oờ]i\\s+gian\\s+gi[aả]i\\s+quy[eế]t\\s+TTHC[^\\n]*\\n(.{3,80})", 1))
+
+
 def classify_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines with their kind."""
     lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).where(F.trim("t") != "")

@@ -11,7 +11,9 @@ from ..operators import metadata as M
 from ..operators import structure as C
 from ..operators import validity as V
 from ..sources.tables import read_table as T
+from ..sources import tables as S
 from .registry import query
+from .shared import scratch
 
 LINE_SQL = "'Điều ' || l_linenumber || '. ' || p_name || chr(10) || '1. ' || p_brand || ' ' || p_type || chr(10) || '2. qty ' || cast(l_quantity as int) || chr(10) || '3. more of ' || p_name || ', ' || p_type || ' and ' || p_brand"
 DOCS_SQL = f"sdocs as (select l_orderkey as doc_id, string_agg({LINE_SQL}, chr(10) order by l_linenumber, l_partkey, l_suppkey, l_quantity) as text, case when l_orderkey % 5 = 0 then 'Luật ' else 'doc ' end || (l_orderkey % 1000) as name from lineitem join part on l_partkey = p_partkey group by l_orderkey)"
@@ -352,3 +354,79 @@ def _(spark, sf):
     return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.when(n > 0, "indexed").otherwise("error").alias("status"), n.alias("n_chunks"))
 
 
+@query("read_json_docs", "select count(*) as n_files, cast(sum(n) as bigint) as n_orders from (select o_custkey % 4 as part, count(*) as n from orders group by 1)")
+def _(spark, sf):
+    path = scratch(spark, "json")
+    rows = T(spark, sf, "orders").groupBy((F.col("o_custkey") % 4).alias("part")).agg(F.count("*").alias("n"))
+    rows.repartition(4, "part").select(F.to_json(F.struct("part", "n")).alias("value"), "part").write.partitionBy("part").text(path)
+    docs = S.read_json_docs(spark, f"{path}/*/*.txt")
+    return docs.select(F.from_json("text", "n bigint")["n"].alias("n")).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_orders"))
+
+
+@query("read_xml_docs", "select n_name || chr(10) || n_regionkey as text from nation")
+def _(spark, sf):
+    path = scratch(spark, "xml")
+    xml = F.concat(F.lit("<nation><name> "), "n_name", F.lit("</name><region>"), F.col("n_regionkey").cast("string"), F.lit("</region></nation>"))
+    T(spark, sf, "nation").select("n_nationkey", xml.alias("value")).write.partitionBy("n_nationkey").text(path)
+    return S.read_xml_docs(spark, f"{path}/*/*.txt").select("text")
+
+
+@query("chunk_sink", "select label as procedure_type, count(*) as n from embeddings join documents on doc_id = vec_id group by 1")
+def _(spark, sf):
+    path = scratch(spark, "index")
+    vectors = T(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("procedure_type"))
+    held = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text").join(vectors.select("chunk_id"), "chunk_id", "left_semi")
+    S.write_index(held, vectors.join(held.select("chunk_id"), "chunk_id", "left_semi"), path)
+    return spark.read.parquet(path).groupBy("procedure_type").agg(F.count("*").alias("n"))
+
+
+PROCEDURES_SQL = f"{DOCS_SQL}, procs as (select doc_id, regexp_replace(text, '(?m)^Điều (\\d+)\\. (\\w+) (\\w+)', '\\1. Thủ tục cấp đổi \\2 \\3', 'g') as text from sdocs)"
+
+
+def procedures(spark, sf):
+    return structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. (\\w+) (\\w+)", "$1. Thủ tục cấp đổi $2 $3"))
+
+
+@query("split_procedures", f"with {PROCEDURES_SQL}, p as (select doc_id, unnest(string_split(regexp_replace(text, '(?m)^(\\d+\\. Thủ tục )', chr(1) || '\\1', 'g'), chr(1))) as b from procs) select doc_id, regexp_extract(b, '^\\d+\\. ([^\\n]*)', 1) as name, trim(b, ' ' || chr(10)) as block from p where length(trim(b, ' ' || chr(10))) > 100")
+def _(spark, sf):
+    blocks = C.split_blocks(procedures(spark, sf), "text", "(?m)^\\d{1,2}\\. Thủ tục ", 101)
+    return blocks.select("doc_id", F.regexp_extract("block", "^\\d+\\. ([^\\n]*)", 1).alias("name"), "block")
+
+
+@query("split_subprocedures", f"with {DOCS_SQL}, subs as (select doc_id, regexp_replace(text, '(?m)^Điều (\\d+)\\. ', '8.\\1 ', 'g') as text from sdocs), p as (select doc_id, unnest(string_split(regexp_replace(text, '(?m)^(\\d+\\.\\d )', chr(1) || '\\1', 'g'), chr(1))) as b from subs) select doc_id, regexp_extract(b, '^(\\d+)\\.\\d', 1) as parent, trim(b, ' ' || chr(10)) as block from p where length(trim(b, ' ' || chr(10))) >= 60")
+def _(spark, sf):
+    docs = structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "8.$1 "))
+    blocks = C.split_blocks(docs, "text", "(?m)^\\d{1,2}\\.\\d ")
+    return blocks.select("doc_id", F.regexp_extract("block", "^(\\d+)\\.\\d", 1).alias("parent"), "block")
+
+
+@query("total_time_chunk", "select o_orderkey, cast(o_orderkey % 30 + 1 as varchar) || ' ngày' as chunk from orders where o_orderkey % 2 = 0")
+def _(spark, sf):
+    head = F.when(F.col("o_orderkey") % 2 == 0, "Tổng thời gian giải quyết TTHC: \n").otherwise("không có \n")
+    text = F.concat(head, (F.col("o_orderkey") % 30 + 1).cast("string"), F.lit(" ngày"))
+    return T(spark, sf, "orders").select("o_orderkey", C.total_time(text).alias("chunk")).where("chunk <> ''")
+
+
+@query("detect_procedure_name", f"with {PROCEDURES_SQL} select doc_id, regexp_extract(text, 'Thủ tục [^\\n]*') as name from procs")
+def _(spark, sf):
+    return procedures(spark, sf).select("doc_id", F.regexp_extract("text", "Thủ tục [^\\n]*", 0).alias("name"))
+
+
+@query("infer_parents", "select o_orderkey, c_custkey from orders join customer on contains(c_name, lpad(cast(o_custkey as varchar), 9, '0')) where o_orderstatus = 'P'")
+def _(spark, sf):
+    """A hint is a number of nine digits, so its join is on the numbers that names hold."""
+    hints = T(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("hint"))
+    catalog = T(spark, sf, "customer").select("c_custkey", F.explode(F.array_distinct(F.regexp_extract_all("c_name", F.lit("\\d{9}"), F.lit(0)))).alias("hint"))
+    return hints.join(catalog, "hint").select("o_orderkey", "c_custkey")
+
+
+@query("patch_by_source", "select doc_id, case when source in ('src1', 'src2') then 'repealed' else 'active' end as status from documents")
+def _(spark, sf):
+    patch = documents(spark, sf).where("source in ('src1', 'src2')").select("source").distinct().withColumn("status", F.lit("repealed"))
+    return V.patch_status(documents(spark, sf).select("doc_id", "source", F.lit("active").alias("status")), patch, "source").select("doc_id", "status")
+
+
+@query("patch_by_ids", "select doc_id, case when toxic = 1 then 'repealed' else 'active' end as status from documents left join labels using (doc_id)")
+def _(spark, sf):
+    patch = T(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("repealed").alias("status"))
+    return V.patch_status(documents(spark, sf).select("doc_id", F.lit("active").alias("status")), patch, "doc_id")

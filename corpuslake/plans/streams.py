@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import structure as C
 from ..sources.tables import read_table as T
 from ..streaming import streams as X
 from .registry import query
-
-
-def scratch(spark) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from .shared import scratch
 
 
 def events(spark, sf):
@@ -29,28 +18,28 @@ def events(spark, sf):
 
 @query("stream_reports", "select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2")
 def _(spark, sf):
-    out = scratch(spark)
+    out = scratch(spark, "streams")
     X.run_batches(X.daily_counts(events(spark, sf), "event_type", "60 days"), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), "complete")
     return spark.read.parquet(out + "/batch=0").select("day", "event_type", "n")
 
 
 @query("stream_cache", None)
 def _(spark, sf):
-    out = scratch(spark)
+    out = scratch(spark, "streams")
     X.run_once(X.first_answers(events(spark, sf), ["user_id", "event_type"]).select("event_id", "user_id", "event_type"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{out}/rows")
 
 
 @query("stream_sessions", None)
 def _(spark, sf):
-    out = scratch(spark)
+    out = scratch(spark, "streams")
     X.run_once(X.sessions(events(spark, sf), "user_id"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{out}/rows")
 
 
 @query("stream_question_answer", "select q.user_id, q.event_id as question_id, a.event_id as answer_id from events q join events a on q.user_id = a.user_id and q.event_type = 'view' and a.event_type = 'click' and a.ts >= q.ts and a.ts <= q.ts + interval 5 minute")
 def _(spark, sf):
-    out = scratch(spark)
+    out = scratch(spark, "streams")
     joined = X.answers_within(events(spark, sf).where("event_type = 'view'"), events(spark, sf).where("event_type = 'click'"), "user_id")
     X.run_once(joined, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("user_id long, question_id long, answer_id long").parquet(f"{out}/rows")
@@ -58,14 +47,14 @@ def _(spark, sf):
 
 @query("stream_conversation", None)
 def _(spark, sf):
-    out = scratch(spark)
+    out = scratch(spark, "streams")
     X.run_batches(X.conversation_states(events(spark, sf)), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
     return spark.read.schema("user_id long, mode string, collected long, complete boolean").option("recursiveFileLookup", "true").parquet(f"{out}/batch=0")
 
 
 @query("stream_ingest", "select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as int) as chunk_index from (select doc_id, substring(text, cast(s as int) + 1, 900) as p, s from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) where length(trim(p)) >= 60")
 def _(spark, sf):
-    out = scratch(spark)
+    out = scratch(spark, "streams")
     docs = X.read_events(spark, sf, T(spark, sf, "documents").schema, glob="documents.parquet")
     X.ingest(docs, lambda df: C.chunk_documents(df.withColumn("name", F.lit("file")), "doc_id", "text", "name"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("doc_id", "chunk_index")
