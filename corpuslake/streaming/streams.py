@@ -54,6 +54,7 @@ def answers_within(questions: DataFrame, answers: DataFrame, by: str, within: st
     return q.join(a, F.expr(f"{by} = _q and answered >= asked and answered <= asked + interval {within}")).select(by, "question_id", "answer_id")
 
 
+IDLE_MS = 1_800_000
 MODES = {"view": "rag", "signup": "form", "error": "exit"}
 
 
@@ -64,15 +65,18 @@ def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
         yield pd.DataFrame({"user_id": [key[0]], "mode": [mode], "collected": [n], "complete": [True]})
         return
+    latest = 0
     for frame in frames:
+        latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
         for event in frame.sort_values(["ts", "event_id"])["event_type"]:
             mode = MODES.get(event, mode)
             n = 0 if mode == "exit" else n + (mode == "form")
     state.update((mode, int(n)))
-    state.setTimeoutDuration(1_800_000)
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame({"user_id": [key[0]], "mode": [mode], "collected": [int(n)], "complete": [mode == "exit"]})
 
 
-def conversation_states(stream: DataFrame) -> DataFrame:
+def conversation_states(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """user_id, mode, collected, complete after each micro-batch that has messages of the user."""
-    return stream.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_turn, "user_id long, mode string, collected long, complete boolean", "mode string, collected long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.withWatermark("ts", watermark).select("user_id", "ts", "event_id", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(_turn, "user_id long, mode string, collected long, complete boolean", "mode string, collected long", "update", GroupStateTimeout.EventTimeTimeout)
