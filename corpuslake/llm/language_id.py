@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import IS_SPACE, ship
 
-HIDDEN, EMBEDDING, LONGEST = 16, 12, 24
+HIDDEN, EMBEDDING, LONGEST = 10, 8, 24
 TRAINING_DOCUMENTS, TRAINING_WORDS = 2000, 60_000
-CACHE = 1 << 18
+CACHE, TEXTS = 1 << 18, 256
 #: Bytes that are in no word: ASCII other than letters and the apostrophe.
 OUTSIDE = IS_SPACE.copy()
 OUTSIDE[[i for i in range(128) if not (65 <= i <= 90 or 97 <= i <= 122 or i == 39)]] = True
@@ -187,16 +187,19 @@ class WordLabels:
         self.sums = np.zeros((1024, len(model.langs)), np.float32)
         self.tops = np.zeros((1024, len(model.langs)), np.int32)
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """Row numbers of words in sums and tops."""
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Label the words of some texts that are not there yet, together."""
         if len(self.index) > CACHE:
             self.index.clear()
-        found = list(map(self.index.get, words))
-        if None in found:
-            new = list({w for w, i in zip(words, found, strict=True) if i is None})
+        new: set[bytes] = set()
+        for words in texts:
+            new.update(words)
+        if new := sorted(w for w in new if w not in self.index):
             self._label(new)
-            found = list(map(self.index.__getitem__, words))
-        return np.array(found, np.int64)
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Row numbers of learned words in sums and tops."""
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def _label(self, words: list[bytes]) -> None:
         at = len(self.index)
@@ -230,20 +233,21 @@ def _predicted(model, langs: list[str]) -> Callable:
         for batch in batches:
             texts, letters = batch.column(1).cast(pa.binary()), batch.column(3).to_pylist()
             preds, scores, counts = [], [], []
-            for text, letter in zip(texts, letters, strict=True):
-                words = words_of(text.as_py() or b"") if letter and langs else []
-                if not words:
-                    preds.append("und")
-                    scores.append(0.0)
-                    counts.append([0] * len(langs))
-                    continue
-                rows = labels.rows(words)
-                pooled = labels.sums[rows].sum(0, dtype=np.float64)
-                tops = labels.tops[rows].sum(0)
-                best = int(pooled.argmax())
-                preds.append(langs[best])
-                scores.append(min(1.0, float(pooled[best] / pooled.sum())))
-                counts.append(tops.tolist())
+            for at in range(0, batch.num_rows, TEXTS):
+                some = [words_of(t.as_py() or b"") if letter and langs else [] for t, letter in zip(texts[at : at + TEXTS], letters[at : at + TEXTS], strict=True)]
+                labels.learn(some)
+                for words in some:
+                    if not words:
+                        preds.append("und")
+                        scores.append(0.0)
+                        counts.append([0] * len(langs))
+                        continue
+                    rows = labels.rows(words)
+                    pooled = labels.sums[rows].sum(0, dtype=np.float64)
+                    best = int(pooled.argmax())
+                    preds.append(langs[best])
+                    scores.append(min(1.0, float(pooled[best] / pooled.sum())))
+                    counts.append(labels.tops[rows].sum(0).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "held_out", "lang_pred", "score", "positions"])
 
     return run
