@@ -74,10 +74,10 @@ def rrf_fuse(dense: DataFrame, lexical: DataFrame, question_key: str, key: str,
 
 
 def weighted_fuse(dense: DataFrame, lexical: DataFrame, question_key: str, key: str, weight: float = 0.65) -> DataFrame:
-    """weight parts of the dense score and the rest of the lexical one, each against the best of its question."""
+    """weight parts of the dense score and the rest of the lexical one, each against the best of its question (halves of the last digit go up)."""
     best = lambda df, name: df.select(question_key, key, F.when(F.max("score").over(Window.partitionBy(question_key)) > 0, F.col("score") / F.max("score").over(Window.partitionBy(question_key))).otherwise(0.0).alias(name))
     joined = best(dense, "d").join(best(lexical, "x"), [question_key, key], "full_outer")
-    return joined.select(question_key, key, F.round(weight * F.coalesce("d", F.lit(0.0)) + (1 - weight) * F.coalesce("x", F.lit(0.0)), 6).alias("score"))
+    return joined.select(question_key, key, F.round(weight * F.coalesce("d", F.lit(0.0)) + (1 - weight) * F.coalesce("x", F.lit(0.0)) + 1e-9, 6).alias("score"))
 
 
 def build_context(hits: DataFrame, question_key: str) -> DataFrame:

@@ -120,7 +120,7 @@ def _(spark, sf):
     return fused(spark, sf).select("item_id", "doc_id", "score")
 
 
-@query("weighted_fuse", f"with {BM25_SQL}, {DENSE_SQL}, d as (select *, case when max(score) over (partition by item_id) > 0 then score / max(score) over (partition by item_id) else 0 end as n from dense), l as (select *, case when max(score) over (partition by item_id) > 0 then score / max(score) over (partition by item_id) else 0 end as n from lex) select item_id, doc_id, round(0.65 * coalesce(d.n, 0) + 0.35 * coalesce(l.n, 0), 6) as score from d full join l using (item_id, doc_id)".replace("0.35", "(1 - 0.65::double)").replace("0.65 *", "0.65::double *"))
+@query("weighted_fuse", f"with {BM25_SQL}, {DENSE_SQL}, d as (select *, case when max(score) over (partition by item_id) > 0 then score / max(score) over (partition by item_id) else 0 end as n from dense), l as (select *, case when max(score) over (partition by item_id) > 0 then score / max(score) over (partition by item_id) else 0 end as n from lex) select item_id, doc_id, round(0.65 * coalesce(d.n, 0) + 0.35 * coalesce(l.n, 0) + 1e-9, 6) as score from d full join l using (item_id, doc_id)".replace("0.35", "(1 - 0.65::double)").replace("0.65 *", "0.65::double *"))
 def _(spark, sf):
     return K.weighted_fuse(dense(spark, sf), lexical(spark, sf), "item_id", "doc_id")
 
@@ -261,7 +261,7 @@ def _(spark, sf):
     return T(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.array("text", F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role"))), lambda x: x != "").alias("contexts"))
 
 
-@query("ablation", f"with {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}, d as (select *, score / max(score) over (partition by item_id) as n from dense), l as (select *, score / max(score) over (partition by item_id) as n from lex), w as (select item_id, doc_id, round(0.65::double * coalesce(d.n, 0) + (1 - 0.65::double) * coalesce(l.n, 0), 6) as score from d full join l using (item_id, doc_id)) select item_id, max(f.score) as rrf, (select max(score) from w where w.item_id = f.item_id) as weighted from fused f group by 1")
+@query("ablation", f"with {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}, d as (select *, score / max(score) over (partition by item_id) as n from dense), l as (select *, score / max(score) over (partition by item_id) as n from lex), w as (select item_id, doc_id, round(0.65::double * coalesce(d.n, 0) + (1 - 0.65::double) * coalesce(l.n, 0) + 1e-9, 6) as score from d full join l using (item_id, doc_id)) select item_id, max(f.score) as rrf, (select max(score) from w where w.item_id = f.item_id) as weighted from fused f group by 1")
 def _(spark, sf):
     runs = fused(spark, sf).select("item_id", "score").withColumn("method", F.lit("rrf")).unionByName(K.weighted_fuse(dense(spark, sf), lexical(spark, sf), "item_id", "doc_id").select("item_id", "score").withColumn("method", F.lit("weighted")))
     return runs.groupBy("item_id").pivot("method", ["rrf", "weighted"]).agg(F.max("score"))
