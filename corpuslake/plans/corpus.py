@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import metadata as M
 from ..operators import structure as C
 from ..operators import validity as V
+from ..session import ship
 from ..sources.tables import read_table as T
 from ..sources import tables as S
 from .registry import query
@@ -40,6 +41,7 @@ def column_query(name, sql, build, table="documents", key="doc_id"):
 
     @query(name, f"select {key}, {sql} from {table}")
     def _(spark, sf):
+        ship(spark)
         out = T(spark, sf, table).select(key, build(F.col("text")))
         return out.select(key, "s.*") if "s" in out.columns else out
 
@@ -67,6 +69,7 @@ column_query("clean_stats", "cast(length(text) as int) as before, cast(length(re
 
 @query("clean_text", None)
 def _(spark, sf):
+    ship(spark)
     return documents(spark, sf).select("doc_id", X.nfc("text").alias("text")).select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 

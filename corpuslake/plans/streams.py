@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import structure as C
+from ..session import ship
 from ..sources.tables import read_table as T
 from ..streaming import streams as X
 from .registry import query
@@ -47,6 +48,7 @@ def _(spark, sf):
 
 @query("stream_conversation", None)
 def _(spark, sf):
+    ship(spark)
     out = scratch(spark, "streams")
     X.run_batches(X.conversation_states(events(spark, sf)), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
     return spark.read.schema("user_id long, mode string, collected long, complete boolean").option("recursiveFileLookup", "true").parquet(f"{out}/batch=0")
