@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from ..session import shared_dir
+
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder under spark.checkpoint.dir (a temporary one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"

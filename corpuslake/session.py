@@ -24,3 +24,17 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(path)
+
+
+_folders: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one, the same for a session, only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        application = spark.sparkContext.applicationId
+        if application not in _folders:
+            _folders[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        found = _folders[application]
+    return found.rstrip("/")
