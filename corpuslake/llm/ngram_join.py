@@ -258,10 +258,10 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -
     lists = written(_lists(source.mapInArrow(_signed(n, percent, frequent), "sig long, combo boolean, key long, n int, plain boolean")), "postings")
     pairs = written(_counted_pairs(lists, percent), "pairs")
     long_ = written(_long_lists(lists), "long")
+    stars = _first_stars(lists)
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long_.select("key")).distinct().join(heads, "key")
     sets = written(source.mapInArrow(_wanted_sets(n, bloom_words(nodes, "head")), "key long, tokens array<long>"), "tokens")
-    stars = long_.where("lo <> key").select(F.col("lo").alias("a"), F.col("key").alias("b"), F.col("lo_n").alias("na"), F.col("n").alias("nb"))
     links = written(_verify(pairs.unionByName(stars), sets, percent), "links")
     found = connected_components(links)
     for turn in range(STAR_ROUNDS + 1):
@@ -312,23 +312,28 @@ def _counted_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return sure.select("a", "b", "na", "nb").unionByName(unsure.select("a", "b", "na", "nb"))
 
 
-def _long_lists(lists: DataFrame) -> DataFrame:
-    """(sig, key, n, lo, lo_n) of all other lists; those of combinations by their parts, and the smallest members of the parts in lists of their own."""
+def _first_stars(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of each set in the other lists with the smallest of its list; in those of combinations with the smallest of its part,
+    and the smallest of the parts with the smallest of all."""
     long_ = lists.where("before is null")
-    parts = long_.select("sig", "key", "n", "lo", "lo_n")
+    parts = long_.select("key", "n", "lo", "lo_n")
     tops = long_.where("combo and key = lo").select("sig", "key", "n")
-    whole = Window.partitionBy("sig")
-    first = F.min(F.struct("key", "n")).over(whole)
-    upper = tops.withColumn("f", first).withColumn("last", F.max("key").over(whole)).where("f.key <> last").select("sig", "key", "n", F.col("f.key").alias("lo"), F.col("f.n").alias("lo_n"))
-    return _distinct_lists(parts.unionByName(upper), ["sig", "lo"])
+    first = F.min(F.struct("key", "n")).over(Window.partitionBy("sig"))
+    upper = tops.withColumn("f", first).select("key", "n", F.col("f.key").alias("lo"), F.col("f.n").alias("lo_n"))
+    return parts.unionByName(upper).where("lo <> key").select(F.col("lo").alias("a"), F.col("key").alias("b"), F.col("lo_n").alias("na"), F.col("n").alias("nb"))
+
+
+def _long_lists(lists: DataFrame) -> DataFrame:
+    """(sig, key, n) of all other lists, whole: a list goes only if all its members are those of another list."""
+    return _distinct_lists(lists.where("before is null").select("sig", "key", "n"), ["sig"])
 
 
 def _distinct_lists(rows: DataFrame, by: list[str]) -> DataFrame:
     """One of the lists that have the same members: a group of copies or a passage puts the same sets into many lists. Members are told by their
-    number, extremes and sum of hashes."""
-    members = F.struct(F.count("*"), F.min("key"), F.max("key"), F.sum(F.xxhash64("key").cast("decimal(20,0)")), F.sum(F.hash("key").cast("long")))
+    number, extremes and sum of hashes. Lists of one member go."""
+    members = F.struct(F.count("*"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.xxhash64("key").cast("decimal(20,0)")), F.sum(F.hash("key").cast("long")))
     lists = rows.groupBy(*by).agg(members.alias("members"))
-    one = written(lists.groupBy("members").agg(F.min(F.struct(*by)).alias("one")).select("one.*"), "lists")
+    one = written(lists.where("members.low <> members.high").groupBy("members").agg(F.min(F.struct(*by)).alias("one")).select("one.*"), "lists")
     return rows.join(one, by, "left_semi")
 
 
@@ -361,13 +366,13 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of members of a list that are of different components and fit in size. A pair that shares many lists comes from one of them:
-    each member brings the hashes of its lists (no more than its signatures), and the smallest that both have decides."""
-    own = rows.groupBy("key").agg(F.collect_set(F.hash("sig")).alias("lists"))
+    each member brings its lists (no more than its signatures), and the smallest that both have decides."""
+    own = rows.groupBy("key").agg(F.collect_set("sig").alias("lists"))
     full = written(rows.join(own, "key"), "members")
     x = full.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("lists").alias("la"))
     y = full.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("lists").alias("lb"))
     fit = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return x.join(y, "sig").where(fit & (F.array_min(F.array_intersect("la", "lb")) == F.hash("sig"))).select("a", "b", "na", "nb")
+    return x.join(y, "sig").where(fit & (F.array_min(F.array_intersect("la", "lb")) == F.col("sig"))).select("a", "b", "na", "nb")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

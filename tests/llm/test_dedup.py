@@ -79,6 +79,32 @@ def test_ngram_join_of_variants(spark, monkeypatch):
         assert got == component
 
 
+def open_pairs(lists, found):
+    open_, _ = ngram_join._still_open(lists, found)
+    return {tuple(sorted((r.a, r.b))) for r in ngram_join._all_pairs(open_, 75).collect()}
+
+
+def test_later_rounds_see_whole_lists(spark, monkeypatch):
+    """Part {2, 4} stands in both lists, but the second list still holds its members: all its pairs are compared."""
+    monkeypatch.setattr(ngram_join, "SALTS", 2)
+    lists = {1: [2, 4, 3], 2: [2, 4, 3, 5]}
+    signed = spark.createDataFrame([(s, True, k, 10, False) for s, m in lists.items() for k in m], "sig long, combo boolean, key long, n int, plain boolean")
+    long_ = ngram_join._long_lists(ngram_join._lists(signed))
+    assert open_pairs(long_, spark.createDataFrame([], "node long, component long")) == set(itertools.combinations([2, 3, 4, 5], 2))
+
+
+def test_signatures_that_hash_alike_drop_no_pair(spark):
+    """Sets 1 and 2 share one list only, and each stands in one of two lists whose names hash to the same smaller value."""
+    from pyspark.sql import functions as F
+
+    named = spark.range(400000).select(F.xxhash64("id").alias("id"))
+    alike = named.groupBy(F.hash("id").alias("h")).agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").orderBy("h").first()
+    shared = spark.range(1000000, 1001000).where(F.hash("id") > alike.h).first().id
+    members = {shared: [1, 2], alike.ids[0]: [1, 3], alike.ids[1]: [2, 4]}
+    rows = spark.createDataFrame([(s, k, 10) for s, m in members.items() for k in m], "sig long, key long, n int")
+    assert open_pairs(rows, spark.createDataFrame([], "node long, component long")) == {(1, 2), (1, 3), (2, 4)}
+
+
 def test_signatures_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     universe = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
