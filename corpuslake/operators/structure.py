@@ -16,6 +16,21 @@ STEP = "(?i)B\\s*(?:ư|u|ướ|ươ)\\s*[oơớó]?\\s*c\\s+\\d+"
 SUB_PROCEDURE = "(?m)^\\s*\\d{1,2}\\.\\d\\s+.{10,200}"
 ARTICLE = "(?imu)^Đi[eề]u\\s+\\d+[a-zđ]?\\.?\\s+"
 CLAUSE = "(?m)^\\s*\\d+\\.\\s"
+PROCEDURE = "(?mu)^\\s*(?:[1-9]|[12]\\d|30|0[1-9])\\.\\s+\\p{L}.{15,199}$"
+STEP_HEAD = "(?iu)B\\s*(?:ư|u|ướ|ươ)\\s*[oơớó]?\\s*c\\s+\\d+"
+SECTIONS = [
+    ("trinh_tu", "(1) Trình tự thực hiện"),
+    ("cach_thuc", "(2) Cách thức thực hiện"),
+    ("thanh_phan_ho_so", "(3) Thành phần, số lượng hồ sơ"),
+    ("thoi_han", "(4) Thời hạn giải quyết"),
+    ("doi_tuong", "(5) Đối tượng thực hiện"),
+    ("co_quan", "(6) Cơ quan thực hiện"),
+    ("ket_qua", "(7) Kết quả thực hiện"),
+    ("le_phi", "(8) Lệ phí"),
+    ("mau_don", "(9) Tên mẫu đơn, mẫu tờ khai"),
+    ("dieu_kien", "(10) Yêu cầu, điều kiện"),
+    ("can_cu_phap_ly", "(11) Căn cứ pháp lý"),
+]
 LEAST_CHARS, CHUNK_TOKENS, TABLE_TOKENS, TABLE_ROWS = 60, 600, 700, 20
 
 
@@ -42,16 +57,87 @@ def split_blocks(df: DataFrame, text: str, header: str, least: int = LEAST_CHARS
 
 
 def split_articles(df: DataFrame, text: str, least: int = LEAST_CHARS) -> DataFrame:
-    """Articles with their label; those of over twice CHUNK_TOKENS in clauses, whose number is the clause's label."""
+    """Articles with their label; those of over twice CHUNK_TOKENS in clauses, whose number is the clause's label. Of those, one without clauses is
+    cut into windows, and one with short clauses only stays whole."""
     articles = split_blocks(df, text, ARTICLE, least).withColumn("article", F.regexp_extract("block", "(?iu)Đi[eề]u\\s+\\d+", 0))
     long_ = token_estimate(F.col("block")) > 2 * CHUNK_TOKENS
     whole = articles.where(~long_).withColumn("clause_position", F.lit(0))
-    clauses = articles.where(long_).withColumnRenamed("position", "article_position").withColumnRenamed("block", "article_text")
-    cut = split_blocks(clauses, "article_text", CLAUSE, least).withColumnRenamed("position", "clause_position").withColumnRenamed("article_position", "position").drop("article_text")
+    clauses = articles.where(long_).withColumnRenamed("block", "article_text")
+    headed = F.filter(stretches(F.col("article_text"), CLAUSE), lambda x: F.length(x) >= least)
+    windows = F.filter(F.transform(windows_of(F.col("article_text")), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    parts = F.when(F.size(headed) > 0, headed).when(F.col("article_text").rlike(CLAUSE), F.array("article_text")).otherwise(windows)
+    cut = clauses.select("*", F.posexplode(parts).alias("clause_position", "block")).drop("article_text")
     label = F.regexp_extract("block", "(?iu)^\\s*(\\d+[a-zđ]?)\\.\\s", 1)
     return whole.unionByName(cut).withColumn("clause", F.when(label != "", F.concat(F.lit("Khoản "), label)).otherwise(""))
 
 
+def stretches(text: Column, header: str) -> Column:
+    """The stretches from one header to the next, trimmed; without the text before the first."""
+    flags, rest = header.split(")", 1)
+    parts = F.split(text, f"{flags})(?={rest})")
+    return F.transform(F.filter(parts, lambda x: x.rlike(f"{flags})\\A(?:{rest.lstrip('^')})")), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+
+
+def windows_of(text: Column, size: int = 900, overlap: int = 120) -> Column:
+    """The pieces of fixed_windows() as an array."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    return F.transform(starts, lambda i: F.substr(text, i + 1, F.lit(size)))
+
+
+def pieces(parts: Column, field: Column, prefix: Column) -> Column:
+    """Structs (field_type, chunk) of the parts of LEAST_CHARS and more."""
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= LEAST_CHARS)
+    return F.transform(kept, lambda x: F.struct(field.alias("field_type"), F.concat(prefix, x).alias("chunk")))
+
+
+def procedure_name(block: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_extract(block, "(?u)^\\s*\\d{1,2}(?:\\.\\d)?\\.?\\s+(.{0,200})", 1), "\\s+", " "))
+
+
+def procedure_pieces(text: Column) -> Column:
+    """Pieces of a procedure decision: its sections with procedure and section named before; long ones by steps, or windows without steps. A
+    procedure without sections gives windows."""
+    found = F.filter(stretches(text, PROCEDURE), lambda p: F.length(p) > 100)
+
+    def of_section(s, name):
+        number = F.regexp_extract(s, "^\\((\\d{1,2})\\)", 1).cast("int")
+        field, label = (F.element_at(F.array(*(F.lit(x[i]) for x in SECTIONS)), number) for i in (0, 1))
+        steps = F.split(s, STEP_HEAD.replace("(?iu)", "(?iu)(?=") + "\\s*:)")
+        parts = F.when(token_estimate(s) <= 2 * CHUNK_TOKENS, F.array(s)).when(F.size(steps) > 1, steps).otherwise(windows_of(s))
+        return pieces(parts, field, F.concat(F.lit("[Thủ tục: "), name, F.lit("]\n[Mục: "), label, F.lit("]\n")))
+
+    def of_procedure(p, name):
+        sections = F.filter(stretches(p, "(?m)^\\s*\\((?:[1-9]|0[1-9]|1[01])\\)\\s+.{3,}"), lambda s: F.length(s) >= LEAST_CHARS)
+        return F.when(F.size(sections) > 0, F.flatten(F.transform(sections, lambda s: of_section(s, name)))).otherwise(pieces(windows_of(p), F.lit("general"), F.lit("")))
+
+    named = F.flatten(F.transform(found, lambda p: of_procedure(p, procedure_name(p))))
+    return F.when(F.size(found) > 0, named).otherwise(of_procedure(text, F.lit("Thủ tục đất đai")))
+
+
+def workflow_pieces(text: Column) -> Column:
+    """Pieces of an internal workflow: the steps of its sub-procedures (or procedures, or of the whole) and their total times; one without steps is
+    whole."""
+    parents = stretches(text, PROCEDURE)
+    names = F.transform(F.reverse(parents), lambda p: F.struct(F.regexp_extract(p, "^(\\d{1,2})", 1).cast("int").alias("k"), procedure_name(p).alias("v")))
+    subs = F.filter(stretches(text, SUB_PROCEDURE), lambda p: F.length(p) >= LEAST_CHARS)
+
+    def of_block(p, name):
+        head = F.concat(F.lit("[Thủ tục: "), name, F.lit("]\n"))
+        steps = F.filter(stretches(p, STEP_HEAD), lambda x: F.length(x) >= LEAST_CHARS)
+        stepped = F.flatten(F.transform(steps, lambda x: pieces(F.array(x), F.lit("trinh_tu"), F.concat(head, F.lit("[Bước "), F.regexp_extract(x, "(\\d+)", 1), F.lit("]\n")))))
+        time = total_time(p)
+        timed = F.when(time == "", F.array().cast("array<struct<field_type:string,chunk:string>>")).otherwise(F.array(F.struct(F.lit("thoi_han").alias("field_type"), F.concat(head, F.lit("[Mục: (4) Thời hạn giải quyết]\nTổng thời gian giải quyết TTHC: "), time).alias("chunk"))))
+        return F.when(F.size(steps) > 0, F.concat(stepped, timed)).otherwise(pieces(F.array(p), F.lit("trinh_tu"), head))
+
+    def of_sub(p):
+        number = F.regexp_extract(p, "^(\\d{1,2})", 1)
+        parent = F.coalesce(F.get(F.filter(names, lambda e: e["k"] == number.cast("int")), F.lit(0))["v"], F.concat(F.lit("Thủ tục "), number))
+        return of_block(p, F.concat(parent, F.lit(" — "), F.left(procedure_name(p), F.lit(150))))
+
+    by_parent = F.flatten(F.transform(parents, lambda p: of_block(p, procedure_name(p))))
+    return F.when(F.size(subs) > 0, F.flatten(F.transform(subs, of_sub))).when(F.size(parents) > 0, by_parent).otherwise(of_block(text, F.lit("Quy trình nội bộ đất đai")))
+
+
 def header_spans(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
     """start and end of each headed stretch: from its header to the next, or to the end of the text (1-based, end exclusive)."""
     parts = F.split(F.col(text), header.replace("(?m)^", "(?m)(?=^") + ")")
@@ -113,12 +199,17 @@ def with_prefix(text: Column, source: Column, article: Column) -> Column:
 
 
 def chunk_documents(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """key, chunk_index, field_type, article, clause, chunk: articles of statutes with their prefix, windows of all other documents; texts and chunks under LEAST_CHARS go."""
+    """key, chunk_index, field_type, article, clause, chunk: articles of statutes, sections of procedure decisions and steps of internal workflows with
+    their prefix, windows of all other documents and of those without such parts; texts and chunks under LEAST_CHARS go."""
     typed = df.where(F.length(F.trim(text)) >= LEAST_CHARS).withColumn("_type", detect_doc_type(F.col(text), F.col(name)))
+    articles = F.exists(stretches(F.col(text), ARTICLE), lambda x: F.length(x) >= LEAST_CHARS)
+    typed = typed.withColumn("_type", F.when((F.col("_type") == "luat_nghi_dinh") & ~articles, "unknown").otherwise(F.col("_type")))
     statutes = split_articles(typed.where("_type = 'luat_nghi_dinh'"), text)
-    a = statutes.select(key, F.col("position"), F.col("clause_position").alias("sub"), "article", "clause", F.lit("can_cu_phap_ly").alias("field_type"), with_prefix(F.col("block"), F.col(name), F.col("article")).alias("chunk"))
-    w = fixed_windows(typed.where("_type <> 'luat_nghi_dinh'"), text).where(F.length(F.trim("piece")) >= LEAST_CHARS)
-    b = w.select(key, F.col("window").alias("position"), F.lit(0).alias("sub"), F.lit("").alias("article"), F.lit("").alias("clause"), F.lit("general").alias("field_type"), F.trim("piece").alias("chunk"))
+    a = statutes.select(key, F.col("position"), F.col("clause_position").alias("sub"), "article", "clause", F.lit("can_cu_phap_ly").alias("field_type"), with_prefix(F.col("block"), F.coalesce(F.col(name), F.lit("")), F.col("article")).alias("chunk"))
+    plain = pieces(windows_of(F.col(text)), F.lit("general"), F.lit(""))
+    found = F.when(F.col("_type") == "quyet_dinh_tthc", procedure_pieces(F.col(text))).when(F.col("_type") == "quy_trinh_noi_bo", workflow_pieces(F.col(text))).otherwise(plain)
+    rows = typed.where("_type <> 'luat_nghi_dinh'").withColumn("_found", found).withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(plain))
+    b = rows.select(key, F.posexplode("_found").alias("position", "x")).select(key, "position", F.lit(0).alias("sub"), F.lit("").alias("article"), F.lit("").alias("clause"), F.col("x.field_type").alias("field_type"), F.col("x.chunk").alias("chunk"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("position", "sub")) - 1
     return a.unionByName(b).withColumn("chunk_index", number).drop("position", "sub")
 

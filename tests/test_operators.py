@@ -93,6 +93,25 @@ def test_long_article_is_cut_by_clause(spark):
     assert [r.clause for r in structure.split_articles(df, "text").orderBy("clause_position").collect()] == ["Khoản 1", "Khoản 2", "Khoản 3"]
 
 
+def test_each_text_gives_chunks_of_its_kind(spark):
+    words = "nội dung cần giữ lại trong văn bản này " * 4
+    decision = "1. Đăng ký biến động quyền sử dụng đất\n" + "\n".join(f"({i}) Mục {words}" for i in range(1, 5))
+    workflow = "8. Cấp đổi Giấy chứng nhận đã cấp\n8.1 Trường hợp bản đồ chính quy\n" + "\n".join(f"Bước {i} {words}" for i in range(1, 4)) + "\nTổng thời gian giải quyết TTHC\n10 ngày làm việc"
+    bare, long_, short = words * 2, "Điều 1. Tên\n" + words * 20, "Điều 1. Tên\n" + "1. ngắn\n" * 300
+    texts = [(1, decision, "x"), (2, workflow, "y"), (3, bare, "Luật B"), (4, long_, "Luật C"), (5, short, "Luật D")]
+    df = spark.createDataFrame(texts, "id long, text string, name string")
+    found = {}
+    for r in structure.chunk_documents(df, "id", "text", "name").orderBy("id", "chunk_index").collect():
+        found.setdefault(r.id, []).append((r.field_type, r.chunk))
+    assert [f for f, _ in found[1]] == ["trinh_tu", "cach_thuc", "thanh_phan_ho_so", "thoi_han"]
+    assert found[1][2][1].startswith("[Thủ tục: Đăng ký biến động quyền sử dụng đất]\n[Mục: (3) Thành phần, số lượng hồ sơ]\n(3) Mục ")
+    assert [f for f, _ in found[2]] == ["trinh_tu"] * 3 + ["thoi_han"]
+    assert found[2][1][1].startswith("[Thủ tục: Cấp đổi Giấy chứng nhận đã cấp — Trường hợp bản đồ chính quy]\n[Bước 2]\nBước 2 ")
+    assert found[2][3][1].endswith("10 ngày làm việc")
+    assert [c for _, c in found[3]] == [bare.strip()]
+    assert len(found[4]) > 3 and len(found[5]) == 1 and found[5][0][1].endswith(short.strip())
+
+
 def test_packing_is_greedy(spark):
     got = one(spark, structure.pack_parts(F.split(F.lit("aa,bb,cccc,d,e"), ","), 5, " "))
     assert got == ["aa bb", "cccc", "d e"]
