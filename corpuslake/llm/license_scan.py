@@ -37,7 +37,8 @@ PERMISSIVE = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc0", "cc-by", "u
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 NOT_WORD = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
-TAG = re.compile(rb"(?:spdx[^a-z0-9]{0,3}license[^a-z0-9]{0,3}identifier|license[^a-z0-9]{0,3}expression)[\x20\t]*[:=]?[\x20\t]*([^\r\n]{1,400})")
+TAG = re.compile(rb"(?:spdx[^a-z0-9]{0,3}license[^a-z0-9]{0,3}identifier|license[^a-z0-9]{0,3}expression)[\x20\t]*[:=]?[\x20\t]*")
+LINE_END = re.compile(rb"[\r\n]|\Z")
 TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 
 
@@ -133,8 +134,9 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
         else:
             tagged = True
     expressions, allowed = [], None
-    for found in TAG.finditer(low) if tagged else ():
-        if postfix := to_postfix(found[1].decode(errors="ignore")):
+    heads = list(TAG.finditer(low)) if tagged else []
+    for head, then in zip(heads, [h.start() for h in heads[1:]] + [len(low)], strict=False):
+        if postfix := to_postfix(low[head.end() : LINE_END.search(low, head.end(), then).start()].decode(errors="ignore")):
             named, met = evaluate(postfix)
             labels |= named
             allowed = met if allowed is None else allowed and met

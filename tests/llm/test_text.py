@@ -231,6 +231,15 @@ def test_expressions(text, postfix, met):
         assert license_scan.evaluate(got)[1] is met
 
 
+def test_long_and_neighbouring_tags():
+    machine = license_scan.automaton()
+    long_ = "SPDX-License-Identifier: (" + " OR ".join(["MIT"] * 150) + " OR ISC) AND MPL-2.0"
+    got = license_scan.scan(long_.encode(), machine)
+    assert got[5] == "isc,mit,mpl" and got[6] == 1.0 and got[8] is False
+    got = license_scan.scan(b"SPDX-License-Identifier: MIT */ SPDX-License-Identifier: EPL-2.0 and SPDX-License-Identifier: ISC", machine)
+    assert got[5] == "epl,isc,mit" and got[7] == "mit; epl-2.0; isc"
+
+
 def base_secrets(t):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
