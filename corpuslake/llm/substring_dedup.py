@@ -130,25 +130,58 @@ def _texts_of(words: np.ndarray) -> Callable:
 
 
 def _windows(passage_words: int) -> Callable:
-    """(doc_id, start, hash) of each stretch of passage_words words that meets a run, by the run's start."""
+    """(doc_id, copy, at, start, end, chunks, hash) of each stretch of passage_words words that meets a run: its first word's number, its bytes and
+    the run's chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, hashes = [], [], []
-            for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            out: list[list] = []
+            held = 0
+            for doc_id, text, copy, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = np.frombuffer(text.as_py(), np.uint8)
                 offsets = np.array([0, len(data)])
                 whole, _ = word_hashes(data, offsets)
-                found = sliding(whole, passage_words)
-                at = starts_of(~IS_SPACE[data], offsets)
+                if len(whole) < passage_words:
+                    continue
+                found = sliding(whole, passage_words)[: len(whole) - passage_words + 1]
+                space = IS_SPACE[data]
+                first, last = starts_of(~space, offsets), np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+                chunks_ = np.zeros(len(found), np.int64)
                 for r in runs:
-                    a, b = np.searchsorted(at, [r["start"], r["end"]])
-                    some = found[max(0, a - passage_words) : b]
-                    ids.append(np.full(len(some), doc_id, np.int64))
-                    starts.append(np.full(len(some), r["start"], np.int64))
-                    hashes.append(some.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, starts, hashes)], names=["doc_id", "start", "hash"])
+                    a, b = np.searchsorted(first, [r["start"], r["end"]])
+                    chunks_[max(0, a - passage_words) : b] = r["chunks"]
+                at = np.flatnonzero(chunks_)
+                out.append([np.full(len(at), doc_id, np.int64), np.full(len(at), copy, np.int64), at, first[at], last[at + passage_words - 1], chunks_[at], found[at].view(np.int64)])
+                held += len(at)
+                if held > 1 << 18:
+                    yield _columns(out, ["doc_id", "copy", "at", "start", "end", "chunks", "hash"])
+                    out, held = [], 0
+            if out:
+                yield _columns(out, ["doc_id", "copy", "at", "start", "end", "chunks", "hash"])
+
+    return run
+
+
+def _columns(parts: list[list], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)], names=names)
+
+
+def _spans(passage_words: int) -> Callable:
+    """From each document's shared stretches, the passages: neighbouring stretches whose smallest document is the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, start, end, chunks_, first = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
+                at, index = np.unique(at, return_index=True)
+                start, end, chunks_, first = start[index], end[index], chunks_[index], first[index]
+                firsts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1])])
+                lasts = np.r_[firsts[1:] - 1, len(at) - 1]
+                for a, b in zip(firsts, lasts, strict=True):
+                    out.append((doc_id, int(start[a]), int(end[b]), int(at[b] - at[a]) + passage_words, int(chunks_[a : b + 1].max()), int(first[a])))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "start", "end", "words", "chunks", "first_doc_id"])
 
     return run
 
@@ -156,15 +189,15 @@ def _windows(passage_words: int) -> Callable:
 def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """doc_id, start, end, words, chunks, first_doc_id: the passages of passage_words words or more that stand in other documents too.
 
-    start and end are bytes of the UTF-8 text; first_doc_id is the smallest doc_id that has a chunk of the passage. A passage is a run of
-    chunks whose digests each stand in two documents at least. Chunks are about 35 bytes, so the run shows all of the passage but some words at
-    each end: runs from RUN_WORDS on are looked at, and a run of fewer than passage_words is verified: a stretch of that many words that meets it must
-    stand in two documents. Letters A-Z count as lower case.
+    start and end are bytes of the UTF-8 text. Runs of chunks whose digests each stand in two documents show where to look. Chunks are about 35 bytes,
+    so a run shows all of a passage but some words at each end: runs from RUN_WORDS on are verified, by the stretches of passage_words words that meet
+    them, which must stand in two documents. first_doc_id is the smallest document that holds the same stretches; neighbouring stretches with the
+    same first_doc_id are one passage, so passages may overlap. chunks counts those of the run. Letters A-Z count as lower case.
     Null, empty and blank text has no passage. Repetition within one document alone is none. Rows that share a doc_id are one document.
     Rows without a doc_id can't be named and are left out. An empty table gives no rows.
 
     Three passes over the texts: digests are pre-aggregated to their smallest and largest document; then only the chunks that a filter of
-    fixed size lets pass meet the repeated digests, in a join that may split a hot digest; then the texts of short runs are verified. What
+    fixed size lets pass meet the repeated digests, in a join that may split a hot digest; then the texts of runs are verified. What
     gathers by document is bounded by its length.
     """
     source = id_and_text(docs).where("doc_id is not null")
@@ -173,18 +206,20 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     places = source.mapInArrow(_candidates(bloom_words(repeated, "digest")), "digest long, doc_id long, start int, end int, words int")
     found = places.join(repeated, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "words", "first_doc_id")).alias("found"))
     runs = written(found.mapInArrow(_runs(min(RUN_WORDS, passage_words)), "doc_id long, start long, end long, words long, chunks long, first_doc_id long"), "passages")
-    short = runs.where(F.col("words") < passage_words)
-    texts = source.mapInArrow(_texts_of(bloom_words(short, "doc_id")), "doc_id long, text string").dropDuplicates(["doc_id"])
-    by_document = short.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    windows = written(texts.join(by_document, "doc_id").mapInArrow(_windows(passage_words), "doc_id long, start long, hash long"), "windows")
-    shared = written(windows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash"), "shared")
-    verified = windows.join(shared, "hash").select("doc_id", "start").distinct()
-    return runs.where(F.col("words") >= passage_words).unionByName(short.join(verified, ["doc_id", "start"], "left_semi"))
+    by_document = runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "chunks")).alias("runs"))
+    texts = source.mapInArrow(_texts_of(bloom_words(runs, "doc_id")), "doc_id long, text string").where("text is not null").withColumn("copy", F.xxhash64("text"))
+    stretches = texts.join(by_document, "doc_id").mapInArrow(_windows(passage_words), "doc_id long, copy long, at long, start long, end long, chunks long, hash long")
+    windows = written(stretches, "windows")
+    shared = written(windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id <> last").select("hash", "first_doc_id"), "shared")
+    by_text = windows.join(shared, "hash").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "start", "end", "chunks", "first_doc_id")).alias("found"))
+    return by_text.select("doc_id", "found").mapInArrow(_spans(passage_words), "doc_id long, start long, end long, words long, chunks long, first_doc_id long")
 
 
 def drop_repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """docs with repeated passages cut from all documents but the first that has them; other columns stay as they are."""
-    spans = repeated_passages(docs, passage_words).where("doc_id <> first_doc_id").groupBy(F.col("doc_id").alias("cut_")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans_"))
+    spans = repeated_passages(docs, passage_words).where("doc_id <> first_doc_id").groupBy(F.col("doc_id").alias("cut_")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all_"))
+    # overlapping spans are joined
+    spans = spans.select("cut_", F.expr("aggregate(all_, cast(array() as array<struct<start: bigint, end: bigint>>), (a, x) -> if(size(a) > 0 and x.start <= try_element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', try_element_at(a, -1).start, 'end', greatest(try_element_at(a, -1).end, x.end)))), array_append(a, x)))").alias("spans_"))
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     kept = F.expr("concat_ws('', transform(sequence(0, size(spans_)), i -> decode(substring(raw_, if(i = 0, 1, cast(spans_[i - 1].end as int) + 1), if(i = size(spans_), length(raw_), cast(spans_[i].start as int)) - if(i = 0, 0, cast(spans_[i - 1].end as int))), 'UTF-8')))")
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("cut_"), "left").withColumn("raw_", raw)

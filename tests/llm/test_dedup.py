@@ -180,6 +180,20 @@ def test_repeats_are_cut(spark):
     assert got[2].startswith("é") and got[2].endswith(rest[1]) and len(got[2]) < len(rest[1]) + 200
 
 
+def test_a_shared_chunk_keeps_the_passage(spark):
+    """Documents 10 and 20 share a passage, 3 holds 15 words of it only, and 30 is made of the words of two others: neither is a passage's first."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    make = lambda n: [word() for _ in range(n)]
+    passage, p, q = make(120), make(40), make(40)
+    texts = {3: make(30) + passage[50:65] + make(30), 10: make(30) + passage + make(30), 20: make(30) + passage + make(30), 31: p + make(9), 32: q + make(9), 30: p + q}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id, r.words) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == {(10, 10, 120), (20, 10, 120)}
+    left = {r.doc_id: r.text for r in substring_dedup.drop_repeats(df).collect()}
+    assert {i for i in texts if left[i] != " ".join(texts[i])} == {20} and not set(passage) & set(left[20].split())
+
+
 def vectors(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((60, 12))
