@@ -80,10 +80,18 @@ def html_segments(pages: DataFrame) -> DataFrame:
 
 
 def match_cached_text(files: DataFrame, cache: DataFrame, least: int = 50) -> DataFrame:
-    """file, name: the first cached text (by name; longer than least) that shares a number of two to five digits with the file's name."""
+    """file, name: the first cached text (by name; longer than least) that shares a number of two to five digits with the file's name, or holds its stem
+    in any case. Stems meet the parts of the names that have a stem's length, the first name for each part."""
     numbers = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("\\d{2,5}"), F.lit(0))))
     have = cache.where(F.length("text") > least).select("name", numbers("name").alias("number"))
-    return files.select("file", numbers("file").alias("number")).join(have, "number").groupBy("file").agg(F.min("name").alias("name"))
+    by_number = files.select("file", numbers("file").alias("number")).join(have, "number").groupBy("file").agg(F.min("name").alias("name"))
+    stems = files.select("file", F.lower(F.regexp_replace("file", "(?<=[^/])\\.[^./]*$", "")).alias("stem")).where("stem <> ''").distinct()
+    starts = F.explode(F.sequence(F.lit(1), F.length("name")))
+    sizes = F.broadcast(stems.select(F.length("stem").alias("size")).distinct())
+    ends = cache.where((F.length("text") > least) & (F.length("name") > 0)).select("name", starts.alias("start")).join(sizes, F.col("start") + F.col("size") <= F.length("name") + 1)
+    held = ends.select("name", F.lower(F.substr("name", F.col("start"), F.col("size"))).alias("stem")).groupBy("stem").agg(F.min("name").alias("name"))
+    by_stem = stems.join(held, "stem").select("file", "name")
+    return by_number.unionByName(by_stem).groupBy("file").agg(F.min("name").alias("name"))
 
 
 def write_index(chunks: DataFrame, vectors: DataFrame, path: str, key: str = "chunk_id", by: str = "procedure_type", mode: str = "overwrite") -> None:

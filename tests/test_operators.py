@@ -183,6 +183,14 @@ def test_index_must_match(spark, tmp_path):
         tables.write_index(chunks, vectors, str(tmp_path / "i"))
 
 
+def test_cached_text_by_number_or_stem(spark):
+    from corpuslake.sources.tables import match_cached_text
+
+    files = spark.createDataFrame([("Cap doi.pdf",), ("law 1085.pdf",), ("other.pdf",)], "file string")
+    cache = spark.createDataFrame([("b_cap doi_ocr.txt", "x" * 60), ("a_cap doi.txt", "x"), ("qd1085.txt", "x" * 60)], "name string, text string")
+    assert {tuple(r) for r in match_cached_text(files, cache).collect()} == {("Cap doi.pdf", "b_cap doi_ocr.txt"), ("law 1085.pdf", "qd1085.txt")}
+
+
 def test_html(spark):
     html = "<nav>x</nav><h1>T &amp; U</h1><p>a<br>b</p><ul><li>c</li></ul><script>1</script>"
     got = tables.html_segments(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("position").collect()
