@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,39 @@ WHITE_SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 1 << 19
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+SMALL_ROWS = 1 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df once as a Parquet table in the shared folder and read it back."""
     ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/corpuslake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, when all that was read from them has been written itself."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hinted(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """df, to be broadcast if it is counted as SMALL_ROWS rows of row_bytes at most; else Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS * 16 // row_bytes else df
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until no column of the frames is called so (names match in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,14 +155,15 @@ def sliding(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def bloom_words(df: DataFrame, key: str, log_words: int = 18) -> np.ndarray:
-    """A filter of 2**log_words 64-bit words over the long column key: fixed in size; it lets more pass when full, and never drops a key."""
+def bloom_words(df: DataFrame, key: str, most: int = 21) -> np.ndarray:
+    """A filter of 64-bit words over the long column key: about a word for every four keys, and 2**most words (16 MB) at most, beyond which it lets
+    more pass. It never drops a key."""
+    log_words = min(most, max(10, (df.count() // 4).bit_length()))
     word = F.col(key).bitwiseAND(F.lit((1 << log_words) - 1))
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {log_words}) & 63 as int))")
-    rows = df.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    rows = df.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << log_words, np.uint64)
-    if rows:
-        out[np.array([r.w for r in rows])] = np.array([r.b for r in rows], np.int64).view(np.uint64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 

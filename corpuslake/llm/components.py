@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 CHUNK = 1 << 21
 
@@ -76,6 +76,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         tally = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if tally == state or not tally[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+            discard(now)
+            return out
         state = tally
-        now = written(_small_star(_large_star(now)), "stars")
+        before, now = now, written(_small_star(_large_star(now)), "stars")
+        discard(before)

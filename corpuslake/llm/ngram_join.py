@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, bloom_words, id_and_text, may_hold, mix, sliding, text_blocks, word_hashes, written
+from .common import ODD, bloom_words, discard, fresh, hinted, id_and_text, may_hold, mix, sliding, text_blocks, word_hashes, written
 from .components import connected_components
 
 N, PERCENT = 5, 75
 HEAVY_KEYS = 1 << 20
+FREQUENT = 32
 TASK_KEYS = 1 << 17
 CHUNK = 1 << 20
-SALTS = 64
-SHORT = 48
+SAMPLE = 4
 STAR_ROUNDS = 3
 SEEN = 1 << 18
 
@@ -46,8 +46,8 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _summaries(n: int) -> Callable:
-    """A row (doc_id, key, n) for each document, and (token, count) of the task's most frequent shingles over all its documents, in
-    bounded memory: of equal counts the smallest hashes stay, so that tasks agree on which to keep."""
+    """A row (doc_id, key, n) for each document, and (token, count) of the task's most frequent shingles over all its documents, if they
+    come twice, in bounded memory: of equal counts the smallest hashes stay, so that tasks agree on which to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -80,20 +80,35 @@ def _summaries(n: int) -> Callable:
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), none, none], names=["doc_id", "key", "n", "token", "count"])
         tokens, counts = merged()
+        tokens, counts = tokens[counts > 1], counts[counts > 1]
         none = pa.nulls(len(tokens), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens.view(np.int64)), pa.array(counts)], names=["doc_id", "key", "n", "token", "count"])
 
     return run
 
 
-def frequent_tokens(summaries: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most HEAVY_KEYS shingles that stand in more than 32 documents, or more than a HEAVY_KEYS-th of all shingles.
+def frequent_tokens(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most HEAVY_KEYS shingles that stand in more than FREQUENT documents, or more than a HEAVY_KEYS-th of all shingles, and the rank
+    of each by count.
 
     Which shingles are called frequent decides how they are indexed, never which pairs are found."""
     total = summaries.agg(F.sum("n")).first()[0] or 0
-    least = max(32, total // HEAVY_KEYS)
-    found = summaries.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") > least).select("token").toPandas()
-    return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
+    least = max(FREQUENT, total // HEAVY_KEYS)
+    found = summaries.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") > least).toArrow()
+    tokens, counts = found["token"].to_numpy().astype(np.int64).view(np.uint64), found["c"].to_numpy().astype(np.int64)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((tokens, counts))] = np.arange(len(tokens))
+    order = np.argsort(tokens)
+    return tokens[order], rank[order]
+
+
+def ranks(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rank of each token among the frequent ones, or -1."""
+    known, rank = frequent
+    if not len(known):
+        return np.full(len(tokens), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, rank[at], -1)
 
 
 def errors(n: int, percent: int = PERCENT) -> int:
@@ -106,100 +121,105 @@ def classes_of(band: int) -> int:
     return max(1, (1 << band) // 16)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Signatures of a set, as (hashes, whether each is a combination): two sets at the similarity share one at least.
+def signatures(n: int, alone: int, shared: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of n shingles, and with each how many shingles of the set can't stand before the first that a partner shares.
 
-    All sets stand in one order: rare shingles by hash, then frequent ones by hash. Two similar sets share at least p - t of the first
-    p shingles of the one whose prefix ends first, if that one has t errors to spare. A rare shingle is a signature of its own. Frequent
-    shingles fall into classes by hash, and a signature is a pair within a class, so with d classes in the prefix, p - t > d shared ones
-    include a rare one or a pair. The prefix is extended until then. The number of classes follows the size, so that classes stay small;
-    a set signs for its own band of sizes and for that of its largest partners.
+    All sets stand in one order: the `alone` shingles that no other set has, then `shared`, the rare ones by count, then the `frequent` ones.
+    A partner lacks at most t shingles, so of the first t + 1 it shares one: those of them that are rare and shared are signatures of their own. If
+    only frequent ones are shared, frequent shingles fall into classes by hash, and a signature is a pair within a class. Two similar sets share at
+    least p - t of the first p shingles of the one whose prefix ends first, so with d classes in the prefix, p - t > d shared ones include two
+    of a class. The prefix is extended until then. The number of classes follows the size, so that classes stay small; a set signs for its own band
+    of sizes and for that of its largest partners. A set of which more than t shingles are its own has no partner and no signature.
     """
-    n = len(tokens)
     spare = errors(n, percent)
-    at = np.searchsorted(frequent, tokens)
-    common = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(n, bool)
-    ordered = np.concatenate([tokens[~common], tokens[common]])
-    rare = n - int(common.sum())
-    bands = {n.bit_length() - 1, (n * 100 // percent).bit_length() - 1}
-    for band in sorted(bands):
-        m = classes_of(band)
-        label = mix(ordered ^ mix(np.full(1, band + 1, np.uint64)))
-        if rare > spare:
-            yield mix(label[: spare + 1]), np.zeros(spare + 1, bool)
-            continue
-        kind = (mix(ordered[rare:]) % np.uint64(m)).astype(np.int64)
-        _, first = np.unique(kind, return_index=True)
-        fresh = np.zeros(n - rare, np.int64)
-        fresh[first] = 1
-        p = np.arange(rare + 1, n + 1)
-        enough = np.flatnonzero(p - spare > np.cumsum(fresh))
-        end = int(p[enough[0]]) if len(enough) else n
-        kind, heavy = kind[: end - rare], label[rare:end]
-        order = np.argsort(kind, kind="stable")
-        kind, heavy = kind[order], heavy[order]
-        pairs = []
-        for step in range(1, len(heavy)):
-            same = kind[step:] == kind[:-step]
-            if not same.any():
-                break
-            low, high = np.minimum(heavy[step:][same], heavy[:-step][same]), np.maximum(heavy[step:][same], heavy[:-step][same])
-            pairs.append(mix(low * ODD + high))
-        combos = np.concatenate(pairs) if pairs else heavy[:0]
-        yield mix(label[:rare]), np.zeros(rare, bool)
-        yield combos, np.ones(len(combos), bool)
-
-
-def _signed(n: int, percent: int, frequent) -> Callable:
-    """(sig, combo, key, n, plain) for each signature; plain: rare shingles fill the set's prefix. A set is signed once a task, unless more than
-    SEEN others came between."""
+    rare = alone + len(shared)
+    single = shared[: max(0, spare + 1 - alone)]
+    found, rest = [mix(single)], [n - alone - np.arange(len(single))]
+    if rare <= spare:
+        for band in sorted({n.bit_length() - 1, (n * 100 // percent).bit_length() - 1}):
+            kind = (mix(frequent) % np.uint64(classes_of(band))).astype(np.int64)
+            _, first = np.unique(kind, return_index=True)
+            new = np.zeros(len(frequent), np.int64)
+            new[first] = 1
+            p = np.arange(rare + 1, n + 1)
+            enough = np.flatnonzero(p - spare > np.cumsum(new))
+            end = int(enough[0]) + 1 if len(enough) else len(frequent)
+            label = mix(frequent[:end] ^ mix(np.full(1, band + 1, np.uint64)))
+            order = np.argsort(kind[:end], kind="stable")
+            kind, label = kind[:end][order], label[order]
+            for step in range(1, end):
+                same = kind[step:] == kind[:-step]
+                if not same.any():
+                    break
+                x, y = label[step:][same], label[:-step][same]
+                found.append(mix(np.minimum(x, y) * ODD + np.maximum(x, y)))
+                rest.append(np.full(len(x), n - rare))
+    return np.concatenate(found), np.concatenate(rest)
+
+
+def _samples(n: int, percent: int, frequent) -> Callable:
+    """(token, key, need) of the first shingles by hash of each set, a few more than it has errors: `need` of the rare ones among them must stand in
+    other sets, or too many are its own for any partner. Where no rare one is needed, a row with the key as token. A set comes once a task, unless
+    more than SEEN others came between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = frequent.value
         seen: set[int] = set()
         for batch in batches:
-            sigs, combos, keys, sizes, plain = [], [], [], [], []
-            out = 0
+            parts: list[tuple[np.ndarray, int, int]] = []
+            held = 0
             for _, s in shingle_sets(batch, n):
-                if not len(s) or (key := set_key(s)) in seen:
+                spare = errors(len(s), percent)
+                if len(s) * 100 // percent == len(s) or (key := set_key(s)) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                signed = list(signatures(s, heavy, percent))
-                rare_only = not any(len(combo) and combo[0] for _, combo in signed) and sum(len(h) for h, _ in signed) > errors(len(s), percent)
-                for hashes, combo in signed:
-                    plain.append(np.full(len(hashes), rare_only))
-                    sigs.append(hashes)
-                    combos.append(combo)
-                    keys.append(np.full(len(hashes), key, np.int64))
-                    sizes.append(np.full(len(hashes), len(s), np.int32))
-                    out += len(hashes)
-                if out > CHUNK:
-                    yield _batch(sigs, combos, keys, sizes, plain)
-                    sigs, combos, keys, sizes, plain, out = [], [], [], [], [], 0
-            if out:
-                yield _batch(sigs, combos, keys, sizes, plain)
+                p = min(len(s), spare + spare // 4 + 1)
+                rare = s[:p][ranks(s[:p], frequent.value) < 0]
+                need = len(rare) - spare
+                parts.append((rare, key, need) if need > 0 else (np.array([key], np.int64).view(np.uint64), key, 0))
+                held += len(parts[-1][0])
+                if held > CHUNK:
+                    yield _rows(parts)
+                    parts, held = [], 0
+            if parts:
+                yield _rows(parts)
 
     return run
 
 
-def _batch(sigs: list, combos: list, keys: list, sizes: list, plain: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(combos)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(plain))], names=["sig", "combo", "key", "n", "plain"])
+def _rows(parts: list[tuple]) -> pa.RecordBatch:
+    """(token, key, need): each of the parts' arrays with its two numbers."""
+    counts = [len(t) for t, _, _ in parts]
+    keys, needs = (np.repeat(np.array([x[i] for x in parts], np.int64), counts) for i in (1, 2))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(keys), pa.array(needs.astype(np.int32))], names=["token", "key", "need"])
+
+
+def _elsewhere(rows: DataFrame) -> DataFrame:
+    """rows (token, key, ...), once each, with df, how many rows the token has, and `shared`: whether other keys have the token too. No token here is
+    frequent, so none fills a task."""
+    w = Window.partitionBy("token").orderBy("key")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("before", F.lag("key").over(w)).withColumn("shared", F.first("key").over(whole) != F.last("key").over(whole)).withColumn("df", F.count("*").over(whole))
+    return rows.where("before is null or before <> key").drop("before")
 
 
 def _wanted_sets(n: int, words: np.ndarray) -> Callable:
-    """(key, tokens) of the documents that the filter lets pass."""
+    """(key, tokens) of the documents that the filter lets pass, once a task as in _samples()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             batch = batch.filter(pa.array(may_hold(words, ids.view(np.uint64))))
             keys, sets, held = [], [], 0
             for _, s in shingle_sets(batch, n):
-                if not len(s):
+                if not len(s) or (key := set_key(s)) in seen:
                     continue
-                keys.append(set_key(s))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+                keys.append(key)
                 sets.append(s.view(np.int64))
                 held += len(s)
                 if held > CHUNK:
@@ -216,17 +236,64 @@ def _sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["key", "tokens"])
 
 
+def _lists_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """The rows of a column of lists of longs, null as an empty one."""
+    values, offsets, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(column)):
+        yield values[offsets[i] : offsets[i + 1]] if there[i] else values[:0]
+
+
+def _postings(frequent) -> Callable:
+    """(token, key) of the rare shingles of sets (key, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, held = [], 0
+            for key, s in zip(batch.column(0).to_pylist(), _lists_of(batch.column(1)), strict=True):
+                s = s.view(np.uint64)
+                parts.append((s[ranks(s, frequent.value) < 0], key, 0))
+                held += len(s)
+                if held > CHUNK:
+                    yield _rows(parts).select(["token", "key"])
+                    parts, held = [], 0
+            if parts:
+                yield _rows(parts).select(["token", "key"])
+
+    return run
+
+
+def _signed(percent: int, frequent) -> Callable:
+    """(key, n, sigs, rest) from (key, tokens, shared): a set, and those of its rare shingles that stand in other sets, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, tokens = (_lists_of(batch.column(i)) for i in (2, 3))
+            keys, sizes, sigs, rests = [], [], [], []
+            for key, s, df, shared in zip(batch.column(0).to_pylist(), _lists_of(batch.column(1)), counts, tokens, strict=True):
+                s, shared = s.view(np.uint64), shared.view(np.uint64)
+                rank = ranks(s, frequent.value)
+                common = s[rank >= 0][np.argsort(rank[rank >= 0])]
+                sig, rest = signatures(len(s), len(s) - len(common) - len(shared), shared[np.lexsort((shared, df))], common, percent)
+                if len(sig):
+                    keys.append(key)
+                    sizes.append(len(s))
+                    sigs.append(sig.view(np.int64))
+                    rests.append(rest.astype(np.int64))
+            if keys:
+                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (sigs, rests))], names=["key", "n", "sigs", "rest"])
+
+    return run
+
+
 def _verified(percent: int) -> Callable:
     """Of rows (a, b, ta, tb) those whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column(2), batch.column(3)
-            (va, oa), (vb, ob) = ((x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in (ta, tb))
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                both = len(x) + len(y) - len(np.union1d(x, y))
+            for i, (x, y) in enumerate(zip(_lists_of(batch.column(2)), _lists_of(batch.column(3)), strict=True)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
@@ -238,148 +305,132 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -
 
     component_id is the smallest doc_id reachable by links, itself included. A document without words (null, empty or blank text) has no
     shingles and links with nothing, so its component_id is its doc_id; so it is for a null doc_id, which can't be reached. Documents with
-    equal sets link; rows that share a doc_id are one document with a row each. An empty table gives no rows.
+    equal sets link; rows that share a doc_id are one document with a row each. An empty table gives no rows. Other columns are not read.
 
     1. Sets: each document's set of 64-bit shingle hashes gives a key; equal sets are one node from here on. Tasks count shingles over all
-       documents and tell which are frequent. 2. Signatures (see signatures()): one shuffle by signature. A short list of a rare shingle gives
-       its pairs, with the number of lists that each pair shares; where that number and the sizes prove too small an overlap, the pair goes.
-       Longer lists, and those of pairs of frequent shingles, which may be hot and are salted by key first, are never expanded: each set
-       is paired with the smallest of its list. 3. Pairs are verified on whole sets, links joined into components. 4. Longer lists that still hold
-       several components go on: each set with another member of its list, drawn anew each round, and at last all pairs of members from
-       different components. So each pair that shares a signature is verified, ruled out or already connected, and components are exact.
+       documents and tell which are frequent. 2. Candidates: a set lacks no more than its errors in a partner, so one with more shingles of its own
+       among a sample of them has none; one shuffle of the samples by shingle tells. 3. The shingles of the sets left are counted by a second
+       shuffle; prefixes, rarest shingles first, give signatures (see signatures()). Sets of a signature pair only where the places
+       of the shared shingle leave enough behind it. 4. Stars: each set is paired, in SAMPLE of its lists, with the member that has the fewest
+       rare shingles before the signature; pairs are verified on whole sets, links joined into components. 5. Lists that still hold several
+       components go on: each member with another centre, drawn anew each round, and at last all pairs of members from different components,
+       those of a list's main component only with others. So each pair that shares a signature is verified, ruled out by size or place, or
+       already connected, and components are exact. Tables are deleted as soon as the next is written.
     """
     spark = docs.sparkSession
     source = id_and_text(docs)
-    summaries = written(source.mapInArrow(_summaries(n), "doc_id long, key long, n long, token long, count long"), "sets")
+    summaries = written(source.mapInArrow(_summaries(n), "doc_id long, key long, n long, token long, count long"), "summaries")
     members = summaries.where("n is not null").select("doc_id", "key", "n")
     heads = written(members.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
     frequent = spark.sparkContext.broadcast(frequent_tokens(summaries))
     source = source.where("doc_id is not null")
-    lists = written(_lists(source.mapInArrow(_signed(n, percent, frequent), "sig long, combo boolean, key long, n int, plain boolean")), "postings")
-    pairs = written(_counted_pairs(lists, percent), "pairs")
-    long_ = written(_long_lists(lists), "long")
-    stars = _first_stars(lists)
-
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long_.select("key")).distinct().join(heads, "key")
-    sets = written(source.mapInArrow(_wanted_sets(n, bloom_words(nodes, "head")), "key long, tokens array<long>"), "tokens")
-    links = written(_verify(pairs.unionByName(stars), sets, percent), "links")
-    found = connected_components(links)
+    samples = _elsewhere(source.mapInArrow(_samples(n, percent, frequent), "token long, key long, need int"))
+    left = samples.where("shared or need = 0").groupBy("key", "need").agg(F.count("*").alias("c")).where("c >= need").select("key").distinct()
+    left = written(left.join(heads, "key"), "candidates")
+    sets = written(source.mapInArrow(_wanted_sets(n, bloom_words(left, "head")), "key long, tokens array<long>"), "sets")
+    discard(left)
+    shared = _elsewhere(sets.mapInArrow(_postings(frequent), "token long, key long")).where("shared").groupBy("key").agg(F.collect_list("df").alias("df"), F.collect_list("token").alias("token"))
+    signed = written(sets.join(shared, "key", "left").select("key", "tokens", "df", "token").mapInArrow(_signed(percent, frequent), "key long, n long, sigs array<long>, rest array<long>"), "signed")
+
+    found = _joined_up(None, _links(_first_stars(signed, percent), sets, percent))
     for turn in range(STAR_ROUNDS + 1):
-        long_, stats = _still_open(long_, found)
-        if not stats.rows:
-            break
-        last = turn == STAR_ROUNDS or stats.pairs <= 16 * stats.rows
-        more = _verify(_all_pairs(long_, percent) if last else _star_pairs(long_, turn), sets, percent)
-        links = written(links.unionByName(more), "links")
-        found = connected_components(links)
-        if last:
+        lists, stats = _still_open(signed, found)
+        if stats.rows:
+            last = turn == STAR_ROUNDS or stats.pairs <= 16 * stats.rows
+            found = _joined_up(found, _links(_all_pairs(lists, percent) if last else _star_pairs(lists, turn, percent), sets, percent))
+        discard(lists)
+        if not stats.rows or last:
             break
+    discard(signed, sets)
     named = written(heads.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "named")
-    ids = named.groupBy("component").agg(F.min("head").alias("component_id"))
-    by_key = written(named.join(ids, "component").select("key", "component_id"), "groups")
+    by_key = written(named.join(named.groupBy("component").agg(F.min("head").alias("component_id")), "component").select("key", "component_id"), "groups")
+    discard(heads, found, named)
     out = members.join(by_key, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _lists(signed: DataFrame) -> DataFrame:
-    """The signatures that several sets share, with the smallest member (lo) and size (m) of their list; a short list of a rare shingle has in
-    each row the members before it. Lists of combinations stand in parts by salt, and each part has its smallest member at least."""
-    salted = signed.withColumn("salt", F.when(F.col("combo"), F.pmod(F.col("key"), F.lit(SALTS))).otherwise(F.lit(0)))
-    w = Window.partitionBy("sig", "salt").orderBy("key")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    member = F.struct("key", "n", "plain")
-    rows = salted.withColumn("lo", F.first(F.struct("key", "n")).over(whole)).withColumn("last", F.last("key").over(whole)).withColumn("m", F.count("*").over(whole))
-    rows = rows.where("lo.key <> last or (combo and key = lo.key)")
-    short = ~F.col("combo") & (F.col("m") <= SHORT)
-    before = F.collect_list(F.when(short, member)).over(w.rowsBetween(-SHORT, -1))
-    return rows.withColumn("before", F.when(short, before)).select("sig", "salt", "combo", "key", "n", "plain", F.col("lo.key").alias("lo"), F.col("lo.n").alias("lo_n"), "before")
-
-
-def _counted_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of the short lists that may reach the similarity.
-
-    Of two sets with rare shingles only in their prefixes, the one whose prefix ends first shares with the other what its prefix shows and the
-    rest of it at most. A list counts once for each band that both sign for, which only lets more pass. A shared long list shows in no
-    count, so a pair is not ruled out if both sets stand in one."""
-    hidden = lists.where("not combo and before is null").select(F.col("key").alias("hidden")).distinct()
-    pairs = lists.where("size(before) > 0").select("key", "n", "plain", F.explode("before").alias("o")).where("key <> o.key")
-    pairs = pairs.select(F.col("o.key").alias("a"), F.col("key").alias("b"), F.col("o.n").alias("na"), F.col("n").alias("nb"), (F.col("plain") & F.col("o.plain")).alias("plain"))
-    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).groupBy("a", "b", "na", "nb", "plain").agg(F.count("*").alias("shared"))
-    rest = F.greatest(F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100)) - 1
-    enough = (F.col("shared") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    sure, unsure = pairs.where(~F.col("plain") | enough), pairs.where(F.col("plain") & ~enough)
-    unsure = unsure.join(hidden.withColumnRenamed("hidden", "a"), "a", "left_semi").join(hidden.withColumnRenamed("hidden", "b"), "b", "left_semi")
-    return sure.select("a", "b", "na", "nb").unionByName(unsure.select("a", "b", "na", "nb"))
-
-
-def _first_stars(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) of each set in the other lists with the smallest of its list; in those of combinations with the smallest of its part,
-    and the smallest of the parts with the smallest of all."""
-    long_ = lists.where("before is null")
-    parts = long_.select("key", "n", "lo", "lo_n")
-    tops = long_.where("combo and key = lo").select("sig", "key", "n")
-    first = F.min(F.struct("key", "n")).over(Window.partitionBy("sig"))
-    upper = tops.withColumn("f", first).select("key", "n", F.col("f.key").alias("lo"), F.col("f.n").alias("lo_n"))
-    return parts.unionByName(upper).where("lo <> key").select(F.col("lo").alias("a"), F.col("key").alias("b"), F.col("lo_n").alias("na"), F.col("n").alias("nb"))
-
-
-def _long_lists(lists: DataFrame) -> DataFrame:
-    """(sig, key, n) of all other lists, whole: a list goes only if all its members are those of another list."""
-    return _distinct_lists(lists.where("before is null").select("sig", "key", "n"), ["sig"])
-
-
-def _distinct_lists(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One of the lists that have the same members: a group of copies or a passage puts the same sets into many lists. Members are told by their
-    number, extremes and sum of hashes. Lists of one member go."""
-    members = F.struct(F.count("*"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.xxhash64("key").cast("decimal(20,0)")), F.sum(F.hash("key").cast("long")))
-    lists = rows.groupBy(*by).agg(members.alias("members"))
-    one = written(lists.where("members.low <> members.high").groupBy("members").agg(F.min(F.struct(*by)).alias("one")).select("one.*"), "lists")
-    return rows.join(one, by, "left_semi")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of keys whose sets reach the similarity; sizes alone rule out many."""
-    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = written(pairs.where(fit).select("a", "b").distinct(), "candidates")
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = with_a.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long").distinct()
-
-
-def _still_open(lists: DataFrame, found: DataFrame):
-    """Lists with members of several components (sig, key, n, component), and how many rows and pairs across components they have."""
-    rows = lists.select("sig", "key", "n").distinct().join(found.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("component", F.coalesce("c", "key")).drop("c")
-    sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("m"))
-    several = sizes.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("parts > 1")
-    several = written(several, "several")
-    out = written(_distinct_lists(rows.join(several.select("sig"), "sig"), ["sig"]), "open")
-    several = several.join(out.select("sig").distinct(), "sig", "left_semi")
-    stats = several.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.lit(0)).alias("pairs")).first()
+def _joined_up(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links and of what was found before."""
+    out = connected_components(links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    discard(links, *([] if found is None else [found]))
+    return out
+
+
+def _members(signed: DataFrame, most: int | None = None) -> DataFrame:
+    """A row (sig, key, n, rest) for each signature, or for the `most` smallest of each set."""
+    pairs = F.arrays_zip("sigs", "rest")
+    kept = [c for c in signed.columns if c not in ("sigs", "rest")]
+    return signed.select(*kept, F.explode(pairs if most is None else F.slice(F.array_sort(pairs), 1, most)).alias("s")).select(*kept, F.col("s.sigs").alias("sig"), F.col("s.rest").alias("rest"))
+
+
+def _fit(na: str, ra: str, nb: str, rb: str, percent: int):
+    """Whether sets of these sizes may reach the similarity, if no shared shingle stands before the rest."""
+    return F.least(ra, rb) * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
+
+
+def _to_centres(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows with c, the centre of their list."""
+    joined = rows.join(centres, "sig").select("sig", "key", "n", "rest", F.col("c.key").alias("a"), F.col("c.n").alias("na"), F.col("c.rest").alias("ra"), *([F.col("component").alias("cb"), F.col("c.component").alias("ca")] if "component" in rows.columns else []))
+    differ = F.col("a") != F.col("key") if "component" not in rows.columns else F.col("ca") != F.col("cb")
+    return joined.where(differ & _fit("n", "rest", "na", "ra", percent)).select("a", F.col("key").alias("b"))
+
+
+def _first_stars(signed: DataFrame, percent: int) -> DataFrame:
+    """Each set with the member of its list that has the fewest rare shingles before the signature: what others are near copies of has few."""
+    rows = _members(signed, SAMPLE)
+    centres = rows.groupBy("sig").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("part"), "key", "n", "rest")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    return _to_centres(rows, centres, percent)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of keys whose sets reach the similarity."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = with_b.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
+    out = written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long").distinct(), "links")
+    discard(pairs)
+    return out
+
+
+def _still_open(signed: DataFrame, found: DataFrame):
+    """The lists with members of several components (sig, key, n, rest, component, main: the component with most members), and how many rows and pairs
+    across components they have. Of lists with the same members one is left, that of the first signature in the common order: it leaves most behind it."""
+    named = signed.join(found.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("component", F.coalesce("c", "key")).drop("c")
+    rows = _members(named)
+    several = written(rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig"), "several")
+    rows = written(rows.join(several, "sig"), "rows")
+    discard(several)
+    members = F.struct(F.count("*"), F.min("key"), F.max("key"), F.sum(F.xxhash64("key").cast("decimal(20,0)")), F.sum(F.hash("key").cast("long")))
+    lists = rows.groupBy("sig").agg(members.alias("members"), F.sum("rest").alias("rests"))
+    one = written(lists.groupBy("members").agg(F.max(F.struct("rests", "sig")).alias("one")).select("one.sig"), "lists")
+    parts = rows.join(one, "sig").groupBy("sig", "component").agg(F.count("*").alias("m"))
+    parts = written(parts.groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "component")).alias("main")), "parts")
+    stats = parts.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.lit(0)).alias("pairs")).first()
+    out = written(rows.join(parts.select("sig", F.col("main.component").alias("main")), "sig"), "open")
+    discard(one, parts, rows)
     return out, stats
 
 
-def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+def _star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each member of a list with one member, drawn by hash, where that is of another component."""
-    centre = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key"), "key", "n", "component")).alias("c"))
-    return rows.join(centre, "sig").where("component <> c.component").select(F.col("c.key").alias("a"), F.col("key").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
+    centres = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key"), "key", "n", "rest", "component")).alias("c"))
+    return _to_centres(rows, centres, percent)
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a list that are of different components and fit in size. A pair that shares many lists comes from one of them:
-    each member brings its lists (no more than its signatures), and the smallest that both have decides."""
-    own = rows.groupBy("key").agg(F.collect_set("sig").alias("lists"))
-    full = written(rows.join(own, "key"), "members")
-    x = full.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("lists").alias("la"))
-    y = full.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("lists").alias("lb"))
-    fit = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return x.join(y, "sig").where(fit & (F.array_min(F.array_intersect("la", "lb")) == F.col("sig"))).select("a", "b", "na", "nb")
+    """All pairs of members of a list that are of different components and fit; members of the main component are not paired with each other."""
+    x = rows.where("component <> main").select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
+    y = rows.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"), "main")
+    once = (F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb"))
+    return x.join(y, "sig").where(once & (F.col("ca") != F.col("cb")) & _fit("na", "ra", "nb", "rb", percent)).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """docs, with its own columns, without the documents that have a smaller doc_id in their group; a null doc_id stays."""
-    groups = near_duplicate_groups(docs, n, percent)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("dropped_"), "left_anti")
+    """docs, with its own columns, without the documents that have a smaller doc_id in their group; a null doc_id stays. Null and empty texts stay, rows
+    that share a doc_id stay or go together, and an empty table gives no rows. Columns may have any names."""
+    name = fresh("dropped", docs)
+    dropped = written(near_duplicate_groups(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(hinted(dropped), docs["doc_id"].cast("long") == dropped[name], "left_anti")
 
 
 def ngram_join_query(docs: DataFrame) -> DataFrame:

@@ -79,18 +79,22 @@ def test_ngram_join_of_variants(spark, monkeypatch):
         assert got == component
 
 
-def open_pairs(lists, found):
-    open_, _ = ngram_join._still_open(lists, found)
+def signed_lists(spark, lists, n=10):
+    keys = sorted({k for m in lists.values() for k in m})
+    rows = [(k, n, [s for s in lists if k in lists[s]], [n for s in lists if k in lists[s]]) for k in keys]
+    return spark.createDataFrame(rows, "key long, n long, sigs array<long>, rest array<long>")
+
+
+def open_pairs(spark, lists, found=()):
+    open_, _ = ngram_join._still_open(signed_lists(spark, lists), spark.createDataFrame(list(found), "node long, component long"))
     return {tuple(sorted((r.a, r.b))) for r in ngram_join._all_pairs(open_, 75).collect()}
 
 
-def test_later_rounds_see_whole_lists(spark, monkeypatch):
-    """Part {2, 4} stands in both lists, but the second list still holds its members: all its pairs are compared."""
-    monkeypatch.setattr(ngram_join, "SALTS", 2)
-    lists = {1: [2, 4, 3], 2: [2, 4, 3, 5]}
-    signed = spark.createDataFrame([(s, True, k, 10, False) for s, m in lists.items() for k in m], "sig long, combo boolean, key long, n int, plain boolean")
-    long_ = ngram_join._long_lists(ngram_join._lists(signed))
-    assert open_pairs(long_, spark.createDataFrame([], "node long, component long")) == set(itertools.combinations([2, 3, 4, 5], 2))
+def test_later_rounds_see_whole_lists(spark):
+    """{2, 4} stand in both lists, but all pairs of the larger one are compared, and those of components that are joined are not."""
+    assert open_pairs(spark, {1: [2, 4, 3], 2: [2, 4, 3, 5]}) == set(itertools.combinations([2, 3, 4, 5], 2))
+    assert open_pairs(spark, {1: [1, 2, 3, 4, 5], 2: [2, 3]}, [(2, 1), (3, 1), (4, 4), (5, 4)]) == {(a, b) for a in (1, 2, 3) for b in (4, 5)}
+    assert open_pairs(spark, {1: [1, 2, 3]}, [(1, 1), (2, 1), (3, 1)]) == set()
 
 
 def test_signatures_that_hash_alike_drop_no_pair(spark):
@@ -100,16 +104,17 @@ def test_signatures_that_hash_alike_drop_no_pair(spark):
     named = spark.range(400000).select(F.xxhash64("id").alias("id"))
     alike = named.groupBy(F.hash("id").alias("h")).agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").orderBy("h").first()
     shared = spark.range(1000000, 1001000).where(F.hash("id") > alike.h).first().id
-    members = {shared: [1, 2], alike.ids[0]: [1, 3], alike.ids[1]: [2, 4]}
-    rows = spark.createDataFrame([(s, k, 10) for s, m in members.items() for k in m], "sig long, key long, n int")
-    assert open_pairs(rows, spark.createDataFrame([], "node long, component long")) == {(1, 2), (1, 3), (2, 4)}
+    assert open_pairs(spark, {shared: [1, 2], alike.ids[0]: [1, 3], alike.ids[1]: [2, 4]}) == {(1, 2), (1, 3), (2, 4)}
 
 
 def test_signatures_of_similar_sets_meet():
+    """Two similar sets share a signature behind whose place enough is left of both."""
     rng = np.random.default_rng(5)
     universe = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
-    heavy = np.sort(universe[:1500])
-    for _ in range(400):
+    heavy, count = np.sort(universe[:1500]), dict(zip(universe.tolist(), rng.integers(1, 30, 4000).tolist(), strict=True))
+    frequent = heavy, rng.permutation(len(heavy))
+    tried = 0
+    for _ in range(600):
         n = int(rng.integers(3, 300))
         pool = heavy if rng.random() < 0.5 else universe
         a = np.unique(rng.choice(pool, n, replace=False))
@@ -117,11 +122,44 @@ def test_signatures_of_similar_sets_meet():
         keep = rng.permutation(a)[drop:]
         add = int(len(keep) / 0.75 - len(a))
         b = np.unique(np.concatenate([keep, rng.choice(universe, max(0, add), replace=False)]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both < 75 * (len(a) + len(b) - both):
+        both = np.intersect1d(a, b)
+        if 100 * len(both) < 75 * (len(a) + len(b) - len(both)):
             continue
-        sa, sb = (set(np.concatenate([h for h, _ in ngram_join.signatures(x, heavy)]).tolist()) for x in (a, b))
-        assert sa & sb
+        tried += 1
+        found = []
+        for x in (a, b):
+            rank = ngram_join.ranks(x, frequent)
+            common, rare = x[rank >= 0][np.argsort(rank[rank >= 0])], x[rank < 0]
+            shared = np.array([t for t in rare.tolist() if count[t] > 1 or t in set(both.tolist())], np.uint64)
+            shared = shared[np.lexsort((shared, [count[t] for t in shared.tolist()]))]
+            sig, rest = ngram_join.signatures(len(x), len(x) - len(common) - len(shared), shared, common)
+            found.append(dict(zip(sig.tolist(), rest.tolist(), strict=True)))
+        x, y = found
+        assert any(min(x[s], y[s]) * 175 >= 75 * (len(a) + len(b)) for s in x.keys() & y.keys())
+    assert tried > 200
+
+
+def test_random_groups(spark, monkeypatch):
+    """Groups of copies with many and few edits, sets within sets, tiny texts and passages, with a low bound for what is frequent."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [(i, " ".join(f"t{x}" for x in rng.integers(0, 3, rng.integers(1, 9)))) for i in range(60)]
+    for g in range(25):
+        base = [f"g{g}_{i}" for i in range(int(rng.integers(6, 90)))]
+        for k in range(int(rng.integers(2, 12))):
+            w = list(base)
+            for j in rng.integers(0, len(w), rng.integers(0, 4)):
+                w[j] = f"x{g}_{k}_{j}"
+            w = w[int(rng.integers(0, 3)) :] + (passage if rng.random() < 0.3 else [])
+            texts.append((1000 + 50 * g + k, " ".join(w)))
+    texts += [(5000 + i, " ".join(passage + [f"y{i}_{j}" for j in range(8)])) for i in range(50)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    _, component = brute_groups(texts)
+    assert len(set(component.values())) < len(texts) - 40
+    for bound in (32, 2):
+        monkeypatch.setattr(ngram_join, "FREQUENT", bound)
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicate_groups(df).collect()}
+        assert got == component
 
 
 def test_near_stage(docs):
