@@ -19,8 +19,10 @@ FREQUENT = 32
 TASK_KEYS = 1 << 17
 CHUNK = 1 << 20
 SAMPLE = 4
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+WIDE = 256
 SEEN = 1 << 18
+BIT_WORDS = 8
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int = N) -> Iterator[tuple[int, np.ndarray]]:
@@ -262,13 +264,19 @@ def _postings(frequent) -> Callable:
     return run
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """64 * BIT_WORDS bits: whether an odd number of the tokens falls to each. Sets differ in at least as many tokens as bits."""
+    odd = np.bincount((mix(tokens + ODD) % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _signed(percent: int, frequent) -> Callable:
-    """(key, n, sigs, rest) from (key, tokens, shared): a set, and those of its rare shingles that stand in other sets, with their counts."""
+    """(key, n, bits, sigs, rest) from (key, tokens, df, token): a set, and those of its rare shingles that stand in other sets, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, tokens = (_lists_of(batch.column(i)) for i in (2, 3))
-            keys, sizes, sigs, rests = [], [], [], []
+            keys, sizes, bits, sigs, rests = [], [], [], [], []
             for key, s, df, shared in zip(batch.column(0).to_pylist(), _lists_of(batch.column(1)), counts, tokens, strict=True):
                 s, shared = s.view(np.uint64), shared.view(np.uint64)
                 rank = ranks(s, frequent.value)
@@ -277,11 +285,22 @@ def _signed(percent: int, frequent) -> Callable:
                 if len(sig):
                     keys.append(key)
                     sizes.append(len(s))
+                    bits.append(parities(s))
                     sigs.append(sig.view(np.int64))
                     rests.append(rest.astype(np.int64))
             if keys:
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (sigs, rests))], names=["key", "n", "sigs", "rest"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(y) for y in x])].astype(np.int32)), pa.array(np.concatenate(x))) for x in (bits, sigs, rests)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["key", "n", "bits", "sigs", "rest"])
+
+    return run
+
+
+def _asked(words: np.ndarray) -> Callable:
+    """The sets whose keys the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(words, batch.column(0).to_numpy().view(np.uint64))))
 
     return run
 
@@ -313,9 +332,10 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -
        shuffle; prefixes, rarest shingles first, give signatures (see signatures()). Sets of a signature pair only where the places
        of the shared shingle leave enough behind it. 4. Stars: each set is paired, in SAMPLE of its lists, with the member that has the fewest
        rare shingles before the signature; pairs are verified on whole sets, links joined into components. 5. Lists that still hold several
-       components go on: each member with another centre, drawn anew each round, and at last all pairs of members from different components,
-       those of a list's main component only with others. So each pair that shares a signature is verified, ruled out by size or place, or
-       already connected, and components are exact. Tables are deleted as soon as the next is written.
+       components go on: while they hold more than WIDE pairs a member, each member with another centre, drawn anew each round, and at last all
+       pairs of members from different components, those of a list's main component only with others, if sizes, places and the parities of hashed
+       shingles allow the similarity. So each pair that shares a signature is verified, ruled out by a bound, or already connected, and
+       components are exact. Tables are deleted as soon as the next is written.
     """
     spark = docs.sparkSession
     source = id_and_text(docs)
@@ -330,14 +350,14 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -
     sets = written(source.mapInArrow(_wanted_sets(n, bloom_words(left, "head")), "key long, tokens array<long>"), "sets")
     discard(left)
     shared = _elsewhere(sets.mapInArrow(_postings(frequent), "token long, key long")).where("shared").groupBy("key").agg(F.collect_list("df").alias("df"), F.collect_list("token").alias("token"))
-    signed = written(sets.join(shared, "key", "left").select("key", "tokens", "df", "token").mapInArrow(_signed(percent, frequent), "key long, n long, sigs array<long>, rest array<long>"), "signed")
+    signed = written(sets.join(shared, "key", "left").select("key", "tokens", "df", "token").mapInArrow(_signed(percent, frequent), "key long, n long, bits array<long>, sigs array<long>, rest array<long>"), "signed")
 
     found = _joined_up(None, _links(_first_stars(signed, percent), sets, percent))
     for turn in range(STAR_ROUNDS + 1):
         lists, stats = _still_open(signed, found)
         if stats.rows:
-            last = turn == STAR_ROUNDS or stats.pairs <= 16 * stats.rows
-            found = _joined_up(found, _links(_all_pairs(lists, percent) if last else _star_pairs(lists, turn, percent), sets, percent))
+            last = turn == STAR_ROUNDS or stats.pairs <= WIDE * stats.rows
+            found = _joined_up(found, _links(_all_pairs(lists, signed, percent) if last else _star_pairs(lists, turn, percent), sets, percent))
         discard(lists)
         if not stats.rows or last:
             break
@@ -377,7 +397,7 @@ def _to_centres(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
 
 def _first_stars(signed: DataFrame, percent: int) -> DataFrame:
     """Each set with the member of its list that has the fewest rare shingles before the signature: what others are near copies of has few."""
-    rows = _members(signed, SAMPLE)
+    rows = _members(signed.drop("bits"), SAMPLE)
     centres = rows.groupBy("sig").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("part"), "key", "n", "rest")).alias("c"), F.count("*").alias("m")).where("m > 1")
     return _to_centres(rows, centres, percent)
 
@@ -385,17 +405,19 @@ def _first_stars(signed: DataFrame, percent: int) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of keys whose sets reach the similarity."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = with_b.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
+    asked = bloom_words(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
+    some = written(sets.mapInArrow(_asked(asked), "key long, tokens array<long>"), "asked")
+    with_b = pairs.join(some.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = with_b.join(some.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
     out = written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long").distinct(), "links")
-    discard(pairs)
+    discard(pairs, some)
     return out
 
 
 def _still_open(signed: DataFrame, found: DataFrame):
     """The lists with members of several components (sig, key, n, rest, component, main: the component with most members), and how many rows and pairs
     across components they have. Of lists with the same members one is left, that of the first signature in the common order: it leaves most behind it."""
-    named = signed.join(found.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("component", F.coalesce("c", "key")).drop("c")
+    named = signed.drop("bits").join(found.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("component", F.coalesce("c", "key")).drop("c")
     rows = _members(named)
     several = written(rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig"), "several")
     rows = written(rows.join(several, "sig"), "rows")
@@ -417,12 +439,19 @@ def _star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     return _to_centres(rows, centres, percent)
 
 
-def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a list that are of different components and fit; members of the main component are not paired with each other."""
-    x = rows.where("component <> main").select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
-    y = rows.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"), "main")
-    once = (F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb"))
-    return x.join(y, "sig").where(once & (F.col("ca") != F.col("cb")) & _fit("na", "ra", "nb", "rb", percent)).select("a", "b")
+def _all_pairs(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of a list that are of different components and may reach the similarity by size, place and parities; members of the main
+    component are not paired with each other."""
+    bits = [f"b{i}" for i in range(BIT_WORDS)]
+    rows = rows.join(signed.select("key", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "key")
+    x = rows.where("component <> main").select("sig", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "rest", "component", *bits)))
+    y = rows.select("sig", "main", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "rest", "component", *bits)))
+    once = (F.col("component_b") == F.col("main")) | (F.col("component_a") < F.col("component_b"))
+    fit = _fit("n_a", "rest_a", "n_b", "rest_b", percent)
+    both = F.col("n_a") + F.col("n_b")
+    differ = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
+    alike = (both - differ) * (100 + percent) >= both * (2 * percent)
+    return x.join(y, "sig").where(once & (F.col("component_a") != F.col("component_b")) & fit & alike).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -73,21 +73,23 @@ def test_ngram_join_of_variants(spark, monkeypatch):
     texts += [(1000 + i, " ".join(f"{p}{i}_{j}" for j in range(30)) + " " + " ".join(base[:20])) for p in "ab" for i in range(40) for p in [p + str(i)]]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
     _, component = brute_groups(texts)
-    for rounds in (0, 2):
+    for rounds, wide in ((0, 256), (2, 0)):
         monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "WIDE", wide)
         got = {r.doc_id: r.component_id for r in ngram_join.near_duplicate_groups(df).collect()}
         assert got == component
 
 
 def signed_lists(spark, lists, n=10):
     keys = sorted({k for m in lists.values() for k in m})
-    rows = [(k, n, [s for s in lists if k in lists[s]], [n for s in lists if k in lists[s]]) for k in keys]
-    return spark.createDataFrame(rows, "key long, n long, sigs array<long>, rest array<long>")
+    rows = [(k, n, [0] * ngram_join.BIT_WORDS, [s for s in lists if k in lists[s]], [n for s in lists if k in lists[s]]) for k in keys]
+    return spark.createDataFrame(rows, "key long, n long, bits array<long>, sigs array<long>, rest array<long>")
 
 
 def open_pairs(spark, lists, found=()):
-    open_, _ = ngram_join._still_open(signed_lists(spark, lists), spark.createDataFrame(list(found), "node long, component long"))
-    return {tuple(sorted((r.a, r.b))) for r in ngram_join._all_pairs(open_, 75).collect()}
+    signed = signed_lists(spark, lists)
+    open_, _ = ngram_join._still_open(signed, spark.createDataFrame(list(found), "node long, component long"))
+    return {tuple(sorted((r.a, r.b))) for r in ngram_join._all_pairs(open_, signed, 75).collect()}
 
 
 def test_later_rounds_see_whole_lists(spark):
@@ -136,6 +138,8 @@ def test_signatures_of_similar_sets_meet():
             found.append(dict(zip(sig.tolist(), rest.tolist(), strict=True)))
         x, y = found
         assert any(min(x[s], y[s]) * 175 >= 75 * (len(a) + len(b)) for s in x.keys() & y.keys())
+        apart = np.unpackbits((ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint8)).sum()
+        assert apart <= len(np.setxor1d(a, b))
     assert tried > 200
 
 
