@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +18,10 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 #: ASCII punctuation that the tokenizer always parts from a letter or digit before it. The apostrophe is not among them.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+TAILED = re.compile(rb"(?<=[0-9A-Za-z])(?=[" + re.escape(TAIL) + rb"]+(?:\s|\Z))")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, part int, place long"
 
 
@@ -28,6 +32,14 @@ def byte_alphabet() -> str:
     return "".join(chr(b if b in printable else next(spare)) for b in range(256))
 
 
+def little(ids: Iterable[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian uint32 bytes, word by word.
 
@@ -44,38 +56,28 @@ class WordTokenizer:
         self.words: dict[bytes, bytes] = {}
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return little(self.whole.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: bytes) -> bytes:
-        core = word.rstrip(TAIL)
-        if core and len(core) < len(word) and core[-1:].isalnum():
-            return self._part(core) + self._part(word[len(core) :])
-        return self._part(word)
-
-    def _part(self, part: bytes) -> bytes:
-        ids = self.words.get(part)
-        if ids is None:
-            text = part.decode()
-            if text.isalpha() and (text.isascii() or max(text) < "ɐ" and text == text.lower() and unicodedata.is_normalized("NFC", text)):
-                mapped = text if text.isascii() else "".join(map(self.alphabet.__getitem__, part))
-                ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            else:
-                ids = self._encoded(text)
-            self.words[part] = ids
-        return ids
+        text = word.decode()
+        if text.isalpha():
+            if text.isascii():
+                return little([t.id for t in self.model.tokenize(text)])
+            if max(text) < "ɐ" and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                return little([t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, word)))])
+        return self._encoded(text)
 
     def ids(self, text: bytes) -> bytes:
         if b"\xcc" in text or b"\xcd" in text:
             return self._encoded(text.decode())
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        words = text.lower().split()
+        words = TAILED.sub(b" ", text.lower()).split()
         found = list(map(self.words.get, words))
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    ids = self.words.get(words[i])
-                    found[i] = self.words.setdefault(words[i], self._word(words[i])) if ids is None else ids
+            for word in {word for word, ids in zip(words, found, strict=True) if ids is None}:
+                self.words[word] = self._word(word)
+            found = map(self.words.__getitem__, words)
         return b"".join(found)
 
 
