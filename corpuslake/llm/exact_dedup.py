@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bloom_words, id_and_text, may_hold, written
+from .common import ascii_lower, bloom_words, fresh, hinted, id_and_text, may_hold, written
 
 MEMTABLE_BYTES = 48 << 20
 RUN_SCHEMA = "doc_id long, digest string, lo long, hi long, n long"
@@ -59,6 +59,27 @@ def _flush(memtable_bytes: int) -> Callable:
     return run
 
 
+def _compacted(keep: str) -> Callable:
+    """One entry (digest, keep_id, group_size, entries) for each digest of rows (digest, keep_id, n) in the order of digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        names = ["digest", "keep_id", "group_size", "entries"]
+        for batch in batches:
+            new = pa.table([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64))], names=names)
+            rows = pa.concat_tables([held, new]) if held is not None else new
+            if not rows.num_rows:
+                continue
+            entries = rows.group_by("digest", use_threads=False).aggregate([("keep_id", "min" if keep == "smallest" else "max"), ("group_size", "sum"), ("entries", "sum")])
+            entries = pa.table([entries["digest"], *(entries[c] for c in entries.column_names if c != "digest")], names=names)
+            held = entries.slice(entries.num_rows - 1)
+            yield from entries.slice(0, entries.num_rows - 1).to_batches()
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
 def _hit_texts(words: np.ndarray) -> Callable:
     """Texts whose digests may be in several runs: of each, one a task and memtable's worth of bytes."""
 
@@ -90,16 +111,18 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", memtable_bytes: in
     doc_id stays only where its whole group has none. Rows repeated with one doc_id and text count each in group_size and share the
     decision (kept is true on each of them if their id stays). An empty table gives no rows.
 
-    1. Flush: each task fills memtables of bounded size and flushes them as sorted digest runs, one entry a text and memtable: copies
-       meet there first, so a hot group leaves a task as one row. 2. Compaction: runs merge by digest, keeping the smallest (or
-       largest) id. 3. Verification: a filter of fixed size over digests that stand in several entries picks the texts to read again;
-       of each, all bytes must be equal. Were they not, texts of that digest would be grouped by the bytes themselves.
+    1. Flush: each task fills memtables of bounded size and flushes them as runs sorted by digest, one entry a text and memtable: copies
+       meet there first, so a hot group leaves a task as one row. 2. Compaction: runs are dealt by digest and merged in order, neighbours of one
+       digest becoming one entry with the smallest (or largest) id. 3. Verification: a filter over the digests that stand in several entries
+       (sized by their number, 16 MB at most) picks the texts to read again; of each, all bytes must be equal. Were they not, texts of that
+       digest would be grouped by the bytes themselves.
     """
     source = id_and_text(docs)
     flushed = written(source.mapInArrow(_flush(memtable_bytes), RUN_SCHEMA), "runs")
     rows, runs = flushed.where("n is null").select("doc_id", "digest"), flushed.where("n is not null")
-    chosen = F.min("lo") if keep == "smallest" else F.max("hi")
-    groups = written(runs.groupBy("digest").agg(chosen.alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("entries")).where("group_size > 1"), "compacted")
+    runs = runs.select("digest", F.col("lo" if keep == "smallest" else "hi").alias("keep_id"), "n")
+    merged = runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(_compacted(keep), "digest string, keep_id long, group_size long, entries long")
+    groups = written(merged.where("group_size > 1"), "compacted")
     hits = groups.where("entries > 1").select(F.expr("cast(conv(substring(digest, 1, 16), 16, -10) as long)").alias("key"))
     texts = source.mapInArrow(_hit_texts(bloom_words(hits, "key")), "digest string, bytes binary")
     unequal = texts.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a <> b").select("digest")
@@ -121,16 +144,18 @@ def _by_bytes(source: DataFrame, keep: str) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """docs, with its own columns, without the rows that exact_duplicates() drops; of rows repeated with one doc_id and text, one stays.
 
-    Rows of a null doc_id are told apart by their texts."""
-    decided = exact_duplicates(docs, keep)
-    decided = written(decided.where("group_size > 1").groupBy(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_")).agg(F.max("kept").alias("kept_"), F.count("*").alias("rows_")), "decided")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.col("sha__") == F.col("sha_"))
-    marked = docs.withColumn("sha__", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    repeated = decided.where("kept_ and rows_ > 1")
-    out = marked.join(decided.where("not kept_ or rows_ > 1"), same, "left_anti").select(*docs.columns)
+    Null text counts as empty; rows of a null doc_id are told apart by their texts. An empty table gives no rows. Columns may have any names. Texts stay
+    where they are while the rows decided on are few enough to broadcast (see hinted())."""
+    id_, sha, kept, n, own = (fresh(x, docs) for x in ("id_", "sha_", "kept_", "rows_", "own_"))
+    decided = exact_duplicates(docs, keep).where("group_size > 1").groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(kept), F.count("*").alias(n))
+    decided = written(decided.where(~F.col(kept) | (F.col(n) > 1)), "decided")
+    repeated = decided.where(F.col(kept)).select(id_, sha)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha))
+    marked = docs.withColumn(own, F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
+    out = marked.join(hinted(decided.select(id_, sha), 128), same, "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return out
-    return out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "sha__"]).select(*docs.columns))
+    return out.unionByName(marked.join(hinted(repeated, 128), same, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns))
 
 
 def exact_dedup_query(docs: DataFrame) -> DataFrame:
