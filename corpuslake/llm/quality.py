@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BYTE_CODES, ODD, mix, powers, ship, starts_of, text_blocks, written
+from .common import BYTE_CODES, ODD, discard, mix, powers, ship, starts_of, text_blocks, written
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -167,7 +168,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     the noise of id null. Repeated rows are decided alike. No labels: the target is empty, all ratios even out and chance decides. An empty
     table gives no rows.
     """
-    scores, level, cut = _decide(docs, labels, labelled_rows, buckets)
+    scores, _, level, cut = _decide(docs, labels, labelled_rows, buckets)
     return scores.select("doc_id", "log_ratio", "n_grams", _key(level).alias("key"), (_key(level) >= cut).alias("kept"))
 
 
@@ -184,13 +185,18 @@ def _decide(docs: DataFrame, labels: DataFrame, labelled_rows: int, buckets: int
     scores = written(source.withColumnRenamed("text", "text_").mapInArrow(_scored(ratios), "doc_id long, log_ratio double, n_grams long"), "scores")
     level = calibrated(scores, quality)
     k = scores.where(F.col("log_ratio") >= F.lit(level) * F.col("n_grams")).count()
-    return scores, level, top_k_cut(scores.select(_key(level).alias("key")), "key", k)
+    return scores, ratios, level, top_k_cut(scores.select(_key(level).alias("key")), "key", k)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of docs that quality_scores() keeps, with their own columns."""
-    kept = quality_scores(docs, labels, labelled_rows, buckets).where("not kept").select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("rejected")), "left_anti")
+    """The rows of docs that quality_scores() keeps, with their own columns, whatever their names. Nulls, empty texts, repeated rows and empty tables are
+    treated as there. Rows are scored once more where they are and filtered at the cut, so no text is shuffled."""
+    scores, ratios, level, cut = _decide(docs, labels, labelled_rows, buckets)
+    discard(scores)
+    whole = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text_"))
+    schema = T.StructType([whole.schema["row"], whole.schema["doc_id"], T.StructField("log_ratio", T.DoubleType()), T.StructField("n_grams", T.LongType())])
+    scored = whole.mapInArrow(_scored(ratios), schema)
+    return scored.where(_key(level) >= cut).select("row.*")
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
