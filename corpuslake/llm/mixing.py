@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, hinted, written
 
 ROWS_A_BUCKET = 5_000
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the number of runs of bytes that are not ASCII white space."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """source, source_size, target: share x all sizes dealt by weight; no target is above repeats x its source's size.
+    """source, source_size, target: share x all sizes dealt by weight; no target is above repeats x its source's size. One row a source meets in a task.
 
     Sources take the weights by code point, null last, repeating. A source whose part would exceed its cap gets the cap, and the
     rest is dealt again: with sources sorted by cap / weight, that is the first level at which no later source is capped.
@@ -36,60 +38,79 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, finish: how many words of each document the mix takes, repeats counted.
-
-    Weighted fair queueing: within a source, documents stand in a seeded random order (md5 of seed and doc_id), once per repeat.
-    A document's virtual finish time is its source's cumulative words divided by the source's target; the queue is served in order
-    of finish time, and at time 1 the whole budget is spent. The document being served then is taken in part (taken is no multiple
-    of its size), so every source's taken words are its target, rounded down.
-    Null or blank text has size 0 and takes nothing. A null source is a source. Rows that share a doc_id stand next to each other;
-    repeated rows count each. An empty table gives no rows.
+def queue(sizes: DataFrame, goals: DataFrame, repeats: int, seed: str) -> DataFrame:
+    """A row for each copy in the queue, with its virtual finish time: the words of its source up to its end, divided by the source's target.
 
-    The cumulative sums have two levels, hash buckets within a source and rows within a bucket, so a source with most rows is spread over
-    as many tasks as its rows need; only totals of buckets meet per source.
-    """
-    sizes = word_sizes(docs)
+    Within a source, documents stand in a seeded random order (md5 of seed and doc_id), once per repeat. The cumulative sums have two levels,
+    hash buckets within a source and rows within a bucket, so a source with most rows is spread over as many tasks as its rows need; only
+    totals of buckets meet per source. row tells rows apart that are equal in all columns."""
     n = sizes.select(F.count("*")).first()[0]
     buckets = max(1, n // ROWS_A_BUCKET)
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = sizes.withColumn("place", order).withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * buckets).cast("long"))
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("s")).select(F.col("source").alias("src"), F.col("bucket").alias("b"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    goals = source_targets(sizes, weights, share, repeats).withColumnRenamed("source", "goal_source")
-    rows = sizes.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(totals, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("b"))).join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("goal_source")))
-    whole = F.floor("target")
-    start = F.col("base") + F.col("inner")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), whole - start - F.col("source_size") * r)) for r in range(repeats)), F.lit(0))
-    finish = F.try_divide((start + F.col("size")).cast("double"), F.col("target"))
-    return rows.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
+    rows = sizes.withColumn("row", F.row_number().over(within)).withColumn("inner", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(totals, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("b"))).join(hinted(goals, 64), F.col("source").eqNullSafe(F.col("goal_source")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    end = F.col("base") + F.col("inner") + F.col("size") + F.col("source_size") * F.col("copy")
+    return rows.select("doc_id", "size", "source", "source_size", "target", "place", "bucket", "row", "copy", F.try_divide(end.cast("double"), F.col("target")).alias("finish"))
+
+
+def serve(copies: DataFrame, budget: int, partitions: int | None = None) -> DataFrame:
+    """The queue as served: copies sorted by virtual finish time over range partitions (`range` is the partition), and the words taken of each before the
+    total budget is spent. Each range is summed by itself; only the ranges' totals meet."""
+    n = partitions or int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("finish").asc_nulls_last(), F.col("source").asc_nulls_last(), "place", "doc_id", "size", "row", "copy"]
+    dealt = written(copies.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "queue")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range").agg(F.sum("size").alias("s")).select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    return dealt.join(F.broadcast(totals), "range").withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - start)))
 
 
-def serve(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The queue as served: a row for each copy taken, with the words taken, range-partitioned and sorted by virtual finish time."""
-    n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turns = F.expr("transform(sequence(0, cast((taken + size - 1) div size as int) - 1), i -> struct(least(size, taken - i * size) as words, finish + try_divide(cast(i * source_size as double), target) as finish))")
-    rows = mixed.where("taken > 0").select("doc_id", "source", F.explode(turns).alias("t")).select("doc_id", "source", "t.words", "t.finish")
-    return rows.repartitionByRange(n, "finish", "doc_id").sortWithinPartitions("finish", "doc_id")
-
-
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them, with its own columns: a row for each whole copy, and one cut after the words taken in part.
+def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source, source_size, target, taken for each row of docs: how many words of it the mix takes, repeats counted.
 
-    Rows that share a doc_id are decided together (their sizes add up in the queue, each row gets its own part by size); documents taken 0 words go.
+    Weighted fair queueing: every copy of a document gets its virtual finish time (see queue()); copies are range-sorted by it over all sources
+    and served until the total budget, the sum of the targets rounded down, is spent. At time 1 every source has had its target, so its taken
+    words differ from it by the documents then being served. The last copy served is taken in part.
+    Null or blank text has size 0 and takes nothing. A null source is a source. Rows that share a doc_id stand next to each other;
+    repeated rows count each. An empty table gives no rows. Other columns are not read.
     """
-    mixed = mix_documents(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.avg("taken").cast("long").alias("taken"))
-    columns = docs.columns
-    text = F.coalesce(F.col("d.text"), F.lit(""))
-    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    joined = docs.alias("d").join(mixed.alias("m"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (size == F.col("m.size")))
-    copies = F.expr("transform(sequence(0, cast((m.taken + m.size - 1) div m.size as int) - 1), i -> least(m.size, m.taken - i * m.size))")
-    out = joined.select("d.*", F.explode(copies).alias("__words"), F.col("m.size").alias("__size"))
-    cut = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("__words").cast("int")), "")).otherwise(F.col("text"))
+    sizes = written(word_sizes(docs), "sizes")
+    goals = written(source_targets(sizes, weights, share, repeats).withColumnRenamed("source", "goal_source"), "targets")
+    budget = int(goals.agg(F.floor(F.sum("target"))).first()[0] or 0)
+    served = serve(queue(sizes, goals, repeats, seed), budget)
+    return served.groupBy("source", "bucket", "row", "place", "doc_id", "size", "source_size", "target").agg(F.sum("taken").cast("long").alias("taken")).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def apply_mix(docs: DataFrame, repeats: int = 2, **options) -> DataFrame:
+    """docs as the mix takes them, with its own columns: a row for each whole copy, and one cut after the words taken in part (n_chars, where there is
+    such a column, then counts the rest).
+
+    Documents of which no word is taken go, so null and blank texts do. Rows that share doc_id, source and size are one group: its words go
+    to its rows in the order of their texts. Null doc_ids and null sources are groups too. An empty table gives no rows. Columns may have
+    any names. Texts stay where they are while decisions are few enough to broadcast (see hinted())."""
+    id_, source, size, taken, rows, own, turn, part = (fresh(x, docs) for x in ("id_", "source_", "size_", "taken_", "rows_", "own_", "turn_", "part_"))
+    mixed = mix_documents(docs, repeats=repeats, **options).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size))
+    mixed = written(mixed.agg(F.sum("taken").alias(taken), F.count("*").alias(rows)).where(F.col(taken) > 0), "mixed")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn(own, F.regexp_count(text, F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size))
+    out = marked.join(hinted(mixed.where(F.col(rows) == 1), 64), same)
+    repeated = mixed.where(F.col(rows) > 1)
+    if not repeated.isEmpty():
+        nth = F.row_number().over(Window.partitionBy(id_, source, size).orderBy(F.md5(text), F.xxhash64(*docs.columns))) - 1
+        left = F.least(F.col(taken) - nth * F.col(size) * repeats, F.col(size) * repeats)
+        out = out.unionByName(marked.join(hinted(repeated, 64), same).withColumn(taken, left).where(F.col(taken) > 0))
+    copies = F.transform(F.sequence(F.lit(0), F.floor((F.col(taken) - 1) / F.col(size)).cast("int")), lambda i: F.least(F.col(size), F.col(taken) - i * F.col(size)))
+    out = out.withColumn(turn, F.explode(copies)).withColumn(part, F.col(turn) < F.col(size))
+    cut = F.when(F.col(part), F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col(turn).cast("int")), "")).otherwise(F.col("text"))
     out = out.withColumn("text", cut)
-    return (out.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in columns else out).select(*columns)
+    return (out.withColumn("n_chars", F.when(F.col(part), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
@@ -103,9 +124,10 @@ c as (select *, source_size * 2 as cap, cast(source_size * 2 as double) / weight
 l as (select *, (1.5 * cast(sum(source_size) over () as double) - cast(coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0) as double))
         / cast(sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as double) as level from c),
 t as (select source, source_size, least(cast(cap as double), coalesce(max(case when level * weight <= cap then level end) over (), cast('inf' as double)) * weight) as target from l),
-q as (select d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as start
-      from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  cast(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) as bigint) as taken
-from q
+q as (select d.*, t.source_size, t.target, row_number() over w as row, coalesce(sum(d.size) over (w rows between unbounded preceding and 1 preceding), 0) as start
+      from d join t on d.source is not distinct from t.source window w as (partition by d.source order by d.place, d.doc_id, d.size)),
+c2 as (select *, cast(start + size + source_size * copy as double) / target as finish from q, (values (0), (1)) v(copy)),
+s2 as (select *, coalesce(sum(size) over (order by finish nulls last, source nulls last, place, doc_id nulls first, size, row, copy rows between unbounded preceding and 1 preceding), 0) as before from c2)
+select doc_id, size, source_size, target, cast(sum(greatest(0, least(size, (select floor(sum(target)) from t) - before))) as bigint) as taken
+from s2 group by source, place, doc_id, size, row, source_size, target
 """

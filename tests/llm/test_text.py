@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuslake.llm import language_id, license_scan, mixing, packing, quality, secret_scan
@@ -78,18 +79,41 @@ def targets(sizes, weights=(5, 2, 1)):
     return out
 
 
-def test_mixing(docs):
-    rows = docs.select("doc_id", "text", "source").collect()
+def plain_mix(rows):
+    """Words taken by (doc_id, source, size), from a queue in plain Python."""
     sizes = collections.Counter()
+    count = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
     for r in rows:
-        sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        sizes[r.source] += count(r)
     goal = targets(sizes)
-    taken = collections.Counter()
+    order = lambda r: (hashlib.md5(("mix" + ("" if r.doc_id is None else str(r.doc_id))).encode()).hexdigest(), r.doc_id is not None, r.doc_id or 0, count(r))
+    queue = []
+    for source in sizes:
+        at = 0
+        for copy in range(2):
+            for i, r in enumerate(sorted((r for r in rows if r.source == source), key=order)):
+                at += count(r)
+                if goal[source]:
+                    queue.append((at / goal[source], source is None, source or "", order(r), i, copy, r))
+    left, taken = int(sum(goal.values()) + 1e-9), collections.Counter()
+    for *_, r in sorted(queue, key=lambda x: x[:-1]):
+        n = min(left, count(r))
+        taken[r.doc_id, r.source, count(r)] += n
+        left -= n
+    return sizes, goal, taken
+
+
+def test_mixing(docs):
+    sizes, goal, expected = plain_mix(docs.select("doc_id", "text", "source").collect())
+    taken, by_source = collections.Counter(), collections.Counter()
     for r in mixing.mix_documents(docs).collect():
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(goal[r.source])
         assert 0 <= r.taken <= 2 * r.size
-        taken[r.source] += r.taken
-    assert all(taken[s] == int(goal[s] + 1e-9) for s in goal)
+        taken[r.doc_id, r.source, r.size] += r.taken
+        by_source[r.source] += r.taken
+    assert +taken == +expected
+    longest = max(len(words(r.text or "")) for r in docs.select("text").collect())
+    assert sum(by_source.values()) == int(sum(goal.values()) + 1e-9) and all(abs(by_source[s] - goal[s]) <= longest for s in goal)
     first, again = (sorted(mixing.mixing_query(d).collect(), key=str) for d in (docs, docs.repartition(3)))
     assert first == again
 
@@ -98,26 +122,27 @@ def test_mixing_buckets_and_queue(docs, monkeypatch):
     whole = sorted(mixing.mixing_query(docs).collect(), key=str)
     monkeypatch.setattr(mixing, "ROWS_A_BUCKET", 7)
     assert sorted(mixing.mixing_query(docs).collect(), key=str) == whole
-    mixed = mixing.mix_documents(docs)
-    served = mixing.serve(mixed, 3).collect()
-    assert [r.finish for r in served] == sorted(r.finish for r in served)
-    assert sum(r.words for r in served) == sum(r.taken for r in mixed.collect())
-
-
-def test_mix_stage_takes_the_words(docs):
-    mixed = {}
-    for r in mixing.mix_documents(docs).collect():
-        mixed[r.doc_id, r.size] = r.taken
-    out = mixing.apply_mix(docs)
-    assert out.columns == docs.columns
-    got = collections.Counter()
+    sizes = mixing.word_sizes(docs)
+    served = mixing.serve(mixing.queue(sizes, mixing.source_targets(sizes).withColumnRenamed("source", "goal_source"), 2, "mix"), 1000, 3).orderBy("range", "finish").collect()
+    times = [r.finish for r in served if r.finish is not None]
+    assert times == sorted(times) and len({r.range for r in served}) == 3
+    assert sum(r.taken for r in served) == 1000 and len(served) == 2 * docs.count()
+
+
+def test_mix_stage_takes_the_words(docs, spark):
+    """Also rows that share a doc_id, of two sources, and columns named like the operator's own."""
+    more = spark.createDataFrame([(7, "a b c d", "x"), (7, "e f g h", "x"), (7, "a b c d", "y"), (7, "a b c d", "x"), (8, "i j", None)], "doc_id long, text string, source string")
+    some = docs.unionByName(more, allowMissingColumns=True).withColumn("taken_", F.lit(1)).withColumn("part_", F.lit(2)).withColumn("__words", F.lit(3))
+    _, _, taken = plain_mix(some.select("doc_id", "text", "source").collect())
+    out = mixing.apply_mix(some)
+    assert out.columns == some.columns
+    got, expected = collections.Counter(), collections.Counter()
     for r in out.collect():
-        got[r.doc_id] += len(words(r.text))
-    expected = collections.Counter()
-    for (i, _), n in mixed.items():
-        expected[i] += n
-    single = {i for i, n in collections.Counter(i for i, in docs.select("doc_id").collect()).items() if n == 1}
-    assert {i: n for i, n in got.items() if i in single} == {i: n for i, n in expected.items() if n and i in single}
+        got[r.doc_id, r.source] += len(words(r.text))
+        assert (r.taken_, r.part_, r["__words"]) == (1, 2, 3)
+    for (i, source, _), n in taken.items():
+        expected[i, source] += n
+    assert +got == +expected
 
 
 @pytest.fixture(scope="module")
