@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, IS_SPACE, LOWER, bloom_words, id_and_text, may_hold, mix, powers, sliding, starts_of, text_blocks, word_hashes, written
+from .common import BYTE_CODES, IS_SPACE, LOWER, bloom_words, discard, fresh, hinted, id_and_text, may_hold, mix, powers, sliding, starts_of, text_blocks, word_hashes, written
 
 WINDOW = 16
 MASK_BITS, LEAST_GAP, LONGEST = 4, 12, 192
@@ -129,41 +129,67 @@ def _texts_of(words: np.ndarray) -> Callable:
     return run
 
 
+WINDOWS = "doc_id long, k1 long, at int, start int, end int, chunks int, hash long"
+
+
 def _windows(passage_words: int) -> Callable:
-    """(doc_id, copy, at, start, end, chunks, hash) of each stretch of passage_words words that meets a run: its first word's number, its bytes and
+    """(doc_id, k1, at, start, end, chunks, hash) of each stretch of passage_words words that meets a run: its first word's number, its bytes and
     the run's chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = []
             held = 0
-            for doc_id, text, copy, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc_id, text, k1, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = np.frombuffer(text.as_py(), np.uint8)
                 offsets = np.array([0, len(data)])
                 whole, _ = word_hashes(data, offsets)
                 if len(whole) < passage_words:
                     continue
                 found = sliding(whole, passage_words)[: len(whole) - passage_words + 1]
-                space = IS_SPACE[data]
-                first, last = starts_of(~space, offsets), np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+                first, last = word_ends(data)
                 chunks_ = np.zeros(len(found), np.int64)
                 for r in runs:
                     a, b = np.searchsorted(first, [r["start"], r["end"]])
                     chunks_[max(0, a - passage_words) : b] = r["chunks"]
                 at = np.flatnonzero(chunks_)
-                out.append([np.full(len(at), doc_id, np.int64), np.full(len(at), copy, np.int64), at, first[at], last[at + passage_words - 1], chunks_[at], found[at].view(np.int64)])
+                out.append([np.full(len(at), doc_id, np.int64), np.full(len(at), k1, np.int64), at, first[at], last[at + passage_words - 1], chunks_[at], found[at].view(np.int64)])
                 held += len(at)
                 if held > 1 << 18:
-                    yield _columns(out, ["doc_id", "copy", "at", "start", "end", "chunks", "hash"])
+                    yield _columns(out)
                     out, held = [], 0
             if out:
-                yield _columns(out, ["doc_id", "copy", "at", "start", "end", "chunks", "hash"])
+                yield _columns(out)
 
     return run
 
 
-def _columns(parts: list[list], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)], names=names)
+def word_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    space = IS_SPACE[data]
+    return starts_of(~space, np.array([0, len(data)])), np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+
+
+def _columns(parts: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*parts, strict=True), kinds, strict=True)], names=["doc_id", "k1", "at", "start", "end", "chunks", "hash"])
+
+
+def _whole(passage_words: int) -> Callable:
+    """(k1, k2, start, end, words, chunks) of the texts (doc_id, text, k1, k2) that are long enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, k1, k2 in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                data = np.frombuffer(text.as_py(), np.uint8)
+                first, last = word_ends(data)
+                if len(first) >= passage_words:
+                    out.append((k1, k2, int(first[0]), int(last[-1]), len(first), len(chunks(data, np.array([0, len(data)]))[0])))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["k1", "k2", "start", "end", "words", "chunks"])
+
+    return run
 
 
 def _spans(passage_words: int) -> Callable:
@@ -172,16 +198,16 @@ def _spans(passage_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, k1, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 at, start, end, chunks_, first = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
                 at, index = np.unique(at, return_index=True)
                 start, end, chunks_, first = start[index], end[index], chunks_[index], first[index]
                 firsts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1])])
                 lasts = np.r_[firsts[1:] - 1, len(at) - 1]
                 for a, b in zip(firsts, lasts, strict=True):
-                    out.append((doc_id, int(start[a]), int(end[b]), int(at[b] - at[a]) + passage_words, int(chunks_[a : b + 1].max()), int(first[a])))
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "start", "end", "words", "chunks", "first_doc_id"])
+                    out.append((doc_id, k1, int(start[a]), int(end[b]), int(at[b] - at[a]) + passage_words, int(chunks_[a : b + 1].max()), int(first[a])))
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "k1", "start", "end", "words", "chunks", "first_doc_id"])
 
     return run
 
@@ -196,34 +222,50 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     Null, empty and blank text has no passage. Repetition within one document alone is none. Rows that share a doc_id are one document.
     Rows without a doc_id can't be named and are left out. An empty table gives no rows.
 
-    Three passes over the texts: digests are pre-aggregated to their smallest and largest document; then only the chunks that a filter of
-    fixed size lets pass meet the repeated digests, in a join that may split a hot digest; then the texts of runs are verified. What
-    gathers by document is bounded by its length.
+    Documents of one text are one text, that of the smallest of them, from there on; if it has words enough, all of it is a passage of each, and
+    further passages are those that a smaller document has. Three passes over the texts: digests are pre-aggregated to their smallest and
+    largest document; then only the chunks that a filter of bounded size lets pass meet the repeated digests, in a join that may split a hot
+    digest; then the texts of runs are verified. What gathers by document is bounded by its length. Columns may have any names.
     """
-    source = id_and_text(docs).where("doc_id is not null")
-    seen = source.mapInArrow(_digests(), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
+    source = id_and_text(docs).where("doc_id is not null").withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    members = written(source.select("doc_id", "k1", "k2").distinct(), "members")
+    copied = written(members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("k1", "k2", "rep"), "copied")
+    further = members.join(copied, ["k1", "k2"])
+    texts = source.join(hinted(further.where("doc_id <> rep").select("doc_id", "k1", "k2"), 48), ["doc_id", "k1", "k2"], "left_anti").select("doc_id", "text", "k1", "k2")
+
+    seen = texts.mapInArrow(_digests(), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     repeated = written(seen.where("first_doc_id <> last").select("digest", "first_doc_id"), "digests")
-    places = source.mapInArrow(_candidates(bloom_words(repeated, "digest")), "digest long, doc_id long, start int, end int, words int")
+    places = texts.mapInArrow(_candidates(bloom_words(repeated, "digest")), "digest long, doc_id long, start int, end int, words int")
     found = places.join(repeated, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "words", "first_doc_id")).alias("found"))
-    runs = written(found.mapInArrow(_runs(min(RUN_WORDS, passage_words)), "doc_id long, start long, end long, words long, chunks long, first_doc_id long"), "passages")
+    runs = written(found.mapInArrow(_runs(min(RUN_WORDS, passage_words)), "doc_id long, start long, end long, words long, chunks long, first_doc_id long"), "runs")
+    discard(repeated)
     by_document = runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "chunks")).alias("runs"))
-    texts = source.mapInArrow(_texts_of(bloom_words(runs, "doc_id")), "doc_id long, text string").where("text is not null").withColumn("copy", F.xxhash64("text"))
-    stretches = texts.join(by_document, "doc_id").mapInArrow(_windows(passage_words), "doc_id long, copy long, at long, start long, end long, chunks long, hash long")
-    windows = written(stretches, "windows")
+    some = texts.select("doc_id", "text").mapInArrow(_texts_of(bloom_words(runs, "doc_id")), "doc_id long, text string").where("text is not null").withColumn("k1", F.xxhash64("text"))
+    windows = written(some.join(by_document, "doc_id").mapInArrow(_windows(passage_words), WINDOWS), "windows")
+    discard(runs)
     shared = written(windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id <> last").select("hash", "first_doc_id"), "shared")
-    by_text = windows.join(shared, "hash").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "start", "end", "chunks", "first_doc_id")).alias("found"))
-    return by_text.select("doc_id", "found").mapInArrow(_spans(passage_words), "doc_id long, start long, end long, words long, chunks long, first_doc_id long")
+    by_text = windows.join(shared, "hash").groupBy("doc_id", "k1").agg(F.collect_list(F.struct("at", "start", "end", "chunks", "first_doc_id")).alias("found"))
+    spans = written(by_text.mapInArrow(_spans(passage_words), "doc_id long, k1 long, start long, end long, words long, chunks long, first_doc_id long"), "spans")
+    discard(windows, shared)
+
+    columns = ["doc_id", "start", "end", "words", "chunks", "first_doc_id"]
+    own = spans.join(hinted(copied.select(F.col("rep").alias("doc_id"), "k1"), 32), ["doc_id", "k1"], "left_anti").select(columns)
+    of_copies = spans.withColumnRenamed("doc_id", "rep").where("first_doc_id <> rep").join(further, ["k1", "rep"]).select(columns)
+    whole = written(texts.join(hinted(copied.select("k1", "k2"), 32), ["k1", "k2"], "left_semi").select("doc_id", "text", "k1", "k2").mapInArrow(_whole(passage_words), "k1 long, k2 long, start long, end long, words long, chunks long").distinct(), "whole")
+    return own.unionByName(of_copies).unionByName(further.withColumnRenamed("rep", "first_doc_id").join(whole, ["k1", "k2"]).select(columns))
 
 
 def drop_repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """docs with repeated passages cut from all documents but the first that has them; other columns stay as they are."""
-    spans = repeated_passages(docs, passage_words).where("doc_id <> first_doc_id").groupBy(F.col("doc_id").alias("cut_")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all_"))
+    """docs with repeated passages cut from all documents but the first that has them; other columns stay as they are, whatever their names. Null and empty
+    texts and rows without a doc_id stay as they are; rows that share a doc_id are one document; an empty table gives no rows."""
+    id_, spans_, raw_ = (fresh(x, docs) for x in ("cut_", "spans_", "raw_"))
+    spans = repeated_passages(docs, passage_words).where("doc_id <> first_doc_id").groupBy(F.col("doc_id").alias(id_)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all_"))
     # overlapping spans are joined
-    spans = spans.select("cut_", F.expr("aggregate(all_, cast(array() as array<struct<start: bigint, end: bigint>>), (a, x) -> if(size(a) > 0 and x.start <= try_element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', try_element_at(a, -1).start, 'end', greatest(try_element_at(a, -1).end, x.end)))), array_append(a, x)))").alias("spans_"))
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    kept = F.expr("concat_ws('', transform(sequence(0, size(spans_)), i -> decode(substring(raw_, if(i = 0, 1, cast(spans_[i - 1].end as int) + 1), if(i = size(spans_), length(raw_), cast(spans_[i].start as int)) - if(i = 0, 0, cast(spans_[i - 1].end as int))), 'UTF-8')))")
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("cut_"), "left").withColumn("raw_", raw)
-    return joined.withColumn("text", F.when(F.col("spans_").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    joined = F.expr("aggregate(all_, cast(array() as array<struct<start: bigint, end: bigint>>), (a, x) -> if(size(a) > 0 and x.start <= try_element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', try_element_at(a, -1).start, 'end', greatest(try_element_at(a, -1).end, x.end)))), array_append(a, x)))")
+    spans = written(spans.select(id_, joined.alias(spans_)), "cuts")
+    kept = F.expr(f"concat_ws('', transform(sequence(0, size({spans_})), i -> decode(substring({raw_}, if(i = 0, 1, cast({spans_}[i - 1].end as int) + 1), if(i = size({spans_}), length({raw_}), cast({spans_}[i].start as int)) - if(i = 0, 0, cast({spans_}[i - 1].end as int))), 'UTF-8')))")
+    out = docs.join(hinted(spans, 128), F.col("doc_id").cast("long") == F.col(id_), "left").withColumn(raw_, F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
+    return out.withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 def substring_dedup_query(docs: DataFrame) -> DataFrame:
