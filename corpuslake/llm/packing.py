@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: ASCII punctuation that the tokenizer always parts from a letter or digit before it. The apostrophe is not among them.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TAILED = re.compile(rb"(?<=[0-9A-Za-z])(?=[" + re.escape(TAIL) + rb"]+(?:\s|\Z))")
@@ -106,6 +106,7 @@ def _pieces(path: str, capacity: int, unit: int) -> Callable:
             columns = zip(*rows, strict=True) if rows else [[]] * 8
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "part", "place"])
+        tokenizer.words.clear()  # workers wait for other tasks with what they hold
 
     return run
 
