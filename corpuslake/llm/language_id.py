@@ -7,17 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, ship
+from .common import LOWER, ship, utf8
 
-HIDDEN, EMBEDDING, LONGEST = 10, 8, 24
-TRAINING_DOCUMENTS, TRAINING_WORDS = 2000, 60_000
-CACHE, TEXTS = 1 << 18, 256
-#: Bytes that are in no word: ASCII other than letters and the apostrophe.
-OUTSIDE = IS_SPACE.copy()
-OUTSIDE[[i for i in range(128) if not (65 <= i <= 90 or 97 <= i <= 122 or i == 39)]] = True
+HIDDEN, EMBEDDING = 8, 8
+TRAINING_DOCUMENTS, TRAINING_WINDOWS, WINDOW_BYTES = 2000, 9000, 64
+STRETCH, CONTEXT, ROWS, STEPS = 1024, 64, 2048, 32
 LETTER = r"\p{L}"
 
 
@@ -123,38 +120,23 @@ class LanguageModel:
         return loss, [de, *grads, *grads_out]
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte matrix and mask of words of up to one length class."""
-    width = max(map(len, words))
-    flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-    return flat, (np.arange(width) < np.array([len(w) for w in words])[:, None]).astype(np.float32)
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte matrix and mask of some short texts."""
+    width = max(map(len, texts))
+    flat = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
+    return flat, (np.arange(width) < np.array([len(t) for t in texts])[:, None]).astype(np.float32)
 
 
-def cut(word: bytes) -> list[bytes]:
-    """A word as stretches of at most LONGEST bytes: no byte is left out."""
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(_TO_SPACE).split()
-
-
-_TO_SPACE = bytes(32 if OUTSIDE[i] else i for i in range(256))
-
-
-def train(texts: list[tuple[bytes, str]], most_words: int = TRAINING_WORDS, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 7) -> LanguageModel:
-    """Fit the network on the words of labelled texts with Adam; each language has about as many words."""
-    langs = sorted({lang for _, lang in texts})
+def train(windows: list[tuple[bytes, str]], most: int = TRAINING_WINDOWS, epochs: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 7) -> LanguageModel:
+    """Fit the network with Adam on windows of labelled texts, every position of which has the text's label; each language has about as many."""
+    langs = sorted({lang for _, lang in windows})
     model = LanguageModel.new(langs, seed)
     rng = np.random.default_rng(seed)
-    by_lang: dict[str, list[bytes]] = {lang: [] for lang in langs}
-    for text, lang in texts:
-        by_lang[lang] += [w for word in words_of(text) for w in cut(word)]
     rows: list[tuple[bytes, int]] = []
     for i, lang in enumerate(langs):
-        words = by_lang[lang]
-        if words:
-            rows += [(words[j], i) for j in rng.integers(0, len(words), most_words // len(langs))]
+        own = sorted(w for w, of in windows if of == lang and w)
+        if own:
+            rows += [(own[j], i) for j in rng.integers(0, len(own), max(batch, most // len(langs)))]
     if not rows or len(langs) < 2:
         return model
     params = model.parameters()
@@ -162,11 +144,10 @@ def train(texts: list[tuple[bytes, str]], most_words: int = TRAINING_WORDS, epoc
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        order = order[np.argsort([len(rows[i][0]) + rng.random() * 3 for i in order], kind="stable")]  # words of about one length share a batch
-        batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-        for k in rng.permutation(len(batches)):
-            words, mask = padded([rows[i][0] for i in batches[k]])
-            _, grads = model.gradients(words, mask, np.array([rows[i][1] for i in batches[k]]))
+        for k in range(0, len(order), batch):
+            some = order[k : k + batch]
+            text, mask = padded([rows[i][0] for i in some])
+            _, grads = model.gradients(text, mask, np.array([rows[i][1] for i in some]))
             step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             scale = min(1.0, 1.0 / (norm + 1e-9))
@@ -178,77 +159,105 @@ def train(texts: list[tuple[bytes, str]], most_words: int = TRAINING_WORDS, epoc
     return model
 
 
-class WordLabels:
-    """For words: summed probabilities, and how many positions are labelled with each language. Words seen before are looked up."""
-
-    def __init__(self, model: LanguageModel):
-        self.model = model
-        self.index: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, len(model.langs)), np.float32)
-        self.tops = np.zeros((1024, len(model.langs)), np.int32)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Label the words of some texts that are not there yet, together."""
-        if len(self.index) > CACHE:
-            self.index.clear()
-        new: set[bytes] = set()
-        for words in texts:
-            new.update(words)
-        if new := sorted(w for w in new if w not in self.index):
-            self._label(new)
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """Row numbers of learned words in sums and tops."""
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-    def _label(self, words: list[bytes]) -> None:
-        at = len(self.index)
-        need = at + len(words)
-        if need > len(self.sums):
-            grown = 1 << (need - 1).bit_length()
-            self.sums, self.tops = (np.concatenate([x, np.zeros((grown - len(x), x.shape[1]), x.dtype)]) for x in (self.sums, self.tops))
-        self.sums[at:need], self.tops[at:need] = 0, 0
-        parts = sorted(((len(p), p, at + i) for i, w in enumerate(words) for p in cut(w)), key=lambda x: x[0])
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            bytes_, mask = padded([p for _, p, _ in some])
-            p = self.model.positions(bytes_, mask)
-            row = np.array([r for _, _, r in some])
-            np.add.at(self.sums, row, (p * mask[:, :, None]).sum(1))
-            top = p.argmax(2)
-            np.add.at(self.tops, row, np.stack([((top == k) * mask).sum(1) for k in range(p.shape[2])], 1).astype(np.int32))
-        for i, w in enumerate(words):
-            self.index[w] = at + i
-
-
-_labels: dict[int, WordLabels] = {}
-
-
-def _predicted(model, langs: list[str]) -> Callable:
+def stretches(offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How texts are read: row, first and last byte read, first and last byte labelled of each stretch. Up to STRETCH + CONTEXT bytes a text is read in
+    one go; a longer one in stretches of STRETCH bytes, with CONTEXT more on both sides for the states to settle."""
+    n = np.diff(offsets)
+    parts = np.maximum(1, -(-(n - CONTEXT) // STRETCH)) * (n > 0)
+    row = np.repeat(np.arange(len(n)), parts)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = k * STRETCH
+    end = np.where(k == parts[row] - 1, n[row], start + STRETCH)
+    return row, offsets[row] + np.maximum(0, start - CONTEXT), offsets[row] + np.minimum(n[row], end + CONTEXT), offsets[row] + start, offsets[row] + end
+
+
+def _step(table: np.ndarray, u: np.ndarray, codes: np.ndarray, h: np.ndarray) -> None:
+    """One byte further, in place; the gates' parts of table and u are halved, as sigmoid(x) = (tanh(x / 2) + 1) / 2."""
+    x = table.take(codes, 0)
+    hu = h @ u
+    gates = x[:, : 2 * HIDDEN]
+    gates += hu[:, : 2 * HIDDEN]
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    c = gates[:, :HIDDEN] * hu[:, 2 * HIDDEN :]
+    c += x[:, 2 * HIDDEN :]
+    np.tanh(c, out=c)
+    h -= c
+    h *= gates[:, HIDDEN:]
+    h += c
+
+
+def _halved(model: LanguageModel, gru: Gru) -> tuple[np.ndarray, np.ndarray]:
+    table, u = (model.embedding @ gru.w + gru.b).astype(np.float32), gru.u.astype(np.float32)
+    half = np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, np.float32(0.5), np.float32(1))
+    return table * half, u * half
+
+
+def label_texts(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """For each text (data from offset to offset): the sums of its positions' probabilities, and how many positions are labelled with each language.
+
+    All bytes are read, lower-cased (A-Z). Stretches of about one length go together, so that a step of the network serves up to `rows` of them."""
+    low = LOWER[data]
+    sums, tops = np.zeros((len(offsets) - 1, len(model.langs))), np.zeros((len(offsets) - 1, len(model.langs)), np.int64)
+    row, first, last, begin, end = stretches(offsets)
+    order = np.argsort(first - last, kind="stable")  # longest first
+    (ft, fu), (bt, bu) = _halved(model, model.forward), _halved(model, model.backward)
+    out_f, out_b, bias = (x.astype(np.float32) for x in (model.out[:HIDDEN], model.out[HIDDEN:], model.bias))
+    for at in range(0, len(order), rows):
+        some = order[at : at + rows]
+        lengths = last[some] - first[some]
+        codes = np.zeros((len(some), int(lengths[0])), np.uint8)
+        for i, j in enumerate(some):
+            codes[i, : lengths[i]] = low[first[j] : last[j]]
+        codes = np.ascontiguousarray(codes.T)
+        active = np.searchsorted(-lengths, -np.arange(len(codes)), "left")  # rows longer than t
+        states, h = np.zeros((len(codes), len(some), HIDDEN), np.float32), np.zeros((len(some), HIDDEN), np.float32)
+        for t, n in enumerate(active):
+            _step(ft, fu, codes[t, :n], h[:n])
+            states[t, :n] = h[:n]
+        h[:] = 0
+        total, top = np.zeros((len(some), len(model.langs))), np.zeros((len(some), len(model.langs)), np.int64)
+        own_first, own_end = begin[some] - first[some], end[some] - first[some]
+        for stop in range(len(codes), 0, -STEPS):
+            start = max(0, stop - STEPS)
+            width = active[start]
+            back = np.zeros((stop - start, width, HIDDEN), np.float32)
+            for t in range(stop - 1, start - 1, -1):
+                n = active[t]
+                _step(bt, bu, codes[t, :n], h[:n])
+                back[t - start, :n] = h[:n]
+            time = np.arange(start, stop)[:, None]
+            own = (own_first[:width] <= time) & (time < own_end[:width])
+            score = (states[start:stop, :width].reshape(-1, HIDDEN) @ out_f + back.reshape(-1, HIDDEN) @ out_b + bias).T.copy()
+            best, most = np.zeros(score.shape[1], np.int64), score[0].copy()
+            for k in range(1, len(score)):
+                best[score[k] > most] = k
+                np.maximum(most, score[k], out=most)
+            np.exp(score, out=score)
+            score *= own.ravel() / score.sum(0)
+            total[:width] += score.reshape(len(score), -1, width).sum(1).T
+            at_row = np.broadcast_to(np.arange(width), own.shape)[own]
+            top[:width] += np.bincount(at_row * len(score) + best[own.ravel()], minlength=width * len(score)).reshape(width, -1)
+        np.add.at(sums, row[some], total)
+        np.add.at(tops, row[some], top)
+    return sums, tops
+
+
+def _predicted(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.id not in _labels:
-            _labels.clear()
-            _labels[model.id] = WordLabels(model.value)
-        labels = _labels[model.id]
+        langs = np.array([*model.value.langs, "und"], object)
         for batch in batches:
-            texts, letters = batch.column(1).cast(pa.binary()), batch.column(3).to_pylist()
-            preds, scores, counts = [], [], []
-            for at in range(0, batch.num_rows, TEXTS):
-                some = [words_of(t.as_py() or b"") if letter and langs else [] for t, letter in zip(texts[at : at + TEXTS], letters[at : at + TEXTS], strict=True)]
-                labels.learn(some)
-                for words in some:
-                    if not words:
-                        preds.append("und")
-                        scores.append(0.0)
-                        counts.append([0] * len(langs))
-                        continue
-                    rows = labels.rows(words)
-                    pooled = labels.sums[rows].sum(0, dtype=np.float64)
-                    best = int(pooled.argmax())
-                    preds.append(langs[best])
-                    scores.append(min(1.0, float(pooled[best] / pooled.sum())))
-                    counts.append(labels.tops[rows].sum(0).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "held_out", "lang_pred", "score", "positions"])
+            letter = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & (len(langs) > 1)
+            data, offsets = utf8(batch.column(1))
+            sizes = np.diff(offsets)
+            data = data[np.repeat(letter, sizes)]
+            sums, tops = label_texts(model.value, data, np.r_[0, np.cumsum(sizes * letter)])
+            whole = sums.sum(1)
+            best = sums.argmax(1) if len(langs) > 1 else np.zeros(len(sums), np.int64)
+            score = np.where(whole > 0, np.take_along_axis(sums, best[:, None], 1)[:, 0] / np.maximum(whole, 1e-30), 0.0) if len(langs) > 1 else np.zeros(len(sums))
+            preds = langs[np.where(letter, best, len(langs) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(preds.tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(tops.tolist(), pa.list_(pa.int64()))], names=["doc_id", "held_out", "lang_pred", "score", "positions"])
 
     return run
 
@@ -258,31 +267,33 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> LanguageModel:
-    """The network, trained on a bounded sample: of the rows with a language that are not held out, `documents` at most, first by a hash of
-    doc_id, spread evenly over the languages. Whole texts are read, and of each language's words TRAINING_WORDS / languages are drawn."""
+    """The network, trained on a bounded sample: of the rows with a language that are not held out, documents / languages of each language (20 at
+    least), first by a hash of doc_id. Of their whole texts windows of WINDOW_BYTES bytes are taken evenly, and TRAINING_WINDOWS of all are drawn. The
+    driver holds a row for each language and the sample."""
     ship(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    chosen: list = []
-    for lang in langs:
-        chosen += rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(max(20, documents // len(langs))).collect()
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id,) for r in chosen], "wanted long").distinct()
-    texts = docs.where(F.col("lang").isNotNull()).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
-    per_text = TRAINING_WORDS * 40 // max(1, len(chosen))
-    return train([(t, lang) for t, lang in texts.mapInArrow(_word_sample(per_text), "text binary, lang string").toLocalIterator()])
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("wanted"), F.col("lang").cast("string").alias("of"))
+    langs = known.select("of").distinct().count()
+    each = max(20, documents // max(1, langs))
+    nth = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("wanted"), "wanted"))
+    chosen = known.where("wanted is not null").distinct().withColumn("nth", nth).where(F.col("nth") <= each).select("wanted", "of")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
+    texts = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("wanted")) & (F.col("lang") == F.col("of")), "left_semi")
+    per_text = 4 * TRAINING_WINDOWS // max(1, each * max(1, langs)) + 1
+    return train([(w, lang) for w, lang in texts.select("text", "lang").mapInArrow(_windows_of(per_text), "text binary, lang string").toLocalIterator()])
 
 
-def _word_sample(most: int) -> Callable:
-    """Of each text's words, evenly over the whole text, as many as fit in `most` bytes."""
+def _windows_of(most: int) -> Callable:
+    """Of each text at most so many windows, evenly over the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(0):
-                words = words_of(text.as_py() or b"")
-                step = max(1, -(-sum(map(len, words)) // max(most, 1)))
-                out.append(b" ".join(words[::step]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["text", "lang"])
+            out, of = [], []
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                low = (text.as_py() or b"").lower()
+                for start in np.unique(np.linspace(0, max(0, len(low) - WINDOW_BYTES), min(most, len(low) // WINDOW_BYTES + 1)).astype(int)):
+                    out.append(low[start : start + WINDOW_BYTES])
+                    of.append(lang)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(of, pa.string())], names=["text", "lang"])
 
     return run
 
@@ -290,30 +301,20 @@ def _word_sample(most: int) -> Callable:
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, positions for each row of docs.
 
-    The network runs both ways over the bytes of each word (long words in stretches) and labels every position; a document's
-    probabilities are the mean of its positions', lang_pred is the largest, score its probability. positions maps each
-    language to the number of positions labelled so. Only the text is an input.
-    `und`, score 0: a model without languages, null text, text without a letter, and text whose only letters are none that the network sees as a word. Equal texts
-    are predicted alike; a null doc_id is not held out; an empty table gives no rows.
+    The network runs both ways over all bytes of a text and labels every position; a document's probabilities are the mean of its positions',
+    lang_pred is the largest, score its probability. States are carried through a text; one of more than STRETCH + CONTEXT bytes is read in
+    stretches of STRETCH, each with CONTEXT bytes more on both sides, whose labels are not counted. positions maps each language to the
+    number of positions labelled so. Only the text is an input.
+    `und`, score 0: a model without languages, null text, and text without a letter. Equal texts are predicted alike; a null doc_id is not held out;
+    an empty table gives no rows. Other columns are not read.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("letter"))
-    found = source.mapInArrow(_predicted(_Shared(shared), model.langs), "doc_id long, held_out boolean, lang_pred string, score double, positions array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.col("text").rlike(LETTER).alias("letter"))
+    found = source.mapInArrow(_predicted(shared), "doc_id long, held_out boolean, lang_pred string, score double, positions array<long>")
     names = F.array(*map(F.lit, model.langs)) if model.langs else F.array().cast("array<string>")
     return found.withColumn("positions", F.map_from_arrays(names, "positions"))
 
 
-class _Shared:
-    """A broadcast value with a stable name."""
-
-    def __init__(self, value):
-        self.held, self.id = value, value._jbroadcast.id() if value._jbroadcast is not None else 0
-
-    @property
-    def value(self):
-        return self.held.value
-
-
 def language_id_query(docs: DataFrame) -> DataFrame:
     return identify_languages(docs, fit(docs)).drop("positions")
