@@ -12,10 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import connected_components, smallest_reachable
 
-COSINE, BLOCK, LEAF, GRID_DIMENSIONS, BOX_DIMENSIONS, INTERVALS = 0.95, 4096, 256, 8, 16, 512
+COSINE, BLOCK, LEAF, GRID_DIMENSIONS, BOX_DIMENSIONS, INTERVALS, INTERVAL_BLOCKS = 0.95, 4096, 256, 8, 16, 512, 16
+BORDER = 1e-9
 
 
 def _valid(column: pa.Array) -> list[np.ndarray | None]:
@@ -27,13 +28,18 @@ def _valid(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def _key(v: np.ndarray) -> str:
+    """128 bits in hex that tell vectors apart; -0 is 0."""
+    return hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).hexdigest()
+
+
 def _keys() -> Callable:
     """(vec_id, key, n): key tells equal vectors (null: links with nothing); n is the number of components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _valid(batch.column(1))
-            keys = [None if v is None else hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).hexdigest() for v in vectors]
+            keys = [None if v is None else _key(v) for v in vectors]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array([0 if v is None else len(v) for v in vectors], pa.int32())], names=["vec_id", "key", "n"])
 
     return run
@@ -72,16 +78,20 @@ def principal_axes(vectors: DataFrame, dimensions: int) -> np.ndarray:
     return np.linalg.eigh(moment.reshape(dimensions, dimensions))[1][:, ::-1].copy()
 
 
+def _as_lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel(), kind))
+
+
 def _celled(axes: np.ndarray, epsilon: float) -> Callable:
-    """(rep, copies, cell, vector): the grid cell on the leading axes and the unit vector turned onto the axes."""
+    """(key, cell, lead, vector) of valid vectors: the grid cell on the leading axes, the unit vector's place on more of them, and the unit vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _valid(batch.column(2))
-            turned = _unit(vectors, len(axes)) @ axes
-            cells = np.floor(turned[:, :GRID_DIMENSIONS] / epsilon).astype(np.int32)
-            as_list = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel(), t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), as_list(cells, pa.int32()), as_list(turned, pa.float64())], names=["rep", "copies", "cell", "vector"])
+            vectors = [v for v in _valid(batch.column(1)) if v is not None]
+            unit = _unit(vectors, len(axes))
+            lead = unit @ axes[:, :BOX_DIMENSIONS]
+            cells = np.floor(lead[:, :GRID_DIMENSIONS] / epsilon).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([_key(v) for v in vectors], pa.string()), _as_lists(cells, pa.int32()), _as_lists(lead, pa.float64()), _as_lists(unit, pa.float64())], names=["key", "cell", "lead", "vector"])
 
     return run
 
@@ -91,22 +101,22 @@ def _blocks(dimensions: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        reps, copies, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dimensions))
+        nodes, copies = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        leads, rows = np.zeros((0, min(BOX_DIMENSIONS, dimensions))), np.zeros((0, dimensions))
 
         def block(k: int) -> pa.RecordBatch:
-            x = rows[:k]
-            low, high = x[:, :BOX_DIMENSIONS].min(0), x[:, :BOX_DIMENSIONS].max(0)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([(part << 32) + n], pa.int64()), pa.array([low.tolist()]), pa.array([high.tolist()]), pa.array([reps[:k].tobytes()]), pa.array([copies[:k].tobytes()]), pa.array([np.ascontiguousarray(x).tobytes()])], names=["part", "block", "low", "high", "reps", "copies", "data"])
+            x = leads[:k]
+            data = [np.ascontiguousarray(y[:k]).tobytes() for y in (nodes, copies, leads, rows)]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([(part << 32) + n], pa.int64()), pa.array([x.min(0).tolist()]), pa.array([x.max(0).tolist()]), *(pa.array([d]) for d in data)], names=["part", "block", "low", "high", "nodes", "copies", "lead", "data"])
 
         for batch in batches:
-            reps = np.concatenate([reps, batch.column(0).to_numpy(zero_copy_only=False)])
-            copies = np.concatenate([copies, batch.column(1).to_numpy(zero_copy_only=False)])
-            rows = np.concatenate([rows, batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)])
-            while len(reps) >= BLOCK:
+            nodes, copies = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((nodes, copies)))
+            leads, rows = (np.concatenate([x, batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, x.shape[1])]) for i, x in ((2, leads), (3, rows)))
+            while len(nodes) >= BLOCK:
                 yield block(BLOCK)
-                reps, copies, rows, n = reps[BLOCK:], copies[BLOCK:], rows[BLOCK:], n + 1
-        if len(reps):
-            yield block(len(reps))
+                nodes, copies, leads, rows, n = nodes[BLOCK:], copies[BLOCK:], leads[BLOCK:], rows[BLOCK:], n + 1
+        if len(nodes):
+            yield block(len(nodes))
 
     return run
 
@@ -117,17 +127,17 @@ def box_distance2(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high
     return (gap * gap).sum(-1)
 
 
-def join_intervals(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def join_intervals(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of a and b whose cosine reaches the bound (same: a is b, each pair once). Intervals that boxes prove distant are skipped, others are
-    halved down to LEAF rows; there the leading axes alone rule out most pairs, and the rest is computed whole in double precision."""
+    halved down to LEAF rows; there the leading axes alone rule out most pairs, and the rest is computed whole in double precision. Within BORDER of
+    the bound, products are summed anew in the order of the components, so that a pair is decided alike wherever it stands."""
     epsilon2 = 2 - 2 * cosine + 1e-9
-    lead = min(BOX_DIMENSIONS, a.shape[1])
     stack = [(0, len(a), 0, len(b))]
     while stack:
         a0, a1, b0, b1 = stack.pop()
         if same and b1 <= a0:
             continue
-        x, y = a[a0:a1, :lead], b[b0:b1, :lead]
+        x, y = lead_a[a0:a1], lead_b[b0:b1]
         if box_distance2(x.min(0), x.max(0), y.min(0), y.max(0)) > epsilon2:
             continue
         if a1 - a0 > LEAF or b1 - b0 > LEAF:
@@ -143,27 +153,29 @@ def join_intervals(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> I
                 c = (a[a0:a1] @ b[b0:b1].T)[i, j]
             else:
                 c = np.einsum("ij,ij->i", a[a0 + i], b[b0 + j])
+            edge = np.flatnonzero(np.abs(c - cosine) <= BORDER)
+            c[edge] = np.add.accumulate(a[a0 + i[edge]] * b[b0 + j[edge]], axis=1)[:, -1]
             ok = c >= cosine
             if ok.any():
                 yield a0 + i[ok], b0 + j[ok]
 
 
 def _joined(dimensions: int, cosine: float) -> Callable:
-    """From pairs of blocks: (a, null, links) how many vectors each representative links with, and (a, b, null) enough links to connect all
+    """From pairs of blocks: (a, null, links) how many vectors each node links with, and (a, b, null) enough links to connect all
     that are connected within the pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
-                ids, copies, data = [], [], []
+                ids, copies, leads, data = [], [], [], []
                 for side in (0, 1):
-                    ids.append(np.frombuffer(batch.column(2 + 3 * side)[row].as_py(), np.int64))
-                    copies.append(np.frombuffer(batch.column(3 + 3 * side)[row].as_py(), np.int64))
-                    data.append(np.frombuffer(batch.column(4 + 3 * side)[row].as_py(), np.float64).reshape(-1, dimensions))
+                    for k, (held, kind, width) in enumerate(((ids, np.int64, 0), (copies, np.int64, 0), (leads, np.float64, min(BOX_DIMENSIONS, dimensions)), (data, np.float64, dimensions))):
+                        x = np.frombuffer(batch.column(2 + 4 * side + k)[row].as_py(), kind)
+                        held.append(x.reshape(-1, width) if width else x)
                 links = [np.zeros(len(x), np.int64) for x in ids]
                 edges = []
-                for i, j in join_intervals(data[0], data[1], same, cosine):
+                for i, j in join_intervals(*data, *leads, same, cosine):
                     np.add.at(links[0], i, copies[1][j])
                     np.add.at(links[1], j, copies[0][i])
                     nodes, root = smallest_reachable(ids[0][i], ids[1][j])
@@ -183,8 +195,8 @@ def _joined(dimensions: int, cosine: float) -> Callable:
 def near_block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """(x, y), x <= y, of blocks whose boxes are at most epsilon apart.
 
-    First intervals (the blocks of one range partition, INTERVALS at most) are compared on the driver by their boxes; then the blocks of
-    each pair of near intervals, in a join on the interval."""
+    First intervals (the blocks of one range partition: INTERVAL_BLOCKS, fewer while that gives no more than INTERVALS) are compared on the driver by
+    their boxes; then the blocks of each pair of near intervals, in a join on the interval."""
     boxes = blocks.select("part", "block", "low", "high")
     found = boxes.select("part", F.posexplode(F.arrays_zip("low", "high"))).groupBy("part", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high")).collect()
     parts = sorted({r.part for r in found})
@@ -205,10 +217,12 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding): vectors link when their cosine is at least the bound.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. A shorter vector counts as padded
-    with zeros. Equal vectors link with each other and are one representative with a number of copies from there on. A row with a null
-    vec_id is not compared (n_links 0, component_id null, kept true). Rows that share a vec_id count each in n_links. An empty table gives no rows.
+    with zeros. Equal vectors link with each other and are one node with a number of copies from there on, told by 128 bits of hash and numbered by 64.
+    A row with a null vec_id is not compared (n_links 0, component_id null, kept true). Rows that share a vec_id count each in n_links, and each has
+    the links of its own vector. A pair at the bound counts as linked, and is decided alike in any order of rows. An empty table gives no
+    rows. Other columns are not read.
 
-    Unit vectors are turned onto the principal axes of all rows, so that distances stay and the leading axes tell most. They are
+    Unit vectors are placed on the principal axes of all rows, so that distances stay and the leading axes tell most. They are
     range-partitioned and sorted by their grid cells of side epsilon = sqrt(2 - 2 cosine) on the leading axes, and cut into blocks with boxes.
     Pairs of intervals, then of blocks, whose boxes are further apart than epsilon are skipped; a task joins two blocks recursively,
     counts links and emits them as a forest, so no group is expanded into pairs of rows.
@@ -216,26 +230,31 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     spark = vectors.sparkSession
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     rows = written(source.mapInArrow(_keys(), "vec_id long, key string, n int"), "keys")
-    groups = written(rows.where("vec_id is not null and key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "representatives")
+    node = F.expr("cast(conv(substring(key, 1, 16), 16, -10) as long)")
+    groups = written(rows.where("vec_id is not null and key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", node), "nodes")
     dimensions = rows.agg(F.max("n")).first()[0] or 0
     if dimensions:
         epsilon = math.sqrt(2 - 2 * cosine)
         axes = principal_axes(source, dimensions)
-        some = source.where("vec_id is not null").join(groups, F.col("vec_id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "copies", "embedding")
-        celled = written(some.mapInArrow(_celled(axes, epsilon), "rep long, copies long, cell array<int>, vector array<double>"), "cells")
-        intervals = max(1, min(INTERVALS, celled.count() // BLOCK))
-        ordered = celled.repartitionByRange(intervals, "cell", "rep").sortWithinPartitions("cell", "rep").select("rep", "copies", "vector")
-        blocks = written(ordered.mapInArrow(_blocks(dimensions), "part long, block long, low array<double>, high array<double>, reps binary, copies binary, data binary"), "blocks")
-        side = lambda s: blocks.select(F.col("block").alias(s), F.col("reps").alias(f"{s}_reps"), F.col("copies").alias(f"{s}_copies"), F.col("data").alias(f"{s}_data"))
+        placed = source.where("vec_id is not null").mapInArrow(_celled(axes, epsilon), "key string, cell array<int>, lead array<double>, vector array<double>").dropDuplicates(["key"])
+        celled = written(placed.join(groups, "key").select("node", "copies", "cell", "lead", "vector"), "cells")
+        n = celled.count()
+        intervals = max(1, min(INTERVALS, n // BLOCK), n // (BLOCK * INTERVAL_BLOCKS))
+        ordered = celled.repartitionByRange(intervals, "cell", "node").sortWithinPartitions("cell", "node").select("node", "copies", "lead", "vector")
+        blocks = written(ordered.mapInArrow(_blocks(dimensions), "part long, block long, low array<double>, high array<double>, nodes binary, copies binary, lead binary, data binary"), "blocks")
+        held = ("nodes", "copies", "lead", "data")
+        side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in held))
         pairs = near_block_pairs(blocks, epsilon).repartition(F.col("x"), F.col("y")).join(side("x"), "x").join(side("y"), "y")
-        found = written(pairs.select("x", "y", "x_reps", "x_copies", "x_data", "y_reps", "y_copies", "y_data").mapInArrow(_joined(dimensions, cosine), "a long, b long, links long"), "links")
+        found = written(pairs.select("x", "y", *(f"{s}_{c}" for s in "xy" for c in held)).mapInArrow(_joined(dimensions, cosine), "a long, b long, links long"), "links")
+        discard(celled, blocks)
     else:
         found = spark.createDataFrame([], "a long, b long, links long")
-    degrees = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    components = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    named = written(groups.join(degrees, "rep", "left").join(components, "rep", "left").select("key", "rep", "copies", "links", "component"), "groups")
-    out = rows.join(named, "key", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
+    degrees = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    components = connected_components(found.where("b is not null").select("a", "b"))
+    named = written(groups.join(degrees, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = rows.join(named.join(smallest, "component").select("key", "copies", "links", "component_id"), "key", "left")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     n_links = F.when(F.col("vec_id").isNull() | F.col("key").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
