@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -33,6 +35,7 @@ NOTICES = {
 TAGS = ("spdx license identifier", "license expression")
 #: Families of licence identifiers, by the start of the identifier.
 FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "isc": "isc", "bsl": "bsl", "cc0": "cc0", "cc-by": "cc-by", "unlicense": "unlicense"}
+KNOWN = frozenset(FAMILIES.values())
 PERMISSIVE = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc0", "cc-by", "unlicense", "public-domain"})
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -123,21 +126,27 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
     if not any(map(joined.__contains__, ANCHORS)):
         return len(words), 0, None, None, "", "", 0.0, None, None
     line = f" {joined.decode()} "
-    starts: list[int] = []
+    found: list[int] = []  # the phrases' first characters
     base, labels, tagged = set(), set(), False
     for end, (kind, phrase, label) in machine.iter(line):
         if kind == "base":
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            found.append(end - len(phrase))
             base.add(label)
         elif kind == "notice":
             labels.add(label)
         else:
             tagged = True
+    starts = []
+    if found:
+        places = [0, *accumulate(len(w) + 1 for w in line[1:-1].split(" "))]
+        starts = [bisect_left(places, at - 1) for at in found]
     expressions, allowed = [], None
     heads = list(TAG.finditer(low)) if tagged else []
     for head, then in zip(heads, [h.start() for h in heads[1:]] + [len(low)], strict=False):
         if postfix := to_postfix(low[head.end() : LINE_END.search(low, head.end(), then).start()].decode(errors="ignore")):
             named, met = evaluate(postfix)
+            if not (named := {x for x in named if x in KNOWN or any(c in "-.0123456789" for c in x)}):
+                continue  # a word that names no licence
             labels |= named
             allowed = met if allowed is None else allowed and met
             expressions.append(" ".join(postfix))
@@ -163,7 +172,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. n_base counts the places of the contract's
     phrases, overlapping ones too; first_word and last_word are their smallest and largest start. labels adds other notices and the
-    licences of SPDX tags; expressions holds the tags' expressions in postfix order, permissive whether all can be met with permissive
+    licences of SPDX tags: known families, and other words with a digit, point or hyphen. expressions holds the tags' expressions in postfix order, permissive whether all can be met with permissive
     licences (null without a tag). score: 1 with a phrase or a tag, 0.8 with other notices only, else 0.
     Null text is empty: no words, score 0. Repeated rows are scanned each; a null doc_id is carried; an empty table gives no rows. Each row
     is read whole and alone: no shuffle.
