@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslake.llm import components, embedding_join, exact_dedup, ngram_join, substring_dedup
 
@@ -101,8 +102,6 @@ def test_later_rounds_see_whole_lists(spark):
 
 def test_signatures_that_hash_alike_drop_no_pair(spark):
     """Sets 1 and 2 share one list only, and each stands in one of two lists whose names hash to the same smaller value."""
-    from pyspark.sql import functions as F
-
     named = spark.range(400000).select(F.xxhash64("id").alias("id"))
     alike = named.groupBy(F.hash("id").alias("h")).agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").orderBy("h").first()
     shared = spark.range(1000000, 1001000).where(F.hash("id") > alike.h).first().id
@@ -269,6 +268,26 @@ def test_embedding_join(spark, monkeypatch, block, leaf):
             assert (r.n_links, r.component_id, r.kept) == (degree[r.vec_id], component[r.vec_id], component[r.vec_id] == r.vec_id), r
 
 
+def test_one_id_of_several_vectors(spark):
+    """Each row has the links of its own vector; component_id is the smallest id that any vector of the component has."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_join.near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_pairs_at_the_bound_do_not_depend_on_order(spark):
+    """Many pairs within rounding of the bound."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        u, v = np.linalg.qr(rng.standard_normal((12, 2)))[0].T
+        rows += [(2 * i, u.tolist()), (2 * i + 1, (0.95 * u + np.sqrt(1 - 0.95**2) * v).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    first, again = (sorted(embedding_join.near_duplicate_vectors(d).collect()) for d in (df, df.orderBy(F.desc("vec_id")).repartition(5)))
+    assert first == again
+
+
 def test_empty(spark, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0

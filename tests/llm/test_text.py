@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -163,6 +164,34 @@ def test_quality_parts_good_from_bad(spark):
     assert held > 0
 
 
+def test_quality_is_counted_and_ranked_plainly(docs, labels, spark):
+    """Counts, ratios, noise and the k-th key, one document at a time."""
+    rows = docs.select("doc_id", "text", F.expr("(pmod(xxhash64('quality', doc_id), 4503599627370496L) + 0.5) / 4503599627370496D").alias("u")).collect()
+    marks = collections.defaultdict(int)
+    for r in labels.collect():
+        marks[r.doc_id] = max(marks[r.doc_id], r.quality)
+    half = quality.BUCKETS // 2
+    raw, target = [1.0] * (2 * half), [1.0] * (2 * half)
+    grams = []
+    for r in rows:
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        grams.append(quality.features(data, np.array([0, len(data)]))[1].tolist())
+        for g in grams[-1]:
+            raw[g] += 1
+            target[g] += marks[r.doc_id] == 1
+    sums = [(sum(x[:half]), sum(x[half:])) for x in (target, raw)]
+    ratio = [math.log(target[g] / sums[0][g >= half]) - math.log(raw[g] / sums[1][g >= half]) for g in range(2 * half)]
+    scores, _, level, cut = quality._decide(docs.select("doc_id", "text"), labels, quality.LABELLED, quality.BUCKETS)
+    expected = [(sum(ratio[g] for g in own), len(own), r.u) for own, r in zip(grams, rows, strict=True)]
+    k = sum(s >= level * n for s, n, _ in expected)
+    keys = sorted((s - level * n - math.log(-math.log(u)) for s, n, u in expected), reverse=True)
+    assert 0 < k < len(rows) and cut == pytest.approx(keys[k - 1], rel=1e-6, abs=1e-6)
+    got = sorted((str(r.doc_id), r.n_grams, r.log_ratio, r.kept) for r in quality.quality_scores(docs, labels).collect())
+    plain = sorted((str(r.doc_id), n, s, s - level * n - math.log(-math.log(u)) >= keys[k - 1] - 1e-9) for (s, n, u), r in zip(expected, rows, strict=True))
+    for x, y in zip(got, plain, strict=True):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], rel=1e-6, abs=1e-6) and x[3] == y[3]
+
+
 def test_quality_hard_rows(docs, labels, empty, spark):
     scored = quality.quality_scores(docs, labels)
     assert scored.count() == docs.count()
@@ -301,6 +330,10 @@ def test_long_and_neighbouring_tags():
     assert got[5] == "isc,mit,mpl" and got[6] == 1.0 and got[8] is False
     got = license_scan.scan(b"SPDX-License-Identifier: MIT */ SPDX-License-Identifier: EPL-2.0 and SPDX-License-Identifier: ISC", machine)
     assert got[5] == "epl,isc,mit" and got[7] == "mit; epl-2.0; isc"
+    assert license_scan.scan(b"SPDX-License-Identifier: see file", machine)[5:8] == ("", 0.0, None)
+    assert license_scan.scan(b"SPDX-License-Identifier: MIT and that", machine)[5] == "mit"
+    many = license_scan.scan(b"cc by " * 200_000, machine)
+    assert many[:4] == (400_000, 200_000, 0, 399_998)
 
 
 def base_secrets(t):
