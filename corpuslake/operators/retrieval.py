@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules
 from ..functions.text import cosine, first_match, l2_normalize, tokens
+from ..session import ship
 
 #: Retrieval sizes and weights of production settings.
 TOP_K, DENSE_K, LEXICAL_K, RERANK_K, THRESHOLD, RRF_K = 6, 18, 20, 3, 0.65, 60
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BROADCAST_QUESTIONS = 20_000
+BROADCAST_QUESTIONS, BROADCAST_ROWS = 20_000, 500_000
 
 
 def detect_intent(question):
@@ -31,19 +35,33 @@ def inverted_index(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, index: DataFrame, question_key: str, key: str, text: str) -> DataFrame:
-    """question_key, key, score (Okapi BM25, six decimals) of all texts above 0.
+def word_lists(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """key, words: the words of each text in order, for bm25(). Worth writing once, as bm25() reads it three times."""
+    return chunks.select(key, tokens(F.col(text)).alias("words"))
 
-    Query words count as often as they stand; a word in more than half of the texts has a quarter of the mean idf. Postings meet the
-    questions in one join on the word; only words of questions get that far, as the join drops the rest before scores are summed."""
-    lengths = index.groupBy(key).agg(F.sum("tf").alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; else Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def bm25(questions: DataFrame, lists: DataFrame, question_key: str, key: str, text: str) -> DataFrame:
+    """question_key, key, score (Okapi BM25, six decimals) of all texts above 0; lists as word_lists() makes them.
+
+    Query words count as often as they stand; a word in more than half of the texts has a quarter of the mean idf. Lengths are those of the lists;
+    document frequencies are counts of words, summed before they are shuffled; postings are made of asked words only, where the texts are,
+    and carry their text's length, so that scores are summed before the one shuffle by question and text."""
+    held = lists.where(F.size("words") > 0).withColumn("dl", F.size("words"))
+    totals = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    counts = held.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequency = counts.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = frequency.agg(F.avg("raw").alias("mean"))
-    idf = frequency.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = questions.select(question_key, F.explode(tokens(F.col(text))).alias("term")).groupBy(question_key, "term").agg(F.count("*").alias("qtf"))
+    terms = few(asked.select("term").distinct())
+    idf = frequency.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    postings = held.select(key, "dl", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = asked.join(idf, "term").join(index, "term").join(lengths, key)
+    rows = postings.join(few(asked.join(idf, "term")), "term")
     return rows.groupBy(question_key, key).agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
 
 
@@ -52,16 +70,21 @@ def top(hits: DataFrame, question_key: str, key: str, k: int, score: str = "scor
     return hits.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense_topk(questions: DataFrame, index: DataFrame, question_key: str, key: str, vector: str, k: int = DENSE_K, threshold: float = THRESHOLD) -> DataFrame:
-    """question_key, key, score, rank: the best vectors by cosine from the threshold on. The questions (a stated query set, in blocks of
-    BROADCAST_QUESTIONS) are compared with all rows of the index, which streams past them; scores below go before the top-k."""
+def dense_hits(questions: DataFrame, index: DataFrame, question_key: str, key: str, vector: str, threshold: float = THRESHOLD) -> DataFrame:
+    """question_key, key, score: all vectors of the index whose cosine with a question's reaches the threshold. The questions, a stated query set, are
+    broadcast in blocks of at most BROADCAST_QUESTIONS; the rows of the index stream past each block."""
     unit = lambda df, c, name: df.select(F.col(c), l2_normalize(F.col(vector)).alias(name))
     asked, held = unit(questions, question_key, "_q"), unit(index, key, "_v")
-    if questions.count() <= BROADCAST_QUESTIONS:
-        asked = F.broadcast(asked)
+    blocks = -(-asked.count() // BROADCAST_QUESTIONS)
     dot = F.round(F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
-    hits = held.join(asked).select(question_key, key, dot.alias("score")).where(F.col("score") >= threshold)
-    return top(hits, question_key, key, k)
+    block = lambda i: asked if blocks < 2 else asked.where(F.pmod(F.xxhash64(question_key), F.lit(2 * blocks)) == i)
+    parts = [held.join(F.broadcast(block(i))).select(question_key, key, dot.alias("score")).where(F.col("score") >= threshold) for i in range(1 if blocks < 2 else 2 * blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dense_topk(questions: DataFrame, index: DataFrame, question_key: str, key: str, vector: str, k: int = DENSE_K, threshold: float = THRESHOLD) -> DataFrame:
+    """question_key, key, score, rank: the best vectors by cosine from the threshold on; scores below go before the top-k."""
+    return top(dense_hits(questions, index, question_key, key, vector, threshold), question_key, key, k)
 
 
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, question_key: str, key: str, k: int = RRF_K) -> DataFrame:
@@ -121,10 +144,45 @@ def overlap_scores(questions: DataFrame, index: DataFrame, question_key: str, ke
     return asked.select(question_key, "n", F.explode("w").alias("term")).join(index, "term").groupBy(question_key, key, "n").agg(F.count("*").alias("m")).select(question_key, key, F.round(F.col("m") / F.col("n"), 6).alias("score"))
 
 
-def reuse_answers(log: DataFrame, key: str, ts: str, order: str, ttl: str = "6 hours") -> DataFrame:
-    """log with `reused`: whether the question before of the same key is at most ttl old."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, order))
-    return log.withColumn("reused", F.coalesce(F.col(ts) <= before + F.expr(f"interval {ttl}"), F.lit(False)))
+def _reused(key: int, ts: int, ttl_us: int) -> Callable:
+    """Rows sorted by key and time, with `reused`; only the last answer stored is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stored = object(), None
+        for batch in batches:
+            flags = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(ts).cast(pa.int64()).to_pylist(), strict=True):
+                if k != last:
+                    last, stored = k, None
+                fits = t is not None and stored is not None and t <= stored + ttl_us
+                flags.append(fits)
+                if not fits and t is not None:
+                    stored = t
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "reused"])
+
+    return run
+
+
+def reuse_answers(log: DataFrame, key: str, ts: str, order: str, ttl_hours: float = 6) -> DataFrame:
+    """log with `reused`: whether an answer stored for the key at most ttl_hours before is there. An answer that is reused is not stored again, so its
+    time does not start anew. A row without a time is neither. Rows are dealt by key and sorted; a key's rows stream through a task."""
+    ship(log.sparkSession)
+    rows = log.repartition(key).sortWithinPartitions(key, ts, order)
+    schema = T.StructType([*log.schema.fields, T.StructField("reused", T.BooleanType())])
+    return rows.mapInArrow(_reused(log.columns.index(key), log.columns.index(ts), int(ttl_hours * 3_600_000_000)), schema)
+
+
+def suggest(log: DataFrame, asked: DataFrame, group: str, question: str, k: int = 5) -> DataFrame:
+    """asked, with a row (question, n, rank) for each of the k questions that stand most often in the log of its group; in that of all groups where
+    its own has none."""
+    counts = log.where(F.col(group).isNotNull()).groupBy(group, question).agg(F.count("*").alias("n"))
+    everyone = counts.groupBy(question).agg(F.sum("n").alias("n")).withColumn(group, F.lit(None).cast(log.schema[group].dataType))
+    lists = counts.unionByName(everyone)
+    best = Window.partitionBy(group).orderBy(F.desc("n"), question)
+    lists = lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumnRenamed(group, "_group")
+    known = counts.select(F.col(group).alias("_known")).distinct()
+    rows = asked.join(known, F.col(group) == F.col("_known"), "left")
+    return rows.join(lists, F.col("_known").eqNullSafe(F.col("_group"))).select(*asked.columns, question, "n", "rank")
 
 
 def dense_topk_lsh(questions: DataFrame, index: DataFrame, question_key: str, key: str, vector: str, k: int = TOP_K, threshold: float = THRESHOLD, tables: int = 24, bucket: float = 1.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,19 +116,51 @@ def settle_one_of(rows: DataFrame, fields: list[Field]) -> DataFrame:
     return rows
 
 
+def formula_value(formula: str, of: Callable[[str], Column]) -> Column:
+    """A formula of [references], numbers, + - * / and brackets as an expression; null where a divisor is 0 or an input is missing."""
+    parts = re.findall(r"\[[^\]]+\]|\d+(?:\.\d+)?|[-+*/()]|\S", formula)
+
+    def take(*wanted: str) -> str | None:
+        return parts.pop(0) if parts and parts[0] in wanted else None
+
+    def factor() -> Column:
+        if sign := take("-", "+"):
+            return -factor() if sign == "-" else factor()
+        if take("("):
+            inner = total()
+            if not take(")"):
+                raise ValueError(f"not a formula: {formula}")
+            return inner
+        part = parts.pop(0) if parts else ""
+        if part.startswith("["):
+            return of(part[1:-1])
+        if not re.fullmatch(r"\d+(?:\.\d+)?", part):
+            raise ValueError(f"not a formula: {formula}")
+        return F.lit(float(part))
+
+    def product() -> Column:
+        out = factor()
+        while sign := take("*", "/"):
+            out = out * factor() if sign == "*" else F.try_divide(out, factor())
+        return out
+
+    def total() -> Column:
+        out = product()
+        while sign := take("+", "-"):
+            out = out + product() if sign == "+" else out - product()
+        return out
+
+    result = total()
+    if parts:
+        raise ValueError(f"not a formula: {formula}")
+    return result
+
+
 def calc_fields(rows: DataFrame, fields: list[Field]) -> DataFrame:
-    """Formulas of [references], numbers, + - * / and brackets, in display order; no answer where an input is missing or a divisor is 0."""
+    """Formulas in display order, to four places; no answer where an input is missing, a divisor is 0 or the result is not finite."""
     for f in sorted((f for f in fields if f.formula), key=lambda f: f.order or 0):
-        bare = re.sub(r"\[[^\]]+\]", "1", f.formula)
-        if not re.fullmatch(r"[\d\s.+\-*/()]+", bare):
-            raise ValueError(f"not a formula: {f.formula}")
-        refs = list(dict.fromkeys(re.findall(r"\[([^\]]+)\]", f.formula)))
-        rows = rows.withColumns({f"_v{i}": parse_number(value(k)).cast("double") for i, k in enumerate(refs)})
-        expression = f.formula
-        for i, k in enumerate(refs):
-            expression = expression.replace(f"[{k}]", f"_v{i}")
-        expression = re.sub(r"/\s*(_v\d+)", r"/ nullif(\1, 0)", expression)
-        rows = rows.withColumn("answers", put(f.key, F.round(F.expr(expression), 4).cast("decimal(38,4)").cast("string"))).drop(*(f"_v{i}" for i in range(len(refs))))
+        number = formula_value(f.formula, lambda k: parse_number(value(k)).cast("double"))
+        rows = rows.withColumn("answers", put(f.key, F.round(number, 4).try_cast("decimal(38,4)").cast("string")))
     return rows
 
 
@@ -151,15 +184,15 @@ def required_missing(rows: DataFrame, fields: list[Field], key: str = "id") -> D
     return rows.select(key, found.alias("missing"))
 
 
-def render_values(rows: DataFrame, fields: list[Field], boxes: int = 12, key: str = "id") -> DataFrame:
-    """A column for each field as printed: skipped and missing ones empty, booleans as X or empty, digits spread over boxes."""
+def render_values(rows: DataFrame, fields: list[Field], key: str = "id") -> DataFrame:
+    """A column for each field as printed: skipped and missing ones empty, booleans as X or empty, digits one a box, all of them."""
     out = []
     for f in fields:
         v = F.coalesce(value(f.key), F.lit(""))
         if f.type == "boolean":
             v = F.when(v == "có", "X").otherwise("")
         elif f.type == "digits":
-            v = F.trim(F.regexp_replace(F.substring(v, 1, boxes), "(.)", "$1 "))
+            v = F.trim(F.regexp_replace(v, "(.)", "$1 "))
         out.append(v.alias(f.key))
     return rows.select(key, *out)
 

@@ -12,6 +12,7 @@ from ..operators import evaluation as E
 from ..operators import retrieval as K
 from ..sources.tables import read_table as T
 from .registry import query
+from .shared import stored
 
 STOP = "(" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + ")"
 WORDS = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}'), lambda x: x not in {STOP})"
@@ -41,7 +42,8 @@ def index(spark, sf):
 
 
 def lexical(spark, sf):
-    return K.top(K.bm25(questions(spark, sf), index(spark, sf), "item_id", "doc_id", "text"), "item_id", "doc_id", K.LEXICAL_K)
+    lists = stored(K.word_lists(T(spark, sf, "documents"), "doc_id", "text"), "words")
+    return K.top(K.bm25(questions(spark, sf), lists, "item_id", "doc_id", "text"), "item_id", "doc_id", K.LEXICAL_K)
 
 
 def dense(spark, sf):
@@ -59,6 +61,11 @@ def reranked(spark, sf):
 
 
 def hits(spark, sf):
+    """The hits with their texts: few, and used several times."""
+    return stored(few_hits(spark, sf), "hits")
+
+
+def few_hits(spark, sf):
     return reranked(spark, sf).select("item_id", "doc_id", "score", "rank").join(T(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("source_name")), "doc_id")
 
 
@@ -107,7 +114,7 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = T(spark, sf, "embeddings").select(F.col("vec_id"), "embedding")
     asked = questions(spark, sf).select("item_id").join(vectors.withColumnRenamed("vec_id", "item_id"), "item_id")
-    return K.dense_topk(asked, vectors, "item_id", "vec_id", "embedding", k=1 << 30, threshold=0.3).drop("rank")
+    return K.dense_hits(asked, vectors, "item_id", "vec_id", "embedding", threshold=0.3)
 
 
 @query("fuse_outer", f"with {BM25_SQL}, {DENSE_SQL} select item_id, doc_id, cast(d.rank as int) as dense_rank, cast(l.rank as int) as lexical_rank from dense d full join lex l using (item_id, doc_id)")
@@ -179,16 +186,26 @@ def _(spark, sf):
     return questions(spark, sf).join(rewrites, "item_id", "left").select("item_id", K.expand_query(F.col("text"), F.col("rewrite")).alias("query"))
 
 
-@query("response_cache", "select event_id, coalesce(ts <= lag(ts) over (partition by user_id, event_type order by ts, event_id) + interval 6 hour, false) as reused from events")
+#: Answers are stored once: the next is the first that comes after the time of the one before.
+CACHE_SQL = """with recursive e as (select event_id, user_id, event_type, ts from events),
+st as (select user_id, event_type, min(ts) as ts from e group by all
+  union all select s.user_id, s.event_type, min(e.ts) from st s join e on e.user_id = s.user_id and e.event_type = s.event_type and e.ts > s.ts + interval 6 hour group by s.user_id, s.event_type, s.ts),
+kept as (select e.user_id, e.event_type, min(e.event_id) as event_id from e join st on e.user_id = st.user_id and e.event_type = st.event_type and e.ts = st.ts group by e.user_id, e.event_type, e.ts)"""
+
+
+@query("response_cache", f"{CACHE_SQL} select event_id, event_id not in (select event_id from kept) as reused from e")
 def _(spark, sf):
     log = T(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"))
     return K.reuse_answers(log, "key", "ts", "event_id").select("event_id", "reused")
 
 
-@query("suggestions", "select c_custkey, coalesce(s.n, 0) as n_suggested from customer left join (select n_nationkey, count(*) as n from nation join benchmark on item_id % 25 = n_nationkey group by 1) s on c_nationkey = n_nationkey")
+@query("suggestions", """with log as (select c_nationkey as nation, o_orderpriority as question, count(*) as n from customer join orders on o_custkey = c_custkey where c_acctbal < -800 group by all),
+every as (select null as nation, question, sum(n) as n from log group by question),
+lists as (select *, row_number() over (partition by nation order by n desc, question) as rank from (select * from log union all select * from every) qualify rank <= 3)
+select s_suppkey, question, cast(l.n as bigint) as n, cast(rank as int) as rank from supplier left join (select distinct nation as known from log) on known = s_nationkey join lists l on l.nation is not distinct from known""")
 def _(spark, sf):
-    suggested = questions(spark, sf).groupBy((F.col("item_id") % 25).alias("c_nationkey")).agg(F.count("*").alias("n"))
-    return T(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey")).join(suggested, "c_nationkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_suggested"))
+    log = T(spark, sf, "customer").where("c_acctbal < -800").join(T(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("s_nationkey"), F.col("o_orderpriority").alias("question"))
+    return K.suggest(log, T(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "question", 3).drop("s_nationkey")
 
 
 PAIRS_SQL = f"""pairs as (select conv_id, a.turn, a.text as answer, u.text as expected, (select string_agg(text, ' ' order by turn) from conversations c where c.conv_id = a.conv_id and c.turn < a.turn) as context

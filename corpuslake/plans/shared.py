@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
@@ -12,3 +12,10 @@ from ..session import shared_dir
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder under the shared one."""
     return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df, written once to a shared folder and read from there: for what a query uses several times."""
+    path = scratch(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,25 +9,34 @@ from ..session import ship
 from ..sources.tables import read_table as T
 from ..streaming import streams as X
 from .registry import query
+from .retrieval import CACHE_SQL
 from .shared import scratch
 
 
+def stream_of(spark, sf, name):
+    """The table as a stream of its files: one file, or a folder of them."""
+    rows = T(spark, sf, name)
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    return X.read_events(spark, folder, rows.schema, glob=None if folder.endswith(f"{name}.parquet") else f"{name}.parquet")
+
+
 def events(spark, sf):
-    path = f"{sf}/events.parquet"
-    return X.read_events(spark, path if not path.endswith(".parquet") else sf, T(spark, sf, "events").schema, glob="events.parquet")
+    return stream_of(spark, sf, "events")
 
 
 @query("stream_reports", "select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2")
 def _(spark, sf):
     out = scratch(spark, "streams")
-    X.run_batches(X.daily_counts(events(spark, sf), "event_type", "60 days"), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), "complete")
-    return spark.read.parquet(out + "/batch=0").select("day", "event_type", "n")
+    X.run_batches(X.daily_counts(events(spark, sf), "event_type", "60 days"), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), "complete")
+    rows = spark.read.schema("day date, event_type string, n long, batch int").parquet(f"{out}/rows")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select("day", "event_type", "n")  # each batch has all counts so far
 
 
-@query("stream_cache", None)
+@query("stream_cache", f"{CACHE_SQL} select event_id, user_id, event_type from kept")
 def _(spark, sf):
+    ship(spark)
     out = scratch(spark, "streams")
-    X.run_once(X.first_answers(events(spark, sf), ["user_id", "event_type"]).select("event_id", "user_id", "event_type"), f"{out}/rows", f"{out}/checkpoint")
+    X.run_once(X.first_answers(events(spark, sf)), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{out}/rows")
 
 
@@ -50,13 +59,14 @@ def _(spark, sf):
 def _(spark, sf):
     ship(spark)
     out = scratch(spark, "streams")
-    X.run_batches(X.conversation_states(events(spark, sf)), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    return spark.read.schema("user_id long, mode string, collected long, complete boolean").option("recursiveFileLookup", "true").parquet(f"{out}/batch=0")
+    X.run_batches(X.conversation_states(events(spark, sf)), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"))
+    rows = spark.read.schema("user_id long, mode string, collected long, complete boolean, batch int").parquet(f"{out}/rows")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("mode", "collected", "complete"), "batch").alias("s")).select("user_id", "s.*")  # as last written
 
 
 @query("stream_ingest", "select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as int) as chunk_index from (select doc_id, substring(text, cast(s as int) + 1, 900) as p, s from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) where length(trim(p)) >= 60")
 def _(spark, sf):
     out = scratch(spark, "streams")
-    docs = X.read_events(spark, sf, T(spark, sf, "documents").schema, glob="documents.parquet")
+    docs = stream_of(spark, sf, "documents")
     X.ingest(docs, lambda df: C.chunk_documents(df.withColumn("name", F.lit("file")), "doc_id", "text", "name"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("doc_id", "chunk_index")

@@ -30,9 +30,11 @@ _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, the same for a session, only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one, the same for a session, only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _folders:
             _folders[application] = "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -83,7 +83,7 @@ def match_cached_text(files: DataFrame, cache: DataFrame, least: int = 50) -> Da
     """file, name: the first cached text (by name; longer than least) that shares a number of two to five digits with the file's name, or holds its stem
     in any case. Stems meet the parts of the names that have a stem's length, the first name for each part."""
     numbers = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("\\d{2,5}"), F.lit(0))))
-    have = cache.where(F.length("text") > least).select("name", numbers("name").alias("number"))
+    have = cache.where(F.length("text") > least).select("name", numbers("name").alias("number")).groupBy("number").agg(F.min("name").alias("name"))
     by_number = files.select("file", numbers("file").alias("number")).join(have, "number").groupBy("file").agg(F.min("name").alias("name"))
     stems = files.select("file", F.lower(F.regexp_replace("file", "(?<=[^/])\\.[^./]*$", "")).alias("stem")).where("stem <> ''").distinct()
     starts = F.explode(F.sequence(F.lit(1), F.length("name")))

@@ -32,9 +32,32 @@ def ingest(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str
     run_batches(stream, checkpoint, lambda df, i: chunk(df).write.mode("overwrite").parquet(f"{path}/batch={i}"), "append")
 
 
-def first_answers(stream: DataFrame, keys: list[str], ttl: str = "6 hours") -> DataFrame:
-    """The first row of each key within the time that answers live."""
-    return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+def _first(ttl_ms: int) -> Callable:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The rows that find no stored answer of their key. The time of the one stored is the state, and goes when it can't be reused."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        stored = state.get[0] if state.exists else None
+        first = []
+        for event, ts in zip(rows["event_id"], rows["ts"], strict=True):
+            at = int(ts.value // 1000)
+            if stored is None or at > stored + ttl_ms * 1000:
+                stored = at
+                first.append(event)
+        state.update((stored,))
+        state.setTimeoutTimestamp(max(stored // 1000 + ttl_ms, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"event_id": first, "user_id": [key[0]] * len(first), "event_type": [key[1]] * len(first)})
+
+    return run
+
+
+def first_answers(stream: DataFrame, ttl_hours: float = 6) -> DataFrame:
+    """event_id, user_id, event_type of the rows that are answered anew: no answer of their key was stored at most ttl_hours before. A reused answer is
+    not stored again."""
+    rows = stream.withWatermark("ts", f"{int(ttl_hours * 3600)} seconds").select("user_id", "event_type", "event_id", "ts")
+    return rows.groupBy("user_id", "event_type").applyInPandasWithState(_first(int(ttl_hours * 3_600_000)), "event_id long, user_id long, event_type string", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_counts(stream: DataFrame, by: str, watermark: str = "1 day") -> DataFrame:

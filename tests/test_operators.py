@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.functions import rules, text
-from corpuslake.operators import conversations, metadata, relational, structure, submissions, validity
+from corpuslake.operators import conversations, metadata, relational, retrieval, structure, submissions, validity
 from corpuslake.sources import tables
 
 
@@ -195,3 +195,34 @@ def test_html(spark):
     html = "<nav>x</nav><h1>T &amp; U</h1><p>a<br>b</p><ul><li>c</li></ul><script>1</script>"
     got = tables.html_segments(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("position").collect()
     assert [(r.kind, r.level, r.text) for r in got] == [("heading", 1, "T & U"), ("paragraph", None, "a"), ("paragraph", None, "b"), ("list", None, "c")]
+
+
+def test_reused_answers_do_not_live_longer(spark):
+    """Events at 0, 5 and 10 h: the second reuses the first, the third is answered anew."""
+    df = spark.createDataFrame([(1, "a", 0), (2, "a", 5), (3, "a", 10), (4, "a", 16), (5, "b", 1), (6, "a", 17), (7, None, 3), (8, "b", None)], "id long, key string, h int")
+    log = df.select("id", "key", F.expr("timestamp_seconds(h * 3600)").alias("ts"))
+    got = {r.id: r.reused for r in retrieval.reuse_answers(log, "key", "ts", "id").collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False, 8: False}
+
+
+def test_formulas_guard_every_divisor(spark):
+    fields = [submissions.Field("x", formula="1 / ([a] - [b])", order=1), submissions.Field("y", formula="-[a] * (2 + [b]) / 4 - 1.5", order=2)]
+    df = spark.createDataFrame([(1, {"a": "2", "b": "2"}), (2, {"a": "3", "b": "1"}), (3, {"a": "3"})], "id long, answers map<string,string>")
+    got = {r.id: (r.answers.get("x"), r.answers.get("y")) for r in submissions.calc_fields(df, fields).collect()}
+    assert got == {1: (None, "-3.5000"), 2: ("0.5000", "-3.7500"), 3: (None, None)}
+    for bad in ("1 +", "(1", "1 2", "[a] % 2", ""):
+        with pytest.raises(ValueError):
+            submissions.formula_value(bad, lambda k: F.lit(1.0))
+
+
+def test_all_digits_are_printed(spark):
+    df = spark.createDataFrame([(1, {"tax": "0123456789012"})], "id long, answers map<string,string>")
+    assert submissions.render_values(df, [submissions.Field("tax", "digits")]).first().tax == "0 1 2 3 4 5 6 7 8 9 0 1 2"
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "id long, v array<double>")
+    asked = vectors.where("id < 9").withColumnRenamed("id", "q")
+    whole = sorted(retrieval.dense_topk(asked, vectors, "q", "id", "v").collect())
+    monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", 2)
+    assert sorted(retrieval.dense_topk(asked, vectors, "q", "id", "v").collect()) == whole and whole
