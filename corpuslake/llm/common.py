@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -13,6 +14,18 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
 
+def tidy(run: Callable) -> Callable:
+    """run, a function over record batches, and after its last batch give freed memory back: a worker waits for its next task beside others."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return outer
+
+
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 1 << 19
 

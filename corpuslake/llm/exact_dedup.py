@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bloom_words, fresh, hinted, id_and_text, may_hold, written
+from .common import ascii_lower, bloom_words, fresh, hinted, id_and_text, may_hold, tidy, written
 
 MEMTABLE_BYTES = 48 << 20
 RUN_SCHEMA = "doc_id long, digest string, lo long, hi long, n long"
@@ -56,7 +56,7 @@ def _flush(memtable_bytes: int) -> Callable:
         if table:
             yield flushed()
 
-    return run
+    return tidy(run)
 
 
 def _compacted(keep: str) -> Callable:
@@ -101,7 +101,7 @@ def _hit_texts(words: np.ndarray) -> Callable:
                         held = 0
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.string()), pa.array([t for _, t in found], pa.binary())], names=["digest", "bytes"])
 
-    return run
+    return tidy(run)
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "smallest", memtable_bytes: int = MEMTABLE_BYTES) -> DataFrame:

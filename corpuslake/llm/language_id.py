@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, ship, utf8
+from .common import LOWER, ship, tidy, utf8
 
 HIDDEN, EMBEDDING = 8, 8
 TRAINING_DOCUMENTS, TRAINING_WINDOWS, WINDOW_BYTES = 2000, 9000, 64
@@ -259,7 +259,7 @@ def _predicted(model) -> Callable:
             preds = langs[np.where(letter, best, len(langs) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(preds.tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(tops.tolist(), pa.list_(pa.int64()))], names=["doc_id", "held_out", "lang_pred", "score", "positions"])
 
-    return run
+    return tidy(run)
 
 
 def held_out(doc_id):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ODD, bloom_words, discard, fresh, hinted, id_and_text, may_hold, mix, sliding, text_blocks, word_hashes, written
+from .common import ODD, bloom_words, discard, fresh, hinted, id_and_text, may_hold, mix, sliding, text_blocks, tidy, word_hashes, written
 from .components import connected_components
 
 N, PERCENT = 5, 75
@@ -86,7 +86,7 @@ def _summaries(n: int) -> Callable:
         none = pa.nulls(len(tokens), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens.view(np.int64)), pa.array(counts)], names=["doc_id", "key", "n", "token", "count"])
 
-    return run
+    return tidy(run)
 
 
 def frequent_tokens(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def _samples(n: int, percent: int, frequent) -> Callable:
             if parts:
                 yield _rows(parts)
 
-    return run
+    return tidy(run)
 
 
 def _rows(parts: list[tuple]) -> pa.RecordBatch:
@@ -230,7 +230,7 @@ def _wanted_sets(n: int, words: np.ndarray) -> Callable:
             if keys:
                 yield _sets(keys, sets)
 
-    return run
+    return tidy(run)
 
 
 def _sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -261,7 +261,7 @@ def _postings(frequent) -> Callable:
             if parts:
                 yield _rows(parts).select(["token", "key"])
 
-    return run
+    return tidy(run)
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -292,7 +292,7 @@ def _signed(percent: int, frequent) -> Callable:
                 lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(y) for y in x])].astype(np.int32)), pa.array(np.concatenate(x))) for x in (bits, sigs, rests)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["key", "n", "bits", "sigs", "rest"])
 
-    return run
+    return tidy(run)
 
 
 def _asked(words: np.ndarray) -> Callable:
@@ -316,7 +316,7 @@ def _verified(percent: int) -> Callable:
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

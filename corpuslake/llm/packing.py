@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, tidy, written
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
 CACHE_WORDS = 150_000
@@ -108,7 +108,7 @@ def _pieces(path: str, capacity: int, unit: int) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "part", "place"])
         tokenizer.words.clear()  # workers wait for other tasks with what they hold
 
-    return run
+    return tidy(run)
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODES, ODD, discard, mix, powers, ship, starts_of, text_blocks, written
+from .common import BYTE_CODES, ODD, discard, mix, powers, ship, starts_of, text_blocks, tidy, written
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -79,7 +79,7 @@ def _counted(good: frozenset, buckets: int) -> Callable:
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
-    return run
+    return tidy(run)
 
 
 def labelled(labels: DataFrame, most: int = LABELLED) -> dict[int, int]:
@@ -100,20 +100,23 @@ def log_ratios(docs: DataFrame, good: frozenset, buckets: int = BUCKETS) -> np.n
 
 
 def _scored(ratios: np.ndarray) -> Callable:
-    """Rows of any columns with the sum of the log ratios of their text and its number of n-grams."""
+    """Rows (doc_id, text) or (row, doc_id), row being a struct with a text, as (doc_id or row, doc_id, log_ratio, n_grams): the sum of the log ratios
+    of the text and its number of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score, grams = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for first, data, offsets in text_blocks(batch, "text_"):
+            whole = batch.schema.names[0] == "row"
+            text = batch.column(0).field("text") if whole else batch.column(1)
+            for first, data, offsets in text_blocks(pa.RecordBatch.from_arrays([text], names=["text"])):
                 row, gram = features(data, offsets, len(ratios))
                 n = len(offsets) - 1
                 score[first : first + n] = np.bincount(row, ratios[gram], minlength=n)
                 grams[first : first + n] = np.bincount(row, minlength=n)
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "text_"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(score), pa.array(grams)], names=[*(batch.schema.names[i] for i in keep), "log_ratio", "n_grams"])
+            kept = ["row", "doc_id"] if whole else ["doc_id"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(score), pa.array(grams)], names=[*kept, "log_ratio", "n_grams"])
 
-    return run
+    return tidy(run)
 
 
 def calibrated(scores: DataFrame, quality: dict[int, int]) -> float:
@@ -182,7 +185,7 @@ def _decide(docs: DataFrame, labels: DataFrame, labelled_rows: int, buckets: int
     ship(docs.sparkSession)
     quality = labelled(labels, labelled_rows)
     ratios = log_ratios(source, frozenset(i for i, q in quality.items() if q == 1), buckets)
-    scores = written(source.withColumnRenamed("text", "text_").mapInArrow(_scored(ratios), "doc_id long, log_ratio double, n_grams long"), "scores")
+    scores = written(source.mapInArrow(_scored(ratios), "doc_id long, log_ratio double, n_grams long"), "scores")
     level = calibrated(scores, quality)
     k = scores.where(F.col("log_ratio") >= F.lit(level) * F.col("n_grams")).count()
     return scores, ratios, level, top_k_cut(scores.select(_key(level).alias("key")), "key", k)
@@ -193,7 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED,
     treated as there. Rows are scored once more where they are and filtered at the cut, so no text is shuffled."""
     scores, ratios, level, cut = _decide(docs, labels, labelled_rows, buckets)
     discard(scores)
-    whole = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text_"))
+    whole = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     schema = T.StructType([whole.schema["row"], whole.schema["doc_id"], T.StructField("log_ratio", T.DoubleType()), T.StructField("n_grams", T.LongType())])
     scored = whole.mapInArrow(_scored(ratios), schema)
     return scored.where(_key(level) >= cut).select("row.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, IS_SPACE, LOWER, bloom_words, discard, fresh, hinted, id_and_text, may_hold, mix, powers, sliding, starts_of, text_blocks, word_hashes, written
+from .common import BYTE_CODES, IS_SPACE, LOWER, bloom_words, discard, fresh, hinted, id_and_text, may_hold, mix, powers, sliding, starts_of, text_blocks, tidy, word_hashes, written
 
 WINDOW = 16
 MASK_BITS, LEAST_GAP, LONGEST = 4, 12, 192
@@ -77,7 +77,7 @@ def _digests() -> Callable:
                 new = np.r_[True, (r[1:] != r[:-1]) | (d[1:] != d[:-1])][: len(r)]
                 yield pa.RecordBatch.from_arrays([pa.array(d[new].view(np.int64)), pa.array(ids[first + r[new]])], names=["digest", "doc_id"])
 
-    return run
+    return tidy(run)
 
 
 def _candidates(words: np.ndarray) -> Callable:
@@ -93,7 +93,7 @@ def _candidates(words: np.ndarray) -> Callable:
                 columns = [digests[ok].view(np.int64), ids[first + row], (start[ok] - offsets[row]).astype(np.int32), (end[ok] - offsets[row]).astype(np.int32), n[ok].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "end", "words"])
 
-    return run
+    return tidy(run)
 
 
 def _runs(least_words: int) -> Callable:
@@ -161,7 +161,7 @@ def _windows(passage_words: int) -> Callable:
             if out:
                 yield _columns(out)
 
-    return run
+    return tidy(run)
 
 
 def word_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
