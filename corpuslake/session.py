@@ -10,11 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session, so that they need no copy of their own."""
+    """Give the executors this package, once a session, so that they need no copy of their own. Batches of texts go to Python in 8 MB at a time, unless
+    the session's configuration names a size."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH):
+        spark.conf.set(BATCH, "8m")
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
