@@ -81,14 +81,9 @@ class WordTokenizer:
         return b"".join(found)
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def _pieces(path: str, capacity: int, unit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
-        tokenizer, part = _tokenizers[path], TaskContext.get().partitionId()
+        tokenizer, part = WordTokenizer(path), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         placed = np.zeros(capacity // unit + 1, np.int64)
         for batch in batches:
@@ -106,7 +101,6 @@ def _pieces(path: str, capacity: int, unit: int) -> Callable:
             columns = zip(*rows, strict=True) if rows else [[]] * 8
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "part", "place"])
-        tokenizer.words.clear()  # workers wait for other tasks with what they hold
 
     return tidy(run)
 
