@@ -1,4 +1,6 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's documents.
+
+Nulls, empty and long texts, repeated rows, empty tables and clashing column names are treated as the operator of each stage states."""
 
 from __future__ import annotations
 
@@ -40,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mixing), ("packing", packing)]
 
-#: The classifier, the shingle join and the tokenizer can't be expressed in SQL; tests/llm hold each stage against a brute-force version.
+#: The classifier, the shingle join and the tokenizer can't be expressed in SQL; tests/llm hold the operators of the stages against brute-force versions.
 ORACLE_SQL = None
 
 
