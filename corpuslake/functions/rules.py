@@ -12,6 +12,8 @@ INTENTS = {
 }
 LEGAL_TERMS = ["quyền sử dụng đất", "đăng ký biến động", "giấy chứng nhận", "thành phần hồ sơ", "trình tự thực hiện", "nghị định", "thông tư"]
 FALLBACK_PHRASES = ["chưa tìm thấy", "không có thông tin", "ngoài phạm vi"]
+EXCERPTS_BEFORE = "Hệ thống đã tìm được tài liệu liên quan nhưng dịch vụ AI đang tạm thời không thể diễn giải câu trả lời. Nội dung tham khảo gần nhất là:\n\n"
+EXCERPTS_AFTER = "\n\nBạn có thể gửi lại câu hỏi sau ít phút; các nguồn đối chiếu vẫn được hiển thị bên dưới."
 STATUS_LABELS = {"active": "Còn hiệu lực", "amended": "Đã sửa đổi một phần", "superseded": "Đã bị thay thế", "repealed": "Hết hiệu lực"}
 EXPIRED = ["superseded", "repealed", "Hết hiệu lực"]
 FIELD_TYPES = {

@@ -138,9 +138,11 @@ def title_from_text(c: Column, n: int = 50) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def parse_doc_date(c: Column) -> Column:
-    """The first date written as day, month and year in words."""
-    part = lambda i: F.regexp_extract(c, "(?iu)ngày\\s+(\\d{1,2})\\s*tháng\\s+(\\d{1,2})\\s*năm\\s+(\\d{4})", i)
+def parse_doc_date(c: Column, kind: str = "issued") -> Column:
+    """The first date written as day, month and year in words; kind="effective": the one from which the text says that it is in force, in words or
+    with slashes. Null for days that no calendar has."""
+    issued, effective = "(?iu)ngày\\s+(\\d{1,2})\\s*tháng\\s+(\\d{1,2})\\s*năm\\s+(\\d{4})", "(?iu)có hiệu lực (?:thi hành )?(?:kể )?từ ngày\\s+(\\d{1,2})(?:\\s*/\\s*|\\s*tháng\\s+)(\\d{1,2})(?:\\s*/\\s*|\\s*năm\\s+)(\\d{4})"
+    part = lambda i: F.regexp_extract(c, {"issued": issued, "effective": effective}[kind], i)
     return F.try_to_date(F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
 
 

@@ -174,3 +174,190 @@ def relation_edges(actions: DataFrame) -> DataFrame:
     pick = lambda i: reduce(lambda c, kv: c.when(F.col("action") == kv[0], kv[1][i]), names.items(), F.when(F.lit(False), ""))
     there = actions.select(F.col("source").alias("document_id"), F.col("target").alias("other_id"), pick(0).alias("relation"))
     return there.unionByName(actions.select(F.col("target").alias("document_id"), F.col("source").alias("other_id"), pick(1).alias("relation")))
+
+
+def one_row(*tables: DataFrame) -> DataFrame:
+    """Tables of one row each, side by side in one row."""
+    return reduce(lambda a, b: a.crossJoin(b), tables)
+
+
+def with_defaults(df: DataFrame, **defaults) -> DataFrame:
+    """df with a default in place of each null of the columns named."""
+    return df.na.fill(defaults)
+
+
+def index_stats(docs: DataFrame, chunks: DataFrame, index: DataFrame, indexed: Column, vector: str) -> DataFrame:
+    """One row: documents, indexed ones, chunks, points and the size of vectors."""
+    n_docs = docs.agg(F.count("*").alias("n_docs"), F.count_if(indexed).alias("n_indexed"))
+    return one_row(n_docs, chunks.agg(F.count("*").alias("n_chunks")), index.agg(F.count("*").alias("n_points"), F.max(F.size(vector)).alias("size")))
+
+
+def needs_attention(messages: DataFrame, by: str, order: Sequence[str], is_question: Column, question: Column, unsure: Column, n: int = 10) -> DataFrame:
+    """The newest n rows that are unsure, with the question that each answers."""
+    rows = asof_question(messages, by, order, is_question, question, "question_id")
+    return rows.where(unsure).orderBy(*(F.desc(c) for c in order)).limit(n)
+
+
+def flag_tables(text: Column, known: Column | None = None) -> Column:
+    """Whether a chunk holds a table: known to, or by the marks of a table in its text."""
+    marks = text.contains("[Bảng") | (text.contains("|") & text.contains("\n| ---")) | text.contains(" | ")
+    return marks if known is None else F.coalesce(known, F.lit(False)) | marks
+
+
+def validate_provisions(df: DataFrame, column: str, actions: Sequence[str], default: str = "repeal") -> DataFrame:
+    """A row for each item of a JSON array of provisions: position, article, action (default where absent) and whether it is valid. An article is
+    required; text that is no array, or an empty one, gives one row that is not valid."""
+    items = df.select("*", F.posexplode_outer(F.from_json(column, "array<struct<article:string,action:string>>")).alias("position", "_p"))
+    article, action = F.nullif(F.trim("_p.article"), F.lit("")), F.coalesce("_p.action", F.lit(default))
+    return items.withColumns({"article": article, "action": action, "valid": article.isNotNull() & action.isin(*actions)}).drop("_p")
+
+
+def join_chunks_docs(chunks: DataFrame, docs: DataFrame, on: str) -> DataFrame:
+    """Chunks with their documents. Spark broadcasts the documents if its size estimate allows."""
+    return chunks.join(docs, on)
+
+
+def join_message_owner(messages: DataFrame, conversations: DataFrame, on: str, owner: Column, **wanted) -> DataFrame:
+    """Messages that equal what is wanted, of conversations of the owner; both filters come before the join."""
+    return filter_eq(messages, **wanted).join(conversations.where(owner), on)
+
+
+def anti_new(incoming: DataFrame, existing: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Incoming rows whose key is not there yet."""
+    return incoming.join(existing.select(*on), list(on), "left_anti")
+
+
+def assign_projects(conversations: DataFrame, projects: DataFrame, key: str, members: str) -> DataFrame:
+    """Conversations with assigned: whether a project lists them among its members (array)."""
+    listed = projects.select(F.explode(members).alias(key)).distinct().withColumn("_in", F.lit(True))
+    return conversations.join(listed, key, "left").withColumn("assigned", F.col("_in").isNotNull()).drop("_in")
+
+
+def count_where(df: DataFrame, by: Sequence[str], counts: dict[str, Column], shares: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """Rows (n), rows that meet each condition, and whole percentages of two conditions, in one pass; 0 where there is no whole."""
+    found = [F.count("*").alias("n"), *(F.count_if(c).alias(name) for name, c in counts.items())]
+    parts = [percent(F.count_if(part), F.count_if(whole)).cast("int").alias(name) for name, (part, whole) in (shares or {}).items()]
+    return df.groupBy(*by).agg(*found, *parts)
+
+
+def daily_stats(df: DataFrame, ts: str, as_of: str, counts: dict[str, Column], share: tuple[Column, Column]) -> DataFrame:
+    """Counts of the day of as_of and the percentage of one condition among another."""
+    day = df.where((F.col(ts) >= F.date_trunc("day", F.lit(as_of).cast("timestamp"))) & (F.col(ts) < F.date_trunc("day", F.lit(as_of).cast("timestamp")) + F.expr("interval 1 day")))
+    return count_where(day, [], counts, {"pct": share}).drop("n")
+
+
+def count_subquery(df: DataFrame, keys: Sequence[str], page: int, size: int) -> DataFrame:
+    """A page of rows, each with the number of all rows (total)."""
+    return page_offset(df, keys, page, size).crossJoin(df.agg(F.count("*").alias("total")))
+
+
+def status_breakdown(df: DataFrame, by: Sequence[str], status: str, values: Sequence[str]) -> DataFrame:
+    """A column with the rows of each status; the values are named, so none is looked up first."""
+    return df.groupBy(*by).pivot(status, list(values)).count().na.fill(0)
+
+
+def group_min_order(fields: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
+    """group, name, first_order: the least order of the fields that refer to a name, for each column of references. Null refers to nothing."""
+    refs = F.array(*(F.struct(F.lit(g).alias("group"), F.col(g).cast("string").alias("name")) for g in groups))
+    named = fields.select(F.explode(refs).alias("_g"), order).where("_g.name is not null")
+    return named.groupBy("_g.group", "_g.name").agg(F.min(order).alias("first_order"))
+
+
+def one_of_groups(rows: DataFrame, by: Sequence[str], real: Column, boolean: Column) -> DataFrame:
+    """Groups: fulfilled if any member has a real value; valid with two members or more, none of them boolean."""
+    answered, plain = F.bool_or(F.coalesce(real, F.lit(False))), ~F.bool_or(F.coalesce(boolean, F.lit(False)))
+    return rows.groupBy(*by).agg(answered.alias("fulfilled"), ((F.count("*") >= 2) & plain).alias("valid"))
+
+
+def concat_group(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str, sep: str = "\n\n", name: str = "text") -> DataFrame:
+    """Texts of a group in order, joined; null texts are left out."""
+    parts = F.sort_array(F.collect_list(F.struct(*order, F.col(text).cast("string").alias("_t"))))
+    return df.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["_t"]), sep).alias(name))
+
+
+def ocr_confidence(lines: DataFrame, doc: str, page: str, confidence: Column, digits: int = 6) -> DataFrame:
+    """doc, confidence: the mean over pages of the mean over their lines; a page without one counts 0."""
+    pages = lines.groupBy(doc, page).agg(F.avg(confidence).alias("_c"))
+    return pages.groupBy(doc).agg(F.round(F.avg(F.coalesce("_c", F.lit(0.0))), digits).alias("confidence"))
+
+
+def checklist_progress(items: DataFrame, by: Sequence[str], done: Column) -> DataFrame:
+    """n, done and the percentage, rounded half up."""
+    n = F.count_if(F.coalesce(done, F.lit(False)))
+    return items.groupBy(*by).agg(F.count("*").alias("n"), n.alias("done"), F.round(n / F.count("*") * 100).cast("int").alias("pct"))
+
+
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
+    """The place of each row in its group, from start."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) + (start - 1))
+
+
+def rank_per_query(hits: DataFrame, by: Sequence[str], score: str, ties: Sequence[str]) -> DataFrame:
+    """The rank of each hit in its question's list, from 1, best score first."""
+    return number_rows(hits, by, [F.desc(score), *ties], "rank", 1)
+
+
+def enumerate_chunks(chunks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """chunk_index: the position of a chunk in its document, from 0."""
+    return number_rows(chunks, by, order, "chunk_index")
+
+
+def reading_order(zones: DataFrame, by: Sequence[str], y: str, x: Sequence[str], tolerance: float = 6) -> DataFrame:
+    """place: zones by rows of the page (bands of the tolerance's height), then from left to right, from 1."""
+    return number_rows(zones, by, [F.floor(F.col(y) / tolerance), *x], "place", 1)
+
+
+def group_digits(zones: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """digit_index: the place of a digit's zone in its group, from 0."""
+    return number_rows(zones, group, order, "digit_index")
+
+
+def order_by_keys(df: DataFrame, keys: Sequence[Column | str], unique: str) -> DataFrame:
+    """Rows by the keys, and by a unique one, so that the order is total."""
+    return df.orderBy(*keys, unique)
+
+
+def limit_cases(cases: DataFrame, key: str, n: int, most: int = 200) -> DataFrame:
+    """At most n cases, of 1 to most, by key."""
+    return cases.orderBy(key).limit(min(max(n, 1), most))
+
+
+def order_fields(fields: DataFrame, by: Sequence[str], order: str, index: str, key: str, members_first: str | None = None) -> DataFrame:
+    """place: fields by their order; a condition over members stands just before the first of them; a field without either stands at 100 times
+    its place (index) from 1."""
+    at = [F.col(members_first) - 1] if members_first else []
+    return number_rows(fields, by, [F.coalesce(*at, order, (F.col(index) + 1) * 100), key], "place", 1)
+
+
+def union_candidates(**origins: DataFrame) -> DataFrame:
+    """Candidates of all origins with the origin's name; a column that an origin lacks is null."""
+    named = [df.withColumn("origin", F.lit(name)) for name, df in origins.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def ids_except(available: DataFrame, selected: DataFrame, key: str) -> DataFrame:
+    """Ids that are available and not selected, repeats counted."""
+    return available.select(key).exceptAll(selected.select(key))
+
+
+def relations_union(docs: DataFrame, edges: DataFrame, key: str, relations: str, entry: str) -> DataFrame:
+    """docs with the entries of their edges appended to the relations (array), in order."""
+    more = edges.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_more"))
+    none = F.array().cast(edges.select(F.array(entry)).schema[0].dataType)
+    return docs.join(more, key, "left").withColumn(relations, F.concat(F.coalesce(relations, none), F.coalesce("_more", none))).drop("_more")
+
+
+def delete_cascade(gone: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
+    """Each table without the rows of the keys that are gone. A null key stays."""
+    ids = gone.select(key).distinct()
+    return [t.join(ids, key, "left_anti") for t in tables]
+
+
+def retention_clear(key: str, *tables: DataFrame, ids: DataFrame | None = None) -> list[DataFrame]:
+    """Each table (cases, results, runs) without the selected ids; without any row where none are selected."""
+    return [t.limit(0) for t in tables] if ids is None else delete_cascade(ids, key, *tables)
+
+
+def fallback_log(messages: DataFrame, by: str, order: Sequence[str], is_question: Column, question: Column, fallback: Column, n: int = 5) -> DataFrame:
+    """The last n fallback answers with the question and the time of day (at); order begins with the time."""
+    return needs_attention(messages, by, order, is_question, question, fallback, n).withColumn("at", F.date_format(order[0], "HH:mm"))

@@ -138,6 +138,16 @@ def fallback_answers(questions: DataFrame, hits: DataFrame, question_key: str, a
     return questions.join(hits, question_key, "left_anti").select(question_key, F.lit(answer).alias("answer"), F.lit(True).alias("is_fallback"), F.lit(0.0).alias("confidence"))
 
 
+def excerpt_answers(failed: DataFrame, hits: DataFrame, question_key: str, text: str, rank: str = "rank", n: int = 2, size: int = 900) -> DataFrame:
+    """An answer of excerpts for each question whose answer failed although there are hits: the first size characters of the texts of its n best
+    hits, blank ones left out."""
+    best = hits.where(F.col(rank) <= n).join(failed.select(question_key), question_key, "left_semi")
+    parts = F.sort_array(F.collect_list(F.when(F.trim(text) != "", F.struct(rank, F.substring(F.trim(text), 1, size).alias("_t")))))
+    excerpts = F.array_join(F.transform(parts, lambda x: F.concat(F.lit("• "), x["_t"])), "\n\n")
+    answer = F.concat(F.lit(rules.EXCERPTS_BEFORE), excerpts, F.lit(rules.EXCERPTS_AFTER))
+    return best.groupBy(question_key).agg(answer.alias("answer")).select(question_key, "answer", F.lit(True).alias("is_fallback"), F.lit(0.0).alias("confidence"))
+
+
 def overlap_scores(questions: DataFrame, index: DataFrame, question_key: str, key: str, text: str) -> DataFrame:
     """The share of a question's distinct words that a text has: for questions that BM25 finds nothing for."""
     asked = questions.select(question_key, F.array_distinct(tokens(F.col(text))).alias("w")).withColumn("n", F.size("w"))

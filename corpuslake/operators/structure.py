@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -243,3 +244,36 @@ def extract_changes(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.select(key, "position", action.alias("action"), part(5).alias("article"), part(4).alias("clause"), part(3).alias("point"), F.substring(F.regexp_replace("m", "\\s+", " "), 1, 500).alias("evidence"))
     rows = rows.withColumn("confidence", F.when((F.col("clause") != "") | (F.col("point") != ""), 0.96).otherwise(0.90))
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "action", "article", "clause", "point").orderBy("position"))).where("_r = 1").drop("_r")
+
+
+def chunk_stats(chunks: DataFrame, by: list[str], tokens: Column, is_table: Column) -> DataFrame:
+    """n, tables and mean_tokens (whole number) of chunks."""
+    mean = F.floor(F.sum(tokens) / F.greatest(F.count("*"), F.lit(1)))
+    return chunks.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.coalesce(is_table, F.lit(False))).alias("tables"), mean.alias("mean_tokens"))
+
+
+def doc_outline(text: Column) -> Column:
+    """articles: the distinct article headings of a text in order; procedure: its first line from "Thủ tục", else null."""
+    articles = F.array_distinct(F.regexp_extract_all(text, F.lit("Điều \\d+[a-zđ]?"), F.lit(0)))
+    procedure = F.nullif(F.trim(F.regexp_extract(text, "Thủ tục [^\\n]*", 0)), F.lit(""))
+    return F.struct(articles.alias("articles"), procedure.alias("procedure"))
+
+
+def term_hits(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """key, term, n: how often each term stands in a text, in any case; of terms that begin at one place the longest counts."""
+    longest = sorted(terms, key=lambda t: (-len(t), t))
+    pattern = "|".join(re.sub(r"([^\w\s])", r"\\\1", t.lower()) for t in longest)
+    found = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("term"))
+    return found.groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+def ingest_manifest(manifest: DataFrame, docs: DataFrame, key: str, text: str, name: str, dry_run: bool = False, sink: str | None = None) -> DataFrame:
+    """key, status, n_chunks for each file of the manifest: indexed if its document gives a chunk, else error (a document that is not there too).
+    The chunks of the files are written to sink as Parquet, with the manifest's columns, unless dry_run is set."""
+    chunks = chunk_documents(docs.join(manifest.select(key), key, "left_semi"), key, text, name)
+    if sink and not dry_run:
+        chunks.join(manifest.drop(*(c for c in chunks.columns if c != key)), key).write.mode("overwrite").parquet(sink)
+        chunks = manifest.sparkSession.read.parquet(sink)
+    made = chunks.groupBy(key).agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0)).cast("long")
+    return manifest.select(key).join(made, key, "left").select(key, F.when(n > 0, "indexed").otherwise("error").alias("status"), n.alias("n_chunks"))

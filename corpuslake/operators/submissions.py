@@ -9,10 +9,37 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_number
+from ..functions.text import parse_number, strip_accents
 
 YES, NO = ["có", "co", "yes", "true", "1", "x"], ["không", "khong", "no", "false", "0"]
 SKIPPED = "__skipped__"
+#: Answers that a boolean may have.
+BOOLEANS = ["có", "co", "yes", "true", "1", "x", "☑", "đúng", "rồi", "được", "không", "khong", "no", "false", "0", "☐", "sai", "chưa", "ko"]
+#: Words for papers, which are no name or address.
+PAPERS = "(?iu)\\b(bản\\s*sao|cccd|cmnd|sổ\\s*đỏ|giấy\\s*chứng\\s*nhận|hộ\\s*khẩu|hợp\\s*đồng|biên\\s*lai|chứng\\s*từ|tờ\\s*khai)\\b"
+#: Sources that fill a field, the tag of filled fields and the names (without accents) that tell one.
+FILLED_SOURCES = ["ai_document", "current_date", "formula"]
+AUTO_FILL_TAG = "[TU_DONG_DIEN]"
+AUTO_FILL = ["noi\\s*nhan", "tinh.*noi\\s*viet", "noi\\s*viet", "^ngay$", "^thang$", "^nam$", "thoi\\s*han", "le\\s*phi", "co\\s*quan\\s*tiep\\s*nhan", "co\\s*quan\\s*co\\s*tham\\s*quyen", "can\\s*cu\\s*phap\\s*ly"]
+#: How a message declares each field, and how it says that there is none.
+DECLARED = {
+    "receiver": "(?iu)(?:nơi\\s*tiếp\\s*nhận(?:\\s*là)?|kính\\s*gửi)\\s*[:=]?\\s*([^;,\\.]+)",
+    "name": "(?iu)(?:tôi\\s*tên(?:\\s*là)?|họ\\s*và\\s*tên(?:\\s*là)?|tên\\s*tôi\\s*là)\\s*[:=]?\\s*([^;,\\.]+)",
+    "identity_edit": "(?iu)sửa\\s*lại\\s*(?:giấy\\s*tờ\\s*nhân\\s*thân\\s*(?:thành)?)\\s*[:=]?\\s*([^;\\.]+)",
+    "identity": "(?iu)(?:giấy\\s*tờ\\s*nhân\\s*thân(?:\\s*là)?\\s*[:=]?\\s*|(?<!\\w)(?:cccd|cmnd|căn\\s*cước\\s*công\\s*dân)\\s*(?:số)?\\s*[:=]?\\s*)([a-zA-Z0-9\\s]+?)(?=[;,\\.]|(?:\\s+địa\\s*chỉ|\\s+điện\\s*thoại|$))",
+    "address": "(?iu)(?:địa\\s*chỉ(?:\\s*là)?)\\s*[:=]?\\s*([^;]+?)(?=[;]|(?:\\s+điện\\s*thoại|\\s+sđt|$))",
+    "phone": "(?iu)(?:số\\s*điện\\s*thoại(?:\\s*đúng)?(?:\\s*là)?|điện\\s*thoại(?:\\s*là)?|sđt(?:\\s*là)?)\\s*[:=]?\\s*([0-9\\s\\.\\-\\+]{9,15})",
+    "email": "(?iu)(?:email(?:\\s*là)?|hộp\\s*thư(?:\\s*điện\\s*tử)?(?:\\s*là)?)\\s*[:=]?\\s*([^\\s;,]+@[^\\s;,]+)",
+    "change": "(?iu)(?:nội\\s*dung\\s*biến\\s*động(?:\\s*là)?)\\s*[:=]?\\s*([^;]+?)(?=[;]|$)",
+    "second_paper": "(?iu)(?:giấy\\s*tờ(?:\\s*liên\\s*quan)?\\s*thứ\\s*hai(?:\\s*là)?)\\s*[:=]?\\s*([^;]+?)(?=[;]|$)",
+    "third_paper": "(?iu)(?:giấy\\s*tờ(?:\\s*liên\\s*quan)?\\s*thứ\\s*ba(?:\\s*là)?)\\s*[:=]?\\s*([^;]+?)(?=[;]|$)",
+    "place": "(?iu)(?:nơi\\s*viết\\s*đơn(?:\\s*là)?)\\s*[:=]?\\s*([^;\\.]+)",
+}
+NONE_OF = {
+    "phone": "(?iu)(?:không\\s*có\\s*(?:số\\s*)?điện\\s*thoại|bỏ\\s*qua\\s*(?:trường\\s*)?(?:số\\s*)?điện\\s*thoại)",
+    "email": "(?iu)(?:không\\s*có\\s*email|bỏ\\s*qua\\s*(?:trường\\s*)?email|không\\s*có\\s*hộp\\s*thư)",
+}
+ENDS = "^[ .;,]+|[ .;,]+$"
 
 
 @dataclass
@@ -54,16 +81,43 @@ def normalize_values(rows: DataFrame, fields: list[Field]) -> DataFrame:
 
 
 def invalid_keys(fields: list[Field]) -> Column:
-    """Keys whose answers do not fit their type, in the fields' order; missing answers are not invalid."""
-    checks = {"phone": lambda v: F.regexp_replace(v, "[ .-]", "").rlike("^(0|\\+84)\\d{9,10}$"), "email": lambda v: v.rlike("^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"), "boolean": lambda v: F.lower(F.trim(v)).isin([*YES, *NO]), "digits": lambda v: v.rlike("^\\d+$"), "number": lambda v: parse_number(v).isNotNull()}
+    """Keys whose answers do not fit their type, in the fields' order; missing answers are not invalid. Names and addresses must not be words for
+    papers; options are compared without case and outer blanks."""
+    low = lambda v: F.lower(F.trim(v))
+    checks = {
+        "phone": lambda v: F.regexp_replace(v, "[ -]", "").rlike("^(0|\\+84)[0-9]{8,10}$"),
+        "email": lambda v: ~v.contains("@") | v.rlike("^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"),
+        "boolean": lambda v: low(v).isin(BOOLEANS),
+        "digits": lambda v: F.regexp_replace(v, "[\\s.\\-/]", "").rlike("^\\d*$"),
+        "number": lambda v: parse_number(v).isNotNull(),
+        "name": lambda v: ~v.rlike(PAPERS),
+        "address": lambda v: ~v.rlike(PAPERS),
+    }
     found = []
     for f in fields:
         ok = checks.get(f.type, lambda v: F.lit(True))(value(f.key))
-        ok = value(f.key).isin(f.options) if f.type == "choice" else ok
+        ok = low(value(f.key)).isin([o.strip().lower() for o in f.options]) if f.type == "choice" and f.options else ok
         found.append(F.when(value(f.key).isNotNull() & ~F.coalesce(ok, F.lit(False)), f.key))
     return F.array_compact(F.array(*found))
 
 
+def auto_fill_flag(source: Column, flag: Column, description: Column, name: Column) -> Column:
+    """Whether a field is filled without asking: by its source if that is given, else by its flag, the tag in its description or its name."""
+    by_name = strip_accents(name).rlike("|".join(f"(?:{p})" for p in AUTO_FILL))
+    marked = F.coalesce(flag, F.lit(False)) | F.coalesce(description.contains(AUTO_FILL_TAG), F.lit(False)) | F.coalesce(by_name, F.lit(False))
+    return F.when(source.isin(FILLED_SOURCES), True).when(source == "user_input", False).otherwise(marked)
+
+
+def record_submissions(submissions: DataFrame, path: str) -> None:
+    """Appends exports to the log."""
+    submissions.write.mode("append").parquet(path)
+
+
+def submission_history(log: DataFrame, by: list[str], at: str) -> DataFrame:
+    """n and last of the exports of each form and user."""
+    return log.groupBy(*by).agg(F.count("*").alias("n"), F.max(at).alias("last"))
+
+
 def derive_fields(rows: DataFrame, fields: list[Field]) -> DataFrame:
     """Derived answers: có or không by their parent's answer; none where the parent has none."""
     for f in fields:
@@ -204,7 +258,15 @@ def co_owner_rows(rows: DataFrame, attributes: list[str], key: str = "id") -> Da
 
 
 def extract_declared(text: Column) -> Column:
-    """Fields that a message declares: phone, email, identity number, date."""
-    find = lambda p, g=1: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
-    found = {"phone": find("(?<!\\d)(0\\d{9,10})(?!\\d)"), "email": find("([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})"), "identity": find("(?<!\\d)(\\d{12})(?!\\d)"), "date": find("(\\d{1,2}/\\d{1,2}/\\d{4})")}
+    """The fields that a message declares, as a map; a phone or email that it says there is none of is skipped."""
+    found = {}
+    for key, pattern in DECLARED.items():
+        found[key] = F.nullif(F.regexp_replace(F.regexp_extract(text, pattern, 1), ENDS, ""), F.lit(""))
+    found["phone"] = F.nullif(F.regexp_replace(found["phone"], "[^\\d+]", ""), F.lit(""))
+    edited = F.when(found["identity_edit"].rlike("(?iu)căn cước|cccd|cmnd"), found["identity_edit"])
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, DECLARED["identity"], 0), ENDS, ""), "(?iu)^giấy\\s*tờ\\s*nhân\\s*thân(?:\\s*là)?\\s*[:=]?\\s*", "")
+    found["identity"] = F.coalesce(edited, F.nullif(F.regexp_replace(whole, ENDS, ""), F.lit("")))
+    del found["identity_edit"]
+    for key, pattern in NONE_OF.items():
+        found[key] = F.when(text.rlike(pattern), SKIPPED).otherwise(found[key])
     return F.map_filter(F.create_map(*(x for k, v in found.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())

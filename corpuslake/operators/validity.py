@@ -42,3 +42,9 @@ def effective_as_of(chunks: DataFrame, effects: DataFrame, date: str, key: str)
     seen = effects.where(F.col("effective_from") <= F.lit(date).cast("date"))
     last = seen.groupBy(key).agg(F.max_by("status", F.struct("effective_from", "position")).alias("_s"))
     return chunks.select(key).distinct().join(last, key, "left").select(key, F.coalesce("_s", F.lit("active")).alias("status"))
+
+
+def map_changes(changes: DataFrame, chunks: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """For each group of changes: how many were detected, how many of them name a chunk that is there, and how many chunks they name."""
+    there = chunks.select(key).distinct().withColumn("_t", F.col(key))
+    return changes.join(there, key, "left").groupBy(*by).agg(F.count("*").alias("detected"), F.count("_t").alias("mapped"), F.countDistinct("_t").alias("targets"))

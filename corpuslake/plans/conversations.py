@@ -113,9 +113,12 @@ def _(spark, sf):
     return submissions(spark, sf).select("id", S.invalid_keys(FIELDS).alias("invalid"))
 
 
-@query("auto_fill_flag", "select p_partkey, case when p_size % 5 = 0 then 'source' when contains(p_name, 'steel') then 'name' else 'ask' end as fill from part")
+@query("auto_fill_flag", "select p_partkey, case when p_size % 5 = 0 then true when p_size % 5 = 1 then false else p_partkey % 7 = 0 or contains(p_name, 'steel') or p_partkey % 3 = 0 end as auto from part")
 def _(spark, sf):
-    return T(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "source").when(F.col("p_name").contains("steel"), "name").otherwise("ask").alias("fill"))
+    source = F.when(F.col("p_size") % 5 == 0, "formula").when(F.col("p_size") % 5 == 1, "user_input")
+    description = F.when(F.col("p_name").contains("steel"), S.AUTO_FILL_TAG)
+    name = F.when(F.col("p_partkey") % 3 == 0, "Nơi nhận").otherwise(F.col("p_name"))
+    return T(spark, sf, "part").select("p_partkey", S.auto_fill_flag(source, F.col("p_partkey") % 7 == 0, description, name).alias("auto"))
 
 
 @query("derive_fields", f"with {SUBMITTED_SQL} select id, case when segment = 'BUILDING' then 'có' else 'không' end as builds from s")
@@ -165,35 +168,45 @@ def _(spark, sf):
     return S.co_owner_rows(one.groupBy(F.col("o_custkey").alias("id")).agg(answers.alias("answers")), ["name", "share"])
 
 
-@query("extract_declared", "select c_custkey, '0' || lpad(cast(c_custkey as varchar), 9, '1') as phone, 'u' || c_custkey || '@mail.vn' as email from customer")
+@query("extract_declared", """select c_custkey, '0' || lpad(cast(c_custkey as varchar), 9, '1') as phone, case when c_custkey % 5 = 0 then '__skipped__' else 'u' || c_custkey || '@mail.vn' end as email, c_name as name, 'Cccd số ' || lpad(cast(c_custkey as varchar), 12, '0') as identity, c_custkey || ' ' || c_mktsegment as address, 'Vĩnh Long' as place from customer""")
 def _(spark, sf):
     k = F.col("c_custkey").cast("string")
-    text = F.concat(F.lit("sđt 0"), F.lpad(k, 9, "1"), F.lit(" email u"), k, F.lit("@mail.vn"))
+    email = F.when(F.col("c_custkey") % 5 == 0, "không có email").otherwise(F.concat(F.lit("email u"), k, F.lit("@mail.vn")))
+    text = F.concat(F.lit("Tôi tên là "), "c_name", F.lit("; Cccd số "), F.lpad(k, 12, "0"), F.lit("; địa chỉ: "), k, F.lit(" "), "c_mktsegment", F.lit("; sđt 0"), F.lpad(k, 9, "1"), F.lit("; "), email, F.lit("; nơi viết đơn là Vĩnh Long."))
     found = T(spark, sf, "customer").select("c_custkey", S.extract_declared(text).alias("d"))
-    return found.select("c_custkey", F.col("d")["phone"].alias("phone"), F.col("d")["email"].alias("email"))
-
+    return found.select("c_custkey", *(F.try_element_at("d", F.lit(x)).alias(x) for x in ("phone", "email", "name", "identity", "address", "place")))
 
 
 @query("submission_history", "select o_custkey, o_orderpriority, count(*) as n, cast(max(o_orderdate) as date) as last from orders group by 1, 2")
 def _(spark, sf):
-    return T(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.max("o_orderdate").cast("date").alias("last"))
+    log = T(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return S.submission_history(log, ["o_custkey", "o_orderpriority"], "day")
 
 
 @query("fallback_log", "with q as (select event_id, event_type, ts, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as question_id from events) select event_id, question_id, strftime(ts, '%H:%M') as \"at\" from q where event_type = 'error' order by ts desc, event_id desc limit 5")
 def _(spark, sf):
-    from ..operators.relational import asof_question
+    from ..operators.relational import fallback_log
     from .relational import events
-
-    rows = asof_question(events(spark, sf), "user_id", ["ts", "event_id"], F.col("event_type") == "view", F.col("event_id"), "question_id")
-    return rows.where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(5).select("event_id", "question_id", F.date_format("ts", "HH:mm").alias("at"))
-
-
-@query("overview", "select (select count(*) from documents) as n_docs, (select count(*) from conversations where role = 'user') as n_questions, (select count(*) from labels where quality = 1) as up, (select count(*) from labels where quality = 0) as down")
-def _(spark, sf):
+    
+    rows = fallback_log(events(spark, sf), "user_id", ["ts", "event_id"], F.col("event_type") == "view", F.col("event_id"), F.col("event_type") == "error")
+    return rows.select("event_id", "question_id", "at")
+
+
+@query("overview", """
+with r as (select cast(month(o_orderdate) as bigint) as run_id, round(avg(o_totalprice) / 100000, 4) as price, round(avg(case when o_orderstatus = 'F' then 1.0::double else 0 end), 4) as filled from orders group by 1),
+t as (select * from r order by run_id desc limit 6), l as (select run_id, 'price' as name, price as v from t union all select run_id, 'filled', filled from t)
+select 'metric' as section, name, run_id as place, round_even(v * 100, 1) as value, round_even((v - lag(v) over (partition by name order by run_id)) * 100, 1) as diff from l
+union all select 'data', 'n_docs', null, cast((select count(*) from documents) as double), null union all select 'data', 'n_questions', null, cast((select count(*) from conversations where role = 'user') as double), null
+union all select 'data', 'up', null, cast((select count(*) from labels where quality = 1) as double), null union all select 'data', 'down', null, cast((select count(*) from labels where quality = 0) as double), null""")
+def _(spark, sf):
+    from ..operators.evaluation import overview
+    
+    filled = F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
+    runs = T(spark, sf, "orders").groupBy(F.month("o_orderdate").cast("long").alias("run_id")).agg(F.round(F.avg("o_totalprice") / 100000, 4).alias("price"), F.round(filled, 4).alias("filled"))
     docs = T(spark, sf, "documents").agg(F.count("*").alias("n_docs"))
     asked = T(spark, sf, "conversations").agg(F.count_if(F.col("role") == "user").alias("n_questions"))
     rated = T(spark, sf, "labels").agg(F.count_if(F.col("quality") == 1).alias("up"), F.count_if(F.col("quality") == 0).alias("down"))
-    return docs.crossJoin(asked).crossJoin(rated)
+    return overview(runs, "run_id", ["price", "filled"], docs=docs, asked=asked, rated=rated)
 
 
 @query("manual_review", "select doc_id, case when quality = 1 then 'approved' when quality = 0 then 'rejected' else 'review' end as verdict from documents left join labels using (doc_id)")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as X
+from ..functions import values as Y
 from ..operators import metadata as M
 from ..operators import structure as C
 from ..operators import validity as V
+from ..operators.relational import flag_tables
 from ..session import ship
 from ..sources.tables import read_table as T
 from ..sources import tables as S
@@ -64,7 +66,7 @@ column_query("eval_tokens", "cast(len(list_distinct(regexp_extract_all(lower(tex
 column_query("token_estimate", "cast(greatest(1, floor(length(text) / 1.5)) as int) as n", lambda t: X.token_estimate(t).alias("n"))
 column_query("title_from_text", "case when length(text) > 50 then substring(text, 1, 50) || '...' else text end as title", lambda t: X.title_from_text(t).alias("title"))
 column_query("polish_snippet", "trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', ' ', 'g')) as text", lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), " ?\\n ?", " ")).alias("text"))
-column_query("clean_stats", "cast(length(text) as int) as before, cast(length(regexp_replace(text, '\\s+', ' ', 'g')) as int) as after, cast(length(text) - length(replace(text, chr(10), '')) + 1 as int) as lines, round_even((1 - length(regexp_replace(text, '\\s+', ' ', 'g')) / length(text)) * 100, 1) as reduction", lambda t: F.struct(F.length(t).alias("before"), F.length(F.regexp_replace(t, "\\s+", " ")).alias("after"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.bround((1 - F.length(F.regexp_replace(t, "\\s+", " ")) / F.length(t)) * 100, 1).alias("reduction")).alias("s"))
+column_query("clean_stats", "cast(length(text) as int) as before, cast(length(regexp_replace(text, '\\s+', ' ', 'g')) as int) as after, cast(length(text) - length(replace(text, chr(10), '')) + 1 as int) as lines, cast(1 as int) as lines_after, case when length(text) > 0 then round_even((1 - length(regexp_replace(text, '\\s+', ' ', 'g')) / length(text)) * 100, 1) else 0 end as reduction", lambda t: Y.clean_stats(t, F.regexp_replace(t, "\\s+", " ")).alias("s"))
 
 
 @query("clean_text", None)
@@ -73,16 +75,19 @@ def _(spark, sf):
     return documents(spark, sf).select("doc_id", X.nfc("text").alias("text")).select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
-@query("parse_doc_date", "select o_orderkey, cast(o_orderdate as date) as d from orders")
+@query("parse_doc_date", "select o_orderkey, cast(o_orderdate as date) as d, cast(o_orderdate as date) + 9 as effective from orders")
 def _(spark, sf):
-    text = F.concat(F.lit("Vĩnh Long, ngày "), F.dayofmonth("o_orderdate").cast("string"), F.lit(" tháng "), F.month("o_orderdate").cast("string"), F.lit(" năm "), F.year("o_orderdate").cast("string"))
-    return T(spark, sf, "orders").select("o_orderkey", X.parse_doc_date(text).alias("d"))
+    say = lambda d: F.concat(F.lit("ngày "), F.dayofmonth(d).cast("string"), F.lit(" tháng "), F.month(d).cast("string"), F.lit(" năm "), F.year(d).cast("string"))
+    later = F.date_add(F.to_date("o_orderdate"), 9)
+    force = F.when(F.col("o_orderkey") % 2 == 0, say(later)).otherwise(F.concat(F.lit("ngày "), F.date_format(later, "d/M/yyyy")))
+    text = F.concat(F.lit("Vĩnh Long, "), say("o_orderdate"), F.lit(". Văn bản có hiệu lực thi hành kể từ "), force)
+    return T(spark, sf, "orders").select("o_orderkey", X.parse_doc_date(text).alias("d"), X.parse_doc_date(text, "effective").alias("effective"))
 
 
 @query("date_bucket", "select event_id, date_trunc('day', ts)::date as day, strftime(ts, '%H:%M') as minute, cast(floor((dayofyear(ts) + 6 - (dayofweek(ts) + 6) % 7) / 7) as int) as week from events")
 def _(spark, sf):
-    monday = (F.dayofweek("ts") + 5) % 7
-    return T(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).select("event_id", F.to_date("ts").alias("day"), F.date_format("ts", "HH:mm").alias("minute"), F.floor((F.dayofyear("ts") + 6 - monday) / 7).cast("int").alias("week"))
+    rows = T(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return rows.select("event_id", *(Y.date_bucket(F.col("ts"), u).alias(u) for u in ("day", "minute", "week")))
 
 
 @query("parse_number", "select o_orderkey, round(case when o_orderkey % 3 = 0 then floor(o_totalprice) when o_orderkey % 3 = 1 then o_orderkey + 0.5 else null end, 4) as value from orders")
@@ -94,12 +99,12 @@ def _(spark, sf):
 
 @query("json_fields", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def _(spark, sf):
-    return T(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return T(spark, sf, "events").select("event_id", Y.json_fields(F.col("props"), "k bigint")["k"].alias("k"))
 
 
 @query("math_scores", "select o_orderkey, round(1.0 / (60 + o_orderkey % 20 + 1), 6) as rrf, round(least(0.99, 0.55 * (o_totalprice / 500000)), 6) as c from orders")
 def _(spark, sf):
-    return T(spark, sf, "orders").select("o_orderkey", F.round(1.0 / (61 + F.col("o_orderkey") % 20), 6).alias("rrf"), F.round(F.least(F.lit(0.99), 0.55 * (F.col("o_totalprice") / 500000)), 6).alias("c"))
+    return T(spark, sf, "orders").select("o_orderkey", F.round(Y.reciprocal_rank(F.col("o_orderkey") % 20 + 1), 6).alias("rrf"), F.round(Y.clamp(Y.weighted_sum([(0.55, F.col("o_totalprice") / 500000)]), high=0.99), 6).alias("c"))
 
 
 @query("cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -184,10 +189,9 @@ def _(spark, sf):
     return C.chunk_documents(structured(spark, sf), "doc_id", "text", "name").select("doc_id", "chunk_index", "chunk")
 
 
-@query("chunk_stats", "select doc_id, count(*) as n, cast(floor(sum(greatest(1, floor(length(p) / 1.5))) / greatest(count(*), 1)) as bigint) as mean_tokens from (select doc_id, substring(text, cast(s as int) + 1, 900) as p from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) group by 1")
+@query("chunk_stats", "select doc_id, count(*) as n, count(*) filter (contains(p, '[Bảng') or (contains(p, '|') and contains(p, chr(10) || '| ---')) or contains(p, ' | ')) as tables, cast(floor(sum(greatest(1, floor(length(p) / 1.5))) / greatest(count(*), 1)) as bigint) as mean_tokens from (select doc_id, substring(text, cast(s as int) + 1, 900) as p from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) group by 1")
 def _(spark, sf):
-    pieces = C.fixed_windows(documents(spark, sf), "text")
-    return pieces.groupBy("doc_id").agg(F.count("*").alias("n"), F.floor(F.sum(X.token_estimate(F.col("piece"))) / F.greatest(F.count("*"), F.lit(1))).alias("mean_tokens"))
+    return C.chunk_stats(C.fixed_windows(documents(spark, sf), "text"), ["doc_id"], X.token_estimate(F.col("piece")), flag_tables(F.col("piece")))
 
 
 @query("table_type", "select doc_id, case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then '{n}'" for n, ws in rules.TABLE_TYPES.items()) + " else 'general' end as type from documents")
@@ -208,7 +212,7 @@ def _(spark, sf):
 
 @query("detect_articles", f"with {DOCS_SQL} select doc_id, cast(len(list_distinct(regexp_extract_all(text, 'Điều \\d+'))) as int) as n from sdocs")
 def _(spark, sf):
-    return structured(spark, sf).select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("Điều \\d+"), F.lit(0)))).alias("n"))
+    return structured(spark, sf).select("doc_id", F.size(C.doc_outline(F.col("text"))["articles"]).alias("n"))
 
 
 @query("classify_lines", f"with {DOCS_SQL} select doc_id, case when starts_with(t, 'Điều') then 'heading' else 'subheading' end as kind, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as t from sdocs) group by all")
@@ -216,10 +220,10 @@ def _(spark, sf):
     return C.classify_lines(structured(spark, sf), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("term_highlight", "select doc_id, t as term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), 'license|apache|password|token|the and')) as t from documents) group by all")
+@query("term_highlight", "select doc_id, t as term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '" + "|".join(sorted(["license", "apache", "password", "token", "the and", *rules.LEGAL_TERMS], key=lambda t: (-len(t), t))) + "')) as t from documents) group by all")
 def _(spark, sf):
-    terms = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("license|apache|password|token|the and"), F.lit(0)))
-    return documents(spark, sf).select("doc_id", terms.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    terms = ["license", "apache", "password", "token", "the and", *rules.LEGAL_TERMS]
+    return C.term_hits(documents(spark, sf), "doc_id", "text", terms)
 
 
 @query("form_blanks", None)
@@ -281,9 +285,12 @@ def _(spark, sf):
     return T(spark, sf, "orders").select("o_orderkey", M.doc_action(text).alias("action"))
 
 
-@query("doc_source_name", "select o_orderkey, trim(case o_orderkey % 4 when 0 then 'Nghị định' when 1 then 'Nghị quyết' when 2 then 'Thông tư' else 'Quyết định' end || ' ' || o_orderkey) as name from orders")
+@query("doc_source_name", "with n as (select *, trim(case o_orderkey % 4 when 0 then 'Nghị định' when 1 then 'Nghị quyết' when 2 then 'Thông tư' else 'Quyết định' end || ' ' || o_orderkey) as plain from orders) select o_orderkey, case when o_orderkey % 7 = 0 then 'Phụ lục II - Quy trình nội bộ 38 TTHC (kèm ' || o_orderkey || ')' when o_orderkey % 7 = 1 then 'Phụ lục I - 38 TTHC đặc thù (kèm ' || o_orderkey || ')' else plain end as name, case o_orderkey % 7 when 0 then '1467' when 1 then '1085' end as parent_hint from n")
 def _(spark, sf):
-    return names(spark, sf).select("o_orderkey", M.doc_source_name(M.doc_kind(F.col("name"), F.col("text"))["kind"], F.col("o_orderkey").cast("string")).alias("name"))
+    rows = names(spark, sf).withColumn("name", F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("Phụ lục II "), "name")).otherwise(F.col("name")))
+    rows = rows.withColumn("text", F.when(F.col("o_orderkey") % 7 == 1, F.concat(F.lit("PHỤ LỤC I\n"), "text")).otherwise(F.col("text")))
+    source = M.doc_source(F.col("name"), F.col("text"), M.doc_kind(F.col("name"), F.col("text"))["kind"], F.col("o_orderkey").cast("string"))
+    return rows.select("o_orderkey", source["source_name"].alias("name"), source["parent_hint"].alias("parent_hint"))
 
 
 @query("extract_changes", None)
@@ -320,9 +327,9 @@ def _(spark, sf):
     return V.confirm_changes(changes(spark, sf), chunks(spark, sf))[0].select("chunk_id", "status")
 
 
-@query("map_changes", f"with {CHANGES_SQL} select action, count(*) as detected, count(distinct chunk_id) as targets from ch group by 1")
+@query("map_changes", f"with {CHANGES_SQL} select action, count(*) as detected, count(c.chunk_id) as mapped, count(distinct c.chunk_id) as targets from ch left join c on c.chunk_id = ch.chunk_id group by 1")
 def _(spark, sf):
-    return changes(spark, sf).join(chunks(spark, sf), "chunk_id").groupBy("action").agg(F.count("*").alias("detected"), F.countDistinct("chunk_id").alias("targets"))
+    return V.map_changes(changes(spark, sf), chunks(spark, sf), "chunk_id", ["action"])
 
 
 @query("patch_status", f"with {CHUNKS_SQL} select chunk_id, case when l_linenumber = 2 then 'repealed' else 'active' end as status from c")
@@ -351,10 +358,8 @@ def _(spark, sf):
 
 @query("ingest_manifest", "select doc_id, case when sum((length(trim(p)) >= 60)::int) > 0 then 'indexed' else 'error' end as status, cast(sum((length(trim(p)) >= 60)::int) as bigint) as n_chunks from (select doc_id, substring(text, cast(s as int) + 1, 900) as p, length(trim(text)) as n from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) group by doc_id")
 def _(spark, sf):
-    docs = documents(spark, sf)
-    made = C.chunk_documents(docs.withColumn("name", F.lit("file")), "doc_id", "text", "name").groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.when(n > 0, "indexed").otherwise("error").alias("status"), n.alias("n_chunks"))
+    docs = documents(spark, sf).withColumn("name", F.lit("file"))
+    return C.ingest_manifest(docs.select("doc_id", "lang"), docs, "doc_id", "text", "name", sink=scratch(spark, "ingested"))
 
 
 @query("read_json_docs", "select count(*) as n_files, cast(sum(n) as bigint) as n_orders from (select o_custkey % 4 as part, count(*) as n from orders group by 1)")
@@ -410,9 +415,9 @@ def _(spark, sf):
     return T(spark, sf, "orders").select("o_orderkey", C.total_time(text).alias("chunk")).where("chunk <> ''")
 
 
-@query("detect_procedure_name", f"with {PROCEDURES_SQL} select doc_id, regexp_extract(text, 'Thủ tục [^\\n]*') as name from procs")
+@query("detect_procedure_name", f"with {PROCEDURES_SQL} select doc_id, nullif(trim(regexp_extract(text, 'Thủ tục [^\\n]*')), '') as name from procs")
 def _(spark, sf):
-    return procedures(spark, sf).select("doc_id", F.regexp_extract("text", "Thủ tục [^\\n]*", 0).alias("name"))
+    return procedures(spark, sf).select("doc_id", C.doc_outline(F.col("text"))["procedure"].alias("name"))
 
 
 @query("infer_parents", "select o_orderkey, c_custkey from orders join customer on contains(c_name, lpad(cast(o_custkey as varchar), 9, '0')) where o_orderstatus = 'P'")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import relational as R
 from ..sources import tables as S
 from ..sources.tables import read_table as T
@@ -81,10 +81,9 @@ def _(spark, sf):
     return S.scroll(T(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id", lang="en")
 
 
-@query("index_stats", "select (select count(*) from documents) as n_docs, (select count(*) from documents where length(text) > 0) as n_indexed, (select count(*) from embeddings) as n_points, (select cast(max(len(embedding)) as int) from embeddings) as size")
+@query("index_stats", "select (select count(*) from documents) as n_docs, (select count(*) from documents where length(text) > 0) as n_indexed, (select count(*) from pages) as n_chunks, (select count(*) from embeddings) as n_points, (select cast(max(len(embedding)) as int) from embeddings) as size")
 def _(spark, sf):
-    docs = T(spark, sf, "documents").agg(F.count("*").alias("n_docs"), F.count_if(F.length("text") > 0).alias("n_indexed"))
-    return docs.crossJoin(T(spark, sf, "embeddings").agg(F.count("*").alias("n_points"), F.max(F.size("embedding")).alias("size")))
+    return R.index_stats(T(spark, sf, "documents"), T(spark, sf, "pages"), T(spark, sf, "embeddings"), F.length("text") > 0, "embedding")
 
 
 @query("rebuild_index", """
@@ -134,11 +133,11 @@ def _(spark, sf):
     return asked.join(held, ["c_nationkey", "c_mktsegment"]).groupBy("c_custkey").agg(F.sum("held").alias("n"))
 
 
-@query("payload_defaults", "select e.vec_id, coalesce(d.lang, '') as lang, coalesce(d.n_chars, 0) as n_chars, coalesce(l.quality, 1) as quality from embeddings e left join documents d on vec_id = d.doc_id and d.doc_id % 2 = 0 left join labels l on l.doc_id = vec_id")
+@query("payload_defaults", "select e.vec_id, coalesce(d.lang, '') as lang, coalesce(d.n_chars, 0) as n_chars, coalesce(l.quality, 1) as quality from embeddings e left join documents d on vec_id = d.doc_id and d.lang <> 'en' left join labels l on l.doc_id = vec_id")
 def _(spark, sf):
-    docs = T(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars")
+    docs = T(spark, sf, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars")
     labels = T(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"), "quality")
-    return T(spark, sf, "embeddings").select("vec_id").join(docs, "vec_id", "left").join(labels, "vec_id", "left").na.fill({"lang": "", "n_chars": 0, "quality": 1})
+    return R.with_defaults(T(spark, sf, "embeddings").select("vec_id").join(docs, "vec_id", "left").join(labels, "vec_id", "left"), lang="", n_chars=0, quality=1)
 
 
 @query("search_contains", "select c_custkey from customer where contains(lower(c_name || ' ' || c_mktsegment), 'er#00000001') and c_nationkey = 3")
@@ -151,9 +150,8 @@ ASOF = "last_value(case when event_type = 'view' then event_id end ignore nulls)
 
 @query("needs_attention", f"with m as ({MESSAGES}), q as (select *, {ASOF} as question_id from m) select event_id, question_id from q where event_type = 'error' or (event_type = 'click' and value < 0.6) order by ts desc, event_id desc limit 10")
 def _(spark, sf):
-    rows = R.asof_question(events(spark, sf), "user_id", ["ts", "event_id"], F.col("event_type") == "view", F.col("event_id"), "question_id")
-    wanted = (F.col("event_type") == "error") | ((F.col("event_type") == "click") & (F.col("value") < 0.6))
-    return rows.where(wanted).orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "question_id")
+    unsure = (F.col("event_type") == "error") | ((F.col("event_type") == "click") & (F.col("value") < 0.6))
+    return R.needs_attention(events(spark, sf), "user_id", ["ts", "event_id"], F.col("event_type") == "view", F.col("event_id"), unsure).select("event_id", "question_id")
 
 
 @query("owner_scope", "select event_id, event_type from events where user_id = 7")
@@ -174,8 +172,7 @@ def _(spark, sf):
 
 @query("table_chunk_flag", "select doc_id, contains(text, '[Bảng') or (contains(text, '|') and contains(text, chr(10) || '| ---')) or contains(text, ' | ') as has_table from documents")
 def _(spark, sf):
-    t = F.col("text")
-    return T(spark, sf, "documents").select("doc_id", (t.contains("[Bảng") | (t.contains("|") & t.contains("\n| ---")) | t.contains(" | ")).alias("has_table"))
+    return T(spark, sf, "documents").select("doc_id", R.flag_tables(F.col("text")).alias("has_table"))
 
 
 @query("validate_enums", """
@@ -191,20 +188,19 @@ select l_orderkey, l_linenumber, article is not null and coalesce(action, 'repea
 def _(spark, sf):
     item = F.struct(F.when(F.col("l_linenumber") % 4 != 0, F.col("l_linenumber")).alias("article"), F.when(F.col("l_returnflag") == "R", "other").when(F.col("l_returnflag") == "A", "amend").alias("action"))
     rows = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(F.array(item)).alias("json"))
-    parsed = rows.select("l_orderkey", "l_linenumber", F.explode_outer(F.from_json("json", "array<struct<article:int,action:string>>")).alias("p"))
-    action = F.coalesce("p.action", F.lit("repeal"))
-    return parsed.select("l_orderkey", "l_linenumber", (F.col("p.article").isNotNull() & action.isin("amend", "repeal", "add")).alias("valid"), action.alias("action"))
+    return R.validate_provisions(rows, "json", rules.ACTIONS).select("l_orderkey", "l_linenumber", "valid", "action")
 
 
 @query("join_chunks_docs", "select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey")
 def _(spark, sf):
-    return T(spark, sf, "lineitem").join(T(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
+    docs = T(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    return R.join_chunks_docs(T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), docs, "l_orderkey").select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
 @query("join_message_owner", "select event_id, c_custkey from events join customer on user_id = c_custkey where event_type = 'error' and c_custkey between 5 and 50")
 def _(spark, sf):
-    owners = T(spark, sf, "customer").where("c_custkey between 5 and 50").select("c_custkey")
-    return events(spark, sf).where("event_type = 'error'").join(owners, F.col("user_id") == F.col("c_custkey")).select("event_id", "c_custkey")
+    owners = T(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("user_id"))
+    return R.join_message_owner(events(spark, sf), owners, "user_id", F.col("c_custkey").between(5, 50), event_type="error").select("event_id", "c_custkey")
 
 
 @query("count_children", "select c_custkey, count(o_orderkey) as n_children from customer left join orders on c_custkey = o_custkey group by 1")
@@ -245,7 +241,8 @@ def _(spark, sf):
 
 @query("anti_new_cases", "select item_id from benchmark where item_id not in (select doc_id from labels where quality = 0)")
 def _(spark, sf):
-    return T(spark, sf, "benchmark").select("item_id").join(T(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("item_id")), "item_id", "left_anti")
+    held = T(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("item_id"))
+    return R.anti_new(T(spark, sf, "benchmark").select("item_id"), held, ["item_id"])
 
 
 @query("semi_selected", "select doc_id, true as kept from documents where doc_id in (select vec_id from embeddings where label = 3) union all select vec_id, false from embeddings where label = 3 and vec_id not in (select doc_id from documents)")
@@ -261,9 +258,8 @@ def _(spark, sf):
 
 @query("assign_projects", "select c_custkey, o.o_custkey is not null as assigned from customer left join (select distinct o_custkey from orders where o_orderstatus = 'P') o on c_custkey = o_custkey")
 def _(spark, sf):
-    members = T(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_orderkey") % 10).agg(F.collect_set("o_custkey").alias("ids")).select(F.explode("ids").alias("c_custkey")).distinct()
-    customers = T(spark, sf, "customer").select("c_custkey")
-    return customers.join(members, "c_custkey", "left_semi").withColumn("assigned", F.lit(True)).unionByName(customers.join(members, "c_custkey", "left_anti").withColumn("assigned", F.lit(False)))
+    projects = T(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_orderkey") % 10).agg(F.collect_set("o_custkey").alias("ids"))
+    return R.assign_projects(T(spark, sf, "customer").select("c_custkey"), projects, "c_custkey", "ids")
 
 
 @query("doc_relation_edges", """
@@ -276,15 +272,16 @@ def _(spark, sf):
 
 
 @query("template_match", """
-with f as (select p_partkey as id, lower(p_name) as title, [p_brand, p_type, cast(p_size as varchar)] as keys from part where p_partkey % 2 = 0),
-t as (select p_partkey as id, lower(p_name) as title, [p_brand, p_type, cast(p_size as varchar)] as keys from part where p_partkey % 50 = 1),
+with f as (select p_partkey as id, lower(p_name) as title, [p_brand, p_type, cast(p_size as varchar)] as keys from part),
+t as (select p_partkey as id, lower(p_name) as title, [p_brand, p_type, cast(p_size as varchar)] as keys from part qualify row_number() over (partition by p_brand order by p_partkey) = 1),
 k as (select f.id as form, t.id as template, count(*) as overlap from (select id, unnest(list_distinct(keys)) as x from f) f join (select id, unnest(list_distinct(keys)) as x from t) t using (x) group by 1, 2),
 h as (select f.id as form, t.id as template, count(*) as hits from (select id, unnest(list_distinct(string_split_regex(title, '\\W+'))) as x from f) f join (select id, unnest(list_distinct(string_split_regex(title, '\\W+'))) as x from t) t using (x) where x <> '' group by 1, 2),
 s as (select form, template, overlap, coalesce(hits, 0) as hits, 100 * overlap + 10 * coalesce(hits, 0) as score from k left join h using (form, template))
 select form, template, overlap, hits, score from s where overlap >= 2 or (overlap >= 1 and hits >= 1) qualify row_number() over (partition by form order by score desc, template) = 1""".replace("\\\\", "\\"))
 def _(spark, sf):
-    parts = T(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_brand", "p_type", F.col("p_size").cast("string")).alias("keys"))
-    return R.template_match(parts.where("id % 2 = 0"), parts.where("id % 50 = 1"))
+    parts = T(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_brand", "p_type", F.col("p_size").cast("string")).alias("keys"), "p_brand")
+    templates = R.top_by(parts, ["p_brand"], ["id"], 1).select("id", "title", "keys")
+    return R.template_match(parts.drop("p_brand"), templates)
 
 
 @query("count_where", """
@@ -292,8 +289,8 @@ select lang, count(*) as n, count(*) filter (quality = 1) as up, count(*) filter
 from documents left join labels using (doc_id) group by lang""")
 def _(spark, sf):
     rows = T(spark, sf, "documents").join(T(spark, sf, "labels"), "doc_id", "left")
-    up, rated = F.count_if(F.col("quality") == 1), F.count("quality")
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), up.alias("up"), F.count_if(F.col("toxic") == 1).alias("fallback"), R.percent(up, rated).cast("int").alias("up_pct"))
+    up, rated = F.col("quality") == 1, F.col("quality").isNotNull()
+    return R.count_where(rows, ["lang"], {"up": up, "fallback": F.col("toxic") == 1}, {"up_pct": (up, rated)})
 
 
 @query("topic_topk", f"with t as (select event_type, count(*) as n from events where ts > timestamp '{AS_OF}' - interval 30 day and event_type is not null group by 1 order by n desc, event_type limit 3) select event_type, n, round_even(n / sum(n) over () * 100, 1) as share from t")
@@ -301,21 +298,21 @@ def _(spark, sf):
     return R.topic_topk(events(spark, sf).where(F.col("ts") > F.expr(f"timestamp '{AS_OF}' - interval 30 day")), "event_type")
 
 
-@query("daily_stats", f"select count(*) filter (event_type = 'view') as questions, count(*) filter (event_type = 'click') as up, count(*) filter (event_type = 'error') as down from events where cast(ts as date) = date '2024-01-15'")
+@query("daily_stats", "with d as (select event_type from events where cast(ts as date) = date '2024-01-15') select count(*) filter (event_type = 'view') as questions, count(*) filter (event_type = 'click') as up, count(*) filter (event_type = 'error') as down, cast(case when count(*) filter (event_type in ('click', 'error')) > 0 then round_even(count(*) filter (event_type = 'click') / count(*) filter (event_type in ('click', 'error')) * 100, 0) else 0 end as int) as pct from d")
 def _(spark, sf):
-    day = events(spark, sf).where(F.date_trunc("day", "ts") == F.lit("2024-01-15").cast("timestamp"))
-    return day.agg(*(F.count_if(F.col("event_type") == t).alias(n) for t, n in (("view", "questions"), ("click", "up"), ("error", "down"))))
+    of = lambda *types: F.col("event_type").isin(*types)
+    return R.daily_stats(events(spark, sf), "ts", "2024-01-15", {"questions": of("view"), "up": of("click"), "down": of("error")}, (of("click"), of("click", "error")))
 
 
 @query("count_subquery", "select o_orderkey, (select count(*) from orders where o_orderstatus = 'O') as total from orders where o_orderstatus = 'O' order by o_orderkey limit 20 offset 20")
 def _(spark, sf):
     rows = R.filter_eq(T(spark, sf, "orders"), o_orderstatus="O").select("o_orderkey")
-    return R.page_offset(rows, ["o_orderkey"], 2, 20).crossJoin(rows.agg(F.count("*").alias("total")))
+    return R.count_subquery(rows, ["o_orderkey"], 2, 20)
 
 
 @query("status_breakdown", "select o_orderpriority, count(*) filter (o_orderstatus = 'F') as \"F\", count(*) filter (o_orderstatus = 'O') as \"O\", count(*) filter (o_orderstatus = 'P') as \"P\" from orders group by 1")
 def _(spark, sf):
-    return T(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+    return R.status_breakdown(T(spark, sf, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"])
 
 
 @query("majority_type", "with c as (select user_id, event_type, count(*) as n from events group by all) select user_id, event_type as majority from c qualify row_number() over (partition by user_id order by n desc, event_type) = 1")
@@ -324,45 +321,45 @@ def _(spark, sf):
 
 
 @query("run_summary", """
-select month(o_orderdate) as run_id, count(*) as total, count(*) filter (o_orderstatus = 'F' and o_totalprice >= 150000) as passed, round(avg(case when o_orderstatus = 'F' then o_totalprice end), 4) as mean_valid, round(avg(o_totalprice), 4) as mean_all from orders group by 1""")
+select month(o_orderdate) as run_id, count(*) as total, count(*) filter (o_orderstatus = 'F' and o_totalprice >= 150000) as passed, round(avg(case when o_orderstatus = 'F' then o_totalprice end), 4) as mean_valid, round(avg(o_totalprice), 4) as mean_all,
+  round(avg(case when o_orderstatus = 'F' then case when o_orderpriority = '1-URGENT' then 1.0::double else 0 end end), 4) as citation_rate, round(avg(cast(o_orderkey % 1000 as double)), 4) as latency from orders group by 1""")
 def _(spark, sf):
     from ..operators.evaluation import run_summary
+    
+    rows = T(spark, sf, "orders").withColumn("run_id", F.month("o_orderdate").cast("long"))
+    return run_summary(rows, "run_id", F.col("o_orderstatus") == "F", F.col("o_totalprice"), 150000, {"citation_rate": F.col("o_orderpriority") == "1-URGENT"}, {"latency": F.col("o_orderkey") % 1000})
 
-    return run_summary(T(spark, sf, "orders").withColumn("run_id", F.month("o_orderdate").cast("long")), "run_id", F.col("o_orderstatus") == "F", F.col("o_totalprice"), 150000)
 
-
-@query("group_min_order", "select s_nationkey, min(s_suppkey) as first_order from supplier group by 1")
+@query("group_min_order", "select 'nation' as \"group\", cast(s_nationkey as varchar) as name, min(s_suppkey) as first_order from supplier group by 2 union all select 'parent', cast(s_nationkey % 5 as varchar), min(s_suppkey) from supplier where s_acctbal > 0 group by 2")
 def _(spark, sf):
-    return T(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first_order"))
+    fields = T(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.when(F.col("s_acctbal") > 0, F.col("s_nationkey") % 5).alias("parent"))
+    return R.group_min_order(fields, ["nation", "parent"], "s_suppkey")
 
 
 @query("one_of_groups", "select l_orderkey, bool_or(l_returnflag = 'R') as fulfilled, count(*) >= 2 and not bool_or(l_linestatus = 'O') as valid from lineitem group by 1")
 def _(spark, sf):
-    return T(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("fulfilled"), ((F.count("*") >= 2) & ~F.bool_or(F.col("l_linestatus") == "O")).alias("valid"))
+    return R.one_of_groups(T(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
 
 
 @query("concat_group", "select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from lineitem group by 1")
 def _(spark, sf):
-    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",")
-    return T(spark, sf, "lineitem").groupBy("l_orderkey").agg(parts.alias("parts"))
+    return R.concat_group(T(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey", ",", "parts")
 
 
 @query("ocr_confidence", "with p as (select l_orderkey, l_suppkey % 3 as page, avg(case when l_returnflag <> 'N' then l_discount end) as c from lineitem group by 1, 2) select l_orderkey, round(avg(coalesce(c, 0)), 6) as confidence from p group by 1")
 def _(spark, sf):
-    pages = T(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_suppkey") % 3).agg(F.avg(F.when(F.col("l_returnflag") != "N", F.col("l_discount"))).alias("c"))
-    return pages.groupBy("l_orderkey").agg(F.round(F.avg(F.coalesce("c", F.lit(0.0))), 6).alias("confidence"))
+    lines = T(spark, sf, "lineitem").withColumn("page", F.col("l_suppkey") % 3)
+    return R.ocr_confidence(lines, "l_orderkey", "page", F.when(F.col("l_returnflag") != "N", F.col("l_discount")))
 
 
 @query("checklist_progress", "select o_custkey, count(*) as n, count(*) filter (o_orderstatus = 'F') as done, cast(round(count(*) filter (o_orderstatus = 'F') / count(*) * 100) as int) as pct from orders group by 1")
 def _(spark, sf):
-    done = F.count_if(F.col("o_orderstatus") == "F")
-    return T(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), done.alias("done"), F.round(done / F.count("*") * 100).cast("int").alias("pct"))
+    return R.checklist_progress(T(spark, sf, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F")
 
 
 @query("rank_per_query", "select l_suppkey, l_orderkey, l_linenumber, cast(row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber) as int) as rank from lineitem")
 def _(spark, sf):
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    return T(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank"))
+    return R.rank_per_query(T(spark, sf, "lineitem"), ["l_suppkey"], "l_extendedprice", ["l_orderkey", "l_linenumber"]).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
 
 
 @query("minmax_norm", """
@@ -398,8 +395,7 @@ def _(spark, sf):
 
 @query("enumerate_chunks", "select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey order by l_linenumber) - 1 as int) as chunk_index from lineitem")
 def _(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("chunk_index"))
+    return R.enumerate_chunks(T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], ["l_linenumber"])
 
 
 @query("carry_parent", "select l_orderkey, l_linenumber, last_value(case when l_returnflag = 'R' then l_linenumber end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between unbounded preceding and current row) as parent from lineitem")
@@ -410,19 +406,18 @@ def _(spark, sf):
 
 @query("reading_order", "select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey order by floor(l_extendedprice / 6000), l_quantity, l_linenumber) as int) as place from lineitem")
 def _(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy(F.floor(F.col("l_extendedprice") / 6000), "l_quantity", "l_linenumber")
-    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("place"))
+    rows = R.reading_order(T(spark, sf, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_quantity", "l_linenumber"], 6000)
+    return rows.select("l_orderkey", "l_linenumber", "place")
 
 
 @query("group_digits", "select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber) - 1 as int) as digit_index from lineitem")
 def _(spark, sf):
-    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber")
-    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("digit_index"))
+    return R.group_digits(T(spark, sf, "lineitem"), ["l_orderkey", "l_returnflag"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "digit_index")
 
 
 @query("order_by_keys", "select o_orderkey, o_orderstatus from orders order by o_orderstatus desc, o_orderkey")
 def _(spark, sf):
-    return T(spark, sf, "orders").select("o_orderkey", "o_orderstatus").orderBy(F.desc("o_orderstatus"), "o_orderkey")
+    return R.order_by_keys(T(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), [F.desc("o_orderstatus")], "o_orderkey")
 
 
 @query("topk_per_query", "select l_suppkey, l_orderkey, l_linenumber, cast(row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber) as int) as rank from lineitem qualify rank <= 6")
@@ -435,33 +430,33 @@ def _(spark, sf):
     return R.page_offset(T(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], 2, 500)
 
 
-@query("limit_cases", "select item_id from benchmark where item_id % 2 = 1 order by item_id limit 50")
+@query("limit_cases", "select item_id from benchmark where length(text) > 100 order by item_id limit 50")
 def _(spark, sf):
-    return T(spark, sf, "benchmark").where("item_id % 2 = 1").select("item_id").orderBy("item_id").limit(min(max(50, 1), 200))
+    return R.limit_cases(T(spark, sf, "benchmark").where(F.length("text") > 100).select("item_id"), "item_id", 50)
 
 
-@query("order_fields", "select p_partkey, cast(row_number() over (partition by p_brand order by coalesce(case when p_size % 5 > 0 then p_size end, p_partkey * 100), p_partkey) as int) as place from part")
+@query("order_fields", "select p_partkey, cast(row_number() over (partition by p_brand order by coalesce(case when p_partkey % 11 = 0 then 6 end, case when p_size % 5 > 0 then p_size end, p_partkey * 100), p_partkey) as int) as place from part")
 def _(spark, sf):
-    key = F.coalesce(F.when(F.col("p_size") % 5 > 0, F.col("p_size").cast("long")), F.col("p_partkey") * 100)
-    return T(spark, sf, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(key, "p_partkey")).alias("place"))
+    fields = T(spark, sf, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 5 > 0, F.col("p_size").cast("long")).alias("display_order"), (F.col("p_partkey") - 1).alias("at"), F.when(F.col("p_partkey") % 11 == 0, 7).alias("members_first"))
+    return R.order_fields(fields, ["p_brand"], "display_order", "at", "p_partkey", "members_first").select("p_partkey", "place")
 
 
-@query("union_candidates", "select doc_id, 'dense' as origin, lang, null as label from documents where doc_id < 100 union all select vec_id, 'lexical', null, label from embeddings where vec_id < 100")
+@query("union_candidates", "select doc_id, 'dense' as origin, lang, null as label from documents union all select vec_id, 'lexical', null, label from embeddings")
 def _(spark, sf):
-    dense = T(spark, sf, "documents").where("doc_id < 100").select("doc_id", F.lit("dense").alias("origin"), "lang")
-    return dense.unionByName(T(spark, sf, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("doc_id"), F.lit("lexical").alias("origin"), "label"), allowMissingColumns=True)
+    lexical = T(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return R.union_candidates(dense=T(spark, sf, "documents").select("doc_id", "lang"), lexical=lexical)
 
 
 @query("ids_except", "select doc_id from documents except all select doc_id from labels")
 def _(spark, sf):
-    return T(spark, sf, "documents").select("doc_id").exceptAll(T(spark, sf, "labels").select("doc_id"))
+    return R.ids_except(T(spark, sf, "documents"), T(spark, sf, "labels"), "doc_id")
 
 
 @query("relations_union", "select c_custkey, list_sort(list_concat([0], coalesce((select list(o_orderkey) from orders where o_custkey = c_custkey), []))) as relations from customer")
 def _(spark, sf):
-    edges = T(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("more"))
-    rows = T(spark, sf, "customer").select("c_custkey").join(edges, "c_custkey", "left")
-    return rows.select("c_custkey", F.array_sort(F.concat(F.array(F.lit(0).cast("long")), F.coalesce("more", F.array().cast("array<bigint>")))).alias("relations"))
+    edges = T(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    rows = T(spark, sf, "customer").select("c_custkey", F.array(F.lit(0).cast("long")).alias("relations"))
+    return R.relations_union(rows, edges, "c_custkey", "relations", "o_orderkey")
 
 
 @query("upsert_by_key", "select coalesce(l.doc_id, d.doc_id) as doc_id, coalesce(case when l.quality = 1 then 'good' end, d.lang) as lang from documents d full join labels l on d.doc_id = l.doc_id")
@@ -473,10 +468,10 @@ def _(spark, sf):
 @query("delete_cascade", "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'P')")
 def _(spark, sf):
     gone = T(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(gone, "l_orderkey", "left_anti")
+    return R.delete_cascade(gone, "l_orderkey", T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))[0]
 
 
 @query("retention_clear", "select event_id from events where user_id not in (select c_custkey from customer where c_nationkey < 5)")
 def _(spark, sf):
     gone = T(spark, sf, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
-    return events(spark, sf).join(gone, "user_id", "left_anti").select("event_id")
+    return R.retention_clear("user_id", events(spark, sf), ids=gone)[0].select("event_id")

@@ -170,9 +170,12 @@ def _(spark, sf):
     return K.confidence(answers(spark, sf), h, K.cite(answers(spark, sf), h, "item_id"), "item_id")
 
 
-@query("fallback_answer", f"with {DENSE_SQL} select item_id, 'no source found' as answer, true as is_fallback, 0.0::double as confidence from benchmark where item_id not in (select item_id from dense where score >= 0.99 and doc_id <> item_id)")
+@query("fallback_answer", f"with {DENSE_SQL}, hit as (select item_id, text, row_number() over (partition by item_id order by score desc, dense.doc_id) as r from dense join documents using (doc_id) where score >= 0.3 and doc_id <> item_id) select item_id, 'no source found' as answer, true as is_fallback, 0.0::double as confidence from benchmark where item_id not in (select item_id from hit) union all select item_id, '{rules.EXCERPTS_BEFORE}' || coalesce(string_agg('• ' || substring(trim(text), 1, 900), chr(10) || chr(10) order by r) filter (trim(text) <> ''), '') || '{rules.EXCERPTS_AFTER}', true, 0.0 from hit where r <= 2 group by 1")
 def _(spark, sf):
-    return K.fallback_answers(questions(spark, sf), dense(spark, sf).where("score >= 0.99 and doc_id <> item_id"), "item_id", "no source found")
+    held = dense(spark, sf).where("score >= 0.3 and doc_id <> item_id").select("item_id", "doc_id", "score").join(T(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    hits = K.top(held, "item_id", "doc_id", 2)
+    nothing = K.fallback_answers(questions(spark, sf), hits, "item_id", "no source found")
+    return nothing.unionByName(K.excerpt_answers(questions(spark, sf), hits, "item_id", "text"))
 
 
 @query("intent_fast", "select conv_id, turn, case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then '{n}'" for n, ws in rules.INTENTS.items()) + " else 'general' end as intent from conversations")
@@ -220,13 +223,13 @@ def samples(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     said = T(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("answer"))
     before = F.array_join(F.collect_list("answer").over(w.rowsBetween(Window.unboundedPreceding, -1)), " ")
-    rows = said.withColumn("expected", F.lag("answer").over(w)).withColumn("last_turn", F.lag("turn").over(w)).withColumn("context", before)
+    rows = said.withColumn("expected", F.lag("answer").over(w)).withColumn("last_turn", F.lag("turn").over(w)).withColumn("context", before).withColumn("citations", F.when(F.col("turn") % 3 == 0, F.array("answer")))
     return rows.where("role = 'assistant' and last_turn = turn - 1")
 
 
-@query("case_scores", f"with {PAIRS_SQL} select conv_id, turn, similarity, grounding, recall from sc")
+@query("case_scores", f"with {PAIRS_SQL} select conv_id, turn, similarity, grounding, recall, turn % 3 = 0 as has_citation from sc")
 def _(spark, sf):
-    return E.case_scores(samples(spark, sf)).select("conv_id", "turn", "similarity", "grounding", "recall")
+    return E.case_scores(samples(spark, sf)).select("conv_id", "turn", "similarity", "grounding", "recall", "has_citation")
 
 
 @query("case_verdict", f"with {PAIRS_SQL} select conv_id, turn, case when similarity >= 0.4 and turn % 5 <> 0 then 'pass' else 'review' end as verdict from sc")
@@ -268,17 +271,17 @@ def _(spark, sf):
     return E.merge_metrics(base, base.select("conv_id", F.when(F.col("conv_id") % 2 == 0, 1.0).alias("relevancy")), "conv_id")
 
 
-@query("run_metrics", f"with {PAIRS_SQL} select conv_id % 7 as run_id, count(*) as total, count(*) filter (similarity >= 0.4) as passed, round(avg(similarity), 4) as mean_valid, round(avg(similarity), 4) as mean_all from sc group by 1")
+@query("run_metrics", f"with {PAIRS_SQL} select conv_id % 7 as run_id, count(*) as total, count(*) filter (similarity >= 0.4) as passed, round(avg(similarity), 4) as mean_valid, round(avg(similarity), 4) as mean_all, round(avg(grounding), 4) as grounding, round(avg(recall), 4) as recall, round(avg(case when turn % 3 = 0 then 1.0::double else 0 end), 4) as citation_rate, round(avg(1 - grounding), 4) as ungrounded_rate, round(avg(case when turn % 5 = 0 then 1.0::double else 0 end), 4) as fallback_rate from sc group by 1")
 def _(spark, sf):
-    return E.run_summary(E.case_scores(samples(spark, sf)).withColumn("run_id", F.col("conv_id") % 7), "run_id", F.lit(True), F.col("similarity"), 0.4)
+    return E.run_metrics(E.case_scores(samples(spark, sf)).withColumn("run_id", F.col("conv_id") % 7), "run_id", F.lit(True), F.col("turn") % 5 == 0)
 
 
-@query("eval_samples", "select conv_id, turn, list_filter([text, case when turn % 2 = 0 then '' else role end], lambda x: x <> '') as contexts from conversations")
+@query("eval_samples", "select conv_id, turn, list_filter([text, case when turn % 2 = 0 then '' else role end], lambda x: trim(x) <> '') as contexts from conversations")
 def _(spark, sf):
-    return T(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.array("text", F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role"))), lambda x: x != "").alias("contexts"))
+    return E.eval_samples(T(spark, sf, "conversations"), [F.col("text"), F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role"))]).select("conv_id", "turn", "contexts")
 
 
-@query("ablation", f"with {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}, d as (select *, score / max(score) over (partition by item_id) as n from dense), l as (select *, score / max(score) over (partition by item_id) as n from lex), w as (select item_id, doc_id, round(0.65::double * coalesce(d.n, 0) + (1 - 0.65::double) * coalesce(l.n, 0) + 1e-9, 6) as score from d full join l using (item_id, doc_id)) select item_id, max(f.score) as rrf, (select max(score) from w where w.item_id = f.item_id) as weighted from fused f group by 1")
+@query("ablation", f"with {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}, d as (select *, score / max(score) over (partition by item_id) as n from dense), l as (select *, score / max(score) over (partition by item_id) as n from lex), w as (select item_id, doc_id, round(0.65::double * coalesce(d.n, 0) + (1 - 0.65::double) * coalesce(l.n, 0) + 1e-9, 6) as score from d full join l using (item_id, doc_id)), b as (select 'rrf' as method, item_id, count(*) as n, max(score) as s from fused group by 2 union all select 'weighted', item_id, count(*), max(score) from w group by 2) select method, count(*) as questions, cast(sum(n) as bigint) as hits, round(avg(s), 6) as mean_best from b group by 1")
 def _(spark, sf):
-    runs = fused(spark, sf).select("item_id", "score").withColumn("method", F.lit("rrf")).unionByName(K.weighted_fuse(dense(spark, sf), lexical(spark, sf), "item_id", "doc_id").select("item_id", "score").withColumn("method", F.lit("weighted")))
-    return runs.groupBy("item_id").pivot("method", ["rrf", "weighted"]).agg(F.max("score"))
+    weighted = K.weighted_fuse(dense(spark, sf), lexical(spark, sf), "item_id", "doc_id")
+    return E.ablation("item_id", "score", rrf=fused(spark, sf), weighted=weighted)

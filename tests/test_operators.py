@@ -226,3 +226,30 @@ def test_questions_in_blocks(spark, monkeypatch):
     whole = sorted(retrieval.dense_topk(asked, vectors, "q", "id", "v").collect())
     monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", 2)
     assert sorted(retrieval.dense_topk(asked, vectors, "q", "id", "v").collect()) == whole and whole
+
+
+def test_declared_fields(spark):
+    from corpuslake.operators.submissions import SKIPPED, extract_declared
+
+    said = "Kính gửi: UBND xã A; họ và tên là Lê B, CCCD số 0123 địa chỉ ấp 1; điện thoại: 0901 234 567; không có email; nội dung biến động là đổi tên; giấy tờ thứ hai là sổ; giấy tờ liên quan thứ ba: đơn; nơi viết đơn là Vĩnh Long."
+    edit = "sửa lại giấy tờ nhân thân thành căn cước 99"
+    df = spark.createDataFrame([(1, said), (2, edit), (3, ""), (4, None)], "id int, text string")
+    got = {r.id: r.d for r in df.select("id", extract_declared(F.col("text")).alias("d")).collect()}
+    assert got[1] == {"receiver": "UBND xã A", "name": "Lê B", "identity": "CCCD số 0123", "address": "ấp 1", "phone": "0901234567", "email": SKIPPED, "change": "đổi tên", "second_paper": "sổ", "third_paper": "đơn", "place": "Vĩnh Long"}
+    assert got[2] == {"identity": "căn cước 99"}
+    assert not got[3] and not got[4]
+
+
+def test_provisions_and_invalid_values(spark):
+    from corpuslake.operators.relational import validate_provisions
+    from corpuslake.operators.submissions import Field, invalid_keys
+
+    rows = spark.createDataFrame([(1, '[{"article": "Điều 1"}, {"article": " ", "action": "add"}, {"article": "2", "action": "move"}]'), (2, "[]"), (3, "none"), (4, None)], "id int, json string")
+    got = [(r.id, r.position, r.article, r.action, r.valid) for r in validate_provisions(rows, "json", ["amend", "repeal", "add"]).orderBy("id", "position").collect()]
+    assert got[:3] == [(1, 0, "Điều 1", "repeal", True), (1, 1, None, "add", False), (1, 2, "2", "move", False)]
+    assert [(g[0], g[4]) for g in got[3:]] == [(2, False), (3, False), (4, False)]
+    fields = [Field("n", "name"), Field("a", "address"), Field("p", "phone"), Field("e", "email"), Field("d", "digits"), Field("c", "choice", options=["Có ", "Không"]), Field("b", "boolean")]
+    good = {"n": "Lê B", "a": "ấp 1", "p": "+84 90-123-4567", "e": "a@b.vn", "d": "12.3-4", "c": "có", "b": "Đúng"}
+    bad = {"n": "bản sao", "a": "Sổ đỏ số 1", "p": "12", "e": "a@b", "d": "1a", "c": "x", "b": "maybe"}
+    df = spark.createDataFrame([(1, good), (2, bad), (3, {})], "id int, answers map<string,string>")
+    assert {r.id: r.k for r in df.select("id", invalid_keys(fields).alias("k")).collect()} == {1: [], 2: list("napedcb"), 3: []}
