@@ -81,6 +81,18 @@ def repeal_theta(provisions: DataFrame, chunks: DataFrame, exact: bool = True) -
     return p.join(labels, F.col("_a") == F.col("_part")).join(t, "_l").drop("_a", "_l", "_part")
 
 
+def infer_parents(docs: DataFrame, catalog: DataFrame, hint: str, name: str) -> DataFrame:
+    """docs with the catalog's rows whose name contains the document's hint, in any case; null and empty hints have none. Distinct names give their
+    parts of the lengths that hints have, and a join on the part finds the pairs."""
+    hints = docs.where(F.length(hint) > 0).withColumn("_h", F.lower(hint))
+    sizes = [r[0] for r in hints.select(F.length("_h")).distinct().orderBy(F.length("_h")).collect()]
+    named = catalog.withColumn("_n", F.lower(name))
+    parts_of = lambda n: F.transform(F.sequence(F.lit(1), F.length("_n") - n + 1), lambda i: F.substr(F.col("_n"), i, F.lit(n)))
+    parts = F.array_distinct(F.flatten(F.array(*(F.when(F.length("_n") >= n, parts_of(n)).otherwise(F.array().cast("array<string>")) for n in sizes)))) if sizes else F.array().cast("array<string>")
+    held = named.select("_n").distinct().withColumn("_h", F.explode(parts)).join(hints.select("_h").distinct(), "_h", "left_semi")
+    return hints.join(held, "_h").join(named, "_n").drop("_h", "_n")
+
+
 def semi_selected(available: DataFrame, selected: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return available.join(selected, key, "left_semi"), selected.join(available, key, "left_anti")
 

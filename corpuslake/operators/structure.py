@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import markdown_table, token_estimate
+from .metadata import guess_procedure
 
 #: The header patterns of sections, steps, sub-procedures and articles.
 SECTION = "(?m)^\\s*\\((\\d{1,2})\\)\\s+.{3,}"
@@ -18,6 +19,7 @@ SUB_PROCEDURE = "(?m)^\\s*\\d{1,2}\\.\\d\\s+.{10,200}"
 ARTICLE = "(?imu)^Đi[eề]u\\s+\\d+[a-zđ]?\\.?\\s+"
 CLAUSE = "(?m)^\\s*\\d+\\.\\s"
 PROCEDURE = "(?mu)^\\s*(?:[1-9]|[12]\\d|30|0[1-9])\\.\\s+\\p{L}.{15,199}$"
+SECTION_HEAD = "(?m)^\\s*\\((?:[1-9]|0[1-9]|1[01])\\)\\s+.{3,}"
 STEP_HEAD = "(?iu)B\\s*(?:ư|u|ướ|ươ)\\s*[oơớó]?\\s*c\\s+\\d+"
 SECTIONS = [
     ("trinh_tu", "(1) Trình tự thực hiện"),
@@ -95,48 +97,117 @@ def procedure_name(block: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(block, "(?u)^\\s*\\d{1,2}(?:\\.\\d)?\\.?\\s+(.{0,200})", 1), "\\s+", " "))
 
 
+def procedure_blocks(text: Column) -> Column:
+    """Structs (procedure_name, procedure_type, block) of the procedures of over 100 characters, from one numbered title to the next; a text without
+    any is one block."""
+    of = lambda name, p: F.struct(name.alias("procedure_name"), guess_procedure(name).alias("procedure_type"), p.alias("block"))
+    found = F.filter(stretches(text, PROCEDURE), lambda p: F.length(p) > 100)
+    return F.when(F.size(found) > 0, F.transform(found, lambda p: of(procedure_name(p), p))).otherwise(F.array(of(F.lit("Thủ tục đất đai"), text)))
+
+
+def section_blocks(text: Column) -> Column:
+    """Structs (section, field_type, label, block) of the sections (1) to (11) of LEAST_CHARS and more; none without headers."""
+
+    def of(s):
+        number = F.regexp_extract(s, "^\\((\\d{1,2})\\)", 1).cast("int")
+        field, label = (F.element_at(F.array(*(F.lit(x[i]) for x in SECTIONS)), number) for i in (0, 1))
+        return F.struct(number.alias("section"), field.alias("field_type"), label.alias("label"), s.alias("block"))
+
+    return F.transform(F.filter(stretches(text, SECTION_HEAD), lambda s: F.length(s) >= LEAST_CHARS), of)
+
+
+def section_steps(text: Column, most: int = 2 * CHUNK_TOKENS) -> Column:
+    """A section of over `most` tokens in its steps of LEAST_CHARS and more, with what stands before the first; windows if it has no steps. Shorter ones
+    are whole."""
+    flags, head = STEP_HEAD.split(")", 1)
+    steps = F.transform(F.split(text, f"{flags})(?={head}\\s*:)"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+    kept = F.filter(steps, lambda x: (F.length(x) >= LEAST_CHARS) | ((x != "") & ~x.rlike(f"{flags})\\A{head}\\s*:")))
+    return F.when(token_estimate(text) <= most, F.array(text)).when((F.size(steps) > 1) & (F.size(kept) > 0), kept).otherwise(windows_of(text))
+
+
+def workflow_steps(text: Column) -> Column:
+    """The stretches of LEAST_CHARS and more from one step, as scans may spell it, to the next; none without steps."""
+    return F.filter(stretches(text, STEP_HEAD), lambda x: F.length(x) >= LEAST_CHARS)
+
+
+def subprocedure_blocks(text: Column) -> Column:
+    """Structs (number, parent, sub_name, block) of the sub-procedures (8.1, 8.2, ...), each with the title of its procedure; those of under LEAST_CHARS
+    go. A text without sub-procedures gives its procedures, or is one block without them."""
+    of = lambda number, parent, name, p: F.struct(number.alias("number"), parent.alias("parent"), name.alias("sub_name"), p.alias("block"))
+    none = F.lit("")
+    parents, found = stretches(text, PROCEDURE), stretches(text, SUB_PROCEDURE)
+    kept = F.filter(found, lambda p: F.length(p) >= LEAST_CHARS)
+    names = F.transform(F.reverse(parents), lambda p: F.struct(F.regexp_extract(p, "^(\\d{1,2})", 1).cast("int").alias("k"), procedure_name(p).alias("v")))
+
+    def of_sub(p):
+        number = F.regexp_extract(p, "^(\\d{1,2})", 1)
+        parent = F.coalesce(F.get(F.filter(names, lambda e: e["k"] == number.cast("int")), F.lit(0))["v"], F.concat(F.lit("Thủ tục "), number))
+        return of(F.regexp_extract(p, "^(\\d{1,2}\\.\\d)", 1), parent, F.left(procedure_name(p), F.lit(150)), p)
+
+    return (
+        F.when(F.size(kept) > 0, F.transform(kept, of_sub))
+        .when(F.size(found) > 0, F.array(of(none, F.lit("Quy trình nội bộ"), none, text)))
+        .when(F.size(parents) > 0, F.transform(parents, lambda p: of(none, procedure_name(p), none, p)))
+        .otherwise(F.array(of(none, F.lit("Quy trình nội bộ đất đai"), none, text)))
+    )
+
+
+def split_procedures(df: DataFrame, text: str) -> DataFrame:
+    """A row (position, procedure_name, procedure_type, block) for each of procedure_blocks(); null texts have none."""
+    return _exploded(df, procedure_blocks(F.col(text)), "procedure_name", "procedure_type", "block")
+
+
+def split_sections(df: DataFrame, text: str) -> DataFrame:
+    """A row (position, section, field_type, label, block) for each of section_blocks()."""
+    return _exploded(df, section_blocks(F.col(text)), "section", "field_type", "label", "block")
+
+
+def split_steps(df: DataFrame, text: str, most: int = 2 * CHUNK_TOKENS, workflow: bool = False) -> DataFrame:
+    """A row (position, step, block) for each of section_steps(), or of workflow_steps(); step is the number, null before the first."""
+    parts = workflow_steps(F.col(text)) if workflow else section_steps(F.col(text), most)
+    number = lambda x: F.regexp_extract(x, STEP_HEAD.replace("(?iu)", "(?iu)^").replace("\\d+", "(\\d+)"), 1)
+    return _exploded(df, F.transform(parts, lambda x: F.struct(F.when(number(x) != "", number(x).cast("int")).alias("step"), x.alias("block"))), "step", "block")
+
+
+def split_subprocedures(df: DataFrame, text: str) -> DataFrame:
+    """A row (position, number, parent, sub_name, block) for each of subprocedure_blocks()."""
+    return _exploded(df, subprocedure_blocks(F.col(text)), "number", "parent", "sub_name", "block")
+
+
+def _exploded(df: DataFrame, blocks: Column, *fields: str) -> DataFrame:
+    """df's rows with each struct of the blocks; fields replace columns of their names."""
+    rows = df.select(*(c for c in df.columns if c not in ("position", *fields)), F.posexplode(blocks).alias("position", "_b"))
+    return rows.select(*rows.columns[:-1], *(F.col("_b")[f].alias(f) for f in fields))
+
+
 def procedure_pieces(text: Column) -> Column:
     """Pieces of a procedure decision: its sections with procedure and section named before; long ones by steps, or windows without steps. A
     procedure without sections gives windows."""
-    found = F.filter(stretches(text, PROCEDURE), lambda p: F.length(p) > 100)
 
     def of_section(s, name):
-        number = F.regexp_extract(s, "^\\((\\d{1,2})\\)", 1).cast("int")
-        field, label = (F.element_at(F.array(*(F.lit(x[i]) for x in SECTIONS)), number) for i in (0, 1))
-        steps = F.split(s, STEP_HEAD.replace("(?iu)", "(?iu)(?=") + "\\s*:)")
-        parts = F.when(token_estimate(s) <= 2 * CHUNK_TOKENS, F.array(s)).when(F.size(steps) > 1, steps).otherwise(windows_of(s))
-        return pieces(parts, field, F.concat(F.lit("[Thủ tục: "), name, F.lit("]\n[Mục: "), label, F.lit("]\n")))
+        return pieces(section_steps(s["block"]), s["field_type"], F.concat(F.lit("[Thủ tục: "), name, F.lit("]\n[Mục: "), s["label"], F.lit("]\n")))
 
-    def of_procedure(p, name):
-        sections = F.filter(stretches(p, "(?m)^\\s*\\((?:[1-9]|0[1-9]|1[01])\\)\\s+.{3,}"), lambda s: F.length(s) >= LEAST_CHARS)
-        return F.when(F.size(sections) > 0, F.flatten(F.transform(sections, lambda s: of_section(s, name)))).otherwise(pieces(windows_of(p), F.lit("general"), F.lit("")))
+    def of_procedure(p):
+        sections = section_blocks(p["block"])
+        return F.when(F.size(sections) > 0, F.flatten(F.transform(sections, lambda s: of_section(s, p["procedure_name"])))).otherwise(pieces(windows_of(p["block"]), F.lit("general"), F.lit("")))
 
-    named = F.flatten(F.transform(found, lambda p: of_procedure(p, procedure_name(p))))
-    return F.when(F.size(found) > 0, named).otherwise(of_procedure(text, F.lit("Thủ tục đất đai")))
+    return F.flatten(F.transform(procedure_blocks(text), of_procedure))
 
 
 def workflow_pieces(text: Column) -> Column:
     """Pieces of an internal workflow: the steps of its sub-procedures (or procedures, or of the whole) and their total times; one without steps is
     whole."""
-    parents = stretches(text, PROCEDURE)
-    names = F.transform(F.reverse(parents), lambda p: F.struct(F.regexp_extract(p, "^(\\d{1,2})", 1).cast("int").alias("k"), procedure_name(p).alias("v")))
-    subs = F.filter(stretches(text, SUB_PROCEDURE), lambda p: F.length(p) >= LEAST_CHARS)
 
-    def of_block(p, name):
+    def of_block(b):
+        name = F.when(b["sub_name"] == "", b["parent"]).otherwise(F.concat(b["parent"], F.lit(" — "), b["sub_name"]))
         head = F.concat(F.lit("[Thủ tục: "), name, F.lit("]\n"))
-        steps = F.filter(stretches(p, STEP_HEAD), lambda x: F.length(x) >= LEAST_CHARS)
+        steps = workflow_steps(b["block"])
         stepped = F.flatten(F.transform(steps, lambda x: pieces(F.array(x), F.lit("trinh_tu"), F.concat(head, F.lit("[Bước "), F.regexp_extract(x, "(\\d+)", 1), F.lit("]\n")))))
-        time = total_time(p)
+        time = total_time(b["block"])
         timed = F.when(time == "", F.array().cast("array<struct<field_type:string,chunk:string>>")).otherwise(F.array(F.struct(F.lit("thoi_han").alias("field_type"), F.concat(head, F.lit("[Mục: (4) Thời hạn giải quyết]\nTổng thời gian giải quyết TTHC: "), time).alias("chunk"))))
-        return F.when(F.size(steps) > 0, F.concat(stepped, timed)).otherwise(pieces(F.array(p), F.lit("trinh_tu"), head))
+        return F.when(F.size(steps) > 0, F.concat(stepped, timed)).otherwise(pieces(F.array(b["block"]), F.lit("trinh_tu"), head))
 
-    def of_sub(p):
-        number = F.regexp_extract(p, "^(\\d{1,2})", 1)
-        parent = F.coalesce(F.get(F.filter(names, lambda e: e["k"] == number.cast("int")), F.lit(0))["v"], F.concat(F.lit("Thủ tục "), number))
-        return of_block(p, F.concat(parent, F.lit(" — "), F.left(procedure_name(p), F.lit(150))))
-
-    by_parent = F.flatten(F.transform(parents, lambda p: of_block(p, procedure_name(p))))
-    return F.when(F.size(subs) > 0, F.flatten(F.transform(subs, of_sub))).when(F.size(parents) > 0, by_parent).otherwise(of_block(text, F.lit("Quy trình nội bộ đất đai")))
+    return F.flatten(F.transform(subprocedure_blocks(text), of_block))
 
 
 def header_spans(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
@@ -163,6 +234,21 @@ def pack_parts(parts: Column, most: int, sep: str) -> Column:
     return F.aggregate(parts, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"])))
 
 
+def pack_by_marker(df: DataFrame, text: str, marker: str = "--- TRANG \\d{1,9} ---", most: int = 6000) -> DataFrame:
+    """piece_index, piece: the marked pages of a text, markers included, joined greedily by blank lines while their characters stay within `most`; a
+    longer page is a piece of its own. Blank texts are one piece. The marker must be a pattern of bounded length."""
+    parts = F.filter(F.split(F.col(text), f"(?={marker})|(?<={marker})"), lambda x: x != "")
+    strip = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+
+    def step(s, p):
+        full = F.length(s["now"]) + F.length(p) > most
+        return F.when(s["now"] == "", state(s["done"], p)).when(full, state(F.array_append(s["done"], strip(s["now"])), p)).otherwise(state(s["done"], F.concat(s["now"], F.lit("\n\n"), p)))
+
+    packed = F.aggregate(parts, state(F.array().cast("array<string>"), F.lit("")), step, lambda s: F.when(strip(s["now"]) == "", s["done"]).otherwise(F.array_append(s["done"], strip(s["now"]))))
+    return df.select("*", F.posexplode(F.when(F.size(packed) > 0, packed).otherwise(F.array(F.col(text)))).alias("piece_index", "piece"))
+
+
 def pack_paragraphs(df: DataFrame, text: str, most: int = 900, overlap: int = 120) -> DataFrame:
     """Pieces of paragraphs, or of sentences of long ones, of at most `most` characters; each starts with the last `overlap` characters before."""
     hard = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(most)), lambda i: F.substr(p, i + 1, F.lit(most)))

@@ -11,7 +11,7 @@ from ..functions import values as Y
 from ..operators import metadata as M
 from ..operators import structure as C
 from ..operators import validity as V
-from ..operators.relational import flag_tables
+from ..operators.relational import flag_tables, infer_parents
 from ..session import ship
 from ..sources.tables import read_table as T
 from ..sources import tables as S
@@ -146,16 +146,19 @@ def _(spark, sf):
     return C.split_articles(structured(spark, sf), "text").select("doc_id", "article", "block")
 
 
-@query("split_sections", f"with {DOCS_SQL}, parts as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '(?m)^Điều (\\d+)\\. ', '(\\1) ', 'g'), '(?m)^(\\(\\d+\\) )', chr(1) || '\\1', 'g'), chr(1))) as b from sdocs) select doc_id, trim(b, ' ' || chr(10)) as block from parts where length(trim(b, ' ' || chr(10))) >= 60")
+FIELDS_SQL = "[" + ", ".join(f"'{f}'" for f, _ in C.SECTIONS) + "]"
+
+
+@query("split_sections", f"with {DOCS_SQL}, parts as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '(?m)^Điều (\\d+)\\. ', '(\\1) ', 'g'), '(?m)^(\\(\\d+\\) )', chr(1) || '\\1', 'g'), chr(1))) as b from sdocs), kept as (select doc_id, trim(b, ' ' || chr(10)) as block, cast(regexp_extract(b, '^\\((\\d+)\\)', 1) as int) as section from parts where length(trim(b, ' ' || chr(10))) >= 60) select doc_id, section, {FIELDS_SQL}[section] as field_type, block from kept")
 def _(spark, sf):
     docs = structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "($1) "))
-    return C.split_blocks(docs, "text", "(?m)^\\(\\d{1,2}\\) ").select("doc_id", "block")
+    return C.split_sections(docs, "text").select("doc_id", "section", "field_type", "block")
 
 
-@query("split_steps", f"with {DOCS_SQL}, parts as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '(?m)^Điều (\\d+)\\. ', 'Bước \\1: ', 'g'), '(?m)^(Bước \\d+:)', chr(1) || '\\1', 'g'), chr(1))) as b from sdocs) select doc_id, trim(b, ' ' || chr(10)) as block from parts where length(trim(b, ' ' || chr(10))) >= 60")
+@query("split_steps", f"with {DOCS_SQL}, t as (select doc_id, 'Trình tự' || chr(10) || regexp_replace(text, '(?m)^Điều (\\d+)\\. ', 'Bước \\1: ', 'g') as text from sdocs), parts as (select doc_id, unnest(case when greatest(1, floor(length(text) / 1.5)) <= 300 then [text] else list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(Bước \\d+:)', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) >= 60 or x = 'Trình tự') end) as block from t) select doc_id, try_cast(regexp_extract(block, '^Bước (\\d+)', 1) as int) as step, block from parts")
 def _(spark, sf):
-    docs = structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "Bước $1: "))
-    return C.split_blocks(docs, "text", "(?m)^Bước \\d+:").select("doc_id", "block")
+    docs = structured(spark, sf).withColumn("text", F.concat(F.lit("Trình tự\n"), F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "Bước $1: ")))
+    return C.split_steps(docs, "text", 300).select("doc_id", "step", "block")
 
 
 @query("header_spans", f"with {DOCS_SQL}, p as (select doc_id, string_split(regexp_replace(text, '(?m)^(Điều \\d+)', chr(1) || '\\1', 'g'), chr(1)) as p from sdocs), u as (select doc_id, unnest(range(2, len(p) + 1)) as i, p from p) select doc_id, cast(list_sum(list_transform(p[:i - 1], lambda x: length(x))) + 1 as bigint) as \"start\", cast(list_sum(list_transform(p[:i], lambda x: length(x))) + 1 as bigint) as \"end\" from u")
@@ -173,10 +176,10 @@ def _(spark, sf):
     return C.pack_paragraphs(documents(spark, sf).select("doc_id", "text"), "text").select("doc_id", "piece_index", "piece")
 
 
-@query("pack_by_marker", None)
+@query("pack_by_marker", f"with {DOCS_SQL}, parts as (select doc_id, list_filter(string_split(regexp_replace(text, '(?m)^Điều (\\d+)', chr(1) || '--- TRANG \\1 ---' || chr(1), 'g'), chr(1)), lambda x: x <> '') as p from sdocs), packed as (select doc_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: case when length(a[-1]) + length(x[1]) > 300 then list_concat(a, x) else list_concat(a[:-2], [a[-1] || chr(10) || chr(10) || x[1]]) end) as b from parts) select doc_id, cast(i as int) as position, trim(b[i + 1], ' ' || chr(10)) as piece from (select doc_id, b, unnest(range(len(b))) as i from packed)")
 def _(spark, sf):
-    docs = structured(spark, sf).withColumn("parts", F.split("text", "(?m)(?=^Điều \\d+)"))
-    return docs.select("doc_id", F.posexplode(C.pack_parts(F.filter("parts", lambda x: x != ""), 200, "")).alias("position", "piece"))
+    docs = structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)", "--- TRANG $1 ---"))
+    return C.pack_by_marker(docs, "text", most=300).select("doc_id", F.col("piece_index").alias("position"), "piece")
 
 
 @query("context_prefix", f"with {DOCS_SQL}, {BLOCKS_SQL} select doc_id, '[Văn bản: ' || name || ']' || chr(10) || '[' || regexp_extract(block, 'Điều \\d+') || ']' || chr(10) || block as chunk from blocks")
@@ -388,24 +391,29 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("procedure_type").agg(F.count("*").alias("n"))
 
 
-PROCEDURES_SQL = f"{DOCS_SQL}, procs as (select doc_id, regexp_replace(text, '(?m)^Điều (\\d+)\\. (\\w+) (\\w+)', '\\1. Thủ tục cấp đổi \\2 \\3', 'g') as text from sdocs)"
+DASHED_SQL = f"{DOCS_SQL}, dashed as (select doc_id, regexp_replace(text, '(?m)^\\d+\\. ', '- ', 'g') as text from sdocs)"
+PROCEDURES_SQL = f"{DASHED_SQL}, procs as (select doc_id, case when doc_id % 6 = 0 then text else regexp_replace(text, '(?m)^Điều (\\d+)\\. (\\w+) (\\w+)', '\\1. Thủ tục cấp đổi \\2 \\3', 'g') end as text from dashed)"
+
+
+def dashed(spark, sf):
+    return structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^\\d+\\. ", "- "))
 
 
 def procedures(spark, sf):
-    return structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. (\\w+) (\\w+)", "$1. Thủ tục cấp đổi $2 $3"))
+    titled = F.regexp_replace("text", "(?m)^Điều (\\d+)\\. (\\w+) (\\w+)", "$1. Thủ tục cấp đổi $2 $3")
+    return dashed(spark, sf).withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.col("text")).otherwise(titled))
 
 
-@query("split_procedures", f"with {PROCEDURES_SQL}, p as (select doc_id, unnest(string_split(regexp_replace(text, '(?m)^(\\d+\\. Thủ tục )', chr(1) || '\\1', 'g'), chr(1))) as b from procs) select doc_id, regexp_extract(b, '^\\d+\\. ([^\\n]*)', 1) as name, trim(b, ' ' || chr(10)) as block from p where length(trim(b, ' ' || chr(10))) > 100")
+@query("split_procedures", f"with {PROCEDURES_SQL}, p as (select doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^((?:[1-9]|[12]\\d|30|0[1-9])\\.\\s+\\pL.{{15,199}}$)', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) > 100 and regexp_matches(x, '^\\d+\\. ')) as b from procs), u as (select doc_id, len(b) > 0 as headed, unnest(case when len(b) > 0 then b else [text] end) as block from p) select doc_id, case when headed then trim(regexp_extract(block, '^\\d+\\. ([^\\n]*)', 1)) else 'Thủ tục đất đai' end as name, case when headed then 'cap_doi_gcn' else 'all' end as procedure_type, block from u")
 def _(spark, sf):
-    blocks = C.split_blocks(procedures(spark, sf), "text", "(?m)^\\d{1,2}\\. Thủ tục ", 101)
-    return blocks.select("doc_id", F.regexp_extract("block", "^\\d+\\. ([^\\n]*)", 1).alias("name"), "block")
+    return C.split_procedures(procedures(spark, sf), "text").select("doc_id", F.col("procedure_name").alias("name"), "procedure_type", "block")
 
 
-@query("split_subprocedures", f"with {DOCS_SQL}, subs as (select doc_id, regexp_replace(text, '(?m)^Điều (\\d+)\\. ', '8.\\1 ', 'g') as text from sdocs), p as (select doc_id, unnest(string_split(regexp_replace(text, '(?m)^(\\d+\\.\\d )', chr(1) || '\\1', 'g'), chr(1))) as b from subs) select doc_id, regexp_extract(b, '^(\\d+)\\.\\d', 1) as parent, trim(b, ' ' || chr(10)) as block from p where length(trim(b, ' ' || chr(10))) >= 60")
+@query("split_subprocedures", f"with {DASHED_SQL}, subs as (select doc_id, case when doc_id % 6 = 3 then text else case when doc_id % 2 = 0 then '8. Cấp đổi giấy chứng nhận đất' || chr(10) else '' end || regexp_replace(text, '(?m)^Điều (\\d+)\\. ', '8.\\1 ', 'g') end as text from dashed), p as (select doc_id, text, list_transform(string_split(regexp_replace(text, '(?m)^(\\d{{1,2}}\\.\\d\\s+.{{10,200}})', chr(1) || '\\1', 'g'), chr(1))[2:], lambda x: trim(x, ' ' || chr(10))) as b from subs), k as (select *, list_filter(b, lambda x: length(x) >= 60) as kept from p), u as (select doc_id, unnest(case when len(kept) > 0 then list_transform(kept, lambda x: struct_pack(number := regexp_extract(x, '^(\\d+\\.\\d)', 1), parent := case when doc_id % 2 = 0 then 'Cấp đổi giấy chứng nhận đất' else 'Thủ tục 8' end, sub_name := substring(trim(regexp_extract(x, '^\\d+\\.\\d\\s+([^\\n]*)', 1)), 1, 150), block := x)) when len(b) > 0 then [struct_pack(number := '', parent := 'Quy trình nội bộ', sub_name := '', block := text)] when doc_id % 2 = 0 then [struct_pack(number := '', parent := 'Cấp đổi giấy chứng nhận đất', sub_name := '', block := text)] else [struct_pack(number := '', parent := 'Quy trình nội bộ đất đai', sub_name := '', block := text)] end) as x from k) select doc_id, x.number as number, x.parent as parent, x.sub_name as sub_name, x.block as block from u")
 def _(spark, sf):
-    docs = structured(spark, sf).withColumn("text", F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "8.$1 "))
-    blocks = C.split_blocks(docs, "text", "(?m)^\\d{1,2}\\.\\d ")
-    return blocks.select("doc_id", F.regexp_extract("block", "^(\\d+)\\.\\d", 1).alias("parent"), "block")
+    headed = F.concat(F.when(F.col("doc_id") % 2 == 0, "8. Cấp đổi giấy chứng nhận đất\n").otherwise(""), F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", "8.$1 "))
+    docs = dashed(spark, sf).withColumn("text", F.when(F.col("doc_id") % 6 == 3, F.col("text")).otherwise(headed))
+    return C.split_subprocedures(docs, "text").select("doc_id", "number", "parent", "sub_name", "block")
 
 
 @query("total_time_chunk", "select o_orderkey, cast(o_orderkey % 30 + 1 as varchar) || ' ngày' as chunk from orders where o_orderkey % 2 = 0")
@@ -422,10 +430,8 @@ def _(spark, sf):
 
 @query("infer_parents", "select o_orderkey, c_custkey from orders join customer on contains(c_name, lpad(cast(o_custkey as varchar), 9, '0')) where o_orderstatus = 'P'")
 def _(spark, sf):
-    """A hint is a number of nine digits, so its join is on the numbers that names hold."""
     hints = T(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("hint"))
-    catalog = T(spark, sf, "customer").select("c_custkey", F.explode(F.array_distinct(F.regexp_extract_all("c_name", F.lit("\\d{9}"), F.lit(0)))).alias("hint"))
-    return hints.join(catalog, "hint").select("o_orderkey", "c_custkey")
+    return infer_parents(hints, T(spark, sf, "customer").select("c_custkey", "c_name"), "hint", "c_name").select("o_orderkey", "c_custkey")
 
 
 @query("patch_by_source", "select doc_id, case when source in ('src1', 'src2') then 'repealed' else 'active' end as status from documents")

@@ -253,3 +253,40 @@ def test_provisions_and_invalid_values(spark):
     bad = {"n": "bản sao", "a": "Sổ đỏ số 1", "p": "12", "e": "a@b", "d": "1a", "c": "x", "b": "maybe"}
     df = spark.createDataFrame([(1, good), (2, bad), (3, {})], "id int, answers map<string,string>")
     assert {r.id: r.k for r in df.select("id", invalid_keys(fields).alias("k")).collect()} == {1: [], 2: list("napedcb"), 3: []}
+
+
+def test_procedures_sections_and_steps(spark):
+    long_ = "nội dung của phần này " * 6
+    text_ = f"lời mở đầu\n1. Thủ tục cấp đổi giấy\n(1) Trình tự thực hiện\n{long_}\n(12) không phải mục\n(2) ngắn\n2. Chuyển nhượng quyền sử dụng\n{long_}"
+    df = spark.createDataFrame([(1, text_), (2, "không có tiêu đề"), (3, None)], "id int, text string")
+    got = structure.split_procedures(df, "text").orderBy("id", "position").collect()
+    assert [(r.id, r.procedure_name, r.procedure_type) for r in got] == [(1, "Thủ tục cấp đổi giấy", "cap_doi_gcn"), (1, "Chuyển nhượng quyền sử dụng", "chuyen_nhuong"), (2, "Thủ tục đất đai", "all"), (3, "Thủ tục đất đai", "all")]
+    assert "mở đầu" not in got[0].block and got[2].block == "không có tiêu đề"
+    sections = structure.split_sections(df, "text").collect()
+    assert [(r.section, r.field_type) for r in sections] == [(1, "trinh_tu")] and "(12)" in sections[0].block
+    steps = spark.createDataFrame([(f"mở đầu\nBước 1: {long_}\nBước 2: ngắn\nBước 3: {long_}",)], "text string")
+    assert [r.step for r in structure.split_steps(steps, "text", 50).orderBy("position").collect()] == [None, 1, 3]
+    assert [r.step for r in structure.split_steps(steps, "text").collect()] == [None]
+    assert [r.step for r in structure.split_steps(steps, "text", workflow=True).orderBy("position").collect()] == [1, 3]
+
+
+def test_subprocedures_know_their_procedure(spark):
+    body = "các bước xử lý hồ sơ tại cơ quan có thẩm quyền trong thời hạn"
+    texts = [(1, f"8. Cấp đổi giấy chứng nhận\n8.1 trường hợp thứ nhất\n{body}\n8.2 trường hợp thứ hai\n{body}\n12.1 trường hợp khác nữa\n{body}"), (2, "8.1 trường hợp ngắn"), (3, f"8. Cấp đổi giấy chứng nhận\n{body}"), (4, "x")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = [(r.id, r.number, r.parent, r.sub_name) for r in structure.split_subprocedures(df, "text").orderBy("id", "position").collect()]
+    assert got == [(1, "8.1", "Cấp đổi giấy chứng nhận", "trường hợp thứ nhất"), (1, "8.2", "Cấp đổi giấy chứng nhận", "trường hợp thứ hai"), (1, "12.1", "Thủ tục 12", "trường hợp khác nữa"), (2, "", "Quy trình nội bộ", ""), (3, "", "Cấp đổi giấy chứng nhận", ""), (4, "", "Quy trình nội bộ đất đai", "")]
+
+
+def test_marked_pages_are_packed(spark):
+    df = spark.createDataFrame([("a--- TRANG 1 ---bb--- TRANG 2 ---cc",), ("",), ("x" * 50,)], "text string")
+    got = structure.pack_by_marker(df, "text", most=20).collect()
+    assert [r.piece for r in got] == ["a\n\n--- TRANG 1 ---\n\nbb", "--- TRANG 2 ---\n\ncc", "", "x" * 50]
+
+
+def test_parents_by_hint(spark):
+    docs = spark.createDataFrame([(1, "1467"), (2, "Quy trình"), (3, ""), (4, None), (5, "99")], "id int, hint string")
+    catalog = spark.createDataFrame([(10, "QĐ 1467/2024"), (11, "QUY TRÌNH nội bộ 14671467"), (12, None), (13, "")], "parent int, name string")
+    got = sorted((r.id, r.parent) for r in relational.infer_parents(docs, catalog, "hint", "name").collect())
+    assert got == [(1, 10), (1, 11), (2, 11)]
+    assert relational.infer_parents(docs.where("id = 3"), catalog, "hint", "name").count() == 0
