@@ -175,9 +175,9 @@ def split_subprocedures(df: DataFrame, text: str) -> DataFrame:
 
 
 def _exploded(df: DataFrame, blocks: Column, *fields: str) -> DataFrame:
-    """df's rows with each struct of the blocks; fields replace columns of their names."""
+    """df's rows with each struct of the blocks; fields replace columns of their names. Null texts have no row."""
     rows = df.select(*(c for c in df.columns if c not in ("position", *fields)), F.posexplode(blocks).alias("position", "_b"))
-    return rows.select(*rows.columns[:-1], *(F.col("_b")[f].alias(f) for f in fields))
+    return rows.where("_b.block is not null").select(*rows.columns[:-1], *(F.col("_b")[f].alias(f) for f in fields))
 
 
 def procedure_pieces(text: Column) -> Column:

@@ -257,13 +257,13 @@ def test_provisions_and_invalid_values(spark):
 
 def test_procedures_sections_and_steps(spark):
     long_ = "nội dung của phần này " * 6
-    text_ = f"lời mở đầu\n1. Thủ tục cấp đổi giấy\n(1) Trình tự thực hiện\n{long_}\n(12) không phải mục\n(2) ngắn\n2. Chuyển nhượng quyền sử dụng\n{long_}"
+    text_ = f"lời mở đầu\n1. Thủ tục cấp đổi giấy\n(1) Trình tự thực hiện\n{long_}\n(12) không phải mục\n(2) ngắn\n(3) hồ sơ gồm\n{long_}\n2. Chuyển nhượng quyền sử dụng\n{long_}"
     df = spark.createDataFrame([(1, text_), (2, "không có tiêu đề"), (3, None)], "id int, text string")
     got = structure.split_procedures(df, "text").orderBy("id", "position").collect()
-    assert [(r.id, r.procedure_name, r.procedure_type) for r in got] == [(1, "Thủ tục cấp đổi giấy", "cap_doi_gcn"), (1, "Chuyển nhượng quyền sử dụng", "chuyen_nhuong"), (2, "Thủ tục đất đai", "all"), (3, "Thủ tục đất đai", "all")]
+    assert [(r.id, r.procedure_name, r.procedure_type) for r in got] == [(1, "Thủ tục cấp đổi giấy", "cap_doi_gcn"), (1, "Chuyển nhượng quyền sử dụng", "chuyen_nhuong"), (2, "Thủ tục đất đai", "all")]
     assert "mở đầu" not in got[0].block and got[2].block == "không có tiêu đề"
-    sections = structure.split_sections(df, "text").collect()
-    assert [(r.section, r.field_type) for r in sections] == [(1, "trinh_tu")] and "(12)" in sections[0].block
+    sections = structure.split_sections(df, "text").orderBy("position").collect()
+    assert [(r.section, r.field_type) for r in sections] == [(1, "trinh_tu"), (3, "thanh_phan_ho_so")] and "(12)" in sections[0].block
     steps = spark.createDataFrame([(f"mở đầu\nBước 1: {long_}\nBước 2: ngắn\nBước 3: {long_}",)], "text string")
     assert [r.step for r in structure.split_steps(steps, "text", 50).orderBy("position").collect()] == [None, 1, 3]
     assert [r.step for r in structure.split_steps(steps, "text").collect()] == [None]
