@@ -14,6 +14,7 @@ from .common import LOWER, ship, tidy, utf8
 
 HIDDEN, EMBEDDING = 8, 8
 TRAINING_DOCUMENTS, TRAINING_WINDOWS, WINDOW_BYTES = 2000, 9000, 64
+PARTS = 32
 STRETCH, CONTEXT, ROWS, STEPS = 1024, 64, 2048, 32
 LETTER = r"\p{L}"
 
@@ -268,14 +269,16 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> LanguageModel:
     """The network, trained on a bounded sample: of the rows with a language that are not held out, documents / languages of each language (20 at
-    least), first by a hash of doc_id. Of their whole texts windows of WINDOW_BYTES bytes are taken evenly, and TRAINING_WINDOWS of all are drawn. The
+    least), first by a hash of doc_id; first of PARTS parts of a language, then of all, so that no task sorts a whole language. Of their whole texts windows of WINDOW_BYTES bytes are taken evenly, and TRAINING_WINDOWS of all are drawn. The
     driver holds a row for each language and the sample."""
     ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("wanted"), F.col("lang").cast("string").alias("of"))
     langs = known.select("of").distinct().count()
     each = max(20, documents // max(1, langs))
-    nth = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("wanted"), "wanted"))
-    chosen = known.where("wanted is not null").distinct().withColumn("nth", nth).where(F.col("nth") <= each).select("wanted", "of")
+    nth = lambda *by: F.row_number().over(Window.partitionBy("of", *by).orderBy(F.xxhash64("wanted"), "wanted"))
+    parted = known.where("wanted is not null").distinct().withColumn("part", F.pmod(F.hash("wanted"), F.lit(PARTS)))
+    first = parted.withColumn("nth", nth("part")).where(F.col("nth") <= each)
+    chosen = first.withColumn("nth", nth()).where(F.col("nth") <= each).select("wanted", "of")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
     texts = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("wanted")) & (F.col("lang") == F.col("of")), "left_semi")
     per_text = 4 * TRAINING_WINDOWS // max(1, each * max(1, langs)) + 1
