@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
-from ..functions.text import cosine, first_match, l2_normalize, tokens
+from ..functions.text import first_match, tokens
 from ..session import ship
+from .lexical import LexicalIndex, lexical_hits
+from .scorers import rerank, score_pairs, shared_words
+from .vectors import DENSE_K, THRESHOLD, dense_topk
 
 #: Retrieval sizes and weights of production settings.
-TOP_K, DENSE_K, LEXICAL_K, RERANK_K, THRESHOLD, RRF_K = 6, 18, 20, 3, 0.65, 60
-K1, B, EPSILON = 1.5, 0.75, 0.25
-BROADCAST_QUESTIONS, BROADCAST_ROWS = 20_000, 500_000
+TOP_K, LEXICAL_K, RERANK_K, RRF_K = 6, 20, 3, 60
 
 
 def detect_intent(question):
@@ -30,63 +31,11 @@ def expand_query(question, rewrite):
     return F.when(legal | rewrite.isNull() | (F.length(rewrite) <= 5), question).otherwise(F.concat_ws(" ", question, rewrite))
 
 
-def inverted_index(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf of the words of a text column."""
-    return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
-
-
-def word_lists(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """key, words: the words of each text in order, for bm25(). Worth writing once, as bm25() reads it three times."""
-    return chunks.select(key, tokens(F.col(text)).alias("words"))
-
-
-def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; else Spark joins by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def bm25(questions: DataFrame, lists: DataFrame, question_key: str, key: str, text: str) -> DataFrame:
-    """question_key, key, score (Okapi BM25, six decimals) of all texts above 0; lists as word_lists() makes them.
-
-    Query words count as often as they stand; a word in more than half of the texts has a quarter of the mean idf. Lengths are those of the lists;
-    document frequencies are counts of words, summed before they are shuffled; postings are made of asked words only, where the texts are,
-    and carry their text's length, so that scores are summed before the one shuffle by question and text."""
-    held = lists.where(F.size("words") > 0).withColumn("dl", F.size("words"))
-    totals = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counts = held.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    frequency = counts.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = frequency.agg(F.avg("raw").alias("mean"))
-    asked = questions.select(question_key, F.explode(tokens(F.col(text))).alias("term")).groupBy(question_key, "term").agg(F.count("*").alias("qtf"))
-    terms = few(asked.select("term").distinct())
-    idf = frequency.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    postings = held.select(key, "dl", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = postings.join(few(asked.join(idf, "term")), "term")
-    return rows.groupBy(question_key, key).agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
-
-
 def top(hits: DataFrame, question_key: str, key: str, k: int, score: str = "score", rank: str = "rank") -> DataFrame:
     w = Window.partitionBy(question_key).orderBy(F.desc(score), key)
     return hits.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense_hits(questions: DataFrame, index: DataFrame, question_key: str, key: str, vector: str, threshold: float = THRESHOLD) -> DataFrame:
-    """question_key, key, score: all vectors of the index whose cosine with a question's reaches the threshold. The questions, a stated query set, are
-    broadcast in blocks of at most BROADCAST_QUESTIONS; the rows of the index stream past each block."""
-    unit = lambda df, c, name: df.select(F.col(c), l2_normalize(F.col(vector)).alias(name))
-    asked, held = unit(questions, question_key, "_q"), unit(index, key, "_v")
-    blocks = -(-asked.count() // BROADCAST_QUESTIONS)
-    dot = F.round(F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
-    block = lambda i: asked if blocks < 2 else asked.where(F.pmod(F.xxhash64(question_key), F.lit(2 * blocks)) == i)
-    parts = [held.join(F.broadcast(block(i))).select(question_key, key, dot.alias("score")).where(F.col("score") >= threshold) for i in range(1 if blocks < 2 else 2 * blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def dense_topk(questions: DataFrame, index: DataFrame, question_key: str, key: str, vector: str, k: int = DENSE_K, threshold: float = THRESHOLD) -> DataFrame:
-    """question_key, key, score, rank: the best vectors by cosine from the threshold on; scores below go before the top-k."""
-    return top(dense_hits(questions, index, question_key, key, vector, threshold), question_key, key, k)
-
-
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, question_key: str, key: str, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion: 1 / (k + rank) summed over both lists, against the best sum there can be."""
     d = dense.select(question_key, key, F.col("rank").alias("dense_rank"))
@@ -103,6 +52,27 @@ def weighted_fuse(dense: DataFrame, lexical: DataFrame, question_key: str, key:
     return joined.select(question_key, key, F.round(weight * F.coalesce("d", F.lit(0.0)) + (1 - weight) * F.coalesce("x", F.lit(0.0)) + 1e-9, 6).alias("score"))
 
 
+#: Ways to fuse a dense and a lexical list, by name.
+FUSIONS: dict[str, Callable] = {"rrf": rrf_fuse, "weighted": weighted_fuse}
+
+
+def retrieve(questions: DataFrame, vectors: DataFrame, index: LexicalIndex, chunks: DataFrame, question_key: str, key: str, threshold: float = THRESHOLD, fusion: str = "rrf", scorer: Callable | None = shared_words, top_k: int = TOP_K, rerank_k: int = RERANK_K) -> DataFrame:
+    """The whole chain for a table of questions (question_key, text, rewrite, embedding, scope): a row (question_key, key, score, rank, and chunks' columns) for each of the
+    rerank_k best chunks.
+
+    1. The question is expanded by its rewrite. 2. Its vector is looked up in vectors (key, embedding, grp) and its words in the kept index, both only in
+    the groups of its scope (an array of texts; null: all). 3. The lists are fused (a name of FUSIONS) and the top_k best stay. 4. The scorer's value for
+    the question and the chunk's text is blended in, if there is one. A question that finds nothing has no row: see fallback_answers()."""
+    asked = questions.withColumn("query", expand_query(F.col("text"), F.col("rewrite")))
+    dense = dense_topk(asked, vectors, question_key, key, "embedding", DENSE_K, threshold, scope="scope", group="grp")
+    lexical = top(lexical_hits(asked, index, question_key, "query", "scope"), question_key, key, LEXICAL_K)
+    found = top(FUSIONS[fusion](dense, lexical, question_key, key), question_key, key, max(top_k, rerank_k)).select(question_key, key, "score")
+    rows = found.join(chunks, key).join(questions.select(question_key, F.col("text").alias("_question")), question_key)
+    if scorer:
+        rows = score_pairs(rows, "_question", "text", scorer)
+    return rerank(rows, question_key, key, rerank_k, "ce_score" if scorer else None).drop("_question")
+
+
 def build_context(hits: DataFrame, question_key: str) -> DataFrame:
     """question_key, context: numbered blocks of the hits (rank, source_name, article, clause, status, text)."""
     label = reduce(lambda c, kv: c.when(F.col("status") == kv[0], kv[1]), rules.STATUS_LABELS.items(), F.when(F.lit(False), "")).otherwise(F.coalesce(F.col("status"), F.lit(rules.STATUS_LABELS["active"])))
@@ -148,12 +118,6 @@ def excerpt_answers(failed: DataFrame, hits: DataFrame, question_key: str, text:
     return best.groupBy(question_key).agg(answer.alias("answer")).select(question_key, "answer", F.lit(True).alias("is_fallback"), F.lit(0.0).alias("confidence"))
 
 
-def overlap_scores(questions: DataFrame, index: DataFrame, question_key: str, key: str, text: str) -> DataFrame:
-    """The share of a question's distinct words that a text has: for questions that BM25 finds nothing for."""
-    asked = questions.select(question_key, F.array_distinct(tokens(F.col(text))).alias("w")).withColumn("n", F.size("w"))
-    return asked.select(question_key, "n", F.explode("w").alias("term")).join(index, "term").groupBy(question_key, key, "n").agg(F.count("*").alias("m")).select(question_key, key, F.round(F.col("m") / F.col("n"), 6).alias("score"))
-
-
 def _reused(key: int, ts: int, ttl_us: int) -> Callable:
     """Rows sorted by key and time, with `reused`; only the last answer stored is held."""
 
@@ -193,16 +157,3 @@ def suggest(log: DataFrame, asked: DataFrame, group: str, question: str, k: int
     known = counts.select(F.col(group).alias("_known")).distinct()
     rows = asked.join(known, F.col(group) == F.col("_known"), "left")
     return rows.join(lists, F.col("_known").eqNullSafe(F.col("_group"))).select(*asked.columns, question, "n", "rank")
-
-
-def dense_topk_lsh(questions: DataFrame, index: DataFrame, question_key: str, key: str, vector: str, k: int = TOP_K, threshold: float = THRESHOLD, tables: int = 24, bucket: float = 1.0) -> DataFrame:
-    """dense_topk() for large indexes: candidates share a bucket of random projections, and are scored exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df, c: df.select(F.col(c).alias("_id"), l2_normalize(F.col(vector)).alias("_u"), array_to_vector(l2_normalize(F.col(vector))).alias("_f"))
-    q, v = unit(questions, question_key), unit(index, key)
-    model = BucketedRandomProjectionLSH(inputCol="_f", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=11).fit(v)
-    pairs = model.approxSimilarityJoin(q, v, (2 - 2 * threshold) ** 0.5 + 1e-6)
-    hits = pairs.select(F.col("datasetA._id").alias(question_key), F.col("datasetB._id").alias(key), F.round(cosine(F.col("datasetA._u"), F.col("datasetB._u")), 6).alias("score")).where(F.col("score") >= threshold)
-    return top(hits, question_key, key, k)

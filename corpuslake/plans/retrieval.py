@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as X
 from ..operators import evaluation as E
+from ..operators import lexical as L
 from ..operators import retrieval as K
+from ..operators import scorers as S
+from ..operators import vectors as V
 from ..sources.tables import read_table as T
 from .registry import query
-from .shared import stored
+from .shared import fingerprint, stored
 
 STOP = "(" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + ")"
 WORDS = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}'), lambda x: x not in {STOP})"
 ALL_WORDS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'))"
-INDEX_SQL = f"idx as (select doc_id, term, count(*) as tf from (select doc_id, unnest({WORDS('text')}) as term from documents) group by all), asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({WORDS('text')}) as term from benchmark) group by all)"
+INDEX_SQL = f"idx as (select doc_id, term, count(*) as tf from (select doc_id, unnest({WORDS("concat_ws(' ', source, lang, text)")}) as term from documents) group by all), asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({WORDS('text')}) as term from benchmark) group by all)"
 BM25_SQL = f"""{INDEX_SQL},
 dl as (select doc_id, sum(tf) as dl from idx group by 1), tot as (select count(*) as n, avg(dl) as avgdl from dl),
 f as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from idx, tot group by term, n),
@@ -37,19 +40,25 @@ def questions(spark, sf):
     return T(spark, sf, "benchmark").select("item_id", "text")
 
 
-def index(spark, sf):
-    return K.inverted_index(T(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+_kept: dict[tuple, L.LexicalIndex] = {}
+
+
+def kept_index(spark, sf, kind="all", rows=None, group=None):
+    """The inverted index over source, language and text of documents (or of rows made of them), written once a session and state of the table's files."""
+    state = (spark.sparkContext.applicationId, kind, fingerprint(spark, f"{sf}/documents.parquet"))
+    if state not in _kept:
+        _kept[state] = L.write_lexical_index(rows if rows is not None else T(spark, sf, "documents"), "doc_id", ["source", "lang", "text"], group)
+    return _kept[state]
 
 
 def lexical(spark, sf):
-    lists = stored(K.word_lists(T(spark, sf, "documents"), "doc_id", "text"), "words")
-    return K.top(K.bm25(questions(spark, sf), lists, "item_id", "doc_id", "text"), "item_id", "doc_id", K.LEXICAL_K)
+    return K.top(L.bm25_hits(questions(spark, sf), kept_index(spark, sf), "item_id", "text"), "item_id", "doc_id", K.LEXICAL_K)
 
 
 def dense(spark, sf):
     vectors = T(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = questions(spark, sf).select("item_id").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id")
-    return K.dense_topk(asked, vectors, "item_id", "doc_id", "embedding", threshold=LEAST)
+    return V.dense_topk(asked, vectors, "item_id", "doc_id", "embedding", threshold=LEAST)
 
 
 def fused(spark, sf):
@@ -80,12 +89,12 @@ ANSWERS_SQL = "ans as (select item_id, arg_min(c.text, turn) as answer from benc
 
 @query("doc_frequency", f"with {INDEX_SQL} select term, count(*) as df, cast(sum(tf) as bigint) as cf from idx group by 1")
 def _(spark, sf):
-    return index(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return kept_index(spark, sf).terms(spark).where(F.col("grp") == L.ALL).select("term", "df", "cf")
 
 
-@query("inverted_index", f"with {INDEX_SQL} select doc_id, term, tf from idx")
+@query("inverted_index", f"with {INDEX_SQL} select doc_id, term, tf, cast(sum(tf) over (partition by doc_id) as bigint) as dl from idx")
 def _(spark, sf):
-    return index(spark, sf).select("doc_id", "term", "tf")
+    return kept_index(spark, sf).postings(spark).select(F.col("key").alias("doc_id"), "term", "tf", "dl")
 
 
 @query("bm25_topk", f"with {BM25_SQL} select item_id, doc_id, score, cast(rank as int) as rank from lex")
@@ -93,28 +102,70 @@ def _(spark, sf):
     return lexical(spark, sf)
 
 
-@query("overlap_fallback", f"with {INDEX_SQL}, n as (select item_id, count(*) as n from asked group by 1) select item_id, doc_id, round(count(*) / any_value(n), 6) as score from asked join idx using (term) join n using (item_id) group by 1, 2")
+def small_groups(doc_id):
+    """Groups of one to three documents."""
+    return doc_id - doc_id % (1 + doc_id % 3)
+
+
+#: Each question looks at the group of the document of its number: in a group of one or two, no word has a BM25 above 0.
+OVERLAP_SQL = f"""with {INDEX_SQL}, g as (select doc_id - doc_id % (1 + doc_id % 3) as grp, doc_id, term, tf from idx),
+qs as (select item_id, item_id - item_id % (1 + item_id % 3) as grp from benchmark), dl as (select grp, doc_id, sum(tf) as dl from g group by all), tot as (select grp, count(*) as n, avg(dl) as avgdl from dl group by 1),
+f as (select grp, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from g join tot using (grp) group by grp, term, n), m as (select grp, avg(raw) as mean from f group by 1),
+idf as (select grp, term, case when raw < 0 then 0.25 * mean else raw end as idf from f join m using (grp)),
+found as (select item_id, doc_id from asked join qs using (item_id) join idf using (grp, term) join g using (grp, term) join dl using (grp, doc_id) join tot using (grp) group by all having round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) > 0),
+n as (select item_id, count(*) as n from asked group by 1)
+select item_id, doc_id, round(count(*) / any_value(n), 6) as score from asked join qs using (item_id) join g using (grp, term) join n using (item_id) where item_id not in (select item_id from found) group by all"""
+
+
+@query("overlap_fallback", OVERLAP_SQL)
 def _(spark, sf):
-    return K.overlap_scores(questions(spark, sf), index(spark, sf), "item_id", "doc_id", "text")
+    rows = T(spark, sf, "documents").withColumn("grp", small_groups(F.col("doc_id")))
+    asked = questions(spark, sf).withColumn("scope", F.array(small_groups(F.col("item_id"))))
+    found = L.lexical_hits(asked, kept_index(spark, sf, "small groups", rows, "grp"), "item_id", "text", "scope")
+    return found.where(F.col("by") == "overlap").select("item_id", "doc_id", "score")
+
+
+def scopes(names):
+    """Of every three questions, one looks at all groups, one at one group, one at two."""
+    first, second = names(F.col("item_id")), names(F.col("item_id") + 1)
+    return F.when(F.col("item_id") % 3 == 1, F.array(first)).when(F.col("item_id") % 3 == 2, F.array(first, second))
+
+
+def status(key):
+    return F.when(F.col(key) % 3 == 0, "active").when(F.col(key) % 3 == 1, "repealed")
 
 
-@query("dense_topk", f"with {DENSE_SQL} select item_id, doc_id, score, cast(rank as int) as rank from dense")
+FILTERED_SQL = DENSE_SQL.replace("embeddings e)", "embeddings e where e.vec_id % 3 <> 1 and (item_id % 3 = 0 or e.label = item_id % 10 or (item_id % 3 = 2 and e.label = (item_id + 1) % 10)))")
+
+
+def filtered(spark, sf):
+    """Questions with their vectors and scopes, and the vectors that are in force, with their label as procedure."""
+    vectors = T(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("string").alias("procedure")).withColumn("status", status("doc_id"))
+    asked = questions(spark, sf).select("item_id", scopes(lambda i: (i % 10).cast("string")).alias("scope"))
+    asked = asked.join(T(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    return asked, V.payload_filter(vectors, status="status")
+
+
+@query("dense_topk", f"with {FILTERED_SQL} select item_id, doc_id, score, cast(rank as int) as rank from dense")
 def _(spark, sf):
-    return dense(spark, sf)
+    asked, vectors = filtered(spark, sf)
+    return V.dense_topk(asked, vectors, "item_id", "doc_id", "embedding", threshold=LEAST, scope="scope", group="procedure")
 
 
 @query("dense_topk_lsh", None)
 def _(spark, sf):
-    vectors = T(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = questions(spark, sf).select("item_id").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id")
-    return K.dense_topk_lsh(asked, vectors, "item_id", "doc_id", "embedding", threshold=LEAST)
+    asked, vectors = filtered(spark, sf)
+    files = V.write_vector_index(vectors, "doc_id", "embedding", "procedure")
+    found = stored(V.dense_topk_index(spark, asked, files, vectors, "item_id", "doc_id", "embedding", threshold=LEAST, scope="scope"), "hits")
+    V.drop_vector_index(spark, files)
+    return found
 
 
 @query("cross_score", "select a.item_id, e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score from benchmark a join embeddings q on q.vec_id = a.item_id, embeddings e where round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) >= 0.3")
 def _(spark, sf):
     vectors = T(spark, sf, "embeddings").select(F.col("vec_id"), "embedding")
     asked = questions(spark, sf).select("item_id").join(vectors.withColumnRenamed("vec_id", "item_id"), "item_id")
-    return K.dense_hits(asked, vectors, "item_id", "vec_id", "embedding", threshold=0.3)
+    return V.dense_hits(asked, vectors, "item_id", "vec_id", "embedding", threshold=0.3)
 
 
 @query("fuse_outer", f"with {BM25_SQL}, {DENSE_SQL} select item_id, doc_id, cast(d.rank as int) as dense_rank, cast(l.rank as int) as lexical_rank from dense d full join lex l using (item_id, doc_id)")
@@ -132,21 +183,60 @@ def _(spark, sf):
     return K.weighted_fuse(dense(spark, sf), lexical(spark, sf), "item_id", "doc_id")
 
 
-@query("rerank", f"{ALL_SQL} select item_id, doc_id, score, cast(rank as int) as rank from top")
-def _(spark, sf):
-    return reranked(spark, sf).select("item_id", "doc_id", "score", "rank")
+#: The six best of the fused list, with the share of the question's words that the text has as cross-encoder score, blended in as 0.8 to 0.2.
+def blended_sql(fused, words="text"):
+    return f"""six as (select item_id, doc_id, score from {fused} qualify row_number() over (partition by item_id order by score desc, doc_id) <= 6),
+ce as (select s.*, d.source, d.lang, d.text, coalesce(len(list_intersect(list_distinct({WORDS('b.text')}), list_distinct({WORDS('d.text')}))) / nullif(len(list_distinct({WORDS('b.text')})), 0), 0) as ce from six s join documents d using (doc_id) join benchmark b using (item_id)),
+span as (select *, min(ce) over (partition by item_id) as low, max(ce) over (partition by item_id) as high from ce),
+best as (select item_id, doc_id, source, lang, text, round(0.8::double * (case when high > low then (ce - low) / (high - low) else 1.0 end) + (1 - 0.8::double) * score + 1e-9, 6) as blended from span),
+three as (select *, row_number() over (partition by item_id order by blended desc, doc_id) as rank from best qualify rank <= 3)"""
 
 
-@query("retrieve", f"{ALL_SQL} select item_id, doc_id, score, cast(rank as int) as rank, source as source_name from top join documents using (doc_id)")
+@query("rerank", f"with {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}, {blended_sql('fused')} select item_id, doc_id, blended as score, cast(rank as int) as rank from three")
+def _(spark, sf):
+    six = K.top(fused(spark, sf), "item_id", "doc_id", K.TOP_K).select("item_id", "doc_id", "score")
+    rows = six.join(T(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(questions(spark, sf).withColumnRenamed("text", "question"), "item_id")
+    scored = S.score_pairs(rows, "question", "text", S.shared_words)
+    return S.rerank(scored, "item_id", "doc_id", K.RERANK_K, "ce_score").select("item_id", "doc_id", "score", "rank")
+
+
+#: The whole chain: documents in force only, each question in the sources of its scope, expanded by its rewrite.
+RETRIEVE_SQL = f"""with live as (select doc_id, source, lang, text, case when doc_id % 3 = 0 then 'active' end as status from documents where doc_id % 3 <> 1),
+qs as (select item_id, b.text, case when length(d.text) <= 5 or d.text is null or contains(lower(b.text), 'nghị định') or contains(lower(b.text), 'thông tư') then b.text else b.text || ' ' || d.text end as query,
+  case item_id % 3 when 0 then '*' when 1 then 'src' || (item_id % 20) else 'src' || (item_id % 20) || '+' end as s, case item_id % 3 when 0 then null when 1 then ['src' || (item_id % 20)] else ['src' || (item_id % 20), 'src' || ((item_id + 1) % 20)] end as scope
+  from benchmark b left join (select doc_id, substring(text, 1, doc_id % 12 + 1) as text from documents) d on d.doc_id = item_id),
+sc as (select distinct s, scope from qs), idx as (select doc_id, source, term, count(*) as tf from (select doc_id, source, unnest({WORDS("concat_ws(' ', source, lang, text)")}) as term from live) group by all),
+asked as (select item_id, s, scope, term, count(*) as qtf from (select item_id, s, scope, unnest({WORDS('query')}) as term from qs) group by all),
+dl as (select doc_id, source, sum(tf) as dl from idx group by all), tot as (select s, count(*) as n, avg(dl) as avgdl from sc join dl on scope is null or list_contains(scope, source) group by 1),
+df as (select s, term, count(*) as df from sc join idx on scope is null or list_contains(scope, source) group by all), f as (select s, term, ln(n - df + 0.5) - ln(df + 0.5) as raw from df join tot using (s)),
+m as (select s, avg(raw) as mean from f group by 1), idf as (select s, term, case when raw < 0 then 0.25 * mean else raw end as idf from f join m using (s)),
+scored as (select item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from asked join idf using (s, term) join idx on idx.term = asked.term and (scope is null or list_contains(scope, idx.source)) join dl using (doc_id) join tot using (s) group by all having round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) > 0),
+lap as (select item_id, doc_id, round(count(*) / any_value(w), 6) as score from asked join (select item_id, count(*) as w from asked group by 1) using (item_id) join idx on idx.term = asked.term and (scope is null or list_contains(scope, idx.source)) where item_id not in (select item_id from scored) group by all),
+lex as (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rank from (select * from scored union all select * from lap) qualify rank <= 20),
+cosines as (select item_id, e.vec_id as doc_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score from qs join embeddings q on q.vec_id = item_id, embeddings e join live on live.doc_id = e.vec_id where scope is null or list_contains(scope, source)),
+dense as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from cosines where score >= 0.1 qualify rank <= 18), {FUSED_SQL}, {blended_sql('fused')},
+ctx as (select item_id, string_agg('--- Tài liệu ' || rank || ' [' || source || ', ' || lang || ' — Còn hiệu lực] ---' || chr(10) || text, chr(10) || chr(10) order by rank) as context from three group by 1)
+select item_id, doc_id, blended as score, cast(rank as int) as rank, source as source_name, sha256(context) as context_sha256 from three join ctx using (item_id)"""
+
+
+@query("retrieve", RETRIEVE_SQL)
 def _(spark, sf):
-    return hits(spark, sf).select("item_id", "doc_id", "score", "rank", "source_name")
+    live = T(spark, sf, "documents").withColumn("status", status("doc_id")).where("status is null or status <> 'repealed'")
+    chunks = live.select("doc_id", F.col("source").alias("source_name"), F.col("lang").alias("article"), F.lit("").alias("clause"), "status", "text")
+    rewrites = T(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.expr("substring(text, 1, cast(doc_id % 12 as int) + 1)").alias("rewrite"))
+    vectors = T(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = questions(spark, sf).join(rewrites, "item_id", "left").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id", "left")
+    asked = asked.withColumn("scope", scopes(lambda i: F.concat(F.lit("src"), (i % 20).cast("string"))))
+    held = vectors.join(live.select("doc_id", F.col("source").alias("grp")), "doc_id")
+    found = stored(K.retrieve(asked, held, kept_index(spark, sf, "live", live, "source"), chunks, "item_id", "doc_id", threshold=LEAST), "hits")
+    context = K.build_context(found, "item_id").select("item_id", F.sha2("context", 256).alias("context_sha256"))
+    return found.select("item_id", "doc_id", "score", "rank", "source_name").join(context, "item_id")
 
 
 @query("build_context", f"{ALL_SQL} select item_id, string_agg('--- Tài liệu ' || rank || ' [' || source || ', ' || lang || ' — ' || case doc_id % 3 when 0 then 'Còn hiệu lực' when 1 then 'Hết hiệu lực' else 'Còn hiệu lực' end || '] ---' || chr(10) || text, chr(10) || chr(10) order by rank) as context from top join documents using (doc_id) group by 1")
 def _(spark, sf):
     rows = hits(spark, sf).join(T(spark, sf, "documents").select("doc_id", F.col("lang").alias("article")), "doc_id")
-    status = F.when(F.col("doc_id") % 3 == 0, "active").when(F.col("doc_id") % 3 == 1, "repealed")
-    return K.build_context(rows.withColumn("clause", F.lit("")).withColumn("status", status), "item_id")
+    return K.build_context(rows.withColumn("clause", F.lit("")).withColumn("status", status("doc_id")), "item_id")
 
 
 CITED_SQL = f"""{ALL_SQL}, {ANSWERS_SQL},

@@ -19,3 +19,13 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     path = scratch(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, folder: str) -> tuple:
+    """The files under a folder (or the file of that name) with their sizes and times: what is kept from them holds while these are the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))

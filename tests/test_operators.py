@@ -220,14 +220,6 @@ def test_all_digits_are_printed(spark):
     assert submissions.render_values(df, [submissions.Field("tax", "digits")]).first().tax == "0 1 2 3 4 5 6 7 8 9 0 1 2"
 
 
-def test_questions_in_blocks(spark, monkeypatch):
-    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "id long, v array<double>")
-    asked = vectors.where("id < 9").withColumnRenamed("id", "q")
-    whole = sorted(retrieval.dense_topk(asked, vectors, "q", "id", "v").collect())
-    monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", 2)
-    assert sorted(retrieval.dense_topk(asked, vectors, "q", "id", "v").collect()) == whole and whole
-
-
 def test_declared_fields(spark):
     from corpuslake.operators.submissions import SKIPPED, extract_declared
 
