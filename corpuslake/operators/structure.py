@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import markdown_table, token_estimate
+from ..functions.text import clean_text, markdown_table, nfc, token_estimate
+from ..session import shared_dir, ship
 from .metadata import guess_procedure
+from .splitter import OVERLAP_CHARS, PIECE_CHARS, with_pieces
 
 #: The header patterns of sections, steps, sub-procedures and articles.
 SECTION = "(?m)^\\s*\\((\\d{1,2})\\)\\s+.{3,}"
@@ -249,14 +252,10 @@ def pack_by_marker(df: DataFrame, text: str, marker: str = "--- TRANG \\d{1,9} -
     return df.select("*", F.posexplode(F.when(F.size(packed) > 0, packed).otherwise(F.array(F.col(text)))).alias("piece_index", "piece"))
 
 
-def pack_paragraphs(df: DataFrame, text: str, most: int = 900, overlap: int = 120) -> DataFrame:
-    """Pieces of paragraphs, or of sentences of long ones, of at most `most` characters; each starts with the last `overlap` characters before."""
-    hard = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(most)), lambda i: F.substr(p, i + 1, F.lit(most)))
-    sentences = lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, "(?<=\\. )"), hard)))
-    parts = F.filter(F.flatten(F.transform(F.split(F.col(text), "\n+"), sentences)), lambda x: F.trim(x) != "")
-    rows = df.withColumn("_p", pack_parts(parts, most, "\n"))
-    tail = F.transform("_p", lambda x, i: F.concat(F.when(i > 0, F.right(F.get("_p", i - 1), F.lit(overlap))).otherwise(""), x))
-    return rows.select("*", F.posexplode(tail).alias("piece_index", "piece")).drop("_p")
+def pack_paragraphs(df: DataFrame, text: str, most: int = PIECE_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """A row (piece_index, piece) for each piece of splitter.split_text(): cut at blank lines, lines, sentences, then words, each with at most `overlap` characters of the one before; none is longer than
+    `most`."""
+    return with_pieces(df, text, most, overlap).select(*df.columns, F.posexplode("_pieces").alias("piece_index", "piece"))
 
 
 def classify_tables(context: Column) -> Column:
@@ -285,20 +284,35 @@ def with_prefix(text: Column, source: Column, article: Column) -> Column:
     return F.concat(F.lit("[Văn bản: "), source, F.lit("]\n["), article, F.lit("]\n"), text)
 
 
-def chunk_documents(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+def chunk_documents(df: DataFrame, key: str, text: str, name: str, clean: bool = True, fallback: str = "recursive") -> DataFrame:
     """key, chunk_index, field_type, article, clause, chunk: articles of statutes, sections of procedure decisions and steps of internal workflows with
-    their prefix, windows of all other documents and of those without such parts; texts and chunks under LEAST_CHARS go."""
-    typed = df.where(F.length(F.trim(text)) >= LEAST_CHARS).withColumn("_type", detect_doc_type(F.col(text), F.col(name)))
-    articles = F.exists(stretches(F.col(text), ARTICLE), lambda x: F.length(x) >= LEAST_CHARS)
+    their prefix, and the pieces of all other documents and of those without such parts: pack_paragraphs(), or fixed windows if fallback is "windows".
+
+    Texts under LEAST_CHARS go, before and after they are cleaned (clean_text(), unless clean is False); so do chunks. Null texts give nothing. Cleaned texts are
+    written once to the shared folder, parted by type, and each type is a branch that reads its own part."""
+    held = df.select(key, F.col(text).alias("_text"), F.coalesce(F.col(name), F.lit("")).alias("_name")).where(F.length(F.trim("_text")) >= LEAST_CHARS)
+    if clean:
+        ship(df.sparkSession)
+        held = held.withColumn("_text", nfc(F.col("_text"))).withColumn("_text", clean_text(F.col("_text"))).where(F.length(F.trim("_text")) >= LEAST_CHARS)
+    typed = held.withColumn("_type", detect_doc_type(F.col("_text"), F.col("_name")))
+    articles = F.exists(stretches(F.col("_text"), ARTICLE), lambda x: F.length(x) >= LEAST_CHARS)
     typed = typed.withColumn("_type", F.when((F.col("_type") == "luat_nghi_dinh") & ~articles, "unknown").otherwise(F.col("_type")))
-    statutes = split_articles(typed.where("_type = 'luat_nghi_dinh'"), text)
-    a = statutes.select(key, F.col("position"), F.col("clause_position").alias("sub"), "article", "clause", F.lit("can_cu_phap_ly").alias("field_type"), with_prefix(F.col("block"), F.coalesce(F.col(name), F.lit("")), F.col("article")).alias("chunk"))
-    plain = pieces(windows_of(F.col(text)), F.lit("general"), F.lit(""))
-    found = F.when(F.col("_type") == "quyet_dinh_tthc", procedure_pieces(F.col(text))).when(F.col("_type") == "quy_trinh_noi_bo", workflow_pieces(F.col(text))).otherwise(plain)
-    rows = typed.where("_type <> 'luat_nghi_dinh'").withColumn("_found", found).withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(plain))
-    b = rows.select(key, F.posexplode("_found").alias("position", "x")).select(key, "position", F.lit(0).alias("sub"), F.lit("").alias("article"), F.lit("").alias("clause"), F.col("x.field_type").alias("field_type"), F.col("x.chunk").alias("chunk"))
+    folder = f"{shared_dir(df.sparkSession)}/corpuslake/typed-{uuid.uuid4().hex}"
+    typed.write.partitionBy("_type").parquet(folder)
+    typed = df.sparkSession.read.schema(typed.schema).parquet(folder)
+    statutes = split_articles(typed.where("_type = 'luat_nghi_dinh'"), "_text")
+    none = F.lit("")
+    a = statutes.select(key, "position", F.col("clause_position").alias("sub"), F.lit("can_cu_phap_ly").alias("field_type"), "article", "clause", with_prefix(F.col("block"), F.col("_name"), F.col("article")).alias("chunk"))
+    branches, rest = [a], typed.where("_type = 'unknown'").select(key, "_text")
+    for kind, parts in (("quyet_dinh_tthc", procedure_pieces), ("quy_trinh_noi_bo", workflow_pieces)):
+        rows = typed.where(F.col("_type") == kind).select(key, "_text", parts(F.col("_text")).alias("_found"))
+        rest = rest.unionByName(rows.where(F.size("_found") == 0).select(key, "_text"))
+        branches.append(rows.select(key, F.posexplode("_found").alias("position", "_x")).select(key, "position", F.lit(0).alias("sub"), "_x.field_type", none.alias("article"), none.alias("clause"), "_x.chunk"))
+    cut = with_pieces(rest, "_text") if fallback == "recursive" else rest.withColumn("_pieces", F.transform(windows_of(F.col("_text")), lambda x: F.trim(x)))
+    plain = cut.select(key, F.posexplode(F.filter("_pieces", lambda x: F.length(x) >= LEAST_CHARS)).alias("position", "chunk"))
+    branches.append(plain.select(key, "position", F.lit(0).alias("sub"), F.lit("general").alias("field_type"), none.alias("article"), none.alias("clause"), "chunk"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("position", "sub")) - 1
-    return a.unionByName(b).withColumn("chunk_index", number).drop("position", "sub")
+    return reduce(DataFrame.unionByName, branches).withColumn("chunk_index", number).drop("position", "sub")
 
 
 def find_blanks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -353,10 +367,10 @@ def term_hits(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame
     return found.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def ingest_manifest(manifest: DataFrame, docs: DataFrame, key: str, text: str, name: str, dry_run: bool = False, sink: str | None = None) -> DataFrame:
+def ingest_manifest(manifest: DataFrame, docs: DataFrame, key: str, text: str, name: str, dry_run: bool = False, sink: str | None = None, **how) -> DataFrame:
     """key, status, n_chunks for each file of the manifest: indexed if its document gives a chunk, else error (a document that is not there too).
-    The chunks of the files are written to sink as Parquet, with the manifest's columns, unless dry_run is set."""
-    chunks = chunk_documents(docs.join(manifest.select(key), key, "left_semi"), key, text, name)
+    The chunks of the files are written to sink as Parquet, with the manifest's columns, unless dry_run is set. how: as for chunk_documents()."""
+    chunks = chunk_documents(docs.join(manifest.select(key), key, "left_semi"), key, text, name, **how)
     if sink and not dry_run:
         chunks.join(manifest.drop(*(c for c in chunks.columns if c != key)), key).write.mode("overwrite").parquet(sink)
         chunks = manifest.sparkSession.read.parquet(sink)

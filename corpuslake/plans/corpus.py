@@ -187,9 +187,23 @@ def _(spark, sf):
     return C.split_articles(structured(spark, sf), "text").select("doc_id", C.with_prefix(F.col("block"), F.col("name"), F.col("article")).alias("chunk"))
 
 
-@query("chunk_documents", f"with {DOCS_SQL}, {BLOCKS_SQL} select doc_id, cast(row_number() over (partition by doc_id order by position) - 1 as int) as chunk_index, '[Văn bản: ' || name || ']' || chr(10) || '[' || regexp_extract(block, 'Điều \\d+') || ']' || chr(10) || block as chunk from blocks")
+#: Of every four documents one is a statute, one a procedure decision, one an internal workflow and one none of these.
+KINDS_SQL = f"""{DOCS_SQL}, kinds as (select doc_id, name, case doc_id % 4 when 1 then regexp_replace(d, '(?m)^Điều (\\d+)\\. ', '(\\1) ', 'g') when 2 then regexp_replace(d, '(?m)^Điều (\\d+)\\. ', 'Bước \\1: ', 'g') when 3 then regexp_replace(d, '(?m)^Điều (\\d+)\\. ', 'Phần \\1 ', 'g') else text end as text,
+  len(regexp_extract_all(text, '(?m)^Điều \\d+\\. ')) as n from (select *, regexp_replace(text, '(?m)^\\d+\\. ', '- ', 'g') as d from sdocs)),
+typed as (select *, case when doc_id % 4 = 1 and n >= 4 then 'decision' when doc_id % 4 = 2 and n >= 3 then 'workflow' when doc_id % 4 = 0 then 'statute' else 'plain' end as kind from kinds),
+parts as (select doc_id, name, kind, unnest(string_split(regexp_replace(text, '(?m)^(Điều \\d+|\\(\\d+\\) |Bước \\d+:)', chr(1) || '\\1', 'g'), chr(1))[2:]) as b, generate_subscripts(string_split(regexp_replace(text, '(?m)^(Điều \\d+|\\(\\d+\\) |Bước \\d+:)', chr(1) || '\\1', 'g'), chr(1))[2:], 1) as i from typed where kind <> 'plain'),
+made as (select doc_id, i, case kind when 'statute' then '[Văn bản: ' || name || ']' || chr(10) || '[' || regexp_extract(b, 'Điều \\d+') || ']' || chr(10) when 'decision' then '[Thủ tục: Thủ tục đất đai]' || chr(10) || '[Mục: ' || [{", ".join(f"'{label}'" for _, label in C.SECTIONS)}][cast(regexp_extract(b, '^\\((\\d+)\\)', 1) as int)] || ']' || chr(10) else '[Thủ tục: Quy trình nội bộ đất đai]' || chr(10) || '[Bước ' || regexp_extract(b, '(\\d+)', 1) || ']' || chr(10) end || trim(b, ' ' || chr(10)) as chunk from parts where length(trim(b, ' ' || chr(10))) >= 60
+  union all select doc_id, s, trim(substring(text, cast(s as int) + 1, 900)) from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from typed where kind = 'plain' and length(trim(text)) >= 60))"""
+
+
+@query("chunk_documents", f"with {KINDS_SQL} select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as chunk_index, chunk from made where length(chunk) >= 60".replace("\\\\", "\\"))
 def _(spark, sf):
-    return C.chunk_documents(structured(spark, sf), "doc_id", "text", "name").select("doc_id", "chunk_index", "chunk")
+    headed = lambda to: F.regexp_replace("text", "(?m)^Điều (\\d+)\\. ", to)
+    docs = structured(spark, sf)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.regexp_replace("text", "(?m)^\\d+\\. ", "- ")))
+    kinds = F.when(F.col("doc_id") % 4 == 1, headed("($1) ")).when(F.col("doc_id") % 4 == 2, headed("Bước $1: ")).when(F.col("doc_id") % 4 == 3, headed("Phần $1 "))
+    docs = docs.withColumn("text", F.coalesce(kinds, F.col("text")))
+    return C.chunk_documents(docs, "doc_id", "text", "name", fallback="windows").select("doc_id", "chunk_index", "chunk")
 
 
 @query("chunk_stats", "select doc_id, count(*) as n, count(*) filter (contains(p, '[Bảng') or (contains(p, '|') and contains(p, chr(10) || '| ---')) or contains(p, ' | ')) as tables, cast(floor(sum(greatest(1, floor(length(p) / 1.5))) / greatest(count(*), 1)) as bigint) as mean_tokens from (select doc_id, substring(text, cast(s as int) + 1, 900) as p from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) group by 1")
@@ -362,7 +376,7 @@ def _(spark, sf):
 @query("ingest_manifest", "select doc_id, case when sum((length(trim(p)) >= 60)::int) > 0 then 'indexed' else 'error' end as status, cast(sum((length(trim(p)) >= 60)::int) as bigint) as n_chunks from (select doc_id, substring(text, cast(s as int) + 1, 900) as p, length(trim(text)) as n from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) group by doc_id")
 def _(spark, sf):
     docs = documents(spark, sf).withColumn("name", F.lit("file"))
-    return C.ingest_manifest(docs.select("doc_id", "lang"), docs, "doc_id", "text", "name", sink=scratch(spark, "ingested"))
+    return C.ingest_manifest(docs.select("doc_id", "lang"), docs, "doc_id", "text", "name", sink=scratch(spark, "ingested"), clean=False, fallback="windows")
 
 
 @query("read_json_docs", "select count(*) as n_files, cast(sum(n) as bigint) as n_orders from (select o_custkey % 4 as part, count(*) as n from orders group by 1)")
@@ -374,11 +388,12 @@ def _(spark, sf):
     return docs.select(F.from_json("text", "n bigint")["n"].alias("n")).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_orders"))
 
 
-@query("read_xml_docs", "select n_name || chr(10) || n_regionkey as text from nation")
+@query("read_xml_docs", "select case when n_nationkey % 5 = 4 then '' else n_name || ' & <' || n_regionkey || '>' || chr(10) || 'é ' || n_nationkey end as text from nation")
 def _(spark, sf):
     path = scratch(spark, "xml")
-    xml = F.concat(F.lit("<nation><name> "), "n_name", F.lit("</name><region>"), F.col("n_regionkey").cast("string"), F.lit("</region></nation>"))
-    T(spark, sf, "nation").select("n_nationkey", xml.alias("value")).write.partitionBy("n_nationkey").text(path)
+    name = F.concat(F.lit('<nation id="a>b"><!-- <name>no</name> --><name> '), "n_name", F.lit(" &amp; &lt;"), F.col("n_regionkey").cast("string"), F.lit("&gt;</name>"))
+    rest = F.concat(F.lit("<empty/><key><![CDATA[é ]]>"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 4, "</kay>").otherwise("</key>"), F.lit("</nation>"))
+    T(spark, sf, "nation").select("n_nationkey", F.concat(name, rest).alias("value")).write.partitionBy("n_nationkey").text(path)
     return S.read_xml_docs(spark, f"{path}/*/*.txt").select("text")
 
 

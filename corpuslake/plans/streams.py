@@ -68,5 +68,5 @@ def _(spark, sf):
 def _(spark, sf):
     out = scratch(spark, "streams")
     docs = stream_of(spark, sf, "documents")
-    X.ingest(docs, lambda df: C.chunk_documents(df.withColumn("name", F.lit("file")), "doc_id", "text", "name"), f"{out}/rows", f"{out}/checkpoint")
+    X.ingest(docs, lambda df: C.chunk_documents(df.withColumn("name", F.lit("file")), "doc_id", "text", "name", clean=False, fallback="windows"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("doc_id", "chunk_index")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ship
+from .parsers import html_blocks, mapped, xml_text
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +22,13 @@ def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.coalesce(pretty, F.col("value")).alias("text"), F.lit(1).alias("pages"))
 
 
-def read_xml_docs(spark: SparkSession, path: str) -> DataFrame:
-    """A document per XML file: its non-blank texts, a line each; the raw text if it has none; empty if it can't be parsed."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    well_formed = F.col("value").rlike("(?s)^\\s*<.*>\\s*$")
-    texts = F.filter(F.transform(F.regexp_extract_all("value", F.lit("(?s)>([^<]*)<"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "\\s+", " "))), lambda x: x != "")
-    joined = F.array_join(texts, "\n")
-    return whole.select("path", F.when(~well_formed, "").when(joined == "", F.col("value")).otherwise(joined).alias("text"))
+def read_xml_docs(spark: SparkSession, path: str, tails: bool = False) -> DataFrame:
+    """path, text of each XML file: the texts of its elements, a line each (see parsers.xml_text()); the XML itself if it has none, empty if it is not well-formed. Files are read as bytes, as
+    their declarations name the encoding; Spark skips files without a byte."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(mapped(["path", "content", "text"], 1, lambda x: xml_text(bytes(x), tails), pa.string()), "path string, content binary, text string")
+    return rows.select("path", "text")
 
 
 def check_cases(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
@@ -66,17 +71,18 @@ def flag_scanned(pages: DataFrame, n: int = 3, least_mean: int = 50) -> DataFram
 
 
 def html_segments(pages: DataFrame) -> DataFrame:
-    """page_id, position, kind, level, text: headings, list items and paragraphs of pages.html in order, without scripts, styles and navigation."""
-    bare = F.regexp_replace("html", "(?is)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>|<!--.*?-->", "")
-    marked = F.regexp_replace(F.regexp_replace(bare, "(?i)<(h[1-6]|li|p)(\\s[^>]*)?>", "\u0001$1\u0002"), "(?i)</(h[1-6]|li|p|ul|ol|div)>|<br\\s*/?>", "\u0001p\u0002")
-    plain = F.regexp_replace(marked, "(?s)<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    parts = F.transform(F.split(plain, "\u0001"), lambda x: F.struct(F.lower(F.when(x.contains("\u0002"), F.substring_index(x, "\u0002", 1)).otherwise("p")).alias("tag"), F.trim(F.regexp_replace(F.substring_index(x, "\u0002", -1), "\\s+", " ")).alias("text")))
-    rows = pages.select("page_id", F.posexplode(F.filter(parts, lambda x: x["text"] != "")).alias("position", "s"))
-    kind = F.when(F.col("s.tag").startswith("h"), "heading").when(F.col("s.tag") == "li", "list").otherwise("paragraph")
-    level = F.when(F.col("s.tag").startswith("h"), F.substring("s.tag", 2, 1).cast("int"))
-    return rows.select("page_id", "position", kind.alias("kind"), level.alias("level"), F.col("s.text").alias("text"))
+    """page_id, position, kind, level, text: headings, list items and paragraphs of pages.html in order, without scripts, styles, navigation and footers
+    (see parsers.html_blocks()). A null page has none."""
+    ship(pages.sparkSession)
+    block = pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())])
+
+    def read(page: str) -> list[dict]:
+        return [{"kind": k, "level": n, "text": t} for k, n, t in html_blocks(page)]
+
+    rows = pages.select("page_id", "html")
+    schema = T.StructType([*rows.schema.fields, T.StructField("s", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())])))])
+    found = rows.mapInArrow(mapped(["page_id", "html", "s"], 1, read, pa.list_(block)), schema)
+    return found.select("page_id", F.posexplode("s").alias("position", "s")).select("page_id", "position", "s.*")
 
 
 def match_cached_text(files: DataFrame, cache: DataFrame, least: int = 50) -> DataFrame:
