@@ -20,7 +20,8 @@ from .common import id_and_text, tidy, written
 from .packing import byte_alphabet, little
 
 BLOCK_IDS, END_ID, LEVEL = 65_536, 0, 3
-CACHE_SEGMENTS, CACHE_WORDS = 200_000, 100_000
+#: Entries of a generation of the caches; with some 180 bytes an entry and two generations of each, some 320 MB a worker at most.
+CACHE_SEGMENTS, CACHE_WORDS = 600_000, 300_000
 #: A space is no break for certain where white space or an unknown lead byte follows.
 UNSURE = re.compile(rb" (?:[^!-~\xc3-\xe0\xe4-\xf4]|\Z)")
 #: Characters that all versions of Unicode class alike: printable ASCII, line feeds, and the letters of Latin-1.
@@ -28,13 +29,31 @@ PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]+")
 BLOCKS = "shard int, block int, first long, n_ids int, lead long, doc_ids array<long>, lengths array<int>, open boolean, plane_bytes array<int>, bits boolean, checksum long, planes binary"
 
 
+class Seen(dict):
+    """What was computed for a key, in two generations: a full one becomes the old one, and what is found there moves on, so common keys stay."""
+
+    def __init__(self, compute: Callable, most: int):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ByteTokenizer:
     """Token ids of texts as little-endian uint32 bytes, segment by segment.
 
     The tokenizer's pattern always breaks before a space that a visible character follows, so a text's ids are those of its segments joined, and most
     segments were seen before. A text in which a space may not be a break is encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_segments: int = CACHE_SEGMENTS, cache_words: int = CACHE_WORDS):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -43,38 +62,23 @@ class ByteTokenizer:
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.alphabet = byte_alphabet()
-        self.segments: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.alphabet = {ord(letter): mapped for letter, mapped in zip(map(chr, range(256)), byte_alphabet(), strict=True)}
+        self.words = Seen(self._word, cache_words)
+        self.segments = Seen(self._segment, cache_segments)
 
     def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            ids = self.words[word] = little([t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, word.encode())))])
-        return ids
+        return little([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
 
     def _segment(self, segment: bytes) -> bytes:
         text = segment.decode()
         if PLAIN.fullmatch(text):
-            return b"".join(map(self._word, self.pieces(text)))
+            return b"".join(map(self.words.__getitem__, self.pieces(text)))
         return little(self.whole.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: bytes) -> bytes:
         if UNSURE.search(text):
             return little(self.whole.encode(text.decode(), add_special_tokens=False).ids)
-        segments = text.replace(b" ", b"\xff ").split(b"\xff")
-        found = list(map(self.segments.get, segments))
-        if None in found:
-            if len(self.segments) > CACHE_SEGMENTS:
-                self.segments.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    segment = segments[i]
-                    if (ids := self.segments.get(segment)) is None:
-                        ids = self.segments[segment] = self._segment(segment)
-                    found[i] = ids
-        return b"".join(found)
+        return b"".join(map(self.segments.__getitem__, text.replace(b" ", b"\xff ").split(b"\xff")))
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}
@@ -296,8 +300,8 @@ def token_checksums(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files.
 
     A document inside one block is done where its block is read; of one that goes on, only the crc32 of its pieces is shuffled, by its place in the
-    corpus, and joined there."""
-    pieces = _placed(spark, files).mapInArrow(_pieces(False), PIECES)
+    corpus, and joined there. Blocks are read once: what they say of their documents is written."""
+    pieces = written(_placed(spark, files).mapInArrow(_pieces(False), PIECES), "pieces")
     whole = pieces.where("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
     parts = pieces.where("not whole").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "n", "ids_crc32"))).alias("pieces"))
     return whole.unionByName(parts.mapInArrow(_combined, "doc_id long, start long, n_tokens long, ids_crc32 long"))
