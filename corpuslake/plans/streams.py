@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import structure as C
 from ..session import ship
 from ..sources.tables import read_table as T
 from ..streaming import streams as X
+from ..streaming.conversation import conversation_turns
+from ..streaming.upserts import ChunkTable, ingest
 from .registry import query
 from .retrieval import CACHE_SQL
 from .shared import scratch
@@ -24,12 +27,24 @@ def events(spark, sf):
     return stream_of(spark, sf, "events")
 
 
-@query("stream_reports", "select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2")
-def _(spark, sf):
+def all_counts(spark, counts, kind, fields):
+    """The counts of a stream in complete mode: each batch has all so far, so the last one's are the result."""
     out = scratch(spark, "streams")
-    X.run_batches(X.daily_counts(events(spark, sf), "event_type", "60 days"), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), "complete")
-    rows = spark.read.schema("day date, event_type string, n long, batch int").parquet(f"{out}/rows")
-    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select("day", "event_type", "n")  # each batch has all counts so far
+    X.run_batches(counts, f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), "complete")
+    rows = spark.read.schema(f"{fields}, batch int").parquet(f"{out}/rows")
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == (last if last is not None else -1)).drop("batch").withColumn("report", F.lit(kind))
+
+
+@query("stream_reports", """with s as (select cast(ts as date) - cast(i as int) as day, event_type, count(*) as n from events, range(30) r(i) group by all)
+select 'daily' as report, cast(ts as date) as day, event_type, count(*) as n, cast(null as int) as rank from events group by all
+union all select 'topics', day, event_type, n, cast(rank as int) from (select *, row_number() over (partition by day order by n desc, event_type) as rank from s) where rank <= 3""")
+def _(spark, sf):
+    daily = all_counts(spark, X.daily_counts(events(spark, sf), "event_type", "60 days"), "daily", "day date, event_type string, n long").withColumn("rank", F.lit(None).cast("int"))
+    topics = all_counts(spark, X.sliding_counts(events(spark, sf), "event_type", watermark="60 days"), "topics", "day date, last_day date, event_type string, n long").drop("last_day")
+    best = Window.partitionBy("day").orderBy(F.desc("n"), "event_type")
+    topics = topics.withColumn("rank", F.row_number().over(best)).where("rank <= 3")
+    return daily.unionByName(topics).select("report", "day", "event_type", "n", "rank")
 
 
 @query("stream_cache", f"{CACHE_SQL} select event_id, user_id, event_type from kept")
@@ -55,18 +70,35 @@ def _(spark, sf):
     return spark.read.schema("user_id long, question_id long, answer_id long").parquet(f"{out}/rows")
 
 
-@query("stream_conversation", None)
+FIELDS = ["name", "year", "area"]
+KINDS = {"signup": "open", "click": "answer", "purchase": "skip", "error": "cancel", "view": "ask"}
+
+#: The same state machine, turn by turn: `done` fields have an answer or were skipped, `got` have an answer.
+TURNS_SQL = f"""with recursive e as (select user_id, event_id, ts, event_type, cast(json_extract(props, '$.k') as int) >= 10 as fine, row_number() over (partition by user_id order by epoch_ms(ts), event_id) as i from events),
+t as (select user_id, event_id, ts, i, case when event_type = 'signup' then 'form' else 'rag' end as mode, 0 as done, 0 as got, 0 as shown, case when event_type = 'signup' then 'asked' else 'idle' end as status from e where i = 1
+  union all select user_id, event_id, ts, i, case when event_type = 'signup' and mode = 'rag' and done < {len(FIELDS)} then 'form' when mode = 'rag' then 'rag' when event_type = 'error' or filled = {len(FIELDS)} then 'rag' else 'form' end,
+    case when filled = {len(FIELDS)} then 0 else filled end, case when filled = {len(FIELDS)} then 0 else gained end, gained,
+    case when mode = 'rag' then case when event_type = 'signup' then 'asked' else 'idle' end when event_type = 'error' then 'cancelled' when event_type = 'view' then 'digression' when event_type = 'click' and not fine then 'invalid' when filled = {len(FIELDS)} then 'complete' else 'asked' end
+  from (select e.user_id, e.event_id, e.ts, e.i, e.event_type, e.fine, s.mode, s.done, s.done + (s.mode = 'form' and (e.event_type = 'purchase' or (e.event_type = 'click' and e.fine)))::int as filled, s.got + (s.mode = 'form' and e.event_type = 'click' and e.fine)::int as gained
+    from (select t.user_id, t.i, case when idle then 'rag' else t.mode end as mode, case when idle then 0 else done end as done, case when idle then 0 else got end as got from (select t.*, epoch_ms(n.ts) - epoch_ms(t.ts) > 21600000 as idle from t join e n on n.user_id = t.user_id and n.i = t.i + 1) t) s
+    join e on e.user_id = s.user_id and e.i = s.i + 1))
+select user_id, event_id, mode, case when mode = 'form' then [{", ".join(f"'{f}'" for f in FIELDS)}][done + 1] end as asked, cast(shown as int) as collected, status from t"""
+
+
+@query("stream_conversation", TURNS_SQL)
 def _(spark, sf):
     ship(spark)
     out = scratch(spark, "streams")
-    X.run_batches(X.conversation_states(events(spark, sf)), f"{out}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"))
-    rows = spark.read.schema("user_id long, mode string, collected long, complete boolean, batch int").parquet(f"{out}/rows")
-    return rows.groupBy("user_id").agg(F.max_by(F.struct("mode", "collected", "complete"), "batch").alias("s")).select("user_id", "s.*")  # as last written
+    kind = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[F.col("event_type")]
+    turns = events(spark, sf).select("user_id", "event_id", "ts", kind.alias("kind"), F.get_json_object("props", "$.k").alias("value"))
+    X.run_once(conversation_turns(turns, "user_id", FIELDS, lambda field, value: int(value) >= 10, 6 * 3_600_000, "6 hours"), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema("user_id long, event_id long, mode string, asked string, collected int, status string").parquet(f"{out}/rows")
 
 
 @query("stream_ingest", "select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as int) as chunk_index from (select doc_id, substring(text, cast(s as int) + 1, 900) as p, s from (select doc_id, text, unnest(range(0, greatest(length(text) - 121, 0) + 1, 780)) as s from documents)) where length(trim(p)) >= 60")
 def _(spark, sf):
     out = scratch(spark, "streams")
-    docs = stream_of(spark, sf, "documents")
-    X.ingest(docs, lambda df: C.chunk_documents(df.withColumn("name", F.lit("file")), "doc_id", "text", "name", clean=False, fallback="windows"), f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows").select("doc_id", "chunk_index")
+    table = ChunkTable(spark, f"{out}/table", "doc_id")
+    chunk = lambda df: C.chunk_documents(df.withColumn("name", F.lit("file")), "doc_id", "text", "name", clean=False, fallback="windows")
+    ingest(stream_of(spark, sf, "documents"), chunk, table, f"{out}/checkpoint")
+    return table.chunks().select("doc_id", "chunk_index")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -17,19 +18,40 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Write all that is there to Parquet, exactly once, and stop."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop because they come later than their watermark allows, by the name of the query (its id if it has none).
+    To be added by spark.streams.addListener(); a stateful operator's count is that of its input, so pre-aggregated rows count once a group."""
 
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
 
-def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Give each micro-batch to a function, and stop when all that is there is done. A batch may come again: the function must be idempotent."""
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        name = event.progress.name or str(event.progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + sum(x.numRowsDroppedByWatermark for x in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        pass
 
-def ingest(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """Chunks of new documents, a folder for each batch: a batch that comes again replaces its own folder."""
-    run_batches(stream, checkpoint, lambda df, i: chunk(df).write.mode("overwrite").parquet(f"{path}/batch={i}"), "append")
+
+def _run(writer, checkpoint: str, mode: str, name: str | None) -> None:
+    writer = writer.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    (writer.queryName(name) if name else writer).start().awaitTermination()
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", name: str | None = None) -> None:
+    """Write all that is there to Parquet, exactly once, and stop."""
+    _run(stream.writeStream.format("parquet").option("path", path), checkpoint, mode, name)
+
+
+def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update", name: str | None = None) -> None:
+    """Give each micro-batch to a function, and stop when all that is there is done. A batch may come again: the function must be idempotent."""
+    _run(stream.writeStream.foreachBatch(each), checkpoint, mode, name)
 
 
 def _first(ttl_ms: int) -> Callable:
@@ -65,6 +87,12 @@ def daily_counts(stream: DataFrame, by: str, watermark: str = "1 day") -> DataFr
     return stream.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"), by).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), by, "n")
 
 
+def sliding_counts(stream: DataFrame, by: str, length: str = "30 days", slide: str = "1 day", watermark: str = "1 day") -> DataFrame:
+    """Counts over windows of `length` that begin every `slide`: first and last day, by, n; later rows than the watermark allows are dropped."""
+    counts = stream.withWatermark("ts", watermark).groupBy(F.window("ts", length, slide), by).agg(F.count("*").alias("n"))
+    return counts.select(F.to_date("window.start").alias("day"), F.to_date(F.col("window.end") - F.expr("interval 1 day")).alias("last_day"), by, "n")
+
+
 def sessions(stream: DataFrame, by: str, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     """Sessions that end after a gap without rows."""
     return stream.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), by).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
@@ -75,31 +103,3 @@ def answers_within(questions: DataFrame, answers: DataFrame, by: str, within: st
     q = questions.withWatermark("ts", watermark).select(F.col(by).alias("_q"), F.col("ts").alias("asked"), F.col("event_id").alias("question_id"))
     a = answers.withWatermark("ts", watermark).select(F.col(by), F.col("ts").alias("answered"), F.col("event_id").alias("answer_id"))
     return q.join(a, F.expr(f"{by} = _q and answered >= asked and answered <= asked + interval {within}")).select(by, "question_id", "answer_id")
-
-
-IDLE_MS = 1_800_000
-MODES = {"view": "rag", "signup": "form", "error": "exit"}
-
-
-def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A conversation's mode and number of collected values; it ends on an exit or after idle time."""
-    mode, n = state.get if state.exists else ("rag", 0)
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "mode": [mode], "collected": [n], "complete": [True]})
-        return
-    latest = 0
-    for frame in frames:
-        latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
-        for event in frame.sort_values(["ts", "event_id"])["event_type"]:
-            mode = MODES.get(event, mode)
-            n = 0 if mode == "exit" else n + (mode == "form")
-    state.update((mode, int(n)))
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
-    yield pd.DataFrame({"user_id": [key[0]], "mode": [mode], "collected": [int(n)], "complete": [mode == "exit"]})
-
-
-def conversation_states(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """user_id, mode, collected, complete after each micro-batch that has messages of the user."""
-    rows = stream.withWatermark("ts", watermark).select("user_id", "ts", "event_id", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(_turn, "user_id long, mode string, collected long, complete boolean", "mode string, collected long", "update", GroupStateTimeout.EventTimeTimeout)
