@@ -51,3 +51,48 @@ OUT_OF_SCOPE = ["ky chung thuc", "ky so", "ky dien tu", "ky ten thay", "ky thay"
 HEADER_LINES = r"(?iu)^(ỦY BAN NHÂN DÂN.{0,50}$|CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM|Độc lập - Tự do - Hạnh phúc|Vĩnh Long,\s+ngày\s+\d+|Số:\s*\d+)"
 PAGE_NUMBER_LINES = r"(?i)^(-\s*\d+\s*-|Trang\s+\d+\s*/\s*\d+|\d+)$"
 ACTIONS = ["amend", "repeal", "add"]
+#: The corrections of snippets, in order: pattern, what takes its place (\1: the first group), and whether case counts.
+SNIPPET_FIXES = [
+    (r"gửi người sử dụng\s+Văn phòng Đăng [^\n]*\s*Bước\s*2\s*đất để bổ sung hoàn chỉnh;?\s*Đất đai/Chi nhánh Văn làm việc", "gửi người sử dụng đất để bổ sung hoàn chỉnh.\n- Cơ quan thực hiện: Văn phòng Đăng ký Đất đai / Chi nhánh Văn phòng Đăng ký Đất đai (02 ngày làm việc)", False),
+    (r"Cập nhật cơ sở dữ liệu đất [^\n]*\|\s*Phòng Đăng ký Đất đai\s*\n\s*lập hồ sơ để Nhà nước quản lý\.\s*\n\s*phòng Đăng ký Đất đai làm việc", "Cập nhật cơ sở dữ liệu đất đai và lập hồ sơ để Nhà nước quản lý.\n- Cơ quan thực hiện: Văn phòng Đăng ký Đất đai / Chi nhánh Văn phòng Đăng ký Đất đai", False),
+    (r"Xác nhận\s*iãy chứng nhận đã cấp\s+Văn phòng Đăng ký\s+0[\.,]5\s*ngà\s*\n\s*Bước\s*4\s*\|\s*hoặc in giấy chứng nhận[^\n]*", "Bước 4: Xác nhận Giấy chứng nhận đã cấp hoặc in Giấy chứng nhận.\n- Cơ quan thực hiện: Văn phòng Đăng ký Đất đai / Chi nhánh Văn phòng Đăng ký Đất đai (0,5 ngày làm việc)", False),
+    (r"[&§]\s*Ễy\s*đủ", "đầy đủ", False),
+    (r"&Ễy", "đầy", False),
+    (r"\bỄy\s*đủ", "đầy đủ", False),
+    (r"chưa\s*&[^\s]+\s*đủ", "chưa đầy đủ", False),
+    (r"(?<=[a-zà-ỹA-ZÀ-Ỹ])iãy", " Giấy", False),
+    (r"iãy\s*chứng\s*nhận", "Giấy chứng nhận", False),
+    (r"\biãy\b", "giấy", False),
+    (r"\bgiãy\b", "giấy", False),
+    (r"Đăng\s*Ối\b", "Đăng ký", True),
+    (r"Đăng\s*ối\b", "Đăng ký", True),
+    (r"0[\.,]5\s*ngà\b", "0,5 ngày", True),
+    (r"\bngà\s+làm\s*việc", "ngày làm việc", True),
+    (r"\bđất\s*đi\s*và\b", "đất đai và", True),
+    (r"\bdất\s*đai\b", "đất đai", False),
+    (r"\bdât\s*dai\b", "đất đai", False),
+    (r"\bthửa\s*đắt\b", "thửa đất", False),
+    (r"Cấp\s*đồi", "Cấp đổi", True),
+    (r"gắn\s*liên\b", "gắn liền", True),
+    (r"Nghị\s*định\s*sô\b", "Nghị định số", True),
+    (r"yêu\s*câu\b", "yêu cầu", True),
+    (r"ghi\s*đây\s*đủ\b", "ghi đầy đủ", True),
+    (r"quyen\s*sử\s*dung\b", "quyền sử dụng", True),
+    (r"tải\s*sản\b", "tài sản", True),
+    (r"đo\s*đạc\s*đề\b", "đo đạc để", True),
+    (r"ffl[l1íiìỉĩị]*t\s*đai", "đất đai", False),
+    (r"ffl[l1íiìỉĩị]*t", "đất", False),
+    (r"fflấy", "giấy", False),
+    (r"[øo][1la]\s*đình", "gia đình", False),
+    (r"[,;]?\s*\bm\s*[:;,]\s*", ", ", True),
+    (r"\|\s*[,;]?\s*\??\s*[A-ZĐ0-9_]{2,8}\b", "", True),
+    (r"\|\s*[,;?\s]+(?=\n|$)", "", True),
+    (r"(?m)^[ \t]*[\\\/][ \t]*", "", True),
+    (r"\bBước\s*(\d+)\s*[:\-|]?\s*", "\nBước \\1: ", False),
+    (r"\s*\|\s*", " - ", True),
+    (r"[,;][,\s;]+", ", ", True),
+]
+#: How lines begin that are no orphans, how those begin that are not joined to the line before, and how lines end that go on.
+SNIPPET_HEADS = ("Điều", "Mục", "Bước", "[", "(")
+SNIPPET_ITEMS = ("-", "+", "•", "Bước", "Điều", "(", "[")
+SNIPPET_OPEN_ENDS = (",", ";", " -", " và", " hoặc")

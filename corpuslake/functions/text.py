@@ -94,6 +94,36 @@ def accent_table() -> tuple[str, str]:
     return "".join(table), "".join(table.values())
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+
+
+def polish_snippet(c: Column) -> Column:
+    """A snippet made readable: rules.SNIPPET_FIXES in order; lines of two words or fewer before the first real one go; a line that goes on (it ends
+    in no sentence's end, or in a comma or the like) is joined with the next, unless that begins an item or step. Lines are parted by a blank one; null is empty."""
+    c = F.coalesce(c, F.lit(""))
+    for pattern, new, cased in rules.SNIPPET_FIXES:
+        c = F.regexp_replace(c, f"(?dU{'' if cased else 'iu'}){pattern}", new.replace("\\1", "$1"))
+    starts = lambda x, heads: reduce(lambda a, b: a | b, [x.startswith(h) for h in heads])
+    ends = lambda x, tails: reduce(lambda a, b: a | b, [x.endswith(t) for t in tails])
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+
+    def step(s, line):
+        orphan = (F.size(F.split(line, "(?U)\\s+")) <= 2) & ~starts(line, rules.SNIPPET_HEADS)
+        goes_on = ends(s["now"], rules.SNIPPET_OPEN_ENDS) | ~s["now"].rlike("[.?!:]$")
+        joined = goes_on & ~starts(line, (*rules.SNIPPET_ITEMS, "Bước "))
+        return (
+            F.when(s["now"].isNull(), state(s["done"], F.when(~orphan, line)))
+            .when(joined, state(s["done"], F.concat(s["now"], F.lit(" "), line)))
+            .otherwise(state(F.array_append(s["done"], s["now"]), line))
+        )
+
+    lines = F.filter(F.transform(F.split(c, "\n"), _strip), lambda x: x != "")
+    start = state(F.array().cast("array<string>"), F.lit(None).cast("string"))
+    merged = F.aggregate(lines, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"])))
+    return _strip(F.regexp_replace(F.array_join(merged, "\n\n"), "[ \t]+", " "))
+
+
 def strip_accents(c: Column, slug: bool = False) -> Column:
     """Lower case without accents, white space squeezed; slug: letters and digits parted by single dashes."""
     c = F.translate(F.lower(c), *accent_table())

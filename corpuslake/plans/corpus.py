@@ -65,7 +65,18 @@ column_query("tokens", "cast(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\
 column_query("eval_tokens", "cast(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'))) as int) as n", lambda t: F.size(X.eval_tokens(t)).alias("n"))
 column_query("token_estimate", "cast(greatest(1, floor(length(text) / 1.5)) as int) as n", lambda t: X.token_estimate(t).alias("n"))
 column_query("title_from_text", "case when length(text) > 50 then substring(text, 1, 50) || '...' else text end as title", lambda t: X.title_from_text(t).alias("title"))
-column_query("polish_snippet", "trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', ' ', 'g')) as text", lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), " ?\\n ?", " ")).alias("text"))
+def begins(line, heads):
+    return f"regexp_matches({line}, '^(" + "|".join(f"\\{h}" if h in "[(-+" else h for h in heads) + ")')"
+
+
+#: Only the rules on commas, bars and single letters can meet the table's texts; the fold over lines is whole.
+POLISHED_SQL = r"""case when trim(coalesce(text, '')) = '' then '' else trim(regexp_replace(array_to_string(list_reduce(list_prepend(cast([] as varchar[]), list_transform(list_filter(list_transform(string_split(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[,;]?\s*\bm\s*[:;,]\s*', ', ', 'g'), '(?m)^[ \t]*[\\/][ \t]*', '', 'g'), '\s*\|\s*', ' - ', 'g'), '[,;][,\s;]+', ', ', 'g'),
+    chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), lambda x: [x])),
+  lambda a, b: case when len(a) = 0 then case when len(string_split_regex(b[1], '\s+')) <= 2 and not HEADS then a else b end
+    when (regexp_matches(a[-1], '(,|;| -| và| hoặc)$') or not regexp_matches(a[-1], '[.?!:]$')) and not ITEMS then list_concat(a[:-2], [a[-1] || ' ' || b[1]]) else list_concat(a, b) end), chr(10) || chr(10)), '[ \t]+', ' ', 'g')) end"""
+POLISHED_SQL = POLISHED_SQL.replace("HEADS", begins("b[1]", rules.SNIPPET_HEADS)).replace("ITEMS", begins("b[1]", rules.SNIPPET_ITEMS))
+column_query("polish_snippet", f"{POLISHED_SQL} as text", lambda t: X.polish_snippet(t).alias("text"))
 column_query("clean_stats", "cast(length(text) as int) as before, cast(length(regexp_replace(text, '\\s+', ' ', 'g')) as int) as after, cast(length(text) - length(replace(text, chr(10), '')) + 1 as int) as lines, cast(1 as int) as lines_after, case when length(text) > 0 then round_even((1 - length(regexp_replace(text, '\\s+', ' ', 'g')) / length(text)) * 100, 1) else 0 end as reduction", lambda t: Y.clean_stats(t, F.regexp_replace(t, "\\s+", " ")).alias("s"))
 
 
@@ -324,11 +335,41 @@ def chunks(spark, sf):
     return rows.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").cast("string").alias("article"), F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.lit("active").alias("status"))
 
 
-@query("apply_document_action", f"with {CHUNKS_SQL} select chunk_id, case when o_orderstatus = 'F' or (o_orderstatus = 'P' and l_linenumber = o_orderkey % 4 + 1) then 'repealed' else 'active' end as status from c join orders on l_orderkey = o_orderkey union all select chunk_id, 'active' from c where l_orderkey not in (select o_orderkey from orders)")
+#: Orders act on the order before them whose key is a multiple of three; provisions are named by partial repeals, and by some amendments.
+ACTIONS_SQL = """acts as (select a.o_orderkey as source_id, a.o_orderkey - a.o_orderkey % 3 as document_id, case a.o_orderstatus when 'F' then 'replace' when 'P' then 'partial_repeal' else 'amend' end as action, cast(cast(a.o_orderdate as date) as varchar) as date,
+  a.o_orderstatus = 'P' or a.o_orderkey % 10 = 1 as named, 'Điều ' || (a.o_orderkey % 4 + 1) as article, case when a.o_orderkey % 2 = 0 then '' else 'khoản 2' end as clause, case a.o_orderkey % 5 when 0 then 'amend' when 1 then 'add' else 'repeal' end as kind
+  from orders a join orders p on p.o_orderkey = a.o_orderkey - a.o_orderkey % 3 where a.o_orderkey % 3 <> 0),
+ch as (select distinct l_orderkey as document_id, l_orderkey || '#' || l_linenumber as chunk_id, 'Điều ' || l_linenumber as article, case when l_linenumber % 2 = 0 then 'Khoản 2' else '' end as clause, case when l_linenumber % 3 = 0 then 'theo khoản 2' else 'khác' end as text from lineitem),
+hits as (select chunk_id, source_id, 'repealed' as status, date, 'Bị thay thế toàn bộ bởi doc ' || source_id as note from ch join acts using (document_id) where action = 'replace'
+  union all select chunk_id, source_id, case kind when 'repeal' then 'repealed' else 'amended' end, date, case kind when 'repeal' then 'Bị bãi bỏ bởi doc ' else 'Bị sửa đổi bởi doc ' end || source_id || ' (' || acts.article || ' ' || acts.clause || ')' from ch join acts using (document_id) where action = 'partial_repeal' and kind <> 'add' and ch.article = acts.article and (acts.clause = '' or lower(ch.clause) = acts.clause or contains(text, acts.clause))),
+last as (select chunk_id, arg_max(struct_pack(status, date, note), source_id) as e from hits group by 1)
+select 'document' as kind, cast(o_orderkey as varchar) as id, case a when 'amend' then 'Đã sửa đổi bổ sung' when 'replace' then 'Hết hiệu lực' when 'partial_repeal' then 'Hết hiệu lực một phần' else 'Còn hiệu lực' end as status, null as date, null as note, null as other from orders left join (select document_id, arg_max(action, source_id) as a from acts group by 1) on document_id = o_orderkey
+union all select 'chunk', chunk_id, coalesce(e.status, 'active'), e.date, e.note, null from ch left join last using (chunk_id)
+union all select 'edge', cast(case when r = 0 then document_id else source_id end as varchar), case action when 'amend' then case r when 0 then 'amended_by' else 'amends' end when 'replace' then case r when 0 then 'replaced_by' else 'replaces' end else case r when 0 then 'partially_repealed_by' else 'partially_repeals' end end, date, case when named then 'partial' else 'full' end || case when named then ' ' || article else '' end, 'doc ' || case when r = 0 then source_id else document_id end from acts, range(2) x(r)"""
+
+
+@query("apply_document_action", f"with {ACTIONS_SQL}")
 def _(spark, sf):
+    orders, key = T(spark, sf, "orders"), F.col("o_orderkey")
     action = F.when(F.col("o_orderstatus") == "F", "replace").when(F.col("o_orderstatus") == "P", "partial_repeal").otherwise("amend")
-    actions = T(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), action.alias("action"), (F.col("o_orderkey") % 4 + 1).cast("string").alias("article"))
-    return V.apply_document_action(actions, chunks(spark, sf)).select("chunk_id", "status")
+    provision = F.struct(F.concat(F.lit("Điều "), (key % 4 + 1).cast("string")).alias("article"), F.when(key % 2 == 0, "").otherwise("khoản 2").alias("clause"), F.when(key % 5 == 0, "amend").when(key % 5 == 1, "add").otherwise("repeal").alias("action"))
+    named = F.when((F.col("o_orderstatus") == "P") | (key % 10 == 1), F.array(provision))
+    name = F.concat(F.lit("doc "), key.cast("string"))
+    actions = orders.where(key % 3 != 0).select(key.alias("position"), key.alias("source_id"), name.alias("source_name"), action.alias("action"), (key - key % 3).alias("document_id"), F.col("o_orderdate").cast("date").alias("effective_date"), F.lit(None).cast("string").alias("scope"), named.alias("provisions"))
+    docs = orders.select(key.alias("document_id"), name.alias("source_name"), F.lit("Còn hiệu lực").alias("validity_status"))
+    number = F.col("l_linenumber")
+    parts = T(spark, sf, "lineitem").select("l_orderkey", number).distinct().select(
+        F.col("l_orderkey").alias("document_id"), F.concat_ws("#", F.col("l_orderkey").cast("string"), number.cast("string")).alias("chunk_id"), F.concat(F.lit("Điều "), number.cast("string")).alias("article"), F.when(number % 2 == 0, "Khoản 2").otherwise("").alias("clause"),
+        F.when(number % 3 == 0, "theo khoản 2").otherwise("khác").alias("text"), F.lit("active").alias("status"), F.lit(None).cast("date").alias("effective_to"), F.lit(None).cast("string").alias("validity_note"),
+    )
+    docs, parts, edges = V.apply_document_actions(actions, docs, parts)
+    none = F.lit(None).cast("string")
+    provisions = F.array_join(F.transform("affected_provisions", lambda p: p["article"]), ",")
+    return (
+        docs.select(F.lit("document").alias("kind"), F.col("document_id").cast("string").alias("id"), F.col("validity_status").alias("status"), none.alias("date"), none.alias("note"), none.alias("other"))
+        .unionByName(parts.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "status", F.col("effective_to").cast("string").alias("date"), F.col("validity_note").alias("note"), none.alias("other")))
+        .unionByName(edges.select(F.lit("edge").alias("kind"), F.col("document_id").cast("string").alias("id"), F.col("relation").alias("status"), F.col("effective_date").cast("string").alias("date"), F.concat_ws(" ", "scope", provisions).alias("note"), F.col("other_name").alias("other")))
+    )
 
 
 CHANGES_SQL = f"{CHUNKS_SQL}, ch as (select l_orderkey || '#' || l_linenumber as chunk_id, l_partkey * 1000 + l_suppkey as position, case l_suppkey % 5 when 0 then 'repeal' when 1 then 'replace' when 2 then 'amend' when 3 then 'add' else 'other' end as action from lineitem where l_returnflag = 'R')"
@@ -339,9 +380,10 @@ def changes(spark, sf):
     return T(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("position"), action.alias("action"))
 
 
-@query("confirm_changes", f"with {CHANGES_SQL}, last as (select chunk_id, arg_max(action, position) as a from ch where action <> 'add' group by 1) select chunk_id, coalesce(case a when 'repeal' then 'repealed' when 'replace' then 'superseded' when 'amend' then 'amended' when 'other' then 'active' end, 'active') as status from c left join last using (chunk_id)")
+@query("confirm_changes", f"with {CHANGES_SQL}, last as (select chunk_id, arg_max(action, position) as a from ch where action <> 'add' and position % 3 <> 0 group by 1) select chunk_id, coalesce(case a when 'repeal' then 'repealed' when 'replace' then 'superseded' when 'amend' then 'amended' when 'other' then 'active' end, 'active') as status from c left join last using (chunk_id)")
 def _(spark, sf):
-    return V.confirm_changes(changes(spark, sf), chunks(spark, sf))[0].select("chunk_id", "status")
+    selected = changes(spark, sf).where("position % 3 <> 0").select("position").distinct()
+    return V.confirm_changes(changes(spark, sf), chunks(spark, sf), selected)[0].select("chunk_id", "status")
 
 
 @query("map_changes", f"with {CHANGES_SQL} select action, count(*) as detected, count(c.chunk_id) as mapped, count(distinct c.chunk_id) as targets from ch left join c on c.chunk_id = ch.chunk_id group by 1")

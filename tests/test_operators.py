@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,3 +284,74 @@ def test_parents_by_hint(spark):
     got = sorted((r.id, r.parent) for r in relational.infer_parents(docs, catalog, "hint", "name").collect())
     assert got == [(1, 10), (1, 11), (2, 11)]
     assert relational.infer_parents(docs.where("id = 3"), catalog, "hint", "name").count() == 0
+
+
+def plain_snippet(snippet):
+    """The rules of polish_snippet(), line by line."""
+    for pattern, new, cased in rules.SNIPPET_FIXES:
+        snippet = re.sub(pattern, new, snippet, flags=0 if cased else re.IGNORECASE)
+    lines = []
+    for line in filter(None, map(str.strip, snippet.split("\n"))):
+        if not lines:
+            if len(line.split()) > 2 or line.startswith(rules.SNIPPET_HEADS):
+                lines.append(line)
+        elif not line.startswith(rules.SNIPPET_ITEMS) and (lines[-1].endswith(rules.SNIPPET_OPEN_ENDS) or lines[-1][-1] not in ".?!:"):
+            lines[-1] += " " + line
+        else:
+            lines.append(line)
+    return re.sub("[ \t]+", " ", "\n\n".join(lines)).strip()
+
+
+def test_polish_snippet(spark):
+    hard = [
+        "", "   \n ", "mồ côi\nĐiều 1. Nội dung\ntiếp theo,\nvà nữa.\nCâu mới\n- mục một\n- mục hai", "Bước 1 | nộp hồ sơ Bước 2: nhận kết quả", "chưa &Ễy đủ giãy tờ; ; , khác", "Xác nhận | ABC | ?\nxong. a/b\n / lề",
+        "gắn liên với đất đi và tải  sản, m: 3", "Đăng Ối 0.5 ngà làm việc", "ffl1t đai và fflấy của o1 đình", "xiãy chứng nhận Iãy CHỨNG nhận", "một hai\nba bốn năm\n(a) sáu", "dất đai thửa đắt Cấp đồi Nghị định sô 5",
+    ]
+    df = spark.createDataFrame(list(enumerate(hard)), "id long, t string")
+    for r in df.select("id", text.polish_snippet(F.col("t")).alias("x")).collect():
+        assert r.x == plain_snippet(hard[r.id]), hard[r.id]
+    assert one(spark, text.polish_snippet(F.lit(None).cast("string"))) == ""
+
+
+def test_document_actions(spark):
+    d = datetime.date
+    provision = "array<struct<article: string, clause: string, action: string>>"
+    docs = spark.createDataFrame([(1, "A", "x", 7), (2, "B", "x", 8), (3, "C", "x", 9)], "document_id long, source_name string, validity_status string, extra int")
+    chunks = spark.createDataFrame(
+        [(1, "1a", "Điều 1", "Khoản 1", "nói", "active"), (1, "1b", "Điều 2", None, "theo Khoản 1", "active"), (1, "1c", None, None, None, "active"), (2, "2a", "Điều 1", "", "x", "active"), (3, "3a", "Điều 5", "", "x", "amended")],
+        "document_id long, chunk_id string, article string, clause string, text string, status string",
+    ).selectExpr("*", "cast(null as date) as effective_to", "cast(null as string) as validity_note")
+    log = [
+        (1, 10, "N1", "partial_repeal", 1, d(2024, 1, 1), None, [("điều 1", "khoản 1", "repeal"), ("Điều 2", "khoản 1", "amend"), ("", "", "repeal"), ("Điều 1", "khoản 9", "amend"), ("Điều 2", "", "add")]),
+        (2, 11, "N2", "replace", 2, d(2024, 2, 1), None, None),
+        (3, 12, "N3", "amend", 2, None, "partial", None),
+        (4, 13, "N4", "other", 3, None, None, None),
+        (5, 14, "N5", "replace", 99, None, None, None),
+        (6, 15, "N6", "partial_repeal", 3, d(2024, 3, 1), None, None),
+    ]
+    actions = spark.createDataFrame(log, f"position long, source_id long, source_name string, action string, document_id long, effective_date date, scope string, provisions {provision}")
+    new_docs, new_chunks, edges = validity.apply_document_actions(actions, docs, chunks)
+    assert {(r.document_id, r.validity_status, r.extra) for r in new_docs.collect()} == {(1, "Hết hiệu lực một phần", 7), (2, "Đã sửa đổi bổ sung", 8), (3, "Hết hiệu lực một phần", 9)}
+    got = {r.chunk_id: (r.status, r.effective_to, r.validity_note) for r in new_chunks.collect()}
+    assert got == {
+        "1a": ("repealed", d(2024, 1, 1), "Bị bãi bỏ bởi N1 (điều 1 khoản 1)"),
+        "1b": ("amended", d(2024, 1, 1), "Bị sửa đổi bởi N1 (Điều 2 khoản 1)"),
+        "1c": ("active", None, None),
+        "2a": ("repealed", d(2024, 2, 1), "Bị thay thế toàn bộ bởi N2"),
+        "3a": ("amended", None, None),
+    }
+    assert new_chunks.columns == chunks.columns
+    found = {(r.document_id, r.other_id, r.other_name, r.relation, r.scope, None if r.affected_provisions is None else len(r.affected_provisions)) for r in edges.collect()}
+    assert found == {
+        (1, 10, "N1", "partially_repealed_by", "partial", 5), (10, 1, "A", "partially_repeals", "partial", 5), (2, 11, "N2", "replaced_by", "full", None), (11, 2, "B", "replaces", "full", None),
+        (2, 12, "N3", "amended_by", "partial", 0), (12, 2, "B", "amends", "partial", 0), (3, 15, "N6", "partially_repealed_by", "full", None), (15, 3, "C", "partially_repeals", "full", None),
+    }
+    assert validity.apply_document_actions(actions.limit(0), docs, chunks)[2].collect() == []
+
+
+def test_selected_changes(spark):
+    chunks = spark.createDataFrame([("a", "active"), ("b", "active")], "chunk_id string, status string")
+    changes = spark.createDataFrame([("a", 1, "repeal"), ("a", 2, "amend"), ("b", 3, "repeal")], "chunk_id string, position long, action string")
+    selected = spark.createDataFrame([(1,), (None,)], "position long")
+    got, log = validity.confirm_changes(changes, chunks, selected)
+    assert {tuple(r) for r in got.collect()} == {("a", "repealed"), ("b", "active")} and log.count() == 1
