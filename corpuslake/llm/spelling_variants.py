@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,11 +19,10 @@ from .common import discard, hinted, id_and_text, tidy, written
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: The runs of letters that are words.
 RUN = r"[A-Za-zÀ-ÿ]+"
-LOWER = {i: i + 32 for i in range(65, 91)}
-TABLE_WORDS, CHUNK_WORDS, CHUNKS = 200_000, 4_096, 1 << 14
+TABLE_WORDS, CHUNK_WORDS, CHUNKS, TASK_CHUNKS = 200_000, 4_096, 1 << 14, 4
 
 
-def _counts(rewrite: Callable[[str, str], str] | None, least_length: int, table_words: int) -> Callable:
+def _counts(rewrite: Callable[[str], Callable[[str], str]] | None, least_length: int, table_words: int) -> Callable:
     """(word, n) of a task's texts, added up in a table of bounded size before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,18 +34,12 @@ def _counts(rewrite: Callable[[str, str], str] | None, least_length: int, table_
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = Counter(find(text.as_py().translate(LOWER)))
-                if rewrite:
-                    key = "" if doc_id is None else str(doc_id)
-                    for word, n in found.items():
-                        word = rewrite(key, word)
-                        if len(word) >= least_length:
-                            table[word] += n
-                else:
-                    for word, n in found.items():
-                        if len(word) >= least_length:
-                            table[word] += n
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                found = Counter(find(text.as_py().lower().decode()))  # bytes.lower() changes A-Z only
+                words = map(rewrite("" if doc_id is None else str(doc_id)), found) if rewrite else found
+                for word, n in zip(words, found.values(), strict=True):
+                    if len(word) >= least_length:
+                        table[word] += n
                 if len(table) > table_words:
                     yield flushed()
         yield flushed()
@@ -53,10 +47,10 @@ def _counts(rewrite: Callable[[str, str], str] | None, least_length: int, table_
     return tidy(run)
 
 
-def vocabulary(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, rewrite: Callable[[str, str], str] | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+def vocabulary(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, rewrite: Callable[[str], Callable[[str], str]] | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """word, n: the words of all texts of docs, A-Z lower-cased, of least_length code points at least, that occur least_count times at least.
 
-    rewrite(doc_id as text, word) may change a document's word. A null text has no words; a null doc_id is an empty text to rewrite; repeated rows
+    rewrite(doc_id as text) gives a function that may change the document's words. A null text has no words; a null doc_id is an empty text to rewrite; repeated rows
     count each; an empty table gives no rows."""
     parts = id_and_text(docs).mapInArrow(_counts(rewrite, least_length, table_words), "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
@@ -77,6 +71,27 @@ def shared(a: str, b: str) -> int:
     return low
 
 
+def _next_rows() -> list[int]:
+    """The next row of a band of one edit, for each row and each way in which a letter matches.
+
+    A row has the edits between a list word's first d letters and the first d - 1, d and d + 1 letters of the word sought: (a, b, c), 2 for more than one. Its
+    number is 8 * (3 * (3 * a + b) + c); to that add 1, 2 and 4 where the list word's next letter is the sought one's letter d, d + 1, d + 2. -1: all exceed one."""
+    out = []
+    for a, b, c in product(range(3), repeat=3):
+        for match in range(8):
+            x = min(a + (not match & 1), b + 1, 2)
+            y = min(b + (not match & 2), c + 1, x + 1, 2)
+            z = min(c + (not match & 4), y + 1, 2)
+            out.append(-1 if x == y == z == 2 else 8 * (3 * (3 * x + y) + z))
+    return out
+
+
+NEXT_ROW = _next_rows()
+SAME = 8 * (3 * (3 * 1 + 0) + 1)
+#: Whether the cell d + 1, d or d - 1 of a row (in this order) is one edit.
+ONE_EDIT = [[r // 8 // power % 3 == 1 for r in range(216)] for power in (1, 3, 9)]
+
+
 class SortedWords:
     """A sorted list of different words; near() finds those within one edit of a word by one pass over it.
 
@@ -94,44 +109,39 @@ class SortedWords:
                 self.following[stack.pop()] = i
             stack.append(i)
 
-    def after(self, i: int, depth: int) -> int:
-        """The first word after i that shares less than depth letters with it."""
-        n, lcp, following = len(self.words), self.lcp, self.following
-        i += 1
-        while i < n and lcp[i] >= depth:
-            i = following[i]
-        return i
-
     def near(self, sought: str, prefix: int) -> Iterator[int]:
         """Places of the words that differ from sought by one edit and share its first `prefix` letters."""
-        words, lcp, size = self.words, self.lcp, len(sought)
+        words, lcp, following, size, step = self.words, self.lcp, self.following, len(sought), NEXT_ROW
         head = sought[:prefix]
         i, end = bisect_left(words, head), bisect_left(words, head + "\U0010ffff")
-        # rows[d]: edits between a list word's first d letters and the first d - 1, d, d + 1 letters of sought; 2 stands for more than one
-        rows = [(2, 2, 2)] * (size + 3)
-        rows[prefix] = (1 if prefix else 2, 0, 1 if prefix < size else 2)
+        rows = [SAME] * (size + 3)
+        padded = "\0" + sought + "\0\0\0\0"  # cells beyond sought's end count no edit that a cell within it depends on
         depth = prefix
         while i < end:
             word = words[i]
-            for d in range(depth, len(word)):
-                letter, (a, b, c) = word[d], rows[d]
-                x = y = z = 2
-                if d <= size:
-                    x = a if a < 2 and letter == sought[d - 1] else b + 1
-                if d < size:
-                    y = b if letter == sought[d] else min(b, c, x) + 1
-                    y = min(y, c + 1, x + 1)
-                if d + 1 < size:
-                    z = min(c if letter == sought[d + 1] else 2, y + 1)
-                if x > 1 and y > 1 and z > 1:  # no word with these d + 1 letters is near
-                    i = self.after(i, d + 1)
+            row = rows[depth]
+            length = len(word)
+            for d in range(depth, length if length < size + 2 else size + 2):
+                letter = word[d]
+                row = step[row + (letter == padded[d]) + 2 * (letter == padded[d + 1]) + 4 * (letter == padded[d + 2])]
+                if row < 0:
+                    depth = d + 1
                     break
-                rows[d + 1] = (x, y, z)
+                rows[d + 1] = row
             else:
-                gap = size - len(word)
-                if -1 <= gap <= 1 and rows[len(word)][gap + 1] == 1:
-                    yield i
-                i += 1
+                if length > size + 1:
+                    depth = size + 2
+                else:
+                    if length >= size - 1 and ONE_EDIT[length - size + 1][row]:
+                        yield i
+                    i += 1
+                    if i < end:
+                        depth = lcp[i]
+                    continue
+            # no word with these `depth` letters is near
+            i += 1
+            while i < end and lcp[i] >= depth:
+                i = following[i]
             if i < end:
                 depth = lcp[i]
 
@@ -234,7 +244,9 @@ def near_words(words: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
         directory[r.side].append((r.low, r.high, r.chunk))
     routed = listed.select("side", "key").mapInArrow(_routed(directory), "side int, chunk long, key string")
     rows = listed.select("side", "chunk", F.lit(False).alias("sought"), "key", "n").unionByName(routed.select("side", "chunk", F.lit(True).alias("sought"), "key", F.lit(None).cast("long").alias("n")))
-    found = rows.repartition("side", "chunk").sortWithinPartitions("side", "chunk", "sought", "key").mapInArrow(_matched, "word string, n_near long, best_n long, best string")
+    # a number of its own: the lists are small in bytes, so Spark would put many chunks, and their work, into one task
+    tasks = -(-sum(map(len, directory)) // TASK_CHUNKS)
+    found = rows.repartition(max(1, tasks), "side", "chunk").sortWithinPartitions("side", "chunk", "sought", "key").mapInArrow(_matched, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("m"), "best"))
     out = written(found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.m")).alias("best_n"), F.col("b.best").alias("best")), "near-words")
     discard(listed)
@@ -271,13 +283,18 @@ def spelling_variants(words: DataFrame, factor: int = 2) -> DataFrame:
     return marked.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
-def one_letter_lost(doc_id: str, word: str) -> str:
-    """The word as the query's contract has it: of about every 97th word of a document, one letter is left out."""
-    h = zlib.crc32(f"{doc_id}:{word}".encode())
-    if h % 97:
-        return word
-    at = h % len(word)
-    return word[:at] + word[at + 1 :]
+def one_letter_lost(doc_id: str) -> Callable[[str], str]:
+    """A document's words as the query's contract has them: of about every 97th, one letter is left out."""
+    begun = zlib.crc32(f"{doc_id}:".encode())
+
+    def lost(word: str) -> str:
+        h = zlib.crc32(word.encode(), begun)
+        if h % 97:
+            return word
+        at = h % len(word)
+        return word[:at] + word[at + 1 :]
+
+    return lost
 
 
 def spelling_variants_query(docs: DataFrame) -> DataFrame:
