@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, IS_SPACE, LOWER, bloom_words, discard, fresh, hinted, id_and_text, may_hold, mix, powers, sliding, starts_of, text_blocks, tidy, word_hashes, written
 
-WINDOW = 16
-MASK_BITS, LEAST_GAP, LONGEST = 4, 12, 192
+WINDOW, GEAR_WORDS = 16, 3
+MASK_BITS, LEAST_GAP, LONGEST, LONG_WORD = 4, 12, 192, 64
 RUN_WORDS, PASSAGE_WORDS = 20, 50
 GEAR = (mix(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -27,10 +27,9 @@ def gear_hashes(low: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_starts(low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """First bytes of the chunks of each row. A cut follows a byte at which the top bits of the gear hash (of WINDOW bytes in the row) are 0,
-    unless such a byte stands among the LEAST_GAP before: cuts depend on the nearby bytes alone, so an insertion moves no cut beyond them.
-    Stretches without a cut are cut every LONGEST bytes."""
+def byte_cuts(low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Cuts by bytes: one follows a byte at which the top bits of the gear hash (of WINDOW bytes in the row) are 0, unless such a byte stands among the
+    LEAST_GAP before. They depend on the nearby bytes alone, so an insertion moves no cut beyond them."""
     top = gear_hashes(low) << np.uint32(32 - WINDOW) >> np.uint32(32 - MASK_BITS)
     found = np.flatnonzero(top == 0) + 1
     row = np.searchsorted(offsets, found - 1, "right") - 1
@@ -38,40 +37,93 @@ def chunk_starts(low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     found, row = found[inside], row[inside]
     gap = np.diff(found, prepend=-LONGEST)
     near = (gap <= LEAST_GAP) & np.r_[False, row[1:] == row[:-1]][: len(row)]
-    firsts = offsets[:-1][np.diff(offsets) > 0]
-    cuts = np.union1d(found[~near], firsts)
-    lengths = np.diff(cuts, append=len(low))
-    long_ = np.flatnonzero(lengths > LONGEST)
-    if len(long_):
-        more = [np.arange(cuts[i] + LONGEST, cuts[i] + lengths[i], LONGEST) for i in long_]
-        cuts = np.union1d(cuts, np.concatenate(more))
-    return cuts
+    return found[~near]
+
+
+def word_cuts(hashes: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
+    """Words that begin a chunk: those whose gear hash, over GEAR_WORDS words, is the smallest (of equal ones, the last) of some `span` words in a row
+    of the text. Each span of a text has one, and whether a word is one depends on the span - 1 words on both sides."""
+    gear = hashes >> np.uint64(20)
+    value = gear.copy()
+    for age in range(1, GEAR_WORDS):
+        same = row[age:] == row[:-age]
+        value[age:][same] += gear[:-age][same] << np.uint64(age)
+    value = mix(value)
+    reach = np.ones(len(value), np.int64)
+    for side in (-1, 1):
+        open_ = np.ones(len(value), bool)
+        for d in range(1, span):
+            here, there = (slice(d, None), slice(None, -d)) if side < 0 else (slice(None, -d), slice(d, None))
+            beaten = np.zeros(len(value), bool)
+            if d < len(value):
+                beaten[here] = (row[here] == row[there]) & ((value[there] >= value[here]) if side < 0 else (value[there] > value[here]))
+            open_ &= beaten
+            reach += open_
+    return reach >= span
+
+
+def sure_words(passage_words: int, span: int) -> int:
+    """So many words at least lie between the first and the last cut that any two texts with a passage in common share in it."""
+    return passage_words - GEAR_WORDS - 4 * (span - 1)
+
 
+def span_for(passage_words: int) -> int:
+    return max(1, passage_words // 7)
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, start, end, digest and number of word starts of each chunk (bytes; A-Z lower-cased)."""
+
+def chunks(data: np.ndarray, offsets: np.ndarray, span: int = PASSAGE_WORDS // 7) -> tuple[np.ndarray, ...]:
+    """Row, start, end, digest and number of word starts of each chunk (bytes of the text; A-Z are lower-cased and white space is one space for the digest).
+
+    Chunks begin at the words that word_cuts() finds, at a row's first word, and at the byte_cuts() within words of over LONG_WORD bytes; what is still longer than LONGEST is cut
+    every LONGEST bytes."""
     low = LOWER[data]
-    starts = chunk_starts(low, offsets)
-    if not len(starts):
+    space = IS_SPACE[low]
+    after_space = np.r_[True, space[:-1]][: len(space)]
+    after_space[offsets[:-1][offsets[:-1] < len(space)]] = True
+    place = np.flatnonzero(~(space & after_space))  # of the bytes that stay
+    flat, own = low[place], np.searchsorted(place, offsets)
+    flat[space[place]] = 32
+    if not len(flat):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
-    up, down = powers(len(low))
-    codes = BYTE_CODES[low]
+    up, down = powers(len(flat))
+    codes = BYTE_CODES[flat]
     codes *= up
-    lengths = np.diff(starts, append=len(low))
-    digests = mix((np.add.reduceat(codes, starts) * down[starts]) ^ (lengths.astype(np.uint64) << np.uint64(48)))
-    words = np.searchsorted(starts_of(~IS_SPACE[low], offsets), np.append(starts, len(low)))
-    row = np.searchsorted(offsets, starts, "right") - 1
-    return row, starts, starts + lengths, digests, np.diff(words)
-
-
-def _digests() -> Callable:
+    inside = flat != 32
+    word = starts_of(inside, own)
+    row = np.searchsorted(own, word, "right") - 1
+    hashes = mix(np.add.reduceat(np.where(inside, codes, np.uint64(0)), word) * down[word])
+    cuts = np.union1d(word[word_cuts(hashes, row, span)], own[:-1][np.diff(own) > 0])
+    sizes = np.minimum(np.r_[word[1:], len(flat)], own[row + 1]) - word
+    long_ = np.flatnonzero(sizes > LONG_WORD)
+    if len(long_):
+        change = np.zeros(len(flat) + 1, np.int64)
+        change[word[long_] + 1] += 1
+        change[word[long_] + sizes[long_]] -= 1
+        found = byte_cuts(flat, own)
+        cuts = np.union1d(cuts, found[np.cumsum(change)[found] > 0])
+    lengths = np.diff(cuts, append=len(flat))
+    wide = np.flatnonzero(lengths > LONGEST)
+    if len(wide):
+        cuts = np.union1d(cuts, np.concatenate([np.arange(cuts[i] + LONGEST, cuts[i] + lengths[i], LONGEST) for i in wide]))
+        lengths = np.diff(cuts, append=len(flat))
+    digests = mix((np.add.reduceat(codes, cuts) * down[cuts]) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    words = np.diff(np.searchsorted(word, np.append(cuts, len(flat))))
+    row = np.searchsorted(own, cuts, "right") - 1
+    start = place[cuts]
+    end = np.r_[start[1:], len(data)]
+    last = np.r_[row[1:] != row[:-1], True]
+    end[last] = offsets[row[last] + 1]
+    return row, start, end, digests, words
+
+
+def _digests(span: int) -> Callable:
     """(digest, doc_id) of the chunks, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, data, offsets in text_blocks(batch):
-                row, _, _, digests, _ = chunks(data, offsets)
+                row, _, _, digests, _ = chunks(data, offsets, span)
                 order = np.lexsort((digests, row))
                 r, d = row[order], digests[order]
                 new = np.r_[True, (r[1:] != r[:-1]) | (d[1:] != d[:-1])][: len(r)]
@@ -80,14 +132,14 @@ def _digests() -> Callable:
     return tidy(run)
 
 
-def _candidates(words: np.ndarray) -> Callable:
+def _candidates(words: np.ndarray, span: int) -> Callable:
     """The chunks that the filter lets pass, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, data, offsets in text_blocks(batch):
-                row, start, end, digests, n = chunks(data, offsets)
+                row, start, end, digests, n = chunks(data, offsets, span)
                 ok = may_hold(words, digests)
                 row = row[ok]
                 columns = [digests[ok].view(np.int64), ids[first + row], (start[ok] - offsets[row]).astype(np.int32), (end[ok] - offsets[row]).astype(np.int32), n[ok].astype(np.int32)]
@@ -185,7 +237,7 @@ def _whole(passage_words: int) -> Callable:
                 data = np.frombuffer(text.as_py(), np.uint8)
                 first, last = word_ends(data)
                 if len(first) >= passage_words:
-                    out.append((k1, k2, int(first[0]), int(last[-1]), len(first), len(chunks(data, np.array([0, len(data)]))[0])))
+                    out.append((k1, k2, int(first[0]), int(last[-1]), len(first), len(chunks(data, np.array([0, len(data)]), span_for(passage_words))[0])))
             columns = zip(*out, strict=True) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["k1", "k2", "start", "end", "words", "chunks"])
 
@@ -215,8 +267,9 @@ def _spans(passage_words: int) -> Callable:
 def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """doc_id, start, end, words, chunks, first_doc_id: the passages of passage_words words or more that stand in other documents too.
 
-    start and end are bytes of the UTF-8 text. Runs of chunks whose digests each stand in two documents show where to look. Chunks are about 35 bytes,
-    so a run shows all of a passage but some words at each end: runs from RUN_WORDS on are verified, by the stretches of passage_words words that meet
+    start and end are bytes of the UTF-8 text. Runs of chunks whose digests each stand in two documents show where to look. A chunk begins at a word whose gear
+    hash is the smallest of a span of words, so what two documents share of a passage's chunks is all but some words at each end, sure_words() of them
+    at least, whatever the words are: no passage is lost. Runs from RUN_WORDS on (or that many) are verified, by the stretches of passage_words words that meet
     them, which must stand in two documents. first_doc_id is the smallest document that holds the same stretches; neighbouring stretches with the
     same first_doc_id are one passage, so passages may overlap. chunks counts those of the run. Letters A-Z count as lower case.
     Null, empty and blank text has no passage. Repetition within one document alone is none. Rows that share a doc_id are one document.
@@ -227,17 +280,18 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     largest document; then only the chunks that a filter of bounded size lets pass meet the repeated digests, in a join that may split a hot
     digest; then the texts of runs are verified. What gathers by document is bounded by its length. Columns may have any names.
     """
+    span = span_for(passage_words)
     source = id_and_text(docs).where("doc_id is not null").withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
     members = written(source.select("doc_id", "k1", "k2").distinct(), "members")
     copied = written(members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("k1", "k2", "rep"), "copied")
     further = members.join(copied, ["k1", "k2"])
     texts = source.join(hinted(further.where("doc_id <> rep").select("doc_id", "k1", "k2"), 48), ["doc_id", "k1", "k2"], "left_anti").select("doc_id", "text", "k1", "k2")
 
-    seen = texts.mapInArrow(_digests(), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
+    seen = texts.mapInArrow(_digests(span), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     repeated = written(seen.where("first_doc_id <> last").select("digest", "first_doc_id"), "digests")
-    places = texts.mapInArrow(_candidates(bloom_words(repeated, "digest")), "digest long, doc_id long, start int, end int, words int")
+    places = texts.mapInArrow(_candidates(bloom_words(repeated, "digest"), span), "digest long, doc_id long, start int, end int, words int")
     found = places.join(repeated, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "words", "first_doc_id")).alias("found"))
-    runs = written(found.mapInArrow(_runs(min(RUN_WORDS, passage_words)), "doc_id long, start long, end long, words long, chunks long, first_doc_id long"), "runs")
+    runs = written(found.mapInArrow(_runs(max(1, min(RUN_WORDS, sure_words(passage_words, span)))), "doc_id long, start long, end long, words long, chunks long, first_doc_id long"), "runs")
     discard(repeated)
     by_document = runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "chunks")).alias("runs"))
     some = texts.select("doc_id", "text").mapInArrow(_texts_of(bloom_words(runs, "doc_id")), "doc_id long, text string").where("text is not null").withColumn("k1", F.xxhash64("text"))

@@ -295,3 +295,41 @@ def test_empty(spark, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
     assert embedding_join.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embedding_join.near_duplicate_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].n_links == 0
+
+
+def test_no_passage_is_lost(spark):
+    """50 words shared by two documents each, in any text: short words, one word again and again, columns of digits, very long words, other white space."""
+    rng = np.random.default_rng(12)
+    pick = lambda xs, n: [xs[i] for i in rng.integers(0, len(xs), n)]
+    letters = [chr(97 + i) for i in range(26)]
+    kinds = {
+        "short": letters[:9] + [a + b for a in letters[:4] for b in letters[:3]],
+        "two": [a + b for a in letters[:6] for b in letters[:6]],
+        "digits": ["0", "1", "10", "0.5", "|"],
+        "usual": ["".join(pick(letters, n)) for n in rng.integers(3, 9, 400)],
+        "long": ["".join(pick(letters, 150)) for _ in range(30)],
+        "pairs": ["ab", "ab", "ab", "cd"],
+    }
+    texts, expected = {}, set()
+    for kind, vocabulary in kinds.items():
+        for trial in range(20):
+            passage = pick(vocabulary, 50) if trial % 5 else (pick(vocabulary, 1) * 50 if trial % 2 else (pick(vocabulary, 3) * 17)[:50])
+            for side in (0, 1):
+                around = [pick(kinds["usual"], int(rng.integers(0, 60))) for _ in range(2)]
+                own = f"q{kind}{trial}{side}"  # so that no more than the passage is shared
+                gaps = pick([" ", "\n", "  ", "\t"] if trial % 3 == 0 else [" "], 500)
+                all_ = [*around[0], own, *passage, own + "x", *around[1]]
+                i = len(texts)
+                texts[i] = "".join(w + g for w, g in zip(all_, gaps, strict=False))
+                expected.add(i)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == expected
+    for words_ in (8, 20):
+        seen = collections.defaultdict(set)
+        for i, t in texts.items():
+            w = words(t)
+            for j in range(len(w) - words_ + 1):
+                seen[tuple(w[j : j + words_])].add(i)
+        want = {i for s in seen.values() if len(s) > 1 for i in s}
+        assert {r.doc_id for r in substring_dedup.repeated_passages(df, words_).collect()} == want
