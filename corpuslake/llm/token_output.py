@@ -24,6 +24,8 @@ BLOCK_IDS, END_ID, LEVEL = 65_536, 0, 3
 CACHE_SEGMENTS, CACHE_WORDS = 600_000, 300_000
 #: A space is no break for certain where white space or an unknown lead byte follows.
 UNSURE = re.compile(rb" (?:[^!-~\xc3-\xe0\xe4-\xf4]|\Z)")
+#: Nor is a line feed that other white space or an unknown lead byte follows.
+UNSURE_LINE = re.compile(rb"\n[^ -~\xc3-\xe0\xe4-\xf4]")
 #: Characters that all versions of Unicode class alike: printable ASCII, line feeds, and the letters of Latin-1.
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]+")
 BLOCKS = "shard int, block int, first long, n_ids int, lead long, doc_ids array<long>, lengths array<int>, open boolean, plane_bytes array<int>, bits boolean, checksum long, planes binary"
@@ -50,8 +52,9 @@ class Seen(dict):
 class ByteTokenizer:
     """Token ids of texts as little-endian uint32 bytes, segment by segment.
 
-    The tokenizer's pattern always breaks before a space that a visible character follows, so a text's ids are those of its segments joined, and most
-    segments were seen before. A text in which a space may not be a break is encoded whole."""
+    The tokenizer's pattern always breaks before a space that a visible character follows, and before and after a line feed that no other white space
+    than such a space follows, so a text's ids are those of its segments joined, and most segments were seen before. A text in which a space may not be a
+    break is encoded whole."""
 
     def __init__(self, path: str, cache_segments: int = CACHE_SEGMENTS, cache_words: int = CACHE_WORDS):
         import public_tokenizers
@@ -72,12 +75,16 @@ class ByteTokenizer:
     def _segment(self, segment: bytes) -> bytes:
         text = segment.decode()
         if PLAIN.fullmatch(text):
+            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+                return self.words[text]
             return b"".join(map(self.words.__getitem__, self.pieces(text)))
         return little(self.whole.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: bytes) -> bytes:
         if UNSURE.search(text):
             return little(self.whole.encode(text.decode(), add_special_tokens=False).ids)
+        if not UNSURE_LINE.search(text):
+            text = text.replace(b"\n", b"\xff\n\xff")
         return b"".join(map(self.segments.__getitem__, text.replace(b" ", b"\xff ").split(b"\xff")))
 
 
