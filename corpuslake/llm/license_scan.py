@@ -36,6 +36,8 @@ TAGS = ("spdx license identifier", "license expression")
 #: Families of licence identifiers, by the start of the identifier.
 FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "isc": "isc", "bsl": "bsl", "cc0": "cc0", "cc-by": "cc-by", "unlicense": "unlicense"}
 KNOWN = frozenset(FAMILIES.values())
+#: Identifiers of the public list of licences that are letters only and of no family above. Those with a digit, point or hyphen are told by it.
+LETTERS = frozenset("aal abstyles afmparse aml ampas antlr apafml app artistic bahyph barr beerware bittorrent blessing borceux caldera catosl cecill checkmk clartistic condor cpal cpol crossword crystalstacker cube curl diffmark doc dotseqn dsdp dvipdfm entessa eudatagrid fair freeimage ftl gd giftware glide glulxe gnuplot hpnd ibm icu ijg imagemagick imatix imlib2 info intel interbase ipa ipl jasper jpnic json latex leptonica libpng libtiff linuxman lpl magaz makeindex miros motosoto mpich mtll multics mup naist naumen ncsa netcdf newsletr ngpl nist nlpl noweb nokia nosl nposl npl nrl ntp oclc oml openssl opl osl parity php plexus postgresql psfrag psutils python qhull qpl rdisc rhecos rpl rpsl rscpl ruby sax scea sendmail sgi simpl sissl sleepycat smlnj smppl snia spencer ssh sunpro swl tcl tmate torque tosl ucl upl vim vostrom vsl w3c watcom wsuipa wtfpl x11 xerox xinetd xnet xpp xskat ypl zed zend zimbra zlib".split())
 PERMISSIVE = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc0", "cc-by", "unlicense", "public-domain"})
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -46,8 +48,8 @@ TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 
 
 def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: a lower-case licence expression in postfix order. It ends where the next token cannot continue it; None if nothing
-    can be read or a bracket stays open."""
+    """Shunting-yard: a lower-case licence expression in postfix order. It ends where the next token cannot continue it, and brackets that are open
+    there end with it; None if nothing can be read."""
     out: list[str] = []
     stack: list[str] = []
     operand = True  # one is expected next
@@ -79,11 +81,9 @@ def to_postfix(expression: str) -> list[str] | None:
             out.append(word)
             operand = False
         at = token.end()
-    if operand and stack and stack[-1] in PRECEDENCE:  # words after the licence, as in "mit and that"
-        stack.pop()
-    if "(" in stack or not out:
-        return None
-    return out + stack[::-1]
+    while operand and stack:  # words after the licence, as in "mit and that" or "mit and (see below"
+        operand = stack.pop() not in PRECEDENCE
+    return out + [x for x in stack[::-1] if x != "("] if out else None
 
 
 def family(identifier: str) -> str:
@@ -91,6 +91,11 @@ def family(identifier: str) -> str:
     return next((label for start, label in FAMILIES.items() if re.match(rf"{re.escape(start)}(?![a-z])", identifier)), identifier)
 
 
+def is_licence(label: str) -> bool:
+    """Whether the label of an identifier is that of a family, one of the list's, or has a digit, point or hyphen, as all others of the list and licenseref- have."""
+    return label in KNOWN or label in LETTERS or any(c in "-.0123456789" for c in label)
+
+
 def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[set[str], bool]:
     """Labels of all licences in the expression, and whether it can be met with allowed ones: `or` needs one side, `and` both; an exception
     (after `with`) adds no licence."""
@@ -145,7 +150,7 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
     for head, then in zip(heads, [h.start() for h in heads[1:]] + [len(low)], strict=False):
         if postfix := to_postfix(low[head.end() : LINE_END.search(low, head.end(), then).start()].decode(errors="ignore")):
             named, met = evaluate(postfix)
-            if not (named := {x for x in named if x in KNOWN or any(c in "-.0123456789" for c in x)}):
+            if not (named := {x for x in named if is_licence(x)}):
                 continue  # a word that names no licence
             labels |= named
             allowed = met if allowed is None else allowed and met
@@ -172,7 +177,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. n_base counts the places of the contract's
     phrases, overlapping ones too; first_word and last_word are their smallest and largest start. labels adds other notices and the
-    licences of SPDX tags: known families, and other words with a digit, point or hyphen. expressions holds the tags' expressions in postfix order, permissive whether all can be met with permissive
+    licences of SPDX tags: known families, identifiers of the public list, and other words with a digit, point or hyphen; of an expression that breaks off, what came before. expressions holds the tags' expressions in postfix order, permissive whether all can be met with permissive
     licences (null without a tag). score: 1 with a phrase or a tag, 0.8 with other notices only, else 0.
     Null text is empty: no words, score 0. Repeated rows are scanned each; a null doc_id is carried; an empty table gives no rows. Each row
     is read whole and alone: no shuffle.

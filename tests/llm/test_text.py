@@ -312,9 +312,17 @@ def test_licenses(docs, rows):
     assert spdx.labels == "bsd,gpl,mit" and spdx.expressions == "mit gpl-2.0-only classpath-exception-2.0 with or bsd-3-clause and" and spdx.permissive is True
 
 
+@pytest.mark.parametrize(
+    ("line", "labels"),
+    [("Zlib", "zlib"), ("(MIT OR Apache-2.0) AND Zlib", "apache,mit,zlib"), ("WTFPL", "wtfpl"), ("PostgreSQL", "postgresql"), ("LicenseRef-Own-1", "licenseref-own-1"), ("(NCSA OR MIT", "mit,ncsa"), ("Artistic AND (", "artistic"), ("the file", ""), ("MPL-2.0-no-copyleft-exception", "mpl")],
+)
+def test_identifiers_of_tags(line, labels):
+    assert license_scan.scan(f"# SPDX-License-Identifier: {line}\nint x".encode(), license_scan.automaton())[5] == labels
+
+
 @pytest.mark.parametrize(
     ("text", "postfix", "met"),
-    [("mit", "mit", True), ("gpl-2.0 or mit", "gpl-2.0 mit or", True), ("gpl-2.0 and mit or apache-2.0", "gpl-2.0 mit and apache-2.0 or", True), ("gpl-2.0+ and (mit or isc)", "gpl-2.0+ mit isc or and", False), ("mit and that", "mit that and", False), ("mit */ int main", "mit", True), ("(mit", None, None), ("or mit", None, None), ("mit)", "mit", True)],
+    [("mit", "mit", True), ("gpl-2.0 or mit", "gpl-2.0 mit or", True), ("gpl-2.0 and mit or apache-2.0", "gpl-2.0 mit and apache-2.0 or", True), ("gpl-2.0+ and (mit or isc)", "gpl-2.0+ mit isc or and", False), ("mit and that", "mit that and", False), ("mit */ int main", "mit", True), ("(mit", "mit", True), ("mit and (", "mit", True), ("(mit or apache-2.0 and (gpl-3.0", "mit apache-2.0 gpl-3.0 and or", True), ("or mit", None, None), ("((", None, None), ("mit)", "mit", True)],
 )
 def test_expressions(text, postfix, met):
     got = license_scan.to_postfix(text)
