@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -138,7 +140,7 @@ def _(spark, sf):
     return rows.select("id", *(F.try_element_at("answers", F.lit(k)).alias(k) for k in ("phone", "email")))
 
 
-@query("calc_fields", f"with {SUBMITTED_SQL} select id, case when nation is not null and permit = '7' then round((cast(nation as double) * 2 + 1) / 7, 4) end as score from s")
+@query("calc_fields", f"with {SUBMITTED_SQL} select id, case when nation is not null and permit = '7' then (cast(nation as double) * 2 + 1) / 7 end as score from s")
 def _(spark, sf):
     return S.calc_fields(submissions(spark, sf), FIELDS).select("id", S.value("score").cast("double").alias("score"))
 
@@ -149,23 +151,34 @@ def _(spark, sf):
     return S.missing_fields(submissions(spark, sf), FIELDS)
 
 
-@query("required_missing", f"with {SUBMITTED_SQL} select id, list_filter(['balance', case when nation is null then 'nation' end, 'builds', case when permit is null then 'permit' end, 'inspector', case when phone is null then 'phone' end, case when email is null then 'email' end, 'score'], lambda x: x is not null) as missing from s")
+@query("required_missing", f"with {SUBMITTED_SQL} select id, list_filter(['balance', case when nation is null then 'Quốc gia' end, 'builds', case when permit is null then 'permit' end, 'inspector', case when phone is null then 'phone' end, case when email is null then 'email' end, 'score', case when segment is null then 'Ngành' end], lambda x: x is not null) as missing from s")
 def _(spark, sf):
-    return S.required_missing(submissions(spark, sf), FIELDS)
+    named = [replace(f, name="Quốc gia", box=("nation", 0)) if f.key == "nation" else f for f in FIELDS]
+    more = [Field("nation_2", name="Quốc gia", box=("nation", 1)), Field("branch", name="Ngành")]
+    rows = submissions(spark, sf).withColumn("answers", F.map_concat("answers", F.create_map(F.lit("Ngành"), F.try_element_at("answers", F.lit("segment")))))
+    return S.required_missing(rows, [*named, *more])
+
+
+TAX_SQL = ", ".join(f"trim(substring(rpad(c, 13, ' '), {place + 1}, 1)) as mst_1_{box}" for place, box in enumerate(S.TAX_BOXES))
 
 
-@query("render_values", f"with {SUBMITTED_SQL} select id, coalesce(segment, '') as segment, case when segment = 'BUILDING' then 'X' else '' end as builds, coalesce(array_to_string(string_split(nation, ''), ' '), '') as nation from s")
+@query("render_values", f"with {SUBMITTED_SQL} select s.id, coalesce(segment, '') as segment, case when segment = 'BUILDING' then 'X' else '' end as builds, coalesce(array_to_string(string_split(nation, ''), ' '), '') as nation, case when nation is null then '' else substring(nation, 1, 1) end as box0, case when nation is null then '' when length(nation) > 1 then substring(nation, 2, 1) else ' ' end as box1, {TAX_SQL} from s join (select c_custkey as id, regexp_replace(c_name, '\\D', '', 'g') as c from customer) using (id)".replace("\\\\", "\\"))
 def _(spark, sf):
-    rows = S.render_values(S.derive_fields(submissions(spark, sf), FIELDS), FIELDS)
-    return rows.select("id", "segment", "builds", "nation")
+    boxes = [Field(f"box{i}", box=("nation", i)) for i in (0, 1)]
+    rows = S.render_values(S.derive_fields(submissions(spark, sf), FIELDS), [*FIELDS, *boxes], tax={"name": [1]})
+    return rows.drop("name", "balance", "permit", "inspector", "phone", "email", "score")
 
 
-@query("co_owner_rows", "select o_custkey as id, cast(o_orderkey % 9 + 1 as int) as owner, max(o_orderstatus) as name, max(cast(o_orderkey as varchar)) as share from orders group by 1, 2")
+@query("co_owner_rows", """select o_custkey as id, cast(o_orderkey % 9 + 1 as int) as owner, max(o_orderstatus) as name, cast(max(o_orderkey) as varchar) as tax_id, max(case when o_orderkey % 2 = 0 then cast(cast(o_orderdate as date) as varchar) end) as identity, cast(max(o_orderkey % 100) as varchar) || '%' as share from orders group by 1, 2""")
 def _(spark, sf):
     n = (F.col("o_orderkey") % 9 + 1).cast("string")
-    one = T(spark, sf, "orders").groupBy("o_custkey", n.alias("n")).agg(F.max("o_orderstatus").alias("name"), F.max(F.col("o_orderkey").cast("string")).alias("share"))
-    answers = F.map_from_entries(F.flatten(F.collect_list(F.array(*(F.struct(F.concat(F.lit(f"{a}_"), "n").alias("k"), F.col(a).alias("v")) for a in ("name", "share"))))))
-    return S.co_owner_rows(one.groupBy(F.col("o_custkey").alias("id")).agg(answers.alias("answers")), ["name", "share"])
+    attributes = {"tên đồng sở hữu": F.max("o_orderstatus"), "mst dsh": F.max("o_orderkey").cast("string"), "cccd của dsh": F.max(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("date").cast("string"))), "ty_le_": F.max(F.col("o_orderkey") % 100).cast("string")}
+    one = T(spark, sf, "orders").groupBy("o_custkey", n.alias("n")).agg(*(v.alias(str(i)) for i, v in enumerate(attributes.values())))
+    # the share's owner stands in its field's name
+    entries = F.array(*(F.struct(F.concat(F.lit(a if a == "ty_le_" else f"{a} "), "n").alias("k"), F.col(str(i)).alias("v")) for i, a in enumerate(attributes)))
+    answers = F.map_from_entries(F.filter(F.flatten(F.collect_list(entries)), lambda e: e["v"].isNotNull()))
+    fields = [Field(f"ty_le_{i}", name=f"Tỷ lệ phần của người {i}") for i in range(1, 10)]
+    return S.co_owners(one.groupBy(F.col("o_custkey").alias("id")).agg(answers.alias("answers")), fields)
 
 
 @query("extract_declared", """select c_custkey, '0' || lpad(cast(c_custkey as varchar), 9, '1') as phone, case when c_custkey % 5 = 0 then '__skipped__' else 'u' || c_custkey || '@mail.vn' end as email, c_name as name, 'Cccd số ' || lpad(cast(c_custkey as varchar), 12, '0') as identity, c_custkey || ' ' || c_mktsegment as address, 'Vĩnh Long' as place from customer""")

@@ -160,9 +160,18 @@ def test_dependency_cycle_is_an_error():
 
 def test_dependencies_cascade_and_reopen(spark):
     fields = [submissions.Field("a"), submissions.Field("b", depends_on=("a", "1")), submissions.Field("c", depends_on=("b", "2"))]
-    df = spark.createDataFrame([(1, {"a": "0", "b": "2", "c": "x"}), (2, {"a": "1", "b": submissions.SKIPPED})], "id long, answers map<string,string>")
-    got = {r.id: r.answers for r in submissions.apply_dependencies(df, fields).collect()}
-    assert got[1] == {"a": "0", "b": submissions.SKIPPED, "c": submissions.SKIPPED} and got[2] == {"a": "1"}
+    skipped = submissions.SKIPPED
+    rows = [(1, {"a": "0", "b": "2", "c": "x"}, []), (2, {"a": "1", "b": skipped}, ["b"]), (3, {"a": "1", "b": skipped}, None), (4, {"a": "0", "b": skipped}, [])]
+    df = spark.createDataFrame(rows, "id long, answers map<string,string>, auto_skipped array<string>")
+    once = submissions.apply_dependencies(df, fields)
+    got = {r.id: (r.answers, sorted(r.auto_skipped)) for r in once.collect()}
+    assert got[1] == ({"a": "0", "b": skipped, "c": skipped}, ["b", "c"]) and got[2] == ({"a": "1"}, [])
+    # what the user skipped stays so; its own child was skipped by the rules
+    assert got[3] == ({"a": "1", "b": skipped, "c": skipped}, ["c"]) and got[4] == ({"a": "0", "b": skipped, "c": skipped}, ["c"])
+    changed = once.withColumn("answers", submissions.put("a", F.lit("1")))
+    again = {r.id: (r.answers, r.auto_skipped) for r in submissions.apply_dependencies(changed, fields).collect()}
+    assert again[1] == ({"a": "1"}, []) and again[4][0]["b"] == skipped
+    assert submissions.apply_dependencies(df.drop("auto_skipped"), fields).columns == ["id", "answers", "auto_skipped"]
 
 
 def test_case_files(spark, tmp_path):
@@ -211,7 +220,7 @@ def test_formulas_guard_every_divisor(spark):
     fields = [submissions.Field("x", formula="1 / ([a] - [b])", order=1), submissions.Field("y", formula="-[a] * (2 + [b]) / 4 - 1.5", order=2)]
     df = spark.createDataFrame([(1, {"a": "2", "b": "2"}), (2, {"a": "3", "b": "1"}), (3, {"a": "3"})], "id long, answers map<string,string>")
     got = {r.id: (r.answers.get("x"), r.answers.get("y")) for r in submissions.calc_fields(df, fields).collect()}
-    assert got == {1: (None, "-3.5000"), 2: ("0.5000", "-3.7500"), 3: (None, None)}
+    assert got == {1: (None, "-3.5"), 2: ("0.5", "-3.75"), 3: (None, None)}
     for bad in ("1 +", "(1", "1 2", "[a] % 2", ""):
         with pytest.raises(ValueError):
             submissions.formula_value(bad, lambda k: F.lit(1.0))
@@ -355,3 +364,41 @@ def test_selected_changes(spark):
     selected = spark.createDataFrame([(1,), (None,)], "position long")
     got, log = validity.confirm_changes(changes, chunks, selected)
     assert {tuple(r) for r in got.collect()} == {("a", "repealed"), ("b", "active")} and log.count() == 1
+
+
+def test_formulas_are_decimal(spark):
+    fields = [submissions.Field("s", formula="[a] + [Số hai]", order=1), submissions.Field("b", name="Số hai"), submissions.Field("t", formula="[s] / 3", order=2), submissions.Field("w", formula="[s] * 10", order=3)]
+    df = spark.createDataFrame([(1, {"a": "0,1", "b": "2000000000000000,2", "t": "old"}), (2, {"a": "1.000.000", "b": "chữ", "s": "old"}), (3, None)], "id long, answers map<string,string>")
+    got = {r.id: r.answers for r in submissions.calc_fields(df, fields).collect()}
+    assert (got[1]["s"], got[1]["t"], got[1]["w"]) == ("2000000000000000.3", "666666666666666.7666666666667", "20000000000000003")
+    assert got[2] == {"a": "1.000.000", "b": "chữ"} and got[3] is None
+    for v in ("1.234.567,5", "1,234", "-12.5", " 7 ", "12,5", "1.2.3", "", "x", "1234,567"):
+        want = spark.range(1).select(text.parse_number(F.lit(v)).alias("x")).first().x
+        try:
+            assert submissions.decimal_of(v) == want, v
+        except ArithmeticError:
+            assert want is None, v
+
+
+def test_boxes_and_tax_number(spark):
+    fields = [submissions.Field(f"d{i}", box=("mst", i)) for i in range(3)] + [submissions.Field("own", box=("none", 1))]
+    df = spark.createDataFrame([(1, {"mst": "0-1", "own": "98", "tax": "1234567890-123"}), (2, {"mst": submissions.SKIPPED})], "id long, answers map<string,string>")
+    first, second = submissions.render_values(df, fields, tax={"tax": [1, 3]}).orderBy("id").collect()
+    assert (first.d0, first.d1, first.d2, first.own) == ("0", "1", " ", "8") and (second.d0, second.own, second.mst_1_0) == ("", "", "")
+    for group in (1, 3):
+        assert "".join(first[f"mst_{group}_{box}"] for box in [12, 11, 7, 8, 10, 9, 1, 0, 6, 5, 4, 3, 2]) == "1234567890123"
+
+
+def test_co_owners(spark):
+    fields = [submissions.Field("f1", name="Tên người đồng sở hữu 2"), submissions.Field("f2", name="CCCD đồng sở hữu 2"), submissions.Field("f3", name="Tỷ lệ của dsh 3"), submissions.Field("f4", name="Ghi chú")]
+    rows = [(1, {"f1": " An ", "f2": "012", "f3": "30", "f4": "x", "mst dsh": "99"}), (2, {"f3": "40%", "f1": submissions.SKIPPED}), (3, {"f4": "y"})]
+    df = spark.createDataFrame(rows, "id long, answers map<string,string>")
+    got = {tuple(r) for r in submissions.co_owners(df, fields).select("id", "owner", "name", "tax_id", "identity", "share").collect()}
+    assert got == {(1, 2, "An", None, "012", None), (1, 3, None, None, None, "30%"), (1, 1, None, "99", None, None), (2, 3, None, None, None, "40%")}
+    assert submissions.co_owners(df, []).where("owner = 1").count() == 1
+
+
+def test_required_by_name_or_box(spark):
+    fields = [submissions.Field("a", name="Tên"), submissions.Field("b", name="Ô", box=("g", 0)), submissions.Field("c", name="Ô", box=("g", 1)), submissions.Field("d", required=False)]
+    df = spark.createDataFrame([(1, {"Tên": "x"}), (2, {"a": "x", "g": "12"}), (3, {"b": "1"})], "id long, answers map<string,string>")
+    assert {r.id: r.missing for r in submissions.required_missing(df, fields).collect()} == {1: ["Ô"], 2: [], 3: ["Tên"]}
