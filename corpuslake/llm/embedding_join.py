@@ -16,6 +16,8 @@ from .common import discard, written
 from .components import connected_components, smallest_reachable
 
 COSINE, BLOCK, LEAF, GRID_DIMENSIONS, BOX_DIMENSIONS, INTERVALS, INTERVAL_BLOCKS = 0.95, 4096, 256, 8, 16, 512, 16
+#: Bounds: of a block's bytes, of the intervals (beyond it they hold more blocks each), and of the components that axes are looked for in.
+BLOCK_BYTES, MOST_INTERVALS, AXIS_COMPONENTS = 32 << 20, 1 << 15, 512
 BORDER = 1e-9
 
 
@@ -45,37 +47,41 @@ def _keys() -> Callable:
     return run
 
 
-def _unit(vectors: list[np.ndarray], dimensions: int) -> np.ndarray:
-    """Rows of length 1, shorter vectors padded with zeros."""
-    out = np.zeros((len(vectors), dimensions))
+def _unit(v: np.ndarray) -> np.ndarray:
+    scaled = v / np.abs(v).max()
+    return scaled / np.linalg.norm(scaled)
+
+
+def _padded(vectors: list[np.ndarray], components: int) -> np.ndarray:
+    """The first components of each vector, shorter ones padded with zeros."""
+    out = np.zeros((len(vectors), components))
     for i, v in enumerate(vectors):
-        scaled = v / np.abs(v).max()
-        out[i, : len(v)] = scaled / np.linalg.norm(scaled)
+        out[i, : len(v)] = v[:components]
     return out
 
 
-def _moments(dimensions: int) -> Callable:
-    """Sums of x x^T over the task's unit vectors, a row for each entry."""
+def _moments(components: int) -> Callable:
+    """Sums of x x^T over the first components of the task's unit vectors, a row for each entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dimensions, dimensions))
+        total = np.zeros((components, components))
         for batch in batches:
-            vectors = [v for v in _valid(batch.column(1)) if v is not None]
-            if vectors:
-                u = _unit(vectors, dimensions)
+            if vectors := [_unit(v) for v in _valid(batch.column(1)) if v is not None]:
+                u = _padded(vectors, components)
                 total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "s"])
 
     return run
 
 
-def principal_axes(vectors: DataFrame, dimensions: int) -> np.ndarray:
-    """Orthonormal columns, leading directions of all unit vectors first; the driver sees dimensions ** 2 sums."""
-    rows = vectors.mapInArrow(_moments(dimensions), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
-    moment = np.zeros(dimensions * dimensions)
+def principal_axes(vectors: DataFrame, components: int) -> np.ndarray:
+    """Orthonormal columns, leading directions of all unit vectors' first components first; the driver sees components ** 2 sums, AXIS_COMPONENTS ** 2 at
+    most. On axes of some components only, distances are no greater than the vectors' own, so what they prove distant is."""
+    rows = vectors.mapInArrow(_moments(components), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    moment = np.zeros(components * components)
     for r in rows:
         moment[r.i] = r.s
-    return np.linalg.eigh(moment.reshape(dimensions, dimensions))[1][:, ::-1].copy()
+    return np.linalg.eigh(moment.reshape(components, components))[1][:, ::-1].copy()
 
 
 def _as_lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -83,40 +89,55 @@ def _as_lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
 
 
 def _celled(axes: np.ndarray, epsilon: float) -> Callable:
-    """(key, cell, lead, vector) of valid vectors: the grid cell on the leading axes, the unit vector's place on more of them, and the unit vector."""
+    """(key, n, cell, lead, vector) of valid vectors: the number of components, the grid cell on the leading axes, the unit vector's place on more of them,
+    and the unit vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [v for v in _valid(batch.column(1)) if v is not None]
-            unit = _unit(vectors, len(axes))
-            lead = unit @ axes[:, :BOX_DIMENSIONS]
+            unit = [_unit(v) for v in vectors]
+            lead = _padded(unit, len(axes)) @ axes[:, :BOX_DIMENSIONS]
             cells = np.floor(lead[:, :GRID_DIMENSIONS] / epsilon).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([_key(v) for v in vectors], pa.string()), _as_lists(cells, pa.int32()), _as_lists(lead, pa.float64()), _as_lists(unit, pa.float64())], names=["key", "cell", "lead", "vector"])
+            columns = [pa.array([_key(v) for v in vectors], pa.string()), pa.array([len(v) for v in vectors], pa.int32()), _as_lists(cells, pa.int32()), _as_lists(lead, pa.float64()), pa.array(unit, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "cell", "lead", "vector"])
 
     return run
 
 
-def _blocks(dimensions: int) -> Callable:
-    """Runs of BLOCK vectors in epsilon grid order, each with the box around it on the leading axes."""
+def _blocks(lead_width: int) -> Callable:
+    """Runs of vectors of one length in epsilon grid order, BLOCK at most and within BLOCK_BYTES, each with the box around it on the leading axes.
+    Columns: node, copies, n, lead, vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        nodes, copies = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        leads, rows = np.zeros((0, min(BOX_DIMENSIONS, dimensions))), np.zeros((0, dimensions))
+        part, made = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        rows, width = 0, 0
+
+        def most() -> int:
+            return max(16, min(BLOCK, BLOCK_BYTES // (8 * width)))
 
-        def block(k: int) -> pa.RecordBatch:
-            x = leads[:k]
-            data = [np.ascontiguousarray(y[:k]).tobytes() for y in (nodes, copies, leads, rows)]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([(part << 32) + n], pa.int64()), pa.array([x.min(0).tolist()]), pa.array([x.max(0).tolist()]), *(pa.array([d]) for d in data)], names=["part", "block", "low", "high", "nodes", "copies", "lead", "data"])
+        def block() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            nodes, copies = (t[c].to_numpy() for c in ("node", "copies"))
+            x = t["lead"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, lead_width)
+            y = t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            data = [np.ascontiguousarray(z).tobytes() for z in (nodes, copies, x, y)]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([(part << 32) + made], pa.int64()), pa.array([x.min(0).tolist()]), pa.array([x.max(0).tolist()]), *(pa.array([d]) for d in data)], names=["part", "block", "low", "high", "nodes", "copies", "lead", "data"])
 
         for batch in batches:
-            nodes, copies = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((nodes, copies)))
-            leads, rows = (np.concatenate([x, batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, x.shape[1])]) for i, x in ((2, leads), (3, rows)))
-            while len(nodes) >= BLOCK:
-                yield block(BLOCK)
-                nodes, copies, leads, rows, n = nodes[BLOCK:], copies[BLOCK:], leads[BLOCK:], rows[BLOCK:], n + 1
-        if len(nodes):
-            yield block(len(nodes))
+            n = batch.column(2).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(n[1:] != n[:-1]) + 1), len(n)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                while a < b:
+                    if rows and (width != n[a] or rows == most()):
+                        yield block()
+                        held, rows, made = [], 0, made + 1
+                    width = int(n[a])
+                    taken = min(b - a, most() - rows)
+                    held.append(batch.slice(a, taken))
+                    a, rows = a + taken, rows + taken
+        if rows:
+            yield block()
 
     return run
 
@@ -131,6 +152,8 @@ def join_intervals(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.
     """Rows of a and b whose cosine reaches the bound (same: a is b, each pair once). Intervals that boxes prove distant are skipped, others are
     halved down to LEAF rows; there the leading axes alone rule out most pairs, and the rest is computed whole in double precision. Within BORDER of
     the bound, products are summed anew in the order of the components, so that a pair is decided alike wherever it stands."""
+    common = min(a.shape[1], b.shape[1])  # the shorter vectors are 0 beyond it
+    a, b = (np.ascontiguousarray(x[:, :common]) for x in (a, b))
     epsilon2 = 2 - 2 * cosine + 1e-9
     stack = [(0, len(a), 0, len(b))]
     while stack:
@@ -160,7 +183,7 @@ def join_intervals(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.
                 yield a0 + i[ok], b0 + j[ok]
 
 
-def _joined(dimensions: int, cosine: float) -> Callable:
+def _joined(lead_width: int, cosine: float) -> Callable:
     """From pairs of blocks: (a, null, links) how many vectors each node links with, and (a, b, null) enough links to connect all
     that are connected within the pair of blocks."""
 
@@ -170,9 +193,9 @@ def _joined(dimensions: int, cosine: float) -> Callable:
                 same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
                 ids, copies, leads, data = [], [], [], []
                 for side in (0, 1):
-                    for k, (held, kind, width) in enumerate(((ids, np.int64, 0), (copies, np.int64, 0), (leads, np.float64, min(BOX_DIMENSIONS, dimensions)), (data, np.float64, dimensions))):
-                        x = np.frombuffer(batch.column(2 + 4 * side + k)[row].as_py(), kind)
-                        held.append(x.reshape(-1, width) if width else x)
+                    for k, (held, kind) in enumerate(((ids, np.int64), (copies, np.int64), (leads, np.float64), (data, np.float64))):
+                        held.append(np.frombuffer(batch.column(2 + 4 * side + k)[row].as_py(), kind))
+                    leads[side], data[side] = leads[side].reshape(-1, lead_width), data[side].reshape(len(ids[side]), -1)
                 links = [np.zeros(len(x), np.int64) for x in ids]
                 edges = []
                 for i, j in join_intervals(*data, *leads, same, cosine):
@@ -195,8 +218,8 @@ def _joined(dimensions: int, cosine: float) -> Callable:
 def near_block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """(x, y), x <= y, of blocks whose boxes are at most epsilon apart.
 
-    First intervals (the blocks of one range partition: INTERVAL_BLOCKS, fewer while that gives no more than INTERVALS) are compared on the driver by
-    their boxes; then the blocks of each pair of near intervals, in a join on the interval."""
+    First the intervals (the blocks of one range partition, MOST_INTERVALS at most) are compared by their boxes, in tasks that know all of these; then
+    the blocks of each pair of near intervals, in a join on the interval."""
     boxes = blocks.select("part", "block", "low", "high")
     found = boxes.select("part", F.posexplode(F.arrays_zip("low", "high"))).groupBy("part", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high")).collect()
     parts = sorted({r.part for r in found})
@@ -205,8 +228,16 @@ def near_block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     at = {p: i for i, p in enumerate(parts)}
     for r in found:
         low[at[r.part], r.pos], high[at[r.part], r.pos] = r.low, r.high
-    near = [(p, q) for i, p in enumerate(parts) for q, d in zip(parts[i:], box_distance2(low[i], high[i], low[i:], high[i:]), strict=True) if d <= epsilon * epsilon + 1e-9]
-    pairs = blocks.sparkSession.createDataFrame(near, "p long, q long")
+    numbers = np.array(parts, np.int64)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_numpy(zero_copy_only=False):
+                i = at[int(p)]
+                q = numbers[i:][box_distance2(low[i], high[i], low[i:], high[i:]) <= epsilon * epsilon + 1e-9]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), p)), pa.array(q)], names=["p", "q"])
+
+    pairs = boxes.select("part").distinct().mapInArrow(near, "p long, q long")
     x = boxes.select(F.col("part").alias("p"), F.col("block").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"))
     y = boxes.select(F.col("part").alias("q"), F.col("block").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"))
     gap2 = F.expr("aggregate(zip_with(zip_with(xl, yh, (a, b) -> a - b), zip_with(yl, xh, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, g) -> s + g * g)")
@@ -222,8 +253,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     the links of its own vector. A pair at the bound counts as linked, and is decided alike in any order of rows. An empty table gives no
     rows. Other columns are not read.
 
-    Unit vectors are placed on the principal axes of all rows, so that distances stay and the leading axes tell most. They are
-    range-partitioned and sorted by their grid cells of side epsilon = sqrt(2 - 2 cosine) on the leading axes, and cut into blocks with boxes.
+    Unit vectors are placed on the principal axes of all rows' first components (as many as the commonest length has, AXIS_COMPONENTS at most), which tell most. They are
+    range-partitioned and sorted by their length and their grid cells of side epsilon = sqrt(2 - 2 cosine) on the leading axes, and cut into blocks with boxes.
     Pairs of intervals, then of blocks, whose boxes are further apart than epsilon are skipped; a task joins two blocks recursively,
     counts links and emits them as a forest, so no group is expanded into pairs of rows.
     """
@@ -232,20 +263,21 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     rows = written(source.mapInArrow(_keys(), "vec_id long, key string, n int"), "keys")
     node = F.expr("cast(conv(substring(key, 1, 16), 16, -10) as long)")
     groups = written(rows.where("vec_id is not null and key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", node), "nodes")
-    dimensions = rows.agg(F.max("n")).first()[0] or 0
-    if dimensions:
+    commonest = rows.where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    if commonest:
         epsilon = math.sqrt(2 - 2 * cosine)
-        axes = principal_axes(source, dimensions)
-        placed = source.where("vec_id is not null").mapInArrow(_celled(axes, epsilon), "key string, cell array<int>, lead array<double>, vector array<double>").dropDuplicates(["key"])
-        celled = written(placed.join(groups, "key").select("node", "copies", "cell", "lead", "vector"), "cells")
+        axes = principal_axes(source, min(commonest.n, AXIS_COMPONENTS))
+        lead_width = min(BOX_DIMENSIONS, len(axes))
+        placed = source.where("vec_id is not null").mapInArrow(_celled(axes, epsilon), "key string, n int, cell array<int>, lead array<double>, vector array<double>").dropDuplicates(["key"])
+        celled = written(placed.join(groups, "key").select("node", "copies", "n", "cell", "lead", "vector"), "cells")
         n = celled.count()
-        intervals = max(1, min(INTERVALS, n // BLOCK), n // (BLOCK * INTERVAL_BLOCKS))
-        ordered = celled.repartitionByRange(intervals, "cell", "node").sortWithinPartitions("cell", "node").select("node", "copies", "lead", "vector")
-        blocks = written(ordered.mapInArrow(_blocks(dimensions), "part long, block long, low array<double>, high array<double>, nodes binary, copies binary, lead binary, data binary"), "blocks")
+        intervals = min(MOST_INTERVALS, max(1, min(INTERVALS, n // BLOCK), n // (BLOCK * INTERVAL_BLOCKS)))
+        ordered = celled.repartitionByRange(intervals, "n", "cell", "node").sortWithinPartitions("n", "cell", "node").select("node", "copies", "n", "lead", "vector")
+        blocks = written(ordered.mapInArrow(_blocks(lead_width), "part long, block long, low array<double>, high array<double>, nodes binary, copies binary, lead binary, data binary"), "blocks")
         held = ("nodes", "copies", "lead", "data")
         side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in held))
         pairs = near_block_pairs(blocks, epsilon).repartition(F.col("x"), F.col("y")).join(side("x"), "x").join(side("y"), "y")
-        found = written(pairs.select("x", "y", *(f"{s}_{c}" for s in "xy" for c in held)).mapInArrow(_joined(dimensions, cosine), "a long, b long, links long"), "links")
+        found = written(pairs.select("x", "y", *(f"{s}_{c}" for s in "xy" for c in held)).mapInArrow(_joined(lead_width, cosine), "a long, b long, links long"), "links")
         discard(celled, blocks)
     else:
         found = spark.createDataFrame([], "a long, b long, links long")

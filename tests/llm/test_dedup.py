@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -333,3 +334,24 @@ def test_no_passage_is_lost(spark):
                 seen[tuple(w[j : j + words_])].add(i)
         want = {i for s in seen.values() if len(s) > 1 for i in s}
         assert {r.doc_id for r in substring_dedup.repeated_passages(df, words_).collect()} == want
+
+
+def test_vectors_of_many_lengths(spark):
+    """Wide vectors among short ones: each is held at its own length, and a shorter one counts as padded with zeros."""
+    rng = np.random.default_rng(14)
+    base = [rng.standard_normal(8) for _ in range(50)]
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    wide = rng.standard_normal(6000)
+    rows += [(100, wide.tolist()), (101, (wide + 0.01 * rng.standard_normal(6000)).tolist()), (102, [*(3 * base[7]).tolist(), *([0.0] * 1492)]), (103, [*base[8].tolist(), 0.001]), (104, [0.0] * 2999 + [1.0]), (105, [0.0] * 2999 + [2.0, 0.1])]
+    rows += [(200 + n, [*base[9].tolist(), *([0.0] * n)]) for n in range(1, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    longest = max(len(v) for _, v in rows)
+    x = np.array([np.pad(v, (0, longest - len(v))) for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.95) & ~np.eye(len(rows), dtype=bool)
+    ids = [i for i, _ in rows]
+    want = smallest(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near), strict=True)])
+    begun = time.time()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_duplicate_vectors(df).collect()}
+    assert got == {i: (int(near[k].sum()), want[i]) for k, i in enumerate(ids)} and got[100][0] == 1
+    assert time.time() - begun < 90
