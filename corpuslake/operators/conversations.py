@@ -66,8 +66,12 @@ def conversation_detail(messages: DataFrame, by: str, order: str, fields: list[s
     return messages.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("messages"))
 
 
-def record_feedback(messages: DataFrame, feedback: DataFrame, key: list[str], order: str) -> DataFrame:
-    """messages with the latest feedback on answers; others have none."""
-    last = feedback.groupBy(*key).agg(F.max_by("value", order).alias("feedback"))
-    rows = messages.join(last, key, "left")
-    return rows.withColumn("feedback", F.when(F.col("role") == "assistant", F.col("feedback")))
+def record_feedback(messages: DataFrame, feedback: DataFrame, key: list[str], order: str, owner: str | None = None, by: str | None = None) -> DataFrame:
+    """messages with the latest feedback on answers; others have none. owner and by: the columns of messages and of feedback with the conversation's user and
+    the one who gives it; feedback of others than the owner is not recorded."""
+    last = feedback.groupBy(*key, *([by] if by else [])).agg(F.max_by("value", order).alias("feedback"))
+    if by:
+        rows = messages.join(last.withColumnRenamed(by, "_by").withColumnsRenamed({k: f"_{k}" for k in key}), [*(F.col(k) == F.col(f"_{k}") for k in key), F.col(owner) == F.col("_by")], "left").drop("_by", *(f"_{k}" for k in key))
+    else:
+        rows = messages.join(last, key, "left")
+    return rows.withColumn("feedback", F.when(F.col("role") == "assistant", F.col("feedback")))
\ No newline at end of file

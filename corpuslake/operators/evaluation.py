@@ -37,12 +37,17 @@ def case_verdict(similarity: Column, fallback: Column, threshold: float = 0.4) -
     return F.when((similarity >= threshold) & ~fallback, "pass").otherwise("review")
 
 
-def heuristic_metrics(samples: DataFrame, by: str) -> DataFrame:
-    """Means of case_scores() over the samples in which both token sets have words."""
+def heuristic_metrics(samples: DataFrame, by: str, contexts: str | None = None) -> DataFrame:
+    """Means of case_scores() over the samples in which both token sets have words. contexts: an array column; precision is then the mean share of contexts
+    that are not blank, over the samples that have any."""
     some = lambda a, b: (F.size(eval_tokens(F.col(a))) > 0) & (F.size(eval_tokens(F.col(b))) > 0)
     scored = case_scores(samples)
     mean = lambda x, a, b: F.bround(F.avg(F.when(some(a, b), F.col(x))), 3)
-    return scored.groupBy(by).agg(mean("grounding", "answer", "context").alias("faithfulness"), mean("similarity", "answer", "expected").alias("relevancy"), mean("recall", "expected", "context").alias("recall"))
+    found = [mean("grounding", "answer", "context").alias("faithfulness"), mean("similarity", "answer", "expected").alias("relevancy"), mean("recall", "expected", "context").alias("recall")]
+    if contexts:
+        filled = F.size(F.filter(contexts, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+        found.append(F.bround(F.avg(F.when(F.size(contexts) > 0, filled / F.size(contexts))), 3).alias("precision"))
+    return scored.groupBy(by).agg(*found)
 
 
 def target_grade(value: Column, target: Column) -> Column:

@@ -77,10 +77,13 @@ def _(spark, sf):
     return rows.select("conv_id", F.size("messages").alias("n"), F.array_join("messages.role", ",").alias("roles"))
 
 
-@query("record_feedback", "with f as (select user_id as conv_id, arg_max(cast(value > 50 as int), event_id) as value from events where event_type = 'click' group by 1) select conv_id, turn, case when role = 'assistant' then value end as feedback from conversations left join f using (conv_id)")
+@query("record_feedback", "with f as (select user_id as conv_id, arg_max(cast(value > 50 as int), event_id) as value from events where event_type = 'click' and event_id % 3 <> 0 group by 1) select conv_id, turn, case when role = 'assistant' then value end as feedback from conversations left join f using (conv_id)")
 def _(spark, sf):
-    feedback = T(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("conv_id"), (F.col("value") > 50).cast("int").alias("value"), "event_id")
-    return C.record_feedback(T(spark, sf, "conversations").select("conv_id", "turn", "role"), feedback, ["conv_id"], "event_id").select("conv_id", "turn", "feedback")
+    # every third click comes from another user than the conversation's
+    by = F.when(F.col("event_id") % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    feedback = T(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("conv_id"), (F.col("value") > 50).cast("int").alias("value"), "event_id", by.alias("given_by"))
+    messages = T(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("conv_id").alias("user_id"))
+    return C.record_feedback(messages, feedback, ["conv_id"], "event_id", "user_id", "given_by").select("conv_id", "turn", "feedback")
 
 
 FIELDS = [

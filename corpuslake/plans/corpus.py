@@ -302,9 +302,10 @@ def _(spark, sf):
     return names(spark, sf).select("o_orderkey", M.doc_kind(F.col("name"), F.col("text")).alias("k")).select("o_orderkey", "k.kind", "k.group")
 
 
-@query("doc_number", "select o_orderkey, case when o_orderkey >= 100000 then null else case o_orderkey % 4 when 0 then o_orderkey || '/2026/NĐ-CP' when 1 then o_orderkey || '/NQ-HĐND' when 2 then o_orderkey || '/2024/TT-BTC' else case when o_orderkey % 8 = 3 then o_orderkey || '/QĐ-UBND' else '' end end end as number from orders")
+#: A number in a name has five digits at most: of a longer one the last five; one in the text is whole.
+@query("doc_number", "select o_orderkey, case o_orderkey % 4 when 0 then right(cast(o_orderkey as varchar), 5) || '/2026/NĐ-CP' when 1 then right(cast(o_orderkey as varchar), 5) || '/NQ-HĐND' when 2 then right(cast(o_orderkey as varchar), 5) || '/2024/TT-BTC' else case when o_orderkey % 8 = 3 then o_orderkey || '/QĐ-UBND' else '' end end as number from orders")
 def _(spark, sf):
-    return names(spark, sf).select("o_orderkey", F.when(F.col("o_orderkey") < 100000, M.doc_number(F.col("name"), F.col("text"))).alias("number"))
+    return names(spark, sf).select("o_orderkey", M.doc_number(F.col("name"), F.col("text")).alias("number"))
 
 
 @query("doc_action", "select o_orderkey, case o_orderstatus when 'F' then 'replace' when 'O' then 'amend' else 'partial_repeal' end as action from orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -9,6 +10,7 @@ from ..operators import relational as R
 from ..sources import tables as S
 from ..sources.tables import read_table as T
 from .registry import query
+from .shared import scratch
 
 AS_OF = "2024-01-30"
 #: An event log as messages: a conversation per user, views are questions, errors are fallback answers.
@@ -25,23 +27,38 @@ def _(spark, sf):
 
 
 @query("read_case_csv", """
-with t as (select conv_id * 100 + turn as line, trim(text) as question, case when turn % 3 = 0 then cast(turn as varchar) else 'x' end as level, trim(role) as answer from conversations)
-select line, length(question) >= 5 and length(answer) >= 5 as valid, case when length(question) >= 5 and length(answer) >= 5 and regexp_full_match(level, '\\d+') then cast(level as int) end as level from t""".replace("\\\\", "\\"))
-def _(spark, sf):
-    rows = T(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("line"), F.col("text").alias("question"), F.col("role").alias("expected_answer"), F.when(F.col("turn") % 3 == 0, F.col("turn").cast("string")).otherwise("x").alias("level"))
-    valid, wrong = S.check_cases(rows, "line")
-    return valid.select("line", F.lit(True).alias("valid"), "level").unionByName(wrong.select((F.col("line") - 1).alias("line"), F.lit(False).alias("valid"), F.lit(None).cast("int").alias("level")))
-
-
-@query("read_case_json", "select item_id, text as question, 1 as level from benchmark b where item_id >= 10 and not exists (select 1 from benchmark e where e.item_id < 10 and e.text = b.text)")
-def _(spark, sf):
-    cases = T(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
-    return S.load_cases(cases.where("item_id < 10"), cases.where("item_id >= 10").withColumn("level", F.lit(None).cast("int"))).select("item_id", "question", "level")
-
-
-@query("export_cases", "select item_id, text as question, cast(length(text) as int) as n from benchmark")
-def _(spark, sf):
-    return T(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), F.length("text").alias("n")).orderBy("item_id")
+with t as (select conv_id % 4 as part, row_number() over (partition by conv_id % 4 order by conv_id, turn) + 1 as line, trim(text) as question, case when turn % 3 = 0 then cast(turn as varchar) else 'x' end as level, trim(role) as answer from conversations),
+v as (select *, coalesce(length(question) >= 5 and length(answer) >= 5, false) as valid from t)
+select part, line, valid, case when valid then md5(question) end as question, case when valid and regexp_full_match(level, '\\d+') then cast(level as int) end as level from v""".replace("\\\\", "\\"))
+def _(spark, sf):
+    path = scratch(spark, "cases")
+    rows = T(spark, sf, "conversations").select((F.col("conv_id") % 4).alias("part"), "conv_id", "turn", F.col("text").alias("question"), F.col("role").alias("expected_answer"), F.when(F.col("turn") % 3 == 0, F.col("turn").cast("string")).otherwise("x").alias("level"))
+    for part in range(4):  # a file each, with a header
+        rows.where(F.col("part") == part).coalesce(1).sortWithinPartitions("conv_id", "turn").select("question", "expected_answer", "level").write.csv(f"{path}/bank={part}", header=True, quoteAll=True, escape='"')
+    valid, wrong = S.read_cases_csv(spark, f"{path}/*/*.csv")
+    part = F.regexp_extract("path", "bank=(\\d)", 1).cast("long").alias("part")
+    valid = valid.select(part, (F.col("position") + 1).cast("long").alias("line"), F.lit(True).alias("valid"), F.md5("question").alias("question"), "level")
+    return valid.unionByName(wrong.select(part, F.col("line").cast("long").alias("line"), F.lit(False).alias("valid"), F.lit(None).cast("string").alias("question"), F.lit(None).cast("int").alias("level")))
+
+
+@query("read_case_json", "select cast(min(item_id) as varchar) as id, text as question, case when min(item_id) % 2 = 0 then 'a' else 'b' end as source, 1 as level from benchmark b where item_id >= 10 and not exists (select 1 from benchmark e where e.item_id < 10 and e.text = b.text) group by text")
+def _(spark, sf):
+    path = scratch(spark, "cases")
+    cases = T(spark, sf, "benchmark")
+    key = F.col("item_id")
+    one = F.struct(F.lpad(key.cast("string"), 9, "0").alias("id"), F.col("text").alias("question"), F.lit("answer").alias("expected_answer"), F.when(key % 2 == 0, "a").alias("source"), F.when(key % 2 == 1, "b").alias("source_doc"))
+    cases.where("item_id >= 10").groupBy((key % 3).alias("bank")).agg(F.to_json(F.collect_list(one)).alias("value")).write.partitionBy("bank").text(path)
+    found = S.load_cases(cases.where("item_id < 10").select(F.col("text").alias("question")), S.read_cases_json(spark, f"{path}/*/*.txt"))
+    return found.select(F.col("id").cast("long").cast("string").alias("id"), "question", "source", "level")
+
+
+@query("export_cases", "select item_id, text as question, cast(row_number() over (order by item_id) as int) as line from benchmark")
+def _(spark, sf):
+    path = scratch(spark, "cases")
+    S.export_json(T(spark, sf, "benchmark").select("item_id", F.col("text").alias("question")), path, "item_id")
+    # the files are in order: their names, then the rows in them
+    rows = spark.read.schema("item_id long, question string").json(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    return rows.select("item_id", "question", F.row_number().over(Window.orderBy("file", "block", "i")).alias("line"))
 
 
 @query("assemble_pages", """

@@ -340,9 +340,11 @@ def _(spark, sf):
 METRICS_SQL = f"with {PAIRS_SQL}, m as (select conv_id, round_even(avg(case when na > 0 and nc > 0 then grounding end), 3) as faithfulness, round_even(avg(case when na > 0 and ne > 0 then similarity end), 3) as relevancy, round_even(avg(case when ne > 0 and nc > 0 then recall end), 3) as recall from sc group by 1)"
 
 
-@query("heuristic_metrics", f"{METRICS_SQL} select conv_id, faithfulness, relevancy, recall from m")
+@query("heuristic_metrics", f"{METRICS_SQL}, p as (select conv_id, round_even(avg(case when turn % 2 = 0 then 0.5 else 1.0 end::double), 3) as precision from pairs group by 1) select conv_id, faithfulness, relevancy, recall, precision from m join p using (conv_id)")
 def _(spark, sf):
-    return E.heuristic_metrics(samples(spark, sf), "conv_id")
+    # of two contexts, the second is blank in even turns
+    contexts = F.array(F.lit("x"), F.when(F.col("turn") % 2 == 0, " ").otherwise("x"))
+    return E.heuristic_metrics(samples(spark, sf).withColumn("contexts", contexts), "conv_id", "contexts")
 
 
 @query("avg_nonempty", f"{METRICS_SQL} select conv_id, relevancy from m")

@@ -31,25 +31,42 @@ def read_xml_docs(spark: SparkSession, path: str, tails: bool = False) -> DataFr
     return rows.select("path", "text")
 
 
-def check_cases(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """Question-bank rows (question, expected_answer, level as text, order): valid ones, and errors with their line numbers. Question and answer need
+def check_cases(rows: DataFrame, order: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Question-bank rows (question, expected_answer, level as text, order): valid ones, and errors with their line numbers (and the columns of keep). Question and answer need
     five characters; a level counts only if it is digits."""
     trimmed = rows.withColumn("question", F.trim("question")).withColumn("expected_answer", F.trim("expected_answer"))
     ok = (F.length("question") >= 5) & (F.length("expected_answer") >= 5)
     ok = F.coalesce(ok, F.lit(False))
     level = F.when(F.col("level").rlike("^\\d+$"), F.col("level").cast("int"))
-    return trimmed.where(ok).withColumn("level", level), trimmed.where(~ok).select((F.col(order) + 1).alias("line"), F.lit("question and answer need five characters").alias("error"))
+    return trimmed.where(ok).withColumn("level", level), trimmed.where(~ok).select(*keep, (F.col(order) + 1).alias("line"), F.lit("question and answer need five characters").alias("error"))
 
 
 def read_cases_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A question bank in CSV with a header (a byte-order mark is skipped)."""
+    """Question banks in CSV with a header (a byte-order mark is skipped): valid rows with path and position, and errors with path and line. A file is read by one
+    task, as quoted fields may hold line ends, so its rows are numbered in their order; several files are numbered each."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns)).withColumn("position", F.monotonically_increasing_id() + 1)
-    return check_cases(rows, "position")
+    rows = rows.select(*(F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in rows.columns), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_i"))
+    numbered = rows.withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy("_i"))).drop("_i")
+    return check_cases(numbered, "position", ("path",))
+
+
+#: The columns of a question bank in JSON, and the older keys that stand for some of them.
+CASE_COLUMNS = ["id", "question", "expected_answer", "procedure_group", "intent", "source", "field_type"]
+OLDER_KEYS = {"source": "source_doc", "field_type": "field"}
+
+
+def read_cases_json(spark: SparkSession, path: str) -> DataFrame:
+    """Question banks in JSON, an array of cases a file: CASE_COLUMNS and level; keys that a case lacks are null, and older ones count where the newer is missing."""
+    schema = ", ".join(f"`{c}` string" for c in [*CASE_COLUMNS, *OLDER_KEYS.values()]) + ", level int"
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return rows.select(*(F.coalesce(c, OLDER_KEYS[c]).alias(c) if c in OLDER_KEYS else F.col(c) for c in CASE_COLUMNS), "level")
 
 
 def load_cases(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming cases whose question is not there yet; level 1 where it is missing."""
+    """Incoming cases whose question is not there yet, each question once (the first by id, where there is one); level 1 where it is missing."""
+    if "id" in incoming.columns:
+        first = Window.partitionBy("question").orderBy("id")
+        incoming = incoming.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return incoming.join(existing.select("question"), "question", "left_anti").withColumn("level", F.coalesce("level", F.lit(1)))
 
 
