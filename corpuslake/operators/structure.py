@@ -264,12 +264,31 @@ def classify_tables(context: Column) -> Column:
     return first_match(F.lower(context), rules.TABLE_TYPES, "general")
 
 
-def chunk_tables(rows: DataFrame, key: str, order: list[str], headers: list[str], cells: Column, size: int = TABLE_ROWS) -> DataFrame:
-    """Table rows in groups of `size`, each a Markdown table with the header."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).withColumn("_c", cells)
-    groups = numbered.groupBy(key, F.floor(F.col("_i") / size).cast("int").alias("part")).agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("_r"), F.count("*").alias("n_rows"))
+#: How a table of each type is announced; others are just "Bảng".
+TABLE_LABELS = {"ho_so": "Bảng: Thành phần hồ sơ", "trinh_tu": "Bảng: Trình tự thực hiện", "le_phi": "Bảng: Lệ phí", "dieu_kien": "Bảng: Điều kiện", "thoi_han": "Bảng: Thời hạn", "can_cu_phap_ly": "Bảng: Căn cứ pháp lý"}
+
+
+def table_prefix(table_type: Column, context: Column, procedure: Column) -> Column:
+    """The lines before a table's Markdown: its procedure if there is one, its label, and the text before it if there is any."""
+    label = reduce(lambda c, kv: c.when(table_type == kv[0], kv[1]), TABLE_LABELS.items(), F.when(F.lit(False), "")).otherwise("Bảng")
+    named = F.when(F.coalesce(procedure, F.lit("")) != "", F.concat(F.lit("[Thủ tục: "), procedure, F.lit("]\n"))).otherwise("")
+    before = F.when(F.trim(F.coalesce(context, F.lit(""))) != "", F.concat(F.trim(context), F.lit("\n"))).otherwise("")
+    return F.concat(named, F.lit("["), label, F.lit("]\n"), before)
+
+
+def chunk_tables(rows: DataFrame, key: str, order: list[str], headers: list[str], cells: Column, prefix: Column | None = None, size: int = TABLE_ROWS, most: int = TABLE_TOKENS, least: int = LEAST_CHARS) -> DataFrame:
+    """key, part, n_rows, chunk: tables as Markdown behind their prefix (table_prefix(); the same in all rows of a table). A table of `most` tokens at most is one chunk; a larger one is cut
+    into groups of `size` rows, each with prefix and header. Chunks under `least` characters go."""
     head = F.array(*map(F.lit, headers))
-    return groups.select(key, "part", "n_rows", markdown_table(head, F.transform("_r", lambda x: x["_c"])).alias("markdown"))
+    own = Window.partitionBy(key)
+    bare = F.length(markdown_table(head, F.array().cast("array<array<string>>")))
+    numbered = rows.select(key, F.row_number().over(own.orderBy(*order)).alias("_i"), cells.alias("_c"), (prefix if prefix is not None else F.lit("")).alias("_p"))
+    numbered = numbered.withColumn("_n", F.length(markdown_table(head, F.array("_c"))) - bare)
+    tokens = F.floor((F.length("_p") + bare + F.sum("_n").over(own)) / 1.5)
+    part = F.when(tokens <= most, 0).otherwise(F.floor((F.col("_i") - 1) / size)).cast("int")
+    groups = numbered.withColumn("part", part).groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("_r"), F.count("*").alias("n_rows"), F.min("_p").alias("_p"))
+    chunk = F.trim(F.concat("_p", markdown_table(head, F.transform("_r", lambda x: x["_c"]))))
+    return groups.select(key, "part", "n_rows", chunk.alias("chunk")).where(F.length("chunk") >= least)
 
 
 def mixed_segments(segments: DataFrame, key: str, order: list[str], is_table: Column, text: Column) -> DataFrame:
@@ -327,11 +346,29 @@ def total_time(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, "(?iu)T[oổ]ng\\s+th[oờ]i\\s+gian\\s+gi[aả]i\\s+quy[eế]t\\s+TTHC[^\\n]*\\n(.{3,80})", 1))
 
 
+#: What each kind of line matches, in this order, and what of it is no content.
+LINE_KINDS = [
+    ("procedure", "(?iu)^\\[Thủ tục:\\s*(.*?)\\]$", ""),
+    ("section", "(?iu)^\\[Mục:\\s*(.*?)\\]$", ""),
+    ("heading", "(?iu)^(?:\\([0-9]+\\)\\s+|Điều\\s+[0-9]+|[0-9]+\\.\\s+[A-ZĐ])", ""),
+    ("step", "(?iu)^Bước\\s+[0-9]+", ""),
+    ("agency_time", "(?iu)^-\\s*(?:Cơ quan thực hiện|Thời hạn|Địa điểm tiếp nhận)", "^-\\s*"),
+    ("subheading", "(?iu)^-\\s*(?:Thành phần|Số lượng|Trình tự|Cách thức|Cơ quan|Yêu cầu|Điều kiện|Hồ sơ)", "^-\\s*"),
+    ("item", "^(?:\\+|•|- )", "^[+•\\-]\\s*"),
+    ("case_note", "(?iu)^(?:Trường hợp|Lưu ý|Đối với|Người sử dụng đất|Cơ quan tiếp nhận)(?!\\w)", ""),
+]
+
+
 def classify_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines with their kind."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).where(F.trim("t") != "")
-    kind = F.when(F.col("t").rlike("(?iu)^\\s*Điều\\s+\\d+"), "heading").when(F.col("t").rlike("(?iu)^\\s*Bước\\s+\\d+"), "step").when(F.col("t").rlike("^\\s*\\d+\\.\\s"), "subheading").when(F.col("t").rlike("^\\s*([-+•]|[a-zđ]\\))\\s*"), "item").otherwise("text")
-    return lines.select(key, "line", kind.alias("kind"))
+    """key, line, kind, content of the lines that are not blank: the first of LINE_KINDS that a line matches, else text; titles without their brackets, items and the like without
+    their mark."""
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).withColumn("t", F.regexp_replace("t", "^\\s+|\\s+$", "")).where("t <> ''")
+    kind, content = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for name, pattern, mark in LINE_KINDS:
+        matches = F.col("t").rlike(pattern)
+        kind = kind.when(matches, name)
+        content = content.when(matches, F.trim(F.regexp_extract("t", pattern, 1)) if name in ("procedure", "section") else F.regexp_replace("t", mark, "") if mark else F.col("t"))
+    return lines.select(key, "line", kind.otherwise("text").alias("kind"), content.otherwise(F.col("t")).alias("content"))
 
 
 def extract_changes(df: DataFrame, key: str, text: str) -> DataFrame:

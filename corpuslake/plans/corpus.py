@@ -227,10 +227,19 @@ def _(spark, sf):
     return documents(spark, sf).select("doc_id", C.classify_tables(F.col("text")).alias("type"))
 
 
-@query("table_chunks", "with r as (select l_suppkey, l_partkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as i, l_quantity from lineitem) select l_suppkey, cast(i // 20 as int) as part, count(*) as n_rows, '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || cast(l_quantity as int) || ' |', chr(10) order by i) as markdown from r group by 1, 2")
+#: Tables by supplier are long, those by part short.
+TABLES_SQL = """r as (select case when l_suppkey % 2 = 0 then 's' || l_suppkey else 'p' || l_partkey end as k, '| ' || l_partkey || ' | ' || cast(l_quantity as int) || ' |' as line, l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem),
+n as (select *, row_number() over (partition by k order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as i, sum(length(line) + 1) over (partition by k) as total, case when k[1] = 's' then '[Thủ tục: ' || k || ']' || chr(10) || '[Bảng: Lệ phí]' || chr(10) else '[Bảng]' || chr(10) || 'theo ' || k || chr(10) end as prefix, '| part | qty |' || chr(10) || '| --- | --- |' as head from r),
+g as (select k, cast(case when floor((length(prefix) + length(head) + total) / 1.5) <= 700 then 0 else i // 20 end as int) as part, count(*) as n_rows, any_value(prefix) || any_value(head) || chr(10) || string_agg(line, chr(10) order by i) as chunk from n group by k, 2)"""
+
+
+@query("table_chunks", f"with {TABLES_SQL} select k as table_key, part, n_rows, chunk from g where length(chunk) >= 60")
 def _(spark, sf):
     cells = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
-    return C.chunk_tables(T(spark, sf, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], ["part", "qty"], cells)
+    by_supplier = F.col("l_suppkey") % 2 == 0
+    rows = T(spark, sf, "lineitem").withColumn("table_key", F.when(by_supplier, F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))))
+    prefix = C.table_prefix(F.when(by_supplier, "le_phi"), F.when(~by_supplier, F.concat(F.lit(" theo "), "table_key")), F.when(by_supplier, F.col("table_key")))
+    return C.chunk_tables(rows, "table_key", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], ["part", "qty"], cells, prefix)
 
 
 @query("mixed_segments", "with s as (select l_orderkey, l_partkey, l_returnflag = 'R' as t, sum((l_returnflag = 'R')::int) over w as island, row_number() over w as i from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)) select l_orderkey, cast(island as bigint) as island, string_agg(cast(l_partkey as varchar), chr(10) order by i) as block, count(*) as n from s where not t group by 1, 2")
@@ -243,9 +252,18 @@ def _(spark, sf):
     return structured(spark, sf).select("doc_id", F.size(C.doc_outline(F.col("text"))["articles"]).alias("n"))
 
 
-@query("classify_lines", f"with {DOCS_SQL} select doc_id, case when starts_with(t, 'Điều') then 'heading' else 'subheading' end as kind, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as t from sdocs) group by all")
+@query("classify_lines", f"""with {DOCS_SQL}, m as (select doc_id, '[Thủ tục: ' || name || ' ]' || chr(10) || '[Mục: a]' || chr(10) || replace(replace(replace(case when doc_id % 3 = 1 then replace(text, 'Điều ', 'Bước ') else text end, chr(10) || '1. ', chr(10) || case when doc_id % 2 = 0 then '- Thời hạn ' else '- Hồ sơ ' end), chr(10) || '2. ', chr(10) || case when doc_id % 2 = 0 then ' + ' else '- ' end), chr(10) || '3. ', chr(10) || case when doc_id % 5 = 0 then 'Lưu ý ' when doc_id % 5 = 1 then '3. ' else '' end) as text from sdocs),
+l as (select doc_id, trim(unnest(string_split(text, chr(10)))) as t from m),
+k as (select doc_id, case when starts_with(t, '[Th') then 'procedure' when starts_with(t, '[M') then 'section' when starts_with(t, 'Điều') or starts_with(t, '3. ') then 'heading' when starts_with(t, 'Bước') then 'step' when starts_with(t, '- Thời hạn') then 'agency_time' when starts_with(t, '- Hồ sơ') then 'subheading' when starts_with(t, '+') or starts_with(t, '- ') then 'item' when starts_with(t, 'Lưu ý') then 'case_note' else 'text' end as kind, t from l)
+select doc_id, kind, count(*) as n, cast(sum(length(case when kind = 'procedure' then trim(t[11:-2]) when kind = 'section' then 'a' when kind in ('agency_time', 'subheading', 'item') then t[3:] else t end)) as bigint) as chars from k group by all""")
 def _(spark, sf):
-    return C.classify_lines(structured(spark, sf), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    k = F.col("doc_id")
+    parts = {"\n1. ": F.when(k % 2 == 0, "\n- Thời hạn ").otherwise("\n- Hồ sơ "), "\n2. ": F.when(k % 2 == 0, "\n + ").otherwise("\n- "), "\n3. ": F.when(k % 5 == 0, "\nLưu ý ").when(k % 5 == 1, "\n3. ").otherwise("\n")}
+    marked = F.when(k % 3 == 1, F.replace("text", F.lit("Điều "), F.lit("Bước "))).otherwise(F.col("text"))
+    for old, new in parts.items():
+        marked = F.replace(marked, F.lit(old), new)
+    docs = structured(spark, sf).withColumn("text", F.concat(F.lit("[Thủ tục: "), "name", F.lit(" ]\n[Mục: a]\n"), marked))
+    return C.classify_lines(docs, "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("term_highlight", "select doc_id, t as term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '" + "|".join(sorted(["license", "apache", "password", "token", "the and", *rules.LEGAL_TERMS], key=lambda t: (-len(t), t))) + "')) as t from documents) group by all")
@@ -486,9 +504,9 @@ def _(spark, sf):
     return procedures(spark, sf).select("doc_id", C.doc_outline(F.col("text"))["procedure"].alias("name"))
 
 
-@query("infer_parents", "select o_orderkey, c_custkey from orders join customer on contains(c_name, lpad(cast(o_custkey as varchar), 9, '0')) where o_orderstatus = 'P'")
+@query("infer_parents", "select o_orderkey, c_custkey from orders join customer on contains(c_name, lpad(cast(o_custkey as varchar), 9, '0'))")
 def _(spark, sf):
-    hints = T(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("hint"))
+    hints = T(spark, sf, "orders").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("hint"))
     return infer_parents(hints, T(spark, sf, "customer").select("c_custkey", "c_name"), "hint", "c_name").select("o_orderkey", "c_custkey")
 
 

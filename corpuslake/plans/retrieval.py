@@ -292,13 +292,15 @@ def _(spark, sf):
     return K.reuse_answers(log, "key", "ts", "event_id").select("event_id", "reused")
 
 
-@query("suggestions", """with log as (select c_nationkey as nation, o_orderpriority as question, count(*) as n from customer join orders on o_custkey = c_custkey where c_acctbal < -800 group by all),
+#: Every other supplier asks for a group that has no questions of its own.
+@query("suggestions", """with log as (select c_nationkey as nation, o_orderpriority as question, count(*) as n from customer join orders on o_custkey = c_custkey group by all),
 every as (select null as nation, question, sum(n) as n from log group by question),
 lists as (select *, row_number() over (partition by nation order by n desc, question) as rank from (select * from log union all select * from every) qualify rank <= 3)
-select s_suppkey, question, cast(l.n as bigint) as n, cast(rank as int) as rank from supplier left join (select distinct nation as known from log) on known = s_nationkey join lists l on l.nation is not distinct from known""")
+select s_suppkey, question, cast(l.n as bigint) as n, cast(rank as int) as rank from supplier left join (select distinct nation as known from log) on known = s_nationkey + s_suppkey % 2 * 100 join lists l on l.nation is not distinct from known""")
 def _(spark, sf):
-    log = T(spark, sf, "customer").where("c_acctbal < -800").join(T(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("s_nationkey"), F.col("o_orderpriority").alias("question"))
-    return K.suggest(log, T(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "question", 3).drop("s_nationkey")
+    log = T(spark, sf, "customer").join(T(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("group"), F.col("o_orderpriority").alias("question"))
+    asked = T(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") + F.col("s_suppkey") % 2 * 100).cast("long").alias("group"))
+    return K.suggest(log, asked, "group", "question", 3).drop("group")
 
 
 PAIRS_SQL = f"""pairs as (select conv_id, a.turn, a.text as answer, u.text as expected, (select string_agg(text, ' ' order by turn) from conversations c where c.conv_id = a.conv_id and c.turn < a.turn) as context
