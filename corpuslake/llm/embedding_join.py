@@ -237,7 +237,7 @@ def near_block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
                 q = numbers[i:][box_distance2(low[i], high[i], low[i:], high[i:]) <= epsilon * epsilon + 1e-9]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), p)), pa.array(q)], names=["p", "q"])
 
-    pairs = boxes.select("part").distinct().mapInArrow(near, "p long, q long")
+    pairs = blocks.sparkSession.createDataFrame([(p,) for p in parts], "part long").mapInArrow(near, "p long, q long")
     x = boxes.select(F.col("part").alias("p"), F.col("block").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"))
     y = boxes.select(F.col("part").alias("q"), F.col("block").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"))
     gap2 = F.expr("aggregate(zip_with(zip_with(xl, yh, (a, b) -> a - b), zip_with(yl, xh, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, g) -> s + g * g)")
