@@ -55,11 +55,18 @@ def _(spark, sf):
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{out}/rows")
 
 
-@query("stream_sessions", None)
+#: Sessions that the watermark, an hour before the last event, has passed.
+SESSIONS_SQL = """with e as (select user_id, ts, sum(case when ts <= before + interval 30 minute then 0 else 1 end) over (partition by user_id order by ts) as i from (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events)),
+s as (select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from e group by user_id, i)
+select user_id, epoch_us(start) as start_us, epoch_us("end") as end_us, n from s where "end" <= (select max(ts) from events) - interval 1 hour"""
+
+
+@query("stream_sessions", SESSIONS_SQL)
 def _(spark, sf):
     out = scratch(spark, "streams")
     X.run_once(X.sessions(events(spark, sf), "user_id"), f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{out}/rows")
+    rows = spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{out}/rows")
+    return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query("stream_question_answer", "select q.user_id, q.event_id as question_id, a.event_id as answer_id from events q join events a on q.user_id = a.user_id and q.event_type = 'view' and a.event_type = 'click' and a.ts >= q.ts and a.ts <= q.ts + interval 5 minute")
