@@ -3,6 +3,7 @@
 import datetime
 import json
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -402,3 +403,37 @@ def test_required_by_name_or_box(spark):
     fields = [submissions.Field("a", name="Tên"), submissions.Field("b", name="Ô", box=("g", 0)), submissions.Field("c", name="Ô", box=("g", 1)), submissions.Field("d", required=False)]
     df = spark.createDataFrame([(1, {"Tên": "x"}), (2, {"a": "x", "g": "12"}), (3, {"b": "1"})], "id long, answers map<string,string>")
     assert {r.id: r.missing for r in submissions.required_missing(df, fields).collect()} == {1: ["Ô"], 2: [], 3: ["Tên"]}
+
+
+def plain_clean(x, corrections):
+    """All steps of clean_text(), one after the other."""
+    x = unicodedata.normalize("NFC", x)
+    for old, new in rules.ARTIFACTS.items():
+        x = x.replace(old, new)
+    x = re.sub(r"[^\x00-\x7FÀ-ɏ̀-ͯḀ-ỿ\s]", " ", x, flags=re.ASCII)
+    x = re.sub(r"[<>'\"`~^\\|{}\[\]]{1,3}[A-Za-z0-9]{0,4}[,;:!?]{0,2}(?=\s|[À-ɏḀ-ỿ])", " ", x, flags=re.ASCII)
+    x = re.sub(" {2,}", " ", x.replace("\t", " "))
+    lines = [line for line in x.split("\n") if not re.search(rules.PAGE_NUMBER_LINES, line.strip(" "))]
+    kept, seen = [], set()
+    for line in lines:
+        bare = line.strip(" ")
+        if not re.search(rules.HEADER_LINES.replace("(?iu)", "(?i)"), bare) or bare not in seen:
+            kept.append(line)
+        seen.add(bare)
+    x = re.sub(r"(Điều|Khoản|Điểm|Mục|Chương)(\d+)", r"\1 \2", "\n".join(kept))
+    x = re.sub(r"(?m)^[•●▪▸►]\s*", "- ", x)
+    for old, new in corrections:
+        x = x.replace(old, new)
+    return re.sub("\n{3,}", "\n\n", x).strip(" ")
+
+
+def test_clean_text(spark, sf_dir):
+    hard = ["", "  a\t\tb  ", "Số: 12\nĐiều1. Khoản2\nSố: 12\n- 3 -\nTrang 1/2\n12\nhết", "cá ﬁn – … ​x", "x |AB, y [Z9;Đ 'q\" é", "中文 và\n\n\n\nđất", "CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM\nx\nCỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM", "sai lỗi"]
+    rows = [(i, x) for i, x in enumerate(hard)]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").limit(120).collect()]
+    corrections = [("lỗi", "đúng"), ("sai đúng", "ổn")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("t", text.nfc(F.col("t")))
+    got = {r.id: r.x for r in df.select("id", text.clean_text(F.col("t"), corrections=corrections).alias("x")).collect()}
+    for i, x in rows:
+        assert got[i] == plain_clean(x, corrections), (i, x[:200])
+    assert got[7] == "ổn"
