@@ -292,28 +292,48 @@ def chunk_tables(rows: DataFrame, key: str, order: list[str], headers: list[str]
 
 
 def mixed_segments(segments: DataFrame, key: str, order: list[str], is_table: Column, text: Column) -> DataFrame:
-    """Runs of text between tables as one block each, in order (gaps and islands)."""
+    """key, island, last, block, n: runs of text between tables as one block each, in order (gaps and islands). island: how many tables stand before; last: none stands
+    behind."""
     w = Window.partitionBy(key).orderBy(*order)
     islands = segments.withColumn("_t", is_table).withColumn("island", F.sum(F.col("_t").cast("int")).over(w)).withColumn("_i", F.row_number().over(w)).withColumn("_x", text)
+    islands = islands.withColumn("_all", F.max("island").over(Window.partitionBy(key)))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]), "\n")
-    return islands.where(~F.col("_t")).groupBy(key, "island").agg(joined.alias("block"), F.count("*").alias("n"))
+    return islands.where(~F.col("_t")).groupBy(key, "island").agg((F.max("island") == F.max("_all")).alias("last"), joined.alias("block"), F.count("*").alias("n"))
+
+
+def chunk_segments(segments: DataFrame, key: str, order: list[str], is_table: Column, text: Column, name: Column) -> DataFrame:
+    """key, island, chunk_index, field_type, article, clause, chunk of the text in documents of segments with tables between: blocks before a table are cleaned and cut by the recursive
+    splitter; the last block of a document is chunked by its type, procedure decision or statute (see chunk_documents()). Segments that are blank or null are left out; chunk_index counts
+    within a block. Tables are chunked by chunk_tables()."""
+    ship(segments.sparkSession)
+    kept = segments.withColumn("_name", name).where(is_table | (F.trim(F.coalesce(text, F.lit(""))) != ""))
+    blocks = mixed_segments(kept, key, order, is_table, F.trim(text))
+    names = kept.groupBy(key).agg(F.min("_name").alias("_name"))
+    last = blocks.where("last").join(names, key)
+    typed = chunk_documents(last.select(key, "block", "_name"), key, "block", "_name", types=("quyet_dinh_tthc", "luat_nghi_dinh")).join(last.select(key, "island"), key)
+    earlier = blocks.where("not last").select(key, "island", nfc(F.col("block")).alias("_text")).withColumn("_text", clean_text(F.col("_text")))
+    cut = with_pieces(earlier, "_text").select(key, "island", F.posexplode(F.filter("_pieces", lambda x: F.length(x) >= LEAST_CHARS)).alias("chunk_index", "chunk"))
+    none = F.lit("")
+    cut = cut.select(key, "island", "chunk_index", F.lit("general").alias("field_type"), none.alias("article"), none.alias("clause"), "chunk")
+    return typed.select(*cut.columns).unionByName(cut)
 
 
 def with_prefix(text: Column, source: Column, article: Column) -> Column:
     return F.concat(F.lit("[Văn bản: "), source, F.lit("]\n["), article, F.lit("]\n"), text)
 
 
-def chunk_documents(df: DataFrame, key: str, text: str, name: str, clean: bool = True, fallback: str = "recursive") -> DataFrame:
+def chunk_documents(df: DataFrame, key: str, text: str, name: str, clean: bool = True, fallback: str = "recursive", types: tuple[str, ...] = ("quyet_dinh_tthc", "quy_trinh_noi_bo", "luat_nghi_dinh")) -> DataFrame:
     """key, chunk_index, field_type, article, clause, chunk: articles of statutes, sections of procedure decisions and steps of internal workflows with
     their prefix, and the pieces of all other documents and of those without such parts: pack_paragraphs(), or fixed windows if fallback is "windows".
 
-    Texts under LEAST_CHARS go, before and after they are cleaned (clean_text(), unless clean is False); so do chunks. Null texts give nothing. Cleaned texts are
+    types: the types that are told; documents of others are none of these. Texts under LEAST_CHARS go, before and after they are cleaned (clean_text(), unless clean is False); so do chunks. Null texts give nothing. Cleaned texts are
     written once to the shared folder, parted by type, and each type is a branch that reads its own part."""
     held = df.select(key, F.col(text).alias("_text"), F.coalesce(F.col(name), F.lit("")).alias("_name")).where(F.length(F.trim("_text")) >= LEAST_CHARS)
     if clean:
         ship(df.sparkSession)
         held = held.withColumn("_text", nfc(F.col("_text"))).withColumn("_text", clean_text(F.col("_text"))).where(F.length(F.trim("_text")) >= LEAST_CHARS)
     typed = held.withColumn("_type", detect_doc_type(F.col("_text"), F.col("_name")))
+    typed = typed.withColumn("_type", F.when(F.col("_type").isin(*types), F.col("_type")).otherwise("unknown"))
     articles = F.exists(stretches(F.col("_text"), ARTICLE), lambda x: F.length(x) >= LEAST_CHARS)
     typed = typed.withColumn("_type", F.when((F.col("_type") == "luat_nghi_dinh") & ~articles, "unknown").otherwise(F.col("_type")))
     folder = f"{shared_dir(df.sparkSession)}/corpuslake/typed-{uuid.uuid4().hex}"

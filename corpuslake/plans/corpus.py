@@ -242,7 +242,7 @@ def _(spark, sf):
     return C.chunk_tables(rows, "table_key", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], ["part", "qty"], cells, prefix)
 
 
-@query("mixed_segments", "with s as (select l_orderkey, l_partkey, l_returnflag = 'R' as t, sum((l_returnflag = 'R')::int) over w as island, row_number() over w as i from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)) select l_orderkey, cast(island as bigint) as island, string_agg(cast(l_partkey as varchar), chr(10) order by i) as block, count(*) as n from s where not t group by 1, 2")
+@query("mixed_segments", "with s as (select l_orderkey, l_partkey, l_returnflag = 'R' as t, sum((l_returnflag = 'R')::int) over w as island, sum((l_returnflag = 'R')::int) over (partition by l_orderkey) as tables, row_number() over w as i from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)) select l_orderkey, cast(island as bigint) as island, any_value(island) = any_value(tables) as last, string_agg(cast(l_partkey as varchar), chr(10) order by i) as block, count(*) as n from s where not t group by 1, 2")
 def _(spark, sf):
     return C.mixed_segments(T(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_returnflag") == "R", F.col("l_partkey").cast("string"))
 

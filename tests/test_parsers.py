@@ -186,3 +186,20 @@ def test_dispatcher_cleans_and_falls_back(spark):
     assert got[1] == [p for p in splitter.split_text(long_.strip()) if len(p) >= 60] and max(map(len, got[1])) <= 900
     assert set(got) == {1, 5}
     assert structure.chunk_documents(df.where(F.lit(False)), "id", "text", "name").collect() == []
+
+
+def test_segments_between_tables(spark):
+    long_ = "Câu này nói về đất đai và nhà ở. " * 60
+    law = "Điều 1. " + "Phạm vi điều chỉnh của luật này là đất đai. " * 3 + "\nĐiều 2. " + "Đối tượng áp dụng của luật này là mọi người. " * 3
+    rows = [
+        (1, 1, False, long_), (1, 2, False, "  "), (1, 3, False, "và thêm một đoạn nữa"), (1, 4, True, None), (1, 5, False, law),
+        (2, 1, False, "đoạn đầu quá ngắn"), (2, 2, True, "bảng"), (2, 3, True, "bảng"), (2, 4, False, None), (3, 1, False, long_),
+    ]
+    df = spark.createDataFrame(rows, "id long, i int, t boolean, x string")
+    got = {}
+    for r in structure.chunk_segments(df, "id", ["i"], F.col("t"), F.col("x"), F.lit("Luật A")).orderBy("id", "island", "chunk_index").collect():
+        got.setdefault((r.id, r.island), []).append((r.field_type, r.article, r.chunk))
+    whole = long_.strip() + "\nvà thêm một đoạn nữa"
+    assert [c for _, _, c in got[1, 0]] == [p for p in splitter.split_text(whole) if len(p) >= 60]
+    assert [(f, a) for f, a, _ in got[1, 1]] == [("can_cu_phap_ly", "Điều 1"), ("can_cu_phap_ly", "Điều 2")]
+    assert set(got) == {(1, 0), (1, 1), (3, 0)} and {f for f, _, _ in got[3, 0]} == {"general"}
