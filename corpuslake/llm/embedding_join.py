@@ -273,6 +273,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
         n = celled.count()
         intervals = min(MOST_INTERVALS, max(1, min(INTERVALS, n // BLOCK), n // (BLOCK * INTERVAL_BLOCKS)))
         ordered = celled.repartitionByRange(intervals, "n", "cell", "node").sortWithinPartitions("n", "cell", "node").select("node", "copies", "n", "lead", "vector")
+        if ordered.rdd.getNumPartitions() > intervals:  # neighbours are put together, or blocks would be small, and their pairs many
+            ordered = ordered.coalesce(intervals)
         blocks = written(ordered.mapInArrow(_blocks(lead_width), "part long, block long, low array<double>, high array<double>, nodes binary, copies binary, lead binary, data binary"), "blocks")
         held = ("nodes", "copies", "lead", "data")
         side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in held))
