@@ -323,6 +323,13 @@ def test_polish_snippet(spark):
     assert one(spark, text.polish_snippet(F.lit(None).cast("string"))) == ""
 
 
+def test_snippets_keep_numbers_whole(spark):
+    """A code behind a bar goes; the first part of an address or of a number with points is none."""
+    df = spark.createDataFrame([(1, "số liệu của máy | 161.17.88.162 | hết câu này"), (2, "số liệu của máy | QD12 hết câu này")], "id long, t string")
+    got = {r.id: r.x for r in df.select("id", text.polish_snippet(F.col("t")).alias("x")).collect()}
+    assert got == {1: "số liệu của máy - 161.17.88.162 - hết câu này", 2: "số liệu của máy hết câu này"}
+
+
 def test_document_actions(spark):
     d = datetime.date
     provision = "array<struct<article: string, clause: string, action: string>>"
