@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslake.functions import rules
 from corpuslake.operators import lexical, retrieval, scorers, vectors
 
 
@@ -172,3 +173,15 @@ def test_plugged_in_models(spark):
     assert [len(r.embedding) for r in coded] == [16] * 3 and sum(coded[1].embedding) == 0
     assert coded[0].embedding == pytest.approx(scorers.hashed_words(16)(["alpha beta"])[0].tolist())
     assert set(retrieval.FUSIONS) == {"rrf", "weighted"}
+
+
+def test_postings_stay_with_their_chunk(spark, tmp_path):
+    """The tasks that tokenise write the segments: the postings of a chunk stand side by side, with its stop words left out and one head."""
+    docs = spark.createDataFrame([(i, "b a c b".replace("a", "alpha").replace("b", "beta").replace("c", "của") + f" word{i % 3}") for i in range(40)], "id long, text string").coalesce(1)
+    index = lexical.write_lexical_index(docs, "id", ["text"], folder=str(tmp_path / "index"), buckets=3)
+    rows = index.postings(spark).coalesce(1).collect()
+    keys = [r.key for r in rows]
+    assert keys == sorted(keys) and sum(r.head for r in rows) == 40
+    of = {r.term: r.tf for r in rows if r.key == 4}
+    assert of == {"alpha": 1, "beta": 2, "word1": 1} | ({"của": 1} if "của" not in rules.STOP_WORDS else {}) and all(r.dl == sum(of.values()) for r in rows if r.key == 4)
+    lexical.drop_index(spark, index)
