@@ -259,6 +259,14 @@ def test_provisions_and_invalid_values(spark):
     assert {r.id: r.k for r in df.select("id", invalid_keys(fields).alias("k")).collect()} == {1: [], 2: list("napedcb"), 3: []}
 
 
+def test_documents_are_cut_where_they_are_read(spark):
+    """No shuffle, no union of branches, and no filter that Spark infers from a generator and that would split each text again."""
+    docs = spark.createDataFrame([(1, "Điều 1. " + "nội dung " * 20, "Luật")], "id long, text string, name string")
+    for cut in (structure.chunk_documents(docs, "id", "text", "name"), structure.split_articles(docs, "text")):
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Union" not in plan and "Filter (size(" not in plan and len(cut.collect()) == 1
+
+
 def test_procedures_sections_and_steps(spark):
     long_ = "nội dung của phần này " * 6
     text_ = f"lời mở đầu\n1. Thủ tục cấp đổi giấy\n(1) Trình tự thực hiện\n{long_}\n(12) không phải mục\n(2) ngắn\n(3) hồ sơ gồm\n{long_}\n2. Chuyển nhượng quyền sử dụng\n{long_}"
