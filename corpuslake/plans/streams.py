@@ -16,11 +16,11 @@ from .retrieval import CACHE_SQL
 from .shared import scratch
 
 
-def stream_of(spark, sf, name):
-    """The table as a stream of its files: one file, or a folder of them."""
+def stream_of(spark, sf, name, files=1):
+    """The table as a stream of its files: one file, or a folder of them; so many a batch."""
     rows = T(spark, sf, name)
     folder = rows.inputFiles()[0].rsplit("/", 1)[0]
-    return X.read_events(spark, folder, rows.schema, glob=None if folder.endswith(f"{name}.parquet") else f"{name}.parquet")
+    return X.read_events(spark, folder, rows.schema, files, glob=None if folder.endswith(f"{name}.parquet") else f"{name}.parquet")
 
 
 def events(spark, sf):
@@ -107,5 +107,5 @@ def _(spark, sf):
     out = scratch(spark, "streams")
     table = ChunkTable(spark, f"{out}/table", "doc_id")
     chunk = lambda df: C.chunk_documents(df.withColumn("name", F.lit("file")), "doc_id", "text", "name", clean=False, fallback="windows")
-    ingest(stream_of(spark, sf, "documents"), chunk, table, f"{out}/checkpoint")
+    ingest(stream_of(spark, sf, "documents", 16), chunk, table, f"{out}/checkpoint")
     return table.chunks().select("doc_id", "chunk_index")

@@ -16,28 +16,42 @@ ATTEMPTS = 3
 
 
 class ChunkTable:
-    """Chunks and states of documents under a folder, by buckets of the key. A batch writes the buckets that it changes anew, as a version, and then names the
-    versions that hold now in the folder `heads`, as one file; so a batch that stopped midway, or comes again, changes nothing twice and loses nothing."""
+    """Chunks and states of documents under a folder, by buckets of the key. A batch of new documents only is written as one more version of its buckets; one
+    that has a document again writes the buckets that it changes anew, as a version that takes the place of those before. The versions are then named in the folder
+    `heads`, as one file; so a batch that stopped midway, or comes again, changes nothing twice and loses nothing."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = BUCKETS):
         self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
 
-    def heads(self) -> dict[int, int]:
-        """The version of each bucket: one row a bucket at most."""
+    def versions(self) -> dict[int, list[int]]:
+        """The versions of each bucket that hold, in order: the last that took the place of others, and those added since."""
         try:
-            rows = self.spark.read.parquet(f"{self.folder}/heads")
+            rows = self.spark.read.schema("bucket int, version long, added boolean").parquet(f"{self.folder}/heads")
         except AnalysisException:  # nothing is there yet
             return {}
-        return {r.bucket: r.version for r in rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+        last = F.coalesce(F.max(F.when(~F.coalesce("added", F.lit(False)), F.col("version"))).over(Window.partitionBy("bucket")), F.lit(-1))
+        held: dict[int, list[int]] = {}
+        for r in rows.distinct().withColumn("last", last).where("version >= last").orderBy("version").collect():
+            held.setdefault(r.bucket, []).append(r.version)
+        return held
+
+    def heads(self) -> dict[int, int]:
+        """The latest version of each bucket."""
+        return {b: vs[-1] for b, vs in self.versions().items()}
 
     def read(self, kind: str, buckets: list[int] | None = None) -> DataFrame | None:
         """chunks or states, as of now; of some buckets."""
-        heads = {b: v for b, v in self.heads().items() if buckets is None or b in buckets}
-        if not heads:
+        held: dict[int, list[int]] = {}
+        for b, vs in self.versions().items():
+            for v in vs if buckets is None or b in buckets else ():
+                held.setdefault(v, []).append(b)
+        if not held:
             return None
         rows = self.spark.read.option("basePath", f"{self.folder}/{kind}").parquet(f"{self.folder}/{kind}")
-        current = reduce(lambda a, b: a | b, [(F.col("version") == v) & F.col("bucket").isin([b for b in heads if heads[b] == v]) for v in set(heads.values())])
-        return rows.where(current)
+        alike: dict[tuple[int, ...], list[int]] = {}  # versions by the buckets that hold them
+        for v, bs in held.items():
+            alike.setdefault(tuple(sorted(bs)), []).append(v)
+        return rows.where(reduce(lambda a, b: a | b, [F.col("version").isin(vs) & F.col("bucket").isin(list(bs)) for bs, vs in alike.items()]))
 
     def chunks(self) -> DataFrame | None:
         rows = self.read("chunks")
@@ -69,6 +83,9 @@ class ChunkTable:
             keys = docs.select(self.key)
             new = chunk(docs)
             old_chunks, old_states = self.read("chunks", touched), self.read("states", touched)
+            added = old_states is not None and not old_states.select(self.key).join(keys, self.key, "left_semi").limit(1).collect()
+            if added:  # no document is there yet
+                old_chunks = old_states = None
             kept = new if old_chunks is None else old_chunks.drop("bucket", "version").join(keys, self.key, "left_anti").unionByName(new, allowMissingColumns=True)
             self._write(kept, "chunks", version)
             made = self.spark.read.parquet(f"{self.folder}/chunks/version={version}").groupBy(self.key).agg(F.count("*").alias("n_chunks"))
@@ -82,16 +99,16 @@ class ChunkTable:
             if old_states is not None:
                 states = old_states.drop("bucket", "version").join(keys, self.key, "left_anti").unionByName(states)
             self._write(states, "states", version)
-            self.spark.createDataFrame([(b, version) for b in sorted(touched)], "bucket int, version long").coalesce(1).write.mode("append").parquet(f"{self.folder}/heads")
+            self.spark.createDataFrame([(b, version, added) for b in sorted(touched)], "bucket int, version long, added boolean").coalesce(1).write.mode("append").parquet(f"{self.folder}/heads")
         finally:
             docs.unpersist()
 
     def _write(self, rows: DataFrame, kind: str, version: int) -> None:
-        rows.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}/version={version}")
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}/version={version}")
 
     def vacuum(self) -> None:
         """Delete the versions of which no bucket holds any more. Not while others read."""
-        held = set(self.heads().values())
+        held = {v for vs in self.versions().values() for v in vs}
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         for kind in ("chunks", "states"):
             root = path(f"{self.folder}/{kind}")

@@ -168,3 +168,15 @@ def test_a_batch_that_stops_midway_loses_nothing(spark, tmp_path, monkeypatch):
     assert {r.doc_id: r.chunk for r in table.chunks().collect()} == {i: f"text {i}" for i in range(6)}
     table.put(docs([(1, "changed")]), chunked, 2)
     assert {r.doc_id: r.chunk for r in table.chunks().collect()} == {i: f"text {i}" for i in range(6)} | {1: "changed"}
+
+
+def test_new_documents_do_not_rewrite_old_ones(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "table"), "doc_id", buckets=1)
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    written = lambda v: {r.doc_id for r in spark.read.parquet(f"{table.folder}/chunks/version={v}").collect()}
+    table.put(docs([(1, "one"), (2, "two")]), chunked, 1)
+    table.put(docs([(3, "three")]), chunked, 2)
+    assert written(2) == {3} and table.versions() == {0: [1, 2]}
+    table.put(docs([(1, "changed"), (4, "four")]), chunked, 3)
+    assert table.versions() == {0: [3]} and {r.doc_id: r.chunk for r in table.chunks().collect()} == {1: "changed", 2: "two", 3: "three", 4: "four"}
+    assert {r.doc_id: r.attempts for r in table.states().collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
