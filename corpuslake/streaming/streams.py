@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,17 +61,20 @@ def _first(ttl_ms: int) -> Callable:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        parts = [(f["ts"].to_numpy("datetime64[us]").astype(np.int64), f["event_id"].to_numpy()) for f in frames]
+        times, events = (np.concatenate(x) for x in zip(*parts, strict=True))
+        none = np.iinfo(np.int64).min  # rows without a time come last
+        order = np.lexsort((events, times, times == none))
         stored = state.get[0] if state.exists else None
         first = []
-        for event, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            at = int(ts.value // 1000)
+        for event, at in zip(events[order].tolist(), times[order].tolist(), strict=True):
             if stored is None or at > stored + ttl_ms * 1000:
                 stored = at
                 first.append(event)
         state.update((stored,))
         state.setTimeoutTimestamp(max(stored // 1000 + ttl_ms, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"event_id": first, "user_id": [key[0]] * len(first), "event_type": [key[1]] * len(first)})
+        if first:
+            yield pd.DataFrame({"event_id": first, "user_id": [key[0]] * len(first), "event_type": [key[1]] * len(first)})
 
     return run
 
