@@ -452,3 +452,13 @@ def test_clean_text(spark, sf_dir):
     for i, x in rows:
         assert got[i] == plain_clean(x, corrections), (i, x[:200])
     assert got[7] == "ổn"
+
+
+def test_rebuild_counts_words_before_the_join(spark):
+    """No text is shuffled or sorted: the words are counted below the join."""
+    chunks = spark.createDataFrame([(1, 2, "two words"), (1, 1, "one"), (9, 1, "no such document")], "doc long, n long, t string")
+    docs = spark.createDataFrame([(1,)], "doc long")
+    out = tables.rebuild_index(chunks, docs, "doc", "doc", "n", "t")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("AS token_estimate")
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 0, 1), (1, 2, 1, 2)}
