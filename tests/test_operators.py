@@ -338,6 +338,15 @@ def test_snippets_keep_numbers_whole(spark):
     assert got == {1: "số liệu của máy - 161.17.88.162 - hết câu này", 2: "số liệu của máy hết câu này"}
 
 
+def test_snippets_keep_cells(spark):
+    """Behind a bar, words in capitals and numbers stay, and so does what follows a bar that ends a line or the text."""
+    rows = [(1, "ab cd ef | +1 | (017) | 555-7713 | gh"), (2, "ab cd ef | the | GNU | General | CC | BY-NC | MIT | SS | 4002 | gh"), (3, "ab cd ef | gh |"), (4, "ab cd ef | gh | "), (5, "ab cd ef | gh. | \nIj kl | AB_12 | ; \nmn")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: r.x for r in df.select("id", text.polish_snippet(F.col("t")).alias("x")).collect()}
+    want = ["ab cd ef - +1 - (017) - 555-7713 - gh", "ab cd ef - the - GNU - General - CC - BY-NC - MIT - SS - 4002 - gh", "ab cd ef - gh -", "ab cd ef - gh -", "ab cd ef - gh. - Ij kl mn"]
+    assert got == dict(enumerate(want, 1))
+
+
 def test_document_actions(spark):
     d = datetime.date
     provision = "array<struct<article: string, clause: string, action: string>>"
