@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import rules, text
 from corpuslake.operators import conversations, metadata, relational, retrieval, structure, submissions, validity
+from corpuslake.plans import registry
 from corpuslake.sources import tables
 
 
@@ -79,6 +80,14 @@ def test_references(spark):
     assert one(spark, metadata.doc_number(F.lit("x.pdf"), F.lit("không rõ"))) == ""
 
 
+def test_references_in_full(spark, sf_dir):
+    """The query has all references of a block; a context is read before the text."""
+    assert registry.QUERIES["extract_refs"](spark, sf_dir).columns == ["doc_id", "position", "article", "clause", "point", "section"]
+    df = spark.createDataFrame([(1, "Chương I", "2. theo điểm b Điều 3"), (2, None, "2. theo điểm b Điều 3"), (3, "", "MỤC 2\nKHOẢN 7"), (4, "Điều 9", "khoản 1 Điều 3"), (5, "Điều 9", None)], "id long, c string, t string")
+    got = {r.id: tuple(r.x) for r in df.select("id", metadata.extract_refs(F.col("t"), F.col("c")).alias("x")).where("t is not null").collect()}
+    assert got == {1: ("Điều 3", "", "Điểm b", "Chương I"), 2: ("Điều 3", "Khoản 2", "Điểm b", ""), 3: ("", "Khoản 7", "", "MỤC 2"), 4: ("Điều 9", "Khoản 1", "", "")}
+
+
 def test_doc_types_and_chunks(spark):
     statute = "Điều 1. " + "Phạm vi điều chỉnh của luật này " * 3 + "\nĐiều 2. " + "Đối tượng áp dụng của luật này " * 3
     procedure = "\n".join(f"({i}) Trình tự thực hiện" for i in range(1, 6))
