@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from .common import discard, written
 from .components import connected_components, smallest_reachable
 
-COSINE, BLOCK, LEAF, GRID_DIMENSIONS, BOX_DIMENSIONS, INTERVALS, INTERVAL_BLOCKS = 0.95, 4096, 256, 8, 16, 512, 16
+COSINE, BLOCK, LEAF, COLUMNS, GRID_DIMENSIONS, BOX_DIMENSIONS, INTERVALS, INTERVAL_BLOCKS = 0.95, 16384, 256, 4096, 8, 16, 512, 16
 #: Bounds: of a block's bytes, of the intervals (beyond it they hold more blocks each), and of the components that axes are looked for in.
 BLOCK_BYTES, MOST_INTERVALS, AXIS_COMPONENTS = 32 << 20, 1 << 15, 512
-BORDER = 1e-9
+#: Blocks are dealt into TILES tiles, more if one held over TILE_BYTES; a task joins two tiles.
+TILES, TILE_BYTES = 32, 64 << 20
+#: BORDER: how near to the bound a product is summed anew. SLACK: what squared distances in single precision on BOX_DIMENSIONS axes may err by, and more. A step takes FACTOR_BYTES of vectors.
+BORDER, SLACK, FACTOR_BYTES = 1e-9, 2e-5, 16 << 20
 
 
 def _valid(column: pa.Array) -> list[np.ndarray | None]:
@@ -148,39 +151,48 @@ def box_distance2(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high
     return (gap * gap).sum(-1)
 
 
+def _leaves(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.arange(0, len(lead), LEAF)
+    return np.minimum.reduceat(lead, cuts), np.maximum.reduceat(lead, cuts)
+
+
 def join_intervals(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of a and b whose cosine reaches the bound (same: a is b, each pair once). Intervals that boxes prove distant are skipped, others are
-    halved down to LEAF rows; there the leading axes alone rule out most pairs, and the rest is computed whole in double precision. Within BORDER of
-    the bound, products are summed anew in the order of the components, so that a pair is decided alike wherever it stands."""
+    """Rows of a and b whose cosine reaches the bound (same: a is b, each pair once). LEAF rows of a at a time meet the leaves of b that boxes do not
+    prove distant; there the leading axes alone rule out most pairs, in one product in single precision with room for its error, and the rest is computed
+    whole in double precision. Within BORDER of the bound, products are summed anew in the order of the components, so that a pair is decided alike
+    wherever it stands."""
     common = min(a.shape[1], b.shape[1])  # the shorter vectors are 0 beyond it
     a, b = (np.ascontiguousarray(x[:, :common]) for x in (a, b))
     epsilon2 = 2 - 2 * cosine + 1e-9
-    stack = [(0, len(a), 0, len(b))]
-    while stack:
-        a0, a1, b0, b1 = stack.pop()
-        if same and b1 <= a0:
-            continue
-        x, y = lead_a[a0:a1], lead_b[b0:b1]
-        if box_distance2(x.min(0), x.max(0), y.min(0), y.max(0)) > epsilon2:
-            continue
-        if a1 - a0 > LEAF or b1 - b0 > LEAF:
-            am, bm = (a0 + a1 + 1) // 2, (b0 + b1 + 1) // 2
-            stack += [(p, q, r, s) for p, q in ((a0, am), (am, a1)) for r, s in ((b0, bm), (bm, b1)) if p < q and r < s]
-            continue
-        near = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T) <= epsilon2
-        if same and a0 < b1:
-            near &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)
-        i, j = np.nonzero(near)
-        if len(i):
-            if len(i) * 4 > near.size:
-                c = (a[a0:a1] @ b[b0:b1].T)[i, j]
-            else:
-                c = np.einsum("ij,ij->i", a[a0 + i], b[b0 + j])
-            edge = np.flatnonzero(np.abs(c - cosine) <= BORDER)
-            c[edge] = np.add.accumulate(a[a0 + i[edge]] * b[b0 + j[edge]], axis=1)[:, -1]
-            ok = c >= cosine
-            if ok.any():
-                yield a0 + i[ok], b0 + j[ok]
+    (low_a, high_a), (low_b, high_b) = _leaves(lead_a), _leaves(lead_b)
+    near_leaves = box_distance2(low_a[:, None], high_a[:, None], low_b, high_b) <= epsilon2
+    if same:
+        near_leaves = np.triu(near_leaves)
+    squares = lambda x: (x * x).sum(1)[:, None]
+    p = np.hstack([-2 * lead_a, squares(lead_a), np.ones((len(a), 1))]).astype(np.float32)
+    q = np.hstack([lead_b, np.ones((len(b), 1)), squares(lead_b)]).astype(np.float32)
+    step = max(1, FACTOR_BYTES // (8 * common))
+    for leaf in np.flatnonzero(near_leaves.any(1)):
+        a0, whole = leaf * LEAF, near_leaves[leaf].all()
+        rows, places = slice(a0, a0 + LEAF), np.arange(len(b)) if whole else np.flatnonzero(np.repeat(near_leaves[leaf], LEAF)[: len(b)])
+        for b0 in range(0, len(places), COLUMNS):
+            at = places[b0 : b0 + COLUMNS]
+            columns = slice(b0, b0 + COLUMNS) if whole else at
+            near = p[rows] @ q[columns].T <= np.float32(epsilon2 + SLACK)
+            if same:
+                near &= np.arange(a0, min(a0 + LEAF, len(a)))[:, None] < at
+            found = np.flatnonzero(near)
+            dense = (a[rows] @ b[columns].T).ravel() if len(found) * 4 > near.size else None
+            for start in range(0, len(found), step):
+                pairs = found[start : start + step]
+                i, j = np.divmod(pairs, len(at))
+                i, j = i + a0, at[j]
+                c = np.einsum("ij,ij->i", a[i], b[j]) if dense is None else dense[pairs]
+                edge = np.flatnonzero(np.abs(c - cosine) <= BORDER)
+                c[edge] = np.add.accumulate(a[i[edge]] * b[j[edge]], axis=1)[:, -1]
+                ok = c >= cosine
+                if ok.any():
+                    yield i[ok], j[ok]
 
 
 def _joined(lead_width: int, cosine: float) -> Callable:
@@ -190,11 +202,11 @@ def _joined(lead_width: int, cosine: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
+                same = batch.column(0)[row].as_py() == batch.column(5)[row].as_py()
                 ids, copies, leads, data = [], [], [], []
                 for side in (0, 1):
                     for k, (held, kind) in enumerate(((ids, np.int64), (copies, np.int64), (leads, np.float64), (data, np.float64))):
-                        held.append(np.frombuffer(batch.column(2 + 4 * side + k)[row].as_py(), kind))
+                        held.append(np.frombuffer(batch.column(1 + 5 * side + k)[row].as_buffer(), kind))
                     leads[side], data[side] = leads[side].reshape(-1, lead_width), data[side].reshape(len(ids[side]), -1)
                 links = [np.zeros(len(x), np.int64) for x in ids]
                 edges = []
@@ -215,33 +227,14 @@ def _joined(lead_width: int, cosine: float) -> Callable:
     return run
 
 
-def near_block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """(x, y), x <= y, of blocks whose boxes are at most epsilon apart.
-
-    First the intervals (the blocks of one range partition, MOST_INTERVALS at most) are compared by their boxes, in tasks that know all of these; then
-    the blocks of each pair of near intervals, in a join on the interval."""
-    boxes = blocks.select("part", "block", "low", "high")
-    found = boxes.select("part", F.posexplode(F.arrays_zip("low", "high"))).groupBy("part", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high")).collect()
-    parts = sorted({r.part for r in found})
-    dims = max((r.pos for r in found), default=-1) + 1
-    low, high = np.zeros((len(parts), dims)), np.zeros((len(parts), dims))
-    at = {p: i for i, p in enumerate(parts)}
-    for r in found:
-        low[at[r.part], r.pos], high[at[r.part], r.pos] = r.low, r.high
-    numbers = np.array(parts, np.int64)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column(0).to_numpy(zero_copy_only=False):
-                i = at[int(p)]
-                q = numbers[i:][box_distance2(low[i], high[i], low[i:], high[i:]) <= epsilon * epsilon + 1e-9]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), p)), pa.array(q)], names=["p", "q"])
+def near_block_pairs(blocks: DataFrame, epsilon: float, tiles: int) -> DataFrame:
+    """The pairs x, y (x <= y) of blocks whose boxes are at most epsilon apart, with what both hold.
 
-    pairs = blocks.sparkSession.createDataFrame([(p,) for p in parts], "part long").mapInArrow(near, "p long, q long")
-    x = boxes.select(F.col("part").alias("p"), F.col("block").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"))
-    y = boxes.select(F.col("part").alias("q"), F.col("block").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"))
-    gap2 = F.expr("aggregate(zip_with(zip_with(xl, yh, (a, b) -> a - b), zip_with(yl, xh, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, g) -> s + g * g)")
-    return x.join(pairs, "p").join(y, "q").where((F.col("x") <= F.col("y")) & (gap2 <= epsilon * epsilon + 1e-9)).select("x", "y")
+    Each task reads two tiles of the written blocks and pairs their rows where it holds them: no block is shuffled, however many it meets."""
+    held = ("block", "low", "high", "nodes", "copies", "lead", "data")
+    side = lambda s: blocks.coalesce(tiles).select(*(F.col(c).alias(f"{s}_{c}") for c in held))
+    gap2 = F.expr("aggregate(zip_with(zip_with(x_low, y_high, (a, b) -> a - b), zip_with(y_low, x_high, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, g) -> s + g * g)")
+    return side("x").hint("shuffle_replicate_nl").join(side("y"), (F.col("x_block") <= F.col("y_block")) & (gap2 <= epsilon * epsilon + 1e-9))
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -255,8 +248,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
 
     Unit vectors are placed on the principal axes of all rows' first components (as many as the commonest length has, AXIS_COMPONENTS at most), which tell most. They are
     range-partitioned and sorted by their length and their grid cells of side epsilon = sqrt(2 - 2 cosine) on the leading axes, and cut into blocks with boxes.
-    Pairs of intervals, then of blocks, whose boxes are further apart than epsilon are skipped; a task joins two blocks recursively,
-    counts links and emits them as a forest, so no group is expanded into pairs of rows.
+    Pairs of blocks whose boxes are further apart than epsilon are skipped; a task reads two tiles of blocks, joins the blocks of one with those of the other,
+    counts links and emits them as a forest, so no group is expanded into pairs of rows, and what is written grows with the rows, not with the pairs.
     """
     spark = vectors.sparkSession
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -270,16 +263,16 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
         lead_width = min(BOX_DIMENSIONS, len(axes))
         placed = source.where("vec_id is not null").mapInArrow(_celled(axes, epsilon), "key string, n int, cell array<int>, lead array<double>, vector array<double>").dropDuplicates(["key"])
         celled = written(placed.join(groups, "key").select("node", "copies", "n", "cell", "lead", "vector"), "cells")
-        n = celled.count()
+        n, components = celled.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         intervals = min(MOST_INTERVALS, max(1, min(INTERVALS, n // BLOCK), n // (BLOCK * INTERVAL_BLOCKS)))
         ordered = celled.repartitionByRange(intervals, "n", "cell", "node").sortWithinPartitions("n", "cell", "node").select("node", "copies", "n", "lead", "vector")
         if ordered.rdd.getNumPartitions() > intervals:  # neighbours are put together, or blocks would be small, and their pairs many
             ordered = ordered.coalesce(intervals)
         blocks = written(ordered.mapInArrow(_blocks(lead_width), "part long, block long, low array<double>, high array<double>, nodes binary, copies binary, lead binary, data binary"), "blocks")
-        held = ("nodes", "copies", "lead", "data")
-        side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in held))
-        pairs = near_block_pairs(blocks, epsilon).repartition(F.col("x"), F.col("y")).join(side("x"), "x").join(side("y"), "y")
-        found = written(pairs.select("x", "y", *(f"{s}_{c}" for s in "xy" for c in held)).mapInArrow(_joined(lead_width, cosine), "a long, b long, links long"), "links")
+        tiles = max(TILES, -(-8 * (components + n * lead_width) // TILE_BYTES))
+        held = ("block", "nodes", "copies", "lead", "data")
+        pairs = near_block_pairs(blocks, epsilon, tiles).select(*(f"{s}_{c}" for s in "xy" for c in held))
+        found = written(pairs.mapInArrow(_joined(lead_width, cosine), "a long, b long, links long"), "links")
         discard(celled, blocks)
     else:
         found = spark.createDataFrame([], "a long, b long, links long")

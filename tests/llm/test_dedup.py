@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.llm import components, embedding_join, exact_dedup, ngram_join, substring_dedup
+from corpuslake.llm.common import written
 
 from .conftest import lower, smallest, words
 
@@ -269,6 +270,33 @@ def test_embedding_join(spark, monkeypatch, block, leaf):
             assert (r.n_links, r.component_id, r.kept) == (degree[r.vec_id], component[r.vec_id], component[r.vec_id] == r.vec_id), r
 
 
+def test_blocks_meet_without_a_shuffle(spark):
+    """Each pair of near blocks is there once with what both hold, and no block is shuffled or broadcast for it, so the disk grows with the rows and not with their pairs."""
+    rows = [(0, b, [float(b), 0.0], [b + 0.5, 1.0], bytes([b]), b"c", b"l", b"d" * 1000) for b in range(40)]
+    schema = "part long, block long, low array<double>, high array<double>, nodes binary, copies binary, lead binary, data binary"
+    blocks = written(spark.createDataFrame(rows, schema).repartition(9), "blocks")
+    pairs = embedding_join.near_block_pairs(blocks, 0.6, 4)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    got = sorted((r.x_block, r.y_block, bytes(r.x_nodes), bytes(r.y_nodes)) for r in pairs.collect())
+    assert got == [(x, y, bytes([x]), bytes([y])) for x in range(40) for y in range(x, 40) if y - x <= 1]
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.12, 1.0])
+def test_intervals_join_exactly(monkeypatch, spread):
+    """Crowded, mixed and scattered vectors, in leaves and columns that do not divide their number."""
+    for name, value in (("LEAF", 7), ("COLUMNS", 10), ("FACTOR_BYTES", 800)):
+        monkeypatch.setattr(embedding_join, name, value)
+    rng = np.random.default_rng(4)
+    a, b = (rng.standard_normal(10) + spread * rng.standard_normal((n, 10)) for n in (45, 33))
+    b[:20] = a[:20] + spread * rng.standard_normal((20, 10)) / 4
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
+    for c, same in ((b, False), (a, True)):
+        got = [pair for i, j in embedding_join.join_intervals(a, c, a[:, :4], c[:, :4], same, 0.95) for pair in zip(i.tolist(), j.tolist(), strict=True)]
+        want = [(i, j) for i, j in np.argwhere(a @ c.T >= 0.95).tolist() if not same or i < j]
+        assert sorted(got) == want
+
+
 def test_one_id_of_several_vectors(spark):
     """Each row has the links of its own vector; component_id is the smallest id that any vector of the component has."""
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
