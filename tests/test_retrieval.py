@@ -151,6 +151,24 @@ def test_lexical_index(spark, monkeypatch):
     assert lexical.lexical_hits(questions, nothing, "q", "text", "scope").collect() == []
 
 
+def test_many_groups_are_counted_where_asked(spark, monkeypatch):
+    """Beyond GROUPS groups the index keeps no terms of each, so that it stays smaller than its postings; searches find the same."""
+    monkeypatch.setattr(lexical, "GROUPS", 2)
+    docs = spark.createDataFrame(TEXTS, "id long, grp string, text string")
+    asked = [(1, "alpha beta beta", None), (2, "alpha zeta", ["b"]), (3, "delta gamma", ["a", "b"]), (4, "alpha word", ["d"]), (5, "nothing here", None), (6, "", None), (7, "beta", ["c", "a"]), (8, "alpha", []), (9, "beta alpha beta", ["c"]), (10, "alpha", ["none"])]
+    questions = spark.createDataFrame(asked, "q long, text string, scope array<string>")
+    index = lexical.write_lexical_index(docs, "id", ["text"], "grp", buckets=3)
+    assert {r.grp for r in index.terms(spark).collect()} == {lexical.ALL}
+    changed = [(2, "a", "gamma gamma"), (10, "b", "alpha delta")]
+    new = lexical.reindexed(spark, index, spark.createDataFrame([(2,), (3,)], "id long"), spark.createDataFrame(changed, "id long, grp string, text string"), ["text"], "grp")
+    for made, rows in ((index, TEXTS), (new, [r for r in TEXTS if r[0] not in (2, 3)] + changed)):
+        got = {}
+        for r in lexical.lexical_hits(questions, made, "q", "text", "scope").collect():
+            got.setdefault(r.q, {})[r.id] = pytest.approx(r.score, abs=2e-6)
+        assert got == {q: s for q, t, scope in asked if t and (s := plain_bm25(rows, t, scope))}
+        lexical.drop_index(spark, made)
+
+
 def test_kept_index_is_not_shuffled(spark):
     docs = spark.createDataFrame(TEXTS, "id long, grp string, text string")
     index = lexical.write_lexical_index(docs, "id", ["text"], "grp", buckets=3)
